@@ -74,15 +74,15 @@ def _distance2(target: str = "t") -> Column:
 class _Levels:
     """Cells of the target points: level 0 of edge ``edge``, split where crowded."""
 
-    def __init__(self, points: DataFrame, edge: float, leaf_rows: int, extra: list[Column]):
-        self.edge = edge
+    def __init__(self, points: DataFrame, edge: float, leaf_rows: int, extra: list[Column], by: list[str]):
+        self.edge, self.key = edge, [*by, *CELL]
         box = [f(a).alias(f"{n}_{a}") for a in _AXES for f, n in ((F.min, "low"), (F.max, "high"))]
         self.points: list[DataFrame] = []
         self.cells: list[DataFrame] = []
         level, active = 0, points
         while True:
             active = active.drop(*CELL).withColumns(dict(zip(CELL, _level_cell(edge, level))))
-            cells = active.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"), *box, *extra)
+            cells = active.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n"), *box, *extra)
             # Boxes of one position cannot be split further.
             crowded = (F.col("_n") > leaf_rows) & F.expr(
                 " or ".join(f"low_{a} < high_{a}" for a in _AXES)
@@ -95,9 +95,9 @@ class _Levels:
                 return
             cells = settle(cells.withColumn("_leaf", ~crowded))
             self.cells.append(cells)
-            split = cells.filter(~F.col("_leaf")).select(*CELL)
-            self.points.append(active.join(split, CELL, "left_anti"))
-            active = settle(active.join(split, CELL, "left_semi"))
+            split = cells.filter(~F.col("_leaf")).select(*self.key)
+            self.points.append(active.join(split, self.key, "left_anti"))
+            active = settle(active.join(split, self.key, "left_semi"))
             level += 1
 
     @property
@@ -109,8 +109,8 @@ class _Levels:
         return self.cells[level].withColumns(parents)
 
 
-def _target_columns(points: DataFrame, carried: list[str]) -> DataFrame:
-    return points.select(*CELL, *[F.col(a).alias(f"t{a}") for a in _AXES], *carried)
+def _target_columns(points: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
+    return points.select(*key, *[F.col(a).alias(f"t{a}") for a in _AXES], *carried)
 
 
 def _descend(levels: _Levels, queries: DataFrame, query_columns: list[str], keep, on_level=None):
@@ -118,9 +118,10 @@ def _descend(levels: _Levels, queries: DataFrame, query_columns: list[str], keep
 
     ``keep(pairs)`` prunes and ``on_level(pairs)`` may take decided pairs out.
     """
-    box_columns = [c for c in levels.cells[0].columns if c not in CELL]
+    by = levels.key[: -len(CELL)]
+    box_columns = [c for c in levels.cells[0].columns if c not in levels.key]
     start = around(queries.select(*query_columns, *_level_cell(levels.edge, 0)))
-    pairs = start.join(levels.cells[0], CELL)
+    pairs = start.join(levels.cells[0], levels.key)
     leaves, level = [], 0
     waiting = None
     while True:
@@ -136,7 +137,7 @@ def _descend(levels: _Levels, queries: DataFrame, query_columns: list[str], keep
         parents = pairs.filter(~F.col("_leaf")).select(*query_columns, *[F.col(n).alias(f"_p{n}") for n in CELL])
         level += 1
         pairs = (
-            parents.join(levels.children(level), [f"_p{n}" for n in CELL])
+            parents.join(levels.children(level), [*by, *[f"_p{n}" for n in CELL]])
             .select(*query_columns, *CELL, *box_columns)
         )
 
@@ -153,30 +154,32 @@ def _tie_order(tie: str, radius: float, tid: str) -> Column:
 
 
 def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str = "lowest_id",
-                   ranked: bool = False, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+                   ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Nearest target of every query point at a distance of at most ``radius``.
 
     ``queries`` has ``qid, x, y, z`` and ``targets`` has ``tid, x, y, z`` with
     unique integer ids; queries without a target are absent from the result
     ``(qid, tid, d2)``. With ``ranked`` both sides also have ``rank`` and only
     targets whose rank is NULL or above the rank of the query are eligible.
+    Points only meet within equal ``by`` columns.
     """
+    by = by or []
     limit = float(radius) * float(radius)
-    query_columns = ["qid", *_AXES] + (["rank"] if ranked else [])
+    query_columns = ["qid", *by, *_AXES] + (["rank"] if ranked else [])
     queries = queries.select(*query_columns)
     if ranked:
         open_rank = F.coalesce(F.col("rank"), F.lit((1 << 62)))
-        targets = targets.select("tid", *_AXES, open_rank.alias("_hold"))
+        targets = targets.select("tid", *by, *_AXES, open_rank.alias("_hold"))
         extra, carried = [F.min("_hold").alias("_hold_min"), F.max("_hold").alias("_hold_max")], ["tid", "_hold"]
     else:
         pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
-        targets = targets.groupBy(*_AXES).agg(pick.alias("tid"))
+        targets = targets.groupBy(*by, *_AXES).agg(pick.alias("tid"))
         extra, carried = [], ["tid"]
-    levels = _Levels(targets, float(radius), leaf_rows, extra)
+    levels = _Levels(targets, float(radius), leaf_rows, extra, by)
 
     if levels.depth == 1:
         asked = around(queries.select(*query_columns, *_level_cell(levels.edge, 0)))
-        found = asked.join(_target_columns(levels.points[0], carried), CELL)
+        found = asked.join(_target_columns(levels.points[0], levels.key, carried), levels.key)
     else:
         near, far = _box_bounds()
         guaranteed = F.when(F.col("_hold_min") > F.col("rank"), far) if ranked else far
@@ -192,9 +195,9 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
         leaves = _descend(levels, queries, query_columns, keep).select(*query_columns, *CELL, "_level")
         points = reduce(
             DataFrame.unionByName,
-            [_target_columns(p, carried).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
+            [_target_columns(p, levels.key, carried).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
         )
-        found = leaves.join(points, [*CELL, "_level"])
+        found = leaves.join(points, [*levels.key, "_level"])
     if ranked:
         found = found.filter("_hold > rank")
     found = found.withColumn("_d2", _distance2()).filter(F.col("_d2") <= limit)
@@ -218,17 +221,19 @@ def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS)
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 
-def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, by: list[str] | None = None,
+                   leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Count, sums and second moments of the targets within ``radius``.
 
     Moments are taken about the query point, which keeps them well scaled:
     ``qid, n, s_x, s_y, s_z, s_xx, s_xy, s_xz, s_yy, s_yz, s_zz``.
     """
+    by = by or []
     limit = float(radius) * float(radius)
-    queries = queries.select("qid", *_AXES)
-    targets = targets.groupBy(*_AXES).agg(F.count(F.lit(1)).alias("_w"))
-    # Second moments of a cell are kept about its level-independent grid corner.
-    levels = _Levels(targets, float(radius), leaf_rows, [])
+    asking = ["qid", *by, *_AXES]
+    queries = queries.select(*asking)
+    targets = targets.groupBy(*by, *_AXES).agg(F.count(F.lit(1)).alias("_w"))
+    levels = _Levels(targets, float(radius), leaf_rows, [], by)
     names = ["n", *[f"s_{a}" for a in _AXES], *[f"s_{a}{b}" for a, b in _PAIRS]]
 
     def point_terms(found: DataFrame) -> DataFrame:
@@ -240,8 +245,8 @@ def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, leaf_r
         )
 
     if levels.depth == 1:
-        asked = around(queries.select("qid", *_AXES, *_level_cell(levels.edge, 0)))
-        terms = point_terms(asked.join(_target_columns(levels.points[0], ["_w"]), CELL))
+        asked = around(queries.select(*asking, *_level_cell(levels.edge, 0)))
+        terms = point_terms(asked.join(_target_columns(levels.points[0], levels.key, ["_w"]), levels.key))
     else:
         whole = _cell_moments(levels, targets)
         near, far = _box_bounds()
@@ -252,16 +257,16 @@ def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, leaf_r
 
         def take_whole(pairs: DataFrame) -> DataFrame:
             pairs = settle(pairs.withColumn("_inside", far <= limit))
-            inside.append(pairs.filter("_inside").select("qid", *_AXES, *CELL, "_level"))
+            inside.append(pairs.filter("_inside").select(*asking, *CELL, "_level"))
             return pairs.filter(~F.col("_inside")).drop("_inside")
 
-        leaves = _descend(levels, queries, ["qid", *_AXES], keep, take_whole).select("qid", *_AXES, *CELL, "_level")
+        leaves = _descend(levels, queries, asking, keep, take_whole).select(*asking, *CELL, "_level")
         points = reduce(
             DataFrame.unionByName,
-            [_target_columns(p, ["_w"]).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
+            [_target_columns(p, levels.key, ["_w"]).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
         )
-        terms = point_terms(leaves.join(points, [*CELL, "_level"]))
-        boxed = reduce(DataFrame.unionByName, inside).join(whole, [*CELL, "_level"])
+        terms = point_terms(leaves.join(points, [*levels.key, "_level"]))
+        boxed = reduce(DataFrame.unionByName, inside).join(whole, [*levels.key, "_level"])
         # Shift from the cell corner to the query point.
         d = {a: F.col(f"o_{a}") - F.col(a) for a in _AXES}
         shifted = [(F.col(f"m_{a}") + F.col("m") * d[a]).alias(f"s_{a}") for a in _AXES]
@@ -281,7 +286,7 @@ def _cell_moments(levels: _Levels, targets: DataFrame) -> DataFrame:
         placed = targets.withColumns(dict(zip(CELL, _level_cell(levels.edge, level))))
         u = {a: F.col(a) - F.col(n) * scale for a, n in zip(_AXES, CELL)}
         w = F.col("_w")
-        sums = placed.groupBy(*CELL).agg(
+        sums = placed.groupBy(*levels.key).agg(
             F.sum(w.cast("double")).alias("m"), *[F.sum(w * u[a]).alias(f"m_{a}") for a in _AXES],
             *[F.sum(w * u[a] * u[b]).alias(f"m_{a}{b}") for a, b in _PAIRS],
         )
@@ -304,9 +309,10 @@ def _pca_normal(n: pd.Series, sx: pd.Series, sy: pd.Series, sz: pd.Series, xx: p
     return pd.DataFrame(normals * np.where(leading < 0, -1.0, 1.0), columns=["nx", "ny", "nz"])
 
 
-def surface_normals(points: DataFrame, radius: float, minimum: int = 3, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def surface_normals(points: DataFrame, radius: float, minimum: int = 3, by: list[str] | None = None,
+                    leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Local plane normal of every point ``(qid, x, y, z)``; absent below ``minimum`` neighbours."""
-    moments = radius_moments(points, points, radius, leaf_rows).filter(F.col("n") >= minimum)
+    moments = radius_moments(points, points, radius, by, leaf_rows).filter(F.col("n") >= minimum)
     names = ["n", *[f"s_{a}" for a in _AXES], *[f"s_{a}{b}" for a, b in _PAIRS]]
     return moments.withColumn("_normal", _pca_normal(*names)).select("qid", "n", "_normal.*")
 

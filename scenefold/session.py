@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +30,19 @@ def local_session(app: str = "scenefold", cores: str = "*", shuffle: int = 8, **
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_scenefold_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="scenefold-package-")) / root.name), "zip", root.parent, root.name
+        )
+        context.addPyFile(archive)
+        context._scenefold_shipped = True
     return spark
 
 
