@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..errors import PoseGraphError
+from ..errors import PoseGraphError, ScheduleError
 from ..functions import cameras as C
 from ..functions import linalg
 from ..session import settle
@@ -232,8 +232,6 @@ def covisibility_batches(frames: DataFrame, weights: DataFrame, key: str, size:
     and runs once per capture over at most ``maximum_frames`` frames; longer
     captures are refused.
     """
-    from ..errors import ScheduleError
-
     if size < 3 or not 0 <= overlap < size or not -1.0 <= minimum_direction <= 1.0:
         raise ScheduleError("batch settings are out of range")
     counted = frames.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

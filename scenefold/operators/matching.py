@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import PoseError
 from ..functions import cameras as C
 from ..functions import vectors as V
 from ..session import broadcast_if_small, settle
-from .common import equi, first_by, latest_by
+from .common import first_by, latest_by
 from .spatial import nearest_within
 
 
@@ -225,8 +226,6 @@ def fallback_merge(primary: DataFrame, secondary: DataFrame, keys: list[str], va
 
 def keep_first_union(chunks: list[DataFrame], keys: list[str], minimum_overlap: int = 12) -> DataFrame:
     """Union of ordered chunks in which an earlier chunk owns a key."""
-    from ..errors import PoseError
-
     merged = chunks[0]
     for chunk in chunks[1:]:
         if chunk.join(merged, keys, "left_semi").limit(minimum_overlap).count() < minimum_overlap:
@@ -296,21 +295,26 @@ def semantic_lookup(points: DataFrame, mask: DataFrame) -> DataFrame:
     return points.join(renamed, ["frame_index", "px", "py"], "left")
 
 
-def overlap_differences(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Relative depth difference where two batches predict the same frame.
+def overlap_differences(pixels: DataFrame, keys: list[str] | None = None, first_two: bool = True) -> DataFrame:
+    """Relative depth difference where several batches predict the same frame.
 
-    Only the first two batches of a frame are compared. One grouped pass picks
-    them, so repeated frames do not create all batch pairs.
+    The first batch of a frame is the base; it is compared with the second one,
+    or with every later one. The base is unique per pixel, so a frame predicted
+    very often costs one comparison per prediction and never all batch pairs.
     """
     keys = keys or []
     pixel = [*keys, "frame_index", "px", "py"]
     batches = pixels.select(*keys, "frame_index", "batch").distinct()
-    ranks = batches.groupBy(*keys, "frame_index").agg(F.array_sort(F.collect_set("batch")).alias("_batches")).select(
-        *keys, "frame_index", F.element_at("_batches", 1).alias("_one"), F.try_element_at("_batches", F.lit(2)).alias("_two")
-    ).filter("_two is not null")
-    picked = pixels.filter(V.positive(F.col("depth"))).join(ranks, [*keys, "frame_index"])
-    both = picked.groupBy(*pixel).agg(
-        F.max(F.when(F.col("batch") == F.col("_one"), F.col("depth"))).alias("a"),
-        F.max(F.when(F.col("batch") == F.col("_two"), F.col("depth"))).alias("b"),
-    ).filter("a is not null and b is not null")
-    return both.withColumn("difference", F.abs(F.col("a") - F.col("b")) / F.greatest("a", "b"))
+    base = batches.groupBy(*keys, "frame_index").agg(F.min("batch").alias("_base"))
+    usable = V.positive(F.col("depth"))
+    if "confidence" in pixels.columns:
+        usable = usable & V.positive(F.col("confidence"))
+    marked = pixels.filter(usable).join(base, [*keys, "frame_index"])
+    later = marked.filter("batch > _base")
+    if first_two:
+        second = batches.join(base, [*keys, "frame_index"]).filter("batch > _base").groupBy(*keys, "frame_index").agg(
+            F.min("batch").alias("batch"))
+        later = later.join(second, [*keys, "frame_index", "batch"], "left_semi")
+    first = marked.filter("batch = _base").select(*pixel, F.col("depth").alias("a"))
+    return later.select(*pixel, "batch", F.col("depth").alias("b")).join(first, pixel).withColumn(
+        "difference", F.abs(F.col("a") - F.col("b")) / F.greatest("a", "b"))

@@ -12,7 +12,7 @@ from ..session import settle
 from ..settings import BackprojectionSettings, PreviewSettings, TsdfSettings
 from .common import equi
 from .ordering import global_index
-from .quantiles import upper_median
+from .quantiles import percentiles, upper_median
 from .spatial import floor_cell, orient_towards_cameras, round_cell, surface_normals
 
 KEY = ["kx", "ky", "kz"]
@@ -144,8 +144,6 @@ def owned_counts(rows: DataFrame, frames: DataFrame, clamp_unknown: bool = False
 
 def at_least_window_percentile(pixels: DataFrame, percentile: float = 55.0) -> DataFrame:
     """Pixels at or above the confidence percentile of their window."""
-    from .quantiles import percentiles
-
     limit = percentiles(pixels, ["window_index"], "confidence", {"_limit": percentile / 100.0})
     return pixels.join(limit, "window_index").filter(F.col("confidence") >= F.col("_limit")).drop("_limit")
 
