@@ -158,8 +158,13 @@ def raster_violations(frames: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("reasons", reasons).filter(F.size("reasons") > 0).select(*keys, "frame_index", "file_name", "reasons")
 
 
-# Providers whose solutions may be published. Fixed values.
-POSE_PROVIDERS = ("colmap", "droid-slam", "vggt", "hybrid", "manual")
+# Coordinate convention required of each publishable provider. Fixed values.
+POSE_CONVENTIONS = {
+    "colmap": "COLMAP world; W2C row-major 3x4 f64",
+    "droid-slam": "OpenCV world; W2C row-major 3x4 f64",
+    "vggt": "OpenCV world; W2C row-major 3x4 f64",
+    "hybrid-colmap-droid": "OpenCV world; W2C row-major 3x4 f64",
+}
 
 
 def pose_violations(solution: DataFrame, rasters: DataFrame, keys: list[str]) -> DataFrame:
@@ -201,10 +206,11 @@ def document_violations(documents: DataFrame, document: str, raster: str | None
     checks = [
         F.when(~F.coalesce(F.col("schema").rlike(tag_pattern(document)), F.lit(False)), "schema"),
     ]
-    if "coordinate_convention" in documents.columns:
-        checks.append(F.when(~F.coalesce(F.col("coordinate_convention").rlike("opencv|w2c"), F.lit(False)), "convention"))
     if "provider" in documents.columns:
-        checks.append(F.when(~F.coalesce(F.col("provider.kind").isin(*POSE_PROVIDERS), F.lit(False)), "provider"))
+        table = F.create_map(*[F.lit(v) for pair in POSE_CONVENTIONS.items() for v in pair])
+        expected = F.try_element_at(table, F.col("provider.kind"))
+        checks.append(F.when(expected.isNull(), "provider"))
+        checks.append(F.when(~expected.eqNullSafe(F.col("coordinate_convention")), "convention"))
     if raster is not None:
         checks.append(F.when(F.col("raster_fingerprint") != raster, "raster"))
     return documents.withColumn("reasons", F.array_compact(F.array(*checks))).filter(F.size("reasons") > 0)
@@ -244,11 +250,10 @@ def global_window_fit(views: DataFrame, poses: DataFrame, settings: GlobalFitSet
     fit = similarity.huber_fit(pairs, ["window_index"])
     centre = pairs.groupBy("window_index").agg(*[F.avg(c).alias(f"_{c}") for c in ("sx", "sy", "sz")])
     reach = pairs.join(centre, "window_index").groupBy("window_index").agg(
-        F.sqrt(F.avg(sum((F.pow(F.col(c) - F.col(f"_{c}"), F.lit(2.0)) for c in ("sy", "sz")),
-                         F.pow(F.col("sx") - F.col("_sx"), F.lit(2.0))))).alias("_extent"))
+        F.sqrt(F.avg(V.squared_distance(V.vec("sx", "sy", "sz"), V.vec("_sx", "_sy", "_sz")))).alias("_extent"))
     joined = fit.join(reach, "window_index")
-    size = F.col("_extent") * F.col("scale")
-    normalized = F.when(size > 1e-9, F.col("rms_residual") / F.when(size > 1e-9, size))
+    normalized = F.col("rms_residual") / F.greatest(F.col("_extent") * F.abs("scale"), F.lit(1e-6))
+    normalized = F.when(F.col("pairs") >= 3, normalized)
     passed = F.coalesce((F.col("pairs") >= settings.minimum_cameras) & (normalized <= settings.maximum_normalized_rms), F.lit(False))
     return joined.withColumn("normalized_rms", normalized).withColumn("passed", passed).drop("_extent")
 
@@ -266,9 +271,13 @@ def calibration_decision(canonical: DataFrame, overlap: DataFrame, maximum_error
 # --- catalogue -----------------------------------------------------------
 
 def resolve_product(products: DataFrame, keys: list[str], requested: Column, selected: Column) -> DataFrame:
-    """Product to show: the requested one, a geometric multi-view one, the first surfel one, the selected one."""
+    """Product to show: the requested one, else the geometric multi-view one, the first surfel one, the selected one.
+
+    A requested product that does not exist resolves to nothing.
+    """
     rank = (
-        F.when(F.col("product_id") == requested, 0).when(F.col("product_id") == "colmap-mvs-geometric", 1)
+        F.when(requested.isNotNull(), F.when(F.col("product_id") == requested, 0))
+        .when(F.col("product_id") == "colmap-mvs-geometric", 1)
         .when(F.col("kind") == "surfel", 2).when(F.col("product_id") == selected, 3))
     ranked = products.withColumn("rank", rank).filter("rank is not null")
     return ranked.groupBy(*keys).agg(F.min_by(F.struct("product_id", "kind", "rank"), F.struct("rank", "product_id")).alias("_p")).select(*keys, "_p.*")
@@ -278,7 +287,7 @@ def recover_job(jobs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Latest job, running ones marked interrupted, and the next free id."""
     latest = jobs.groupBy(*(keys or [])).agg(
         F.max_by("state", "job_id").alias("state"), F.max("job_id").alias("job_id"))
-    return latest.withColumn("state", F.when(F.col("state").isin("queued", "running"), "interrupted").otherwise(F.col("state"))).withColumn(
+    return latest.withColumn("state", F.when(F.col("state").isin("running", "cancel_requested"), "interrupted").otherwise(F.col("state"))).withColumn(
         "next_job_id", F.col("job_id") + 1)
 
 
