@@ -132,25 +132,26 @@ def rebase_points(points: DataFrame, raster: tuple[int, int]) -> DataFrame:
     radial, width, height) and ``scale``. Rows that cannot be moved are dropped.
     """
     w, h = F.lit(raster[0]), F.lit(raster[1])
-    local = C.camera_depth("w2c", V.vec("x", "y", "z"))
-    u = C.resize_centre(F.col("px"), w, F.col("width"))
-    v = C.resize_centre(F.col("py"), h, F.col("height"))
-    rx, ry = C.undistort_ray(u, v, F.col("f"), F.col("cx"), F.col("cy"), F.col("radial"))
-    depth = local * F.col("scale")
-    world = C.camera_to_world("global_w2c", (rx * depth, ry * depth, depth))
-    turned = V.rotate_back(C.w2c_rotation("global_w2c"), V.rotate(C.w2c_rotation("w2c"), V.vec("nx", "ny", "nz")))
-    normal = V.normalize(turned, 1e-6)
-    pixel_radius = F.col("radius") * F.least(F.col("k").getItem(0), F.col("k").getItem(4)) / local
-    radius = pixel_radius * depth / F.col("f")
     names = ("x", "y", "z", "nx", "ny", "nz")
     gate = (
         V.all_finite(*[F.col(c) for c in names]) & V.positive(F.col("radius")) & V.positive(F.col("confidence"))
-        & V.positive(F.col("scale")) & V.positive(local)
+        & V.positive(F.col("scale"))
     )
-    moved = points.filter(gate).withColumns(dict(zip(
-        ("_x", "_y", "_z", "_nx", "_ny", "_nz", "_radius"), (*world, *normal, radius))))
-    moved = moved.filter(V.all_finite(F.col("_x"), F.col("_y"), F.col("_z")) & F.col("_nx").isNotNull() & V.positive(F.col("_radius")))
-    return moved.withColumns({c: F.col(f"_{c}") for c in (*names, "radius")}).drop(*[f"_{c}" for c in (*names, "radius")])
+    u = C.resize_centre(F.col("px"), w, F.col("width"))
+    v = C.resize_centre(F.col("py"), h, F.col("height"))
+    ray = C.undistort_ray(u, v, F.col("f"), F.col("cx"), F.col("cy"), F.col("radial"))
+    # One projection per step keeps every expression small.
+    moved = points.filter(gate).withColumn("_local", C.camera_depth("w2c", V.vec("x", "y", "z"))).filter(V.positive(F.col("_local")))
+    moved = moved.withColumns({"_rx": ray[0], "_ry": ray[1], "_depth": F.col("_local") * F.col("scale")}).filter("_rx is not null")
+    depth = F.col("_depth")
+    moved = V.columns(moved, C.camera_to_world("global_w2c", (F.col("_rx") * depth, F.col("_ry") * depth, depth)), names[:3])
+    moved = V.columns(moved, V.rotate(C.w2c_rotation("w2c"), V.vec(*names[3:])), names[3:])
+    moved = V.columns(moved, V.rotate_back(C.w2c_rotation("global_w2c"), V.vec(*names[3:])), names[3:])
+    moved = V.columns(moved, V.normalize(V.vec(*names[3:]), 1e-6), names[3:])
+    pixel_radius = F.col("radius") * F.least(F.col("k").getItem(0), F.col("k").getItem(4)) / F.col("_local")
+    moved = moved.withColumn("radius", pixel_radius * depth / F.col("f"))
+    good = V.all_finite(*[F.col(c) for c in names[:3]]) & F.col("nx").isNotNull() & V.positive(F.col("radius"))
+    return moved.filter(good).drop("_local", "_rx", "_ry", "_depth")
 
 
 # --- visibility ----------------------------------------------------------

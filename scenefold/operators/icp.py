@@ -17,7 +17,7 @@ from ..functions import vectors as V
 from ..functions import types as K
 from ..session import settle
 from ..settings import IcpSettings
-from .spatial import nearest_within, surface_normals
+from .spatial import is_flat, nearest_within, surface_normals
 
 _UPPER = [(i, j) for i in range(6) for j in range(i, 6)]
 _STEP = K.struct(scale=K.DOUBLE, rotation=K.DOUBLES, translation=K.DOUBLES, step=K.DOUBLE, rank=K.LONG)
@@ -55,6 +55,7 @@ def icp_refine(sources: DataFrame, targets: DataFrame, initial: DataFrame, setti
         targets.join(normals.select(F.col("qid").alias("tid"), "nx", "ny", "nz"), "tid", "left")
         .select("pair", "tid", "x", "y", "z", "nx", "ny", "nz")
     )
+    flat = is_flat(surface, settings.maximum_distance, ["pair"])
     names = ("scale", "rotation", "translation")
     state = settle(initial.select("pair", *names).withColumns({
         "rms_before": F.lit(None).cast("double"), "rms": F.lit(None).cast("double"),
@@ -67,7 +68,7 @@ def icp_refine(sources: DataFrame, targets: DataFrame, initial: DataFrame, setti
         placed = sources.join(current.select("pair", *names), "pair").select(
             "pair", "qid", *[m.alias(a) for m, a in zip(moved, "xyz")])
         found = nearest_within(placed, surface.select("pair", "tid", "x", "y", "z"), settings.maximum_distance,
-                               "last_in_cell_order", by=["pair"])
+                               "last_in_cell_order", by=["pair"], flat=flat)
         normal_side = surface.filter("nx is not null").select(
             "tid", *[F.col(a).alias(f"t{a}") for a in "xyz"], "nx", "ny", "nz")
         gap = V.sub(V.vec("x", "y", "z"), V.vec("tx", "ty", "tz"))

@@ -9,7 +9,7 @@ from ..functions import cameras as C
 from ..functions import vectors as V
 from ..session import broadcast_if_small, settle
 from .common import first_by, latest_by
-from .spatial import nearest_within
+from .spatial import is_flat, nearest_within
 
 
 # --- seams ---------------------------------------------------------------
@@ -56,11 +56,13 @@ def one_to_one_nearest(sources: DataFrame, targets: DataFrame, radius: float, by
     targets = settle(targets.select("tid", *by, "x", "y", "z"))
     held = sources.sparkSession.createDataFrame([], "tid long, qid long, d2 double")
     asking = sources
+    flat = is_flat(targets, radius, by)
     while asking.limit(1).count():
         ranked = targets.join(held.select("tid", F.col("qid").alias("rank")), "tid", "left")
         proposals = nearest_within(
-            asking.withColumn("rank", F.col("qid")), ranked, radius, "first_in_cell_order", ranked=True, by=by
+            asking.withColumn("rank", F.col("qid")), ranked, radius, "first_in_cell_order", ranked=True, by=by, flat=flat
         )
+        proposals = settle(proposals)
         before = held
         held = settle(
             before.unionByName(proposals.select("tid", "qid", "d2"))

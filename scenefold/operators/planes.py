@@ -71,30 +71,42 @@ def hypothesis_support(points: DataFrame, normals: np.ndarray, offsets: np.ndarr
     return np.array([found.get(h, 0) for h in range(count)], dtype=np.int64)
 
 
-def seed_plane(points: DataFrame, size: int, tolerance: float, trials: int):
-    """Best of ``trials`` reproducible three-point planes over rows numbered ``ordinal``."""
+def _hypotheses(points: DataFrame, size: int, trials: int):
+    """Trial numbers, unit normals and offsets of reproducible three-point planes."""
     picks = hashing.index_for_seed(np.arange(1, 3 * trials + 1), size).reshape(trials, 3)
     distinct = (picks[:, 0] != picks[:, 1]) & (picks[:, 0] != picks[:, 2]) & (picks[:, 1] != picks[:, 2])
     wanted = sorted({int(v) for v in picks[distinct].ravel()})
-    if not wanted:
-        return None
     rows = points.filter(F.col("ordinal").isin(wanted)).select("ordinal", "x", "y", "z").collect()
     at = {r["ordinal"]: np.array([r["x"], r["y"], r["z"]]) for r in rows}
-    normals, offsets = [], []
-    for first, second, third in picks[distinct]:
-        a, b, c = at[int(first)], at[int(second)], at[int(third)]
+    kept, normals, offsets = [], [], []
+    for trial in np.flatnonzero(distinct):
+        a, b, c = (at[int(i)] for i in picks[trial])
         normal = np.cross(b - a, c - a)
-        size_ = np.linalg.norm(normal)
-        if not np.isfinite(size_) or size_ <= 0:
+        area = np.linalg.norm(normal)
+        if not np.isfinite(area) or area <= 0:
             continue
-        normal = canonical(normal / size_)
+        normal = canonical(normal / area)
+        kept.append(int(trial))
         normals.append(normal)
         offsets.append(float(normal @ a))
-    if not normals:
+    return kept, np.array(normals).reshape(-1, 3), np.array(offsets)
+
+
+def hypothesis_table(points: DataFrame, trials: int, tolerance: float) -> DataFrame:
+    """Support of every usable three-point plane, one row per trial."""
+    kept, normals, offsets = _hypotheses(points, points.count(), trials)
+    support = hypothesis_support(points, normals, offsets, tolerance)
+    return points.sparkSession.createDataFrame([(t, int(n)) for t, n in zip(kept, support)], "trial long, support long")
+
+
+def seed_plane(points: DataFrame, size: int, tolerance: float, trials: int):
+    """Best of ``trials`` reproducible three-point planes over rows numbered ``ordinal``."""
+    _, normals, offsets = _hypotheses(points, size, trials)
+    if not len(normals):
         return None
-    support = hypothesis_support(points, np.array(normals), np.array(offsets), tolerance)
+    support = hypothesis_support(points, normals, offsets, tolerance)
     best = int(np.argmax(support))
-    return (tuple(float(v) for v in normals[best]), offsets[best]) if support[best] > 0 else None
+    return (tuple(float(v) for v in normals[best]), float(offsets[best])) if support[best] > 0 else None
 
 
 def plane_cells(points: DataFrame, plane: Plane, edge: float, minimum_support: int, index: int = 0) -> DataFrame:
@@ -173,15 +185,17 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
 def mesh_from_cells(cells: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Four vertices and two triangles per cell, numbered in ``order``."""
     good = valid_surfel() & V.positive(F.col("radius"))
-    n = V.normalize(V.vec("nx", "ny", "nz"))
-    usable = cells.filter(good).withColumns(dict(zip(("nx", "ny", "nz"), n))).filter("nx is not null")
+    unit = V.normalize(V.vec("nx", "ny", "nz"))
+    usable = cells.filter(good).withColumns(dict(zip(("nx", "ny", "nz"), unit))).filter("nx is not null")
     numbered = settle(global_index(usable, order, "cell"))
-    u, v = C.plane_basis(V.vec("nx", "ny", "nz"))
+    n = V.vec("nx", "ny", "nz")
+    numbered = V.columns(numbered, C.plane_basis(n)[0], ("_ux", "_uy", "_uz"))
+    numbered = V.columns(numbered, V.cross(n, V.vec("_ux", "_uy", "_uz")), ("_vx", "_vy", "_vz"))
     half = F.col("radius") / 1.56
     signs = ((-1, -1), (1, -1), (1, 1), (-1, 1))
     corners = F.array(*[
         F.struct(F.lit(i).alias("corner"), *[
-            (F.col(a) + half * (su * du + sv * dv)).alias(a) for a, du, dv in zip("xyz", u, v)
+            (F.col(a) + half * (su * F.col(f"_u{a}") + sv * F.col(f"_v{a}"))).alias(a) for a in "xyz"
         ]) for i, (su, sv) in enumerate(signs)
     ])
     vertices = numbered.withColumn("_c", F.explode(corners)).select(

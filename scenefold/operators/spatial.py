@@ -74,7 +74,7 @@ def _distance2(target: str = "t") -> Column:
 class _Levels:
     """Cells of the target points: level 0 of edge ``edge``, split where crowded."""
 
-    def __init__(self, points: DataFrame, edge: float, leaf_rows: int, extra: list[Column], by: list[str]):
+    def __init__(self, points: DataFrame, edge: float, leaf_rows: int, extra: list[Column], by: list[str], flat: bool = False):
         self.edge, self.key = edge, [*by, *CELL]
         box = [f(a).alias(f"{n}_{a}") for a in _AXES for f, n in ((F.min, "low"), (F.max, "high"))]
         self.points: list[DataFrame] = []
@@ -89,7 +89,7 @@ class _Levels:
             )
             # Only the crowding question needs the aggregate here, so ordinary
             # data is asked once and the plain join below reads the points only.
-            if level == MAX_LEVEL or not cells.filter(crowded).limit(1).count():
+            if flat or level == MAX_LEVEL or not cells.filter(crowded).limit(1).count():
                 self.points.append(active)
                 self.cells.append(cells.withColumn("_leaf", F.lit(True)))
                 return
@@ -109,6 +109,13 @@ class _Levels:
         return self.cells[level].withColumns(parents)
 
 
+def is_flat(targets: DataFrame, radius: float, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS) -> bool:
+    """Whether no cell of edge ``radius`` is crowded; loops over fixed targets ask once."""
+    distinct = targets.select(*(by or []), *_AXES).distinct()
+    counts = distinct.groupBy(*(by or []), *_level_cell(float(radius), 0)).agg(F.count(F.lit(1)).alias("_n"))
+    return not counts.filter(F.col("_n") > leaf_rows).limit(1).count()
+
+
 def _target_columns(points: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
     return points.select(*key, *[F.col(a).alias(f"t{a}") for a in _AXES], *carried)
 
@@ -154,14 +161,16 @@ def _tie_order(tie: str, radius: float, tid: str) -> Column:
 
 
 def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str = "lowest_id",
-                   ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+                   ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS,
+                   flat: bool = False) -> DataFrame:
     """Nearest target of every query point at a distance of at most ``radius``.
 
     ``queries`` has ``qid, x, y, z`` and ``targets`` has ``tid, x, y, z`` with
     unique integer ids; queries without a target are absent from the result
     ``(qid, tid, d2)``. With ``ranked`` both sides also have ``rank`` and only
     targets whose rank is NULL or above the rank of the query are eligible.
-    Points only meet within equal ``by`` columns.
+    Points only meet within equal ``by`` columns. ``flat`` says that the caller
+    has already asked ``is_flat`` about these targets and radius.
     """
     by = by or []
     limit = float(radius) * float(radius)
@@ -175,7 +184,7 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
         pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
         targets = targets.groupBy(*by, *_AXES).agg(pick.alias("tid"))
         extra, carried = [], ["tid"]
-    levels = _Levels(targets, float(radius), leaf_rows, extra, by)
+    levels = _Levels(targets, float(radius), leaf_rows, extra, by, flat)
 
     if levels.depth == 1:
         asked = around(queries.select(*query_columns, *_level_cell(levels.edge, 0)))

@@ -65,24 +65,25 @@ def backproject(pixels: DataFrame, views: DataFrame, settings: BackprojectionSet
         return (px - cx) * depth / fx, (py - cy) * depth / fy, depth
 
     px, py, depth = F.col("px"), F.col("py"), F.col("depth")
-    world = C.camera_to_world("w2c", ray(px, py, depth))
-    out = joined.withColumns(dict(zip("xyz", world)))
+    out = V.columns(joined, C.camera_to_world("w2c", ray(px, py, depth)), ("x", "y", "z"))
     radius = settings.radius_pixels * depth / F.least(fx, fy)
+    n = ("nx", "ny", "nz")
     if normals:
+        # Each step is its own projection: nested, the repeated norms would
+        # multiply the expression beyond what code generation accepts.
         centre = ray(px, py, depth)
         right = V.sub(ray(px + 1, py, F.col("_right")), centre)
         down = V.sub(ray(px, py + 1, F.col("_down")), centre)
-        stencil = V.normalize(V.cross(down, right), 1e-12, "forward")
-        away = V.normalize(V.sub(C.camera_centre("w2c"), V.vec("x", "y", "z")), 1e-12, "forward")
+        away = V.sub(C.camera_centre("w2c"), V.vec("x", "y", "z"))
         both = F.col("_right").isNotNull() & F.col("_down").isNotNull()
-        camera_normal = tuple(F.when(both, s).otherwise(a) for s, a in zip(stencil, away))
-        n = V.normalize(V.rotate_back(C.w2c_rotation("w2c"), camera_normal), 1e-12, "forward")
+        direction = tuple(F.when(both, s).otherwise(a) for s, a in zip(V.cross(down, right), away))
+        out = V.columns(out, direction, n)
+        out = V.columns(out, V.normalize(V.vec(*n), 1e-12, "forward"), n)
+        out = V.columns(out, V.rotate_back(C.w2c_rotation("w2c"), V.vec(*n)), n)
+        out = V.columns(out, V.normalize(V.vec(*n), 1e-12, "forward"), n)
     else:
-        n = tuple(F.lit(None).cast("double") for _ in range(3))
-    return out.select(
-        *view, "px", "py", "x", "y", "z", *[c.alias(name) for c, name in zip(n, ("nx", "ny", "nz"))],
-        "r", "g", "b", "confidence", radius.alias("radius"),
-    )
+        out = out.withColumns({name: F.lit(None).cast("double") for name in n})
+    return out.select(*view, "px", "py", "x", "y", "z", *n, "r", "g", "b", "confidence", radius.alias("radius"))
 
 
 def dense_points(pixels: DataFrame, views: DataFrame, stride: int, minimum_confidence: Column | float) -> DataFrame:
@@ -103,18 +104,17 @@ def dense_points(pixels: DataFrame, views: DataFrame, stride: int, minimum_confi
     names = ("lx", "ly", "lz")
     stepped = sampled.withColumns({f"dx_{n}": step(n, row) for n in names})
     stepped = stepped.withColumns({f"dy_{n}": step(n, column) for n in names})
-    raw = V.cross(V.vec(*[f"dx_{n}" for n in names]), V.vec(*[f"dy_{n}" for n in names]))
-    turned = V.rotate_back(C.w2c_rotation("w2c"), raw)
-    world = C.camera_to_world("w2c", V.vec(*names))
-    unit = V.normalize(turned, 1e-8)
+    n = ("nx", "ny", "nz")
+    raw = V.cross(V.vec(*[f"dx_{c}" for c in names]), V.vec(*[f"dy_{c}" for c in names]))
+    stepped = V.columns(stepped, raw, n)
+    stepped = V.columns(stepped, V.rotate_back(C.w2c_rotation("w2c"), V.vec(*n)), n)
+    stepped = V.columns(stepped, V.normalize(V.vec(*n), 1e-8), n)
+    stepped = V.columns(stepped, C.camera_to_world("w2c", V.vec(*names)), ("x", "y", "z"))
     gate = (
-        V.all_finite(*world) & V.positive(F.col("depth")) & V.finite(F.col("confidence"))
-        & (F.col("confidence") >= minimum_confidence) & unit[0].isNotNull()
-    )
-    return stepped.filter(gate).select(
-        *view, "px", "py", *[c.alias(a) for c, a in zip(world, "xyz")],
-        *[c.alias(a) for c, a in zip(unit, ("nx", "ny", "nz"))], "r", "g", "b", "confidence",
+        V.all_finite(F.col("x"), F.col("y"), F.col("z")) & V.positive(F.col("depth")) & V.finite(F.col("confidence"))
+        & (F.col("confidence") >= minimum_confidence) & F.col("nx").isNotNull()
     )
+    return stepped.filter(gate).select(*view, "px", "py", "x", "y", "z", *n, "r", "g", "b", "confidence")
 
 
 # --- ownership -----------------------------------------------------------
