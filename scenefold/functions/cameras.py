@@ -7,7 +7,7 @@ a similarity maps ``p`` to ``R * (s * p) + t``.
 from __future__ import annotations
 
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import vectors as V
 from .vectors import Vec
@@ -88,51 +88,58 @@ def image_to_raster_pixel(u: Column, v: Column, camera: tuple[Column, Column], r
     return F.when(inside, x.cast("int")), F.when(inside, y.cast("int"))
 
 
-def undistort_ray(u: Column, v: Column, f: Column, cx: Column, cy: Column, k: Column, rounds: int = 8):
-    """Camera ray (x, y, 1) of an image position under one radial coefficient."""
-    xd, yd = (u - cx) / f, (v - cy) / f
-    # Fixed-point steps run inside one higher-order function: unrolling eight
-    # of them as nested Columns would make the expression grow exponentially.
-    start = F.struct(xd.alias("x"), yd.alias("y"), F.lit(True).alias("ok"))
-
-    def step(state, _):
-        factor = 1 + k * (state["x"] * state["x"] + state["y"] * state["y"])
-        usable = state["ok"] & V.finite(factor) & (F.abs(factor) >= 1e-8)
-        safe = F.when(usable, factor).otherwise(F.lit(1.0))
-        return F.struct((xd / safe).alias("x"), (yd / safe).alias("y"), usable.alias("ok"))
-
-    ray = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
-    good = (f > 0) & ray["ok"] & V.all_finite(ray["x"], ray["y"])
-    return F.when(good, ray["x"]), F.when(good, ray["y"])
-
-
-def project_to_raster(p_camera: Vec, f, cx, cy, k, camera: tuple[Column, Column], raster: tuple[Column, Column]):
-    """Continuous raster pixel and depth of a camera-space point, NULL when unseen."""
-    front = V.positive(p_camera[2])
-    z = F.when(front, p_camera[2])
-    x, y = p_camera[0] / z, p_camera[1] / z
-    factor = 1 + k * (x * x + y * y)
-    u = resize_centre(f * x * factor + cx, camera[0], raster[0])
-    v = resize_centre(f * y * factor + cy, camera[1], raster[1])
-    inside = V.all_finite(u, v) & (u >= 0) & (v >= 0) & (u < raster[0] - 1) & (v < raster[1] - 1)
-    return F.when(inside, u), F.when(inside, v), F.when(inside, z)
-
-
-def frustum_corners(w2c: str | Column, f: Column, cx: Column, cy: Column, k: Column, width: Column, height: Column):
-    """Unit world directions of the four image corners plus right, up and the view angles."""
-    corners = [(F.lit(0.0), F.lit(0.0)), (width, F.lit(0.0)), (width, height), (F.lit(0.0), height)]
+# The next two work on DataFrames: each step is its own projection, because
+# nested into one expression the repeated sub-terms would multiply.
+
+Lens = tuple[Column, Column, Column, Column]
+
+
+def undistort(df: DataFrame, u: Column, v: Column, lens: Lens, out: tuple[str, str], rounds: int = 8) -> DataFrame:
+    """Add the camera ray (x, y, 1) of an image position under one radial coefficient.
+
+    Fixed-point iteration; NULL where it degenerates.
+    """
+    f, cx, cy, k = lens
+    df = df.withColumns({"_xd": F.when(f > 0, (u - cx) / F.when(f > 0, f)), "_yd": F.when(f > 0, (v - cy) / F.when(f > 0, f))})
+    df = df.withColumns({out[0]: F.col("_xd"), out[1]: F.col("_yd")})
+    x, y = F.col(out[0]), F.col(out[1])
+    for _ in range(rounds):
+        df = df.withColumn("_lens", 1 + k * (x * x + y * y))
+        factor = F.when(V.finite(F.col("_lens")) & (F.abs("_lens") >= 1e-8), F.col("_lens"))
+        df = df.withColumn("_lens", factor).withColumns({out[0]: F.col("_xd") / F.col("_lens"), out[1]: F.col("_yd") / F.col("_lens")})
+    good = V.all_finite(x, y)
+    return df.withColumn("_good", good).withColumns({name: F.when(F.col("_good"), F.col(name)) for name in out}).drop("_xd", "_yd", "_lens", "_good")
+
+
+def project(df: DataFrame, point: Vec, lens: Lens, camera: tuple[Column, Column], raster: tuple[Column, Column],
+            out: tuple[str, str, str]) -> DataFrame:
+    """Keep camera-space points that fall inside the raster, with pixel and depth columns."""
+    f, cx, cy, k = lens
+    u, v, depth = out
+    df = df.withColumn(depth, point[2]).filter(V.positive(F.col(depth)))
+    df = df.withColumns({u: point[0] / F.col(depth), v: point[1] / F.col(depth)})
+    df = df.withColumn("_lens", 1 + k * (F.col(u) * F.col(u) + F.col(v) * F.col(v)))
+    df = df.withColumns({
+        u: resize_centre(f * F.col(u) * F.col("_lens") + cx, camera[0], raster[0]),
+        v: resize_centre(f * F.col(v) * F.col("_lens") + cy, camera[1], raster[1]),
+    }).drop("_lens")
+    inside = (F.col(u) >= 0) & (F.col(v) >= 0) & (F.col(u) < raster[0] - 1) & (F.col(v) < raster[1] - 1)
+    return df.filter(inside & V.all_finite(F.col(u), F.col(v)))
+
+
+def frustum(df: DataFrame, w2c: str, lens: Lens, width: Column, height: Column) -> DataFrame:
+    """One row per image corner: its unit world direction, and the axes and view angles of the camera."""
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+                        for i, (x, y) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))])
+    df = df.withColumn("_corner", F.explode(corners)).withColumn("corner", F.col("_corner.i"))
+    df = undistort(df, F.col("_corner.x") * width, F.col("_corner.y") * height, lens, ("_u", "_v"))
     rotation = w2c_rotation(w2c)
-    directions = []
-    for u, v in corners:
-        x, y = undistort_ray(u.cast("double"), v.cast("double"), f, cx, cy, k)
-        directions.append(V.struct3(V.normalize(V.rotate_back(rotation, (x, y, F.lit(1.0))))))
-    return F.struct(
-        F.array(*directions).alias("corners"),
-        V.struct3(tuple(rotation[0])).alias("right"),
-        V.struct3(tuple(-value for value in rotation[1])).alias("up"),
-        (2 * F.atan(height / (2 * f))).alias("vertical_fov"),
-        (width / height).alias("aspect"),
-    )
+    df = V.columns(df, V.rotate_back(rotation, (F.col("_u"), F.col("_v"), F.lit(1.0))), ("dx", "dy", "dz"))
+    df = V.columns(df, V.normalize(V.vec("dx", "dy", "dz")), ("dx", "dy", "dz"))
+    return df.withColumns({
+        "right": V.struct3(tuple(rotation[0])), "up": V.struct3(tuple(-value for value in rotation[1])),
+        "vertical_fov": 2 * F.atan(height / (2 * lens[0])), "aspect": width / height,
+    }).drop("_corner", "_u", "_v")
 
 
 def centre_crop(width: Column, height: Column, target_width: int, target_height: int):
@@ -228,8 +235,8 @@ DEPTH_STOPS = (
 )
 
 
-def depth_colour(fraction: Column) -> list[Column]:
-    """Piecewise linear colour of a value already scaled to 0..1."""
+def depth_blend(fraction: Column) -> list[Column]:
+    """Gradient channels (0..1) of a value scaled to 0..1."""
     last = len(DEPTH_STOPS) - 1
     position = F.least(F.greatest(fraction, F.lit(0.0)), F.lit(1.0)) * last
     lower = F.least(F.floor(position), F.lit(last - 1)).cast("int")
@@ -237,11 +244,14 @@ def depth_colour(fraction: Column) -> list[Column]:
     channels = []
     for channel in range(3):
         stops = F.array(*[F.lit(stop[channel]) for stop in DEPTH_STOPS])
-        value = stops.getItem(lower) * (1 - share) + stops.getItem(lower + 1) * share
-        channels.append(F.rint(value * 255.0).cast("short"))
+        channels.append(stops.getItem(lower) * (1 - share) + stops.getItem(lower + 1) * share)
     return channels
 
 
+def depth_colour(fraction: Column) -> list[Column]:
+    return [F.rint(value * 255.0).cast("short") for value in depth_blend(fraction)]
+
+
 # --- planes --------------------------------------------------------------
 
 def canonical_normal(n: Vec) -> Vec:

@@ -139,10 +139,10 @@ def rebase_points(points: DataFrame, raster: tuple[int, int]) -> DataFrame:
     )
     u = C.resize_centre(F.col("px"), w, F.col("width"))
     v = C.resize_centre(F.col("py"), h, F.col("height"))
-    ray = C.undistort_ray(u, v, F.col("f"), F.col("cx"), F.col("cy"), F.col("radial"))
+    lens = (F.col("f"), F.col("cx"), F.col("cy"), F.col("radial"))
     # One projection per step keeps every expression small.
     moved = points.filter(gate).withColumn("_local", C.camera_depth("w2c", V.vec("x", "y", "z"))).filter(V.positive(F.col("_local")))
-    moved = moved.withColumns({"_rx": ray[0], "_ry": ray[1], "_depth": F.col("_local") * F.col("scale")}).filter("_rx is not null")
+    moved = C.undistort(moved.withColumn("_depth", F.col("_local") * F.col("scale")), u, v, lens, ("_rx", "_ry")).filter("_rx is not null")
     depth = F.col("_depth")
     moved = V.columns(moved, C.camera_to_world("global_w2c", (F.col("_rx") * depth, F.col("_ry") * depth, depth)), names[:3])
     moved = V.columns(moved, V.rotate(C.w2c_rotation("w2c"), V.vec(*names[3:])), names[3:])

@@ -161,15 +161,14 @@ def agreeing_neighbours(points: DataFrame, cameras: DataFrame, depth_pixels: Dat
     """
     w, h = F.lit(raster[0]), F.lit(raster[1])
     offsets = F.array(*[F.lit(d) for d in range(-radius, radius + 1) if d != 0])
-    seen = points.withColumn("other", F.col("frame_index") + F.explode(offsets)).join(
+    seen = points.withColumn("_d", F.explode(offsets)).withColumn("other", F.col("frame_index") + F.col("_d")).join(
         broadcast_if_small(cameras.select(
             F.col("frame_index").alias("other"), "w2c", "f", "cx", "cy", "k", "width", "height")), "other"
     )
-    u, v, z = C.project_to_raster(
-        C.world_to_camera("w2c", V.vec("x", "y", "z")), F.col("f"), F.col("cx"), F.col("cy"), F.col("k"),
-        (F.col("width"), F.col("height")), (w, h),
-    )
-    seen = seen.select("pid", "other", u.alias("u"), v.alias("v"), z.alias("projected")).filter("projected is not null")
+    seen = V.columns(seen, C.world_to_camera("w2c", V.vec("x", "y", "z")), ("_x", "_y", "_z"))
+    lens = tuple(F.col(c) for c in ("f", "cx", "cy", "k"))
+    seen = C.project(seen, V.vec("_x", "_y", "_z"), lens, (F.col("width"), F.col("height")), (w, h), ("u", "v", "projected"))
+    seen = seen.select("pid", "other", "u", "v", "projected")
     sampled = bilinear(seen, depth_pixels.select(F.col("frame_index").alias("other"), "px", "py", "depth"),
                        ["other"], ["pid", "other"], "depth")
     error = F.abs(F.log("projected") - F.log("sample"))

@@ -31,10 +31,10 @@ pts AS (
          CAST((l_orderkey % 120) // 9 AS INTEGER)
            - (CASE WHEN (l_orderkey % 120) % 9 < 3 AND l_orderkey % 120 >= 9 AND l_partkey % 2 = 0 THEN 1 ELSE 0 END) AS window_index,
          l_linenumber AS px, CAST(l_suppkey AS INTEGER) AS py,
-         l_extendedprice / 9973 AS x, l_quantity / 9.7::DOUBLE AS y, 9.7::DOUBLE * l_discount AS z,
+         l_extendedprice / 9973 AS x, l_quantity / 9.7::DOUBLE AS y, l_discount / 0.103::DOUBLE AS z,
          l_discount - 0.05::DOUBLE AS nx, l_tax - 0.04::DOUBLE AS ny, 0.1::DOUBLE AS nz,
          (l_partkey % 4) * 64 AS r, (l_suppkey % 4) * 64 AS g, (l_linenumber % 4) * 64 AS b,
-         1 - l_tax AS confidence, 0.05::DOUBLE + l_tax AS radius
+         1 - l_tax / 1.03::DOUBLE AS confidence, 0.05::DOUBLE + l_tax AS radius
   FROM lineitem)"""
 
 
@@ -45,10 +45,10 @@ def points(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", frame.cast("int").alias("frame_index"),
         (F.floor(frame / 9).cast("int") - F.when(shared, 1).otherwise(0)).alias("window_index"),
         F.col("l_linenumber").alias("px"), F.col("l_suppkey").cast("int").alias("py"),
-        (F.col("l_extendedprice") / 9973).alias("x"), (F.col("l_quantity") / 9.7).alias("y"), (9.7 * F.col("l_discount")).alias("z"),
+        (F.col("l_extendedprice") / 9973).alias("x"), (F.col("l_quantity") / 9.7).alias("y"), (F.col("l_discount") / 0.103).alias("z"),
         (F.col("l_discount") - 0.05).alias("nx"), (F.col("l_tax") - 0.04).alias("ny"), F.lit(0.1).alias("nz"),
         ((F.col("l_partkey") % 4) * 64).alias("r"), ((F.col("l_suppkey") % 4) * 64).alias("g"), ((F.col("l_linenumber") % 4) * 64).alias("b"),
-        (1 - F.col("l_tax")).alias("confidence"), (0.05 + F.col("l_tax")).alias("radius"),
+        (1 - F.col("l_tax") / 1.03).alias("confidence"), (0.05 + F.col("l_tax")).alias("radius"),
     )
 
 
