@@ -100,15 +100,20 @@ def undistort(df: DataFrame, u: Column, v: Column, lens: Lens, out: tuple[str, s
     Fixed-point iteration; NULL where it degenerates.
     """
     f, cx, cy, k = lens
-    df = df.withColumns({"_xd": F.when(f > 0, (u - cx) / F.when(f > 0, f)), "_yd": F.when(f > 0, (v - cy) / F.when(f > 0, f))})
-    df = df.withColumns({out[0]: F.col("_xd"), out[1]: F.col("_yd")})
-    x, y = F.col(out[0]), F.col(out[1])
-    for _ in range(rounds):
-        df = df.withColumn("_lens", 1 + k * (x * x + y * y))
-        factor = F.when(V.finite(F.col("_lens")) & (F.abs("_lens") >= 1e-8), F.col("_lens"))
-        df = df.withColumn("_lens", factor).withColumns({out[0]: F.col("_xd") / F.col("_lens"), out[1]: F.col("_yd") / F.col("_lens")})
-    good = V.all_finite(x, y)
-    return df.withColumn("_good", good).withColumns({name: F.when(F.col("_good"), F.col(name)) for name in out}).drop("_xd", "_yd", "_lens", "_good")
+    safe = F.when(f > 0, f)
+    df = df.withColumns({"_xd": (u - cx) / safe, "_yd": (v - cy) / safe})
+
+    def step(ray: Column, _) -> Column:
+        factor = 1 + k * (ray["x"] * ray["x"] + ray["y"] * ray["y"])
+        usable = F.when(V.finite(factor) & (F.abs(factor) >= 1e-8), factor)
+        return F.struct((F.col("_xd") / usable).alias("x"), (F.col("_yd") / usable).alias("y"))
+
+    # One higher-order step per round keeps the expression linear in the rounds.
+    start = F.struct(F.col("_xd").alias("x"), F.col("_yd").alias("y"))
+    df = df.withColumn("_ray", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step))
+    good = V.all_finite(F.col("_ray.x"), F.col("_ray.y"))
+    df = df.withColumns({name: F.when(good, F.col(f"_ray.{axis}")) for name, axis in zip(out, "xy")})
+    return V.pin(df.drop("_xd", "_yd", "_ray"), *out)
 
 
 def project(df: DataFrame, point: Vec, lens: Lens, camera: tuple[Column, Column], raster: tuple[Column, Column],
@@ -116,7 +121,7 @@ def project(df: DataFrame, point: Vec, lens: Lens, camera: tuple[Column, Column]
     """Keep camera-space points that fall inside the raster, with pixel and depth columns."""
     f, cx, cy, k = lens
     u, v, depth = out
-    df = df.withColumn(depth, point[2]).filter(V.positive(F.col(depth)))
+    df = df.withColumn(depth, F.when(V.positive(point[2]), point[2]))
     df = df.withColumns({u: point[0] / F.col(depth), v: point[1] / F.col(depth)})
     df = df.withColumn("_lens", 1 + k * (F.col(u) * F.col(u) + F.col(v) * F.col(v)))
     df = df.withColumns({
@@ -124,7 +129,7 @@ def project(df: DataFrame, point: Vec, lens: Lens, camera: tuple[Column, Column]
         v: resize_centre(f * F.col(v) * F.col("_lens") + cy, camera[1], raster[1]),
     }).drop("_lens")
     inside = (F.col(u) >= 0) & (F.col(v) >= 0) & (F.col(u) < raster[0] - 1) & (F.col(v) < raster[1] - 1)
-    return df.filter(inside & V.all_finite(F.col(u), F.col(v)))
+    return V.pin(df, u, v, depth).filter(inside & V.all_finite(F.col(u), F.col(v)))
 
 
 def frustum(df: DataFrame, w2c: str, lens: Lens, width: Column, height: Column) -> DataFrame:

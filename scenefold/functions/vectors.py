@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 Vec = tuple[Column, Column, Column]
 
@@ -102,5 +102,16 @@ def struct3(v: Vec) -> Column:
     return F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z"))
 
 
+def pin(df: DataFrame, *names: str) -> DataFrame:
+    """Compute these columns here, once.
+
+    A later filter on them would otherwise be pushed below the projections that
+    build them and repeat their whole expression; it stops at a generator.
+    """
+    rest = [c for c in df.columns if c not in names]
+    packed = df.select(*rest, F.explode(F.array(F.struct(*names))).alias("_pinned"))
+    return packed.select(*rest, *[F.col(f"_pinned.{name}").alias(name) for name in names])
+
+
 def columns(df, v: Vec, names: tuple[str, str, str]):
     return df.withColumns(dict(zip(names, v)))

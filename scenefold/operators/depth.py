@@ -141,8 +141,9 @@ def rebase_points(points: DataFrame, raster: tuple[int, int]) -> DataFrame:
     v = C.resize_centre(F.col("py"), h, F.col("height"))
     lens = (F.col("f"), F.col("cx"), F.col("cy"), F.col("radial"))
     # One projection per step keeps every expression small.
-    moved = points.filter(gate).withColumn("_local", C.camera_depth("w2c", V.vec("x", "y", "z"))).filter(V.positive(F.col("_local")))
-    moved = C.undistort(moved.withColumn("_depth", F.col("_local") * F.col("scale")), u, v, lens, ("_rx", "_ry")).filter("_rx is not null")
+    local = C.camera_depth("w2c", V.vec("x", "y", "z"))
+    moved = points.filter(gate).withColumn("_local", F.when(V.positive(local), local))
+    moved = C.undistort(moved.withColumn("_depth", F.col("_local") * F.col("scale")), u, v, lens, ("_rx", "_ry")).filter("_rx is not null and _local is not null")
     depth = F.col("_depth")
     moved = V.columns(moved, C.camera_to_world("global_w2c", (F.col("_rx") * depth, F.col("_ry") * depth, depth)), names[:3])
     moved = V.columns(moved, V.rotate(C.w2c_rotation("w2c"), V.vec(*names[3:])), names[3:])
@@ -150,6 +151,7 @@ def rebase_points(points: DataFrame, raster: tuple[int, int]) -> DataFrame:
     moved = V.columns(moved, V.normalize(V.vec(*names[3:]), 1e-6), names[3:])
     pixel_radius = F.col("radius") * F.least(F.col("k").getItem(0), F.col("k").getItem(4)) / F.col("_local")
     moved = moved.withColumn("radius", pixel_radius * depth / F.col("f"))
+    moved = V.pin(moved, *names, "radius")
     good = V.all_finite(*[F.col(c) for c in names[:3]]) & F.col("nx").isNotNull() & V.positive(F.col("radius"))
     return moved.filter(good).drop("_local", "_rx", "_ry", "_depth")
 

@@ -80,7 +80,7 @@ def backproject(pixels: DataFrame, views: DataFrame, settings: BackprojectionSet
         out = V.columns(out, direction, n)
         out = V.columns(out, V.normalize(V.vec(*n), 1e-12, "forward"), n)
         out = V.columns(out, V.rotate_back(C.w2c_rotation("w2c"), V.vec(*n)), n)
-        out = V.columns(out, V.normalize(V.vec(*n), 1e-12, "forward"), n)
+        out = V.pin(V.columns(out, V.normalize(V.vec(*n), 1e-12, "forward"), n), *n)
     else:
         out = out.withColumns({name: F.lit(None).cast("double") for name in n})
     return out.select(*view, "px", "py", "x", "y", "z", *n, "r", "g", "b", "confidence", radius.alias("radius"))
@@ -110,6 +110,7 @@ def dense_points(pixels: DataFrame, views: DataFrame, stride: int, minimum_confi
     stepped = V.columns(stepped, V.rotate_back(C.w2c_rotation("w2c"), V.vec(*n)), n)
     stepped = V.columns(stepped, V.normalize(V.vec(*n), 1e-8), n)
     stepped = V.columns(stepped, C.camera_to_world("w2c", V.vec(*names)), ("x", "y", "z"))
+    stepped = V.pin(stepped, *n, "x", "y", "z")
     gate = (
         V.all_finite(F.col("x"), F.col("y"), F.col("z")) & V.positive(F.col("depth")) & V.finite(F.col("confidence"))
         & (F.col("confidence") >= minimum_confidence) & F.col("nx").isNotNull()

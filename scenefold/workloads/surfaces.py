@@ -28,17 +28,17 @@ cells AS (
   FROM owned, edge WHERE confidence > 0 AND radius > 0),
 merged AS (
   SELECT kx, ky, kz, sum(confidence) AS w, sum(confidence * x) AS sx, sum(confidence * y) AS sy, sum(confidence * z) AS sz,
-         sum(confidence * nx) AS snx, sum(confidence * ny) AS sny, sum(confidence * nz) AS snz, sum(confidence * r) AS sr,
+         sum(confidence * nx) AS snx, sum(confidence * ny) AS sny, sum(confidence * nz) AS snz,
          avg(radius) AS radius, min(frame_index) AS first_observing_frame, count(*) AS contributors
   FROM cells GROUP BY kx, ky, kz)
 SELECT kx, ky, kz, {R('sx / w', 9)} AS x, {R('sy / w', 9)} AS y, {R('sz / w', 9)} AS z,
-       {R('snx / sqrt(snx * snx + sny * sny + snz * snz)')} AS nx, CAST(least(greatest(round(sr / w), 0), 255) AS SMALLINT) AS r, {R('w / contributors')} AS confidence,
+       {R('snx / sqrt(snx * snx + sny * sny + snz * snz)')} AS nx, {R('w / contributors')} AS confidence,
        {R('radius')} AS radius, first_observing_frame, contributors
 FROM merged""")
 def voxel_fusion(spark, folder):
     owned = surface.first_owner(B.points(spark, folder))
     return surface.fuse_voxels(owned).select(
-        *surface.KEY, *[near(c, 9).alias(c) for c in "xyz"], near("nx").alias("nx"), "r", near("confidence").alias("confidence"),
+        *surface.KEY, *[near(c, 9).alias(c) for c in "xyz"], near("nx").alias("nx"), near("confidence").alias("confidence"),
         near("radius").alias("radius"), "first_observing_frame", "contributors")
 
 
