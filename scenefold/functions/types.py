@@ -14,3 +14,4 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 SIM3 = struct(scale=DOUBLE, rotation=DOUBLES, translation=DOUBLES)
 VECTOR = struct(nx=DOUBLE, ny=DOUBLE, nz=DOUBLE)
+INVERSES = struct(kinv=DOUBLES, c2w=DOUBLES)

@@ -218,7 +218,7 @@ def optimise_pose_graph(nodes: DataFrame, edges: DataFrame, key: str, settings:
             "final_cost": final, "iterations": iterations, "loop_edges": int(edge_rows["loop_closure"].sum()) if len(edge_rows) else 0,
         })
 
-    return nodes.groupBy(key).cogroup(edges.groupBy(key)).applyInPandas(solve, schema)
+    return nodes.groupBy(key).cogroup(edges.withColumnRenamed(key, "_graph").groupBy("_graph")).applyInPandas(solve, schema)
 
 
 # --- co-visibility groups ------------------------------------------------
@@ -281,7 +281,7 @@ def covisibility_batches(frames: DataFrame, weights: DataFrame, key: str, size:
                                      "core": [m in core for m in members]}))
         return pd.concat(out)
 
-    return frames.groupBy(key).cogroup(weights.groupBy(key)).applyInPandas(
+    return frames.groupBy(key).cogroup(weights.withColumnRenamed(key, "_graph").groupBy("_graph")).applyInPandas(
         cover, f"{key} {kind}, batch int, frame_index long, core boolean")
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import BackprojectionError, ConfigurationError
 from ..functions import cameras as C
 from ..functions import hashing
 from ..functions import vectors as V
+from ..functions.types import INVERSES
 from ..session import settle
 from ..settings import BackprojectionSettings, PreviewSettings, TsdfSettings
 from .common import equi
@@ -86,6 +89,33 @@ def backproject(pixels: DataFrame, views: DataFrame, settings: BackprojectionSet
     return out.select(*view, "px", "py", "x", "y", "z", *n, "r", "g", "b", "confidence", radius.alias("radius"))
 
 
+@F.pandas_udf(INVERSES)
+def _inverses(k: pd.Series, w2c: pd.Series) -> pd.DataFrame:
+    """Full inverses of intrinsics and pose; one row per view."""
+    lens = np.array(k.tolist(), dtype=float).reshape(-1, 3, 3)
+    pose = np.tile(np.eye(4), (len(w2c), 1, 1))
+    pose[:, :3] = np.array([row[:12] for row in w2c], dtype=float).reshape(-1, 3, 4)
+    as_rows = lambda m, n: np.linalg.inv(m).astype(np.float32).astype(float).reshape(-1, n).tolist()
+    return pd.DataFrame({"kinv": as_rows(lens, 9), "c2w": as_rows(pose, 16)})
+
+
+def backproject_exact(pixels: DataFrame, views: DataFrame, minimum_confidence: float | None = None) -> DataFrame:
+    """Positions through full matrix inverses, which also hold for non-rigid poses.
+
+    The inverses are rounded to single precision, as the recorded results are.
+    """
+    gate = V.positive(F.col("depth")) & V.finite(F.col("confidence"))
+    if minimum_confidence is not None:
+        gate = gate & (F.col("confidence") >= minimum_confidence)
+    inverted = views.withColumn("_i", _inverses("k", "w2c")).select("window_index", "frame_index", "_i.*")
+    joined = pixels.filter(gate).join(inverted, ["window_index", "frame_index"])
+    k, depth = V.matrix("kinv", 3, 3), F.col("depth")
+    ray = V.rotate(k, (F.col("px") * depth, F.col("py") * depth, depth))
+    c2w = V.matrix("c2w", 4, 4)
+    world = V.add(V.rotate(c2w, ray), (c2w[0][3], c2w[1][3], c2w[2][3]))
+    return V.columns(joined, world, ("x", "y", "z")).drop("kinv", "c2w")
+
+
 def dense_points(pixels: DataFrame, views: DataFrame, stride: int, minimum_confidence: Column | float) -> DataFrame:
     """Tool variant: differences on the strided grid, edges repeat the last difference."""
     view = ["window_index", "frame_index"]

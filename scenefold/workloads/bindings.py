@@ -39,9 +39,13 @@ pts AS (
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
+    return as_points(table(spark, folder, "lineitem"))
+
+
+def as_points(items: DataFrame) -> DataFrame:
     frame = F.col("l_orderkey") % 120
     shared = (frame % 9 < 3) & (frame >= 9) & (F.col("l_partkey") % 2 == 0)
-    return table(spark, folder, "lineitem").select(
+    return items.select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", frame.cast("int").alias("frame_index"),
         (F.floor(frame / 9).cast("int") - F.when(shared, 1).otherwise(0)).alias("window_index"),
         F.col("l_linenumber").alias("px"), F.col("l_suppkey").cast("int").alias("py"),
