@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..errors import PoseError
 from ..functions import cameras as C
@@ -12,6 +12,11 @@ from ..operators.ordering import adjacent, global_index
 from .ply import numbered_lines
 
 
+def _word(index) -> Column:
+    """A word of the line, NULL past its end: a pushed-down filter may see any line."""
+    return F.get("w", F.lit(index) if isinstance(index, int) else index)
+
+
 def _refuse(bad: DataFrame, reason: str) -> None:
     row = bad.limit(1).collect()
     if row:
@@ -22,10 +27,10 @@ def scan_cameras(spark: SparkSession, path: str) -> DataFrame:
     """``camera_id, model, width, height, f, cx, cy, k``; only one radial coefficient is supported."""
     words = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).filter("trim(value) <> '' and not value like '#%'").select(words.alias("w"))
-    _refuse(lines.filter("size(w) <> 8 or w[1] <> 'SIMPLE_RADIAL'"), "unsupported camera")
+    _refuse(lines.filter("size(w) <> 8 or get(w, 1) <> 'SIMPLE_RADIAL'"), "unsupported camera")
     cameras = lines.select(
-        F.col("w")[0].try_cast("long").alias("camera_id"), F.col("w")[1].alias("model"), F.col("w")[2].try_cast("int").alias("width"),
-        F.col("w")[3].try_cast("int").alias("height"), *[F.col("w")[i].try_cast("double").alias(n) for i, n in enumerate(("f", "cx", "cy", "k"), 4)])
+        _word(0).try_cast("long").alias("camera_id"), _word(1).alias("model"), _word(2).try_cast("int").alias("width"),
+        _word(3).try_cast("int").alias("height"), *[_word(i).try_cast("double").alias(n) for i, n in enumerate(("f", "cx", "cy", "k"), 4)])
     good = V.all_finite(*[F.col(n) for n in ("f", "cx", "cy", "k")]) & (F.col("width") > 0) & (F.col("height") > 0) & F.col("camera_id").isNotNull()
     _refuse(cameras.filter(~F.coalesce(good, F.lit(False))), "bad camera")
     _refuse(cameras.groupBy("camera_id").count().filter("count > 1"), "repeated camera")
@@ -52,10 +57,10 @@ def scan_images(spark: SparkSession, path: str, rasters: DataFrame | None = None
     words = F.split(F.trim("head"), r"\s+")
     lines = _image_lines(spark, path).withColumn("w", words)
     _refuse(lines.filter("size(w) < 10"), "short image line")
-    number = lambda i: F.col("w")[i].try_cast("double")
+    number = lambda i: _word(i).try_cast("double")
     pose = C.quaternion_to_w2c(*[number(i) for i in range(1, 5)], tuple(number(i) for i in range(5, 8)))
     images = lines.select(
-        "image_no", F.col("w")[0].try_cast("long").alias("image_id"), F.col("w")[8].try_cast("long").alias("camera_id"),
+        "image_no", _word(0).try_cast("long").alias("image_id"), _word(8).try_cast("long").alias("camera_id"),
         F.array_join(F.slice("w", 10, F.size("w")), " ").alias("name"), pose.alias("w2c"), "tail")
     _refuse(images.filter(~F.forall("w2c", V.finite)), "bad pose")
     if rasters is None:
@@ -74,7 +79,7 @@ def image_observations(images: DataFrame) -> DataFrame:
     _refuse(listed.filter("size(w) % 3 <> 0").select("image_id"), "broken observations")
     count = (F.size("w") / 3).cast("int")
     slots = listed.filter("size(w) > 0").withColumn("slot", F.explode(F.sequence(F.lit(0), count - 1)))
-    at = lambda i, kind: F.col("w")[F.col("slot") * 3 + i].try_cast(kind)
+    at = lambda i, kind: _word(F.col("slot") * 3 + i).try_cast(kind)
     return slots.select(*carried, "slot", at(0, "double").alias("u"), at(1, "double").alias("v"), at(2, "long").alias("point_id"))
 
 
@@ -83,14 +88,14 @@ def scan_points(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     words = F.split(F.trim("value"), r"\s+")
     lines = spark.read.text(path).filter("trim(value) <> '' and not value like '#%'").select(words.alias("w"))
     _refuse(lines.filter("size(w) < 8 or size(w) % 2 <> 0"), "broken point line")
-    number = lambda i: F.col("w")[i].try_cast("double")
-    point = F.col("w")[0].try_cast("long").alias("point_id")
+    number = lambda i: _word(i).try_cast("double")
+    point = _word(0).try_cast("long").alias("point_id")
     tracks = lines.select(point, number(1).alias("x"), number(2).alias("y"), number(3).alias("z"),
-                          *[F.col("w")[i].try_cast("short").alias(n) for i, n in enumerate("rgb", 4)], number(7).alias("reprojection_error_px"))
+                          *[_word(i).try_cast("short").alias(n) for i, n in enumerate("rgb", 4)], number(7).alias("reprojection_error_px"))
     pairs = (F.size("w") - 8) / 2
     elements = lines.filter("size(w) > 8").withColumn("_e", F.explode(F.sequence(F.lit(0), pairs.cast("int") - 1)))
-    elements = elements.select(point, F.col("w")[8 + 2 * F.col("_e")].try_cast("long").alias("image_id"),
-                               F.col("w")[9 + 2 * F.col("_e")].try_cast("int").alias("slot"))
+    elements = elements.select(point, _word(8 + 2 * F.col("_e")).try_cast("long").alias("image_id"),
+                               _word(9 + 2 * F.col("_e")).try_cast("int").alias("slot"))
     return tracks, elements
 
 
