@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -27,3 +28,18 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column], smallest: boo
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return latest_by(df, keys, order, smallest=True)
+
+
+def apply_by_bucket(df: DataFrame, group: list[str], function, schema: str, bucket_rows: int = 200_000) -> DataFrame:
+    """``applyInPandas`` for very many small groups.
+
+    Whole groups are hashed into buckets of about ``bucket_rows`` rows, so one
+    Arrow exchange serves many groups. ``df`` should be settled: it is counted.
+    """
+    buckets = max(1, -(-df.count() // bucket_rows), df.sparkSession.sparkContext.defaultParallelism)
+
+    def run(pdf):
+        parts = [function(part) for _, part in pdf.groupby(group, sort=False)]
+        return pd.concat(parts, ignore_index=True)
+
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(*group), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..errors import FusionError
 from ..functions import cameras as C
 from ..functions import hashing
 from ..functions import vectors as V
@@ -159,20 +162,50 @@ def rebase_points(points: DataFrame, raster: tuple[int, int]) -> DataFrame:
 # --- visibility ----------------------------------------------------------
 
 def z_buffer(points: DataFrame, cameras: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """Nearest projected point per pixel; the first point wins equal depths.
+    """Nearest projected point per pixel where each point belongs to one camera key.
 
-    ``points``: keys, pid, x, y, z (and any carried columns). ``cameras``: keys,
-    frame_index, fx, fy, cx, cy, w2c. The minimum combines before the shuffle,
-    so a pixel hit by very many points is no hot spot.
+    ``points``: keys, pid, x, y, z. ``cameras``: keys, frame_index, fx, fy, cx,
+    cy, w2c, unique per key. The first point wins equal depths. The minimum
+    combines before the shuffle, so a pixel hit by very many points is no hot spot.
     """
-    joined = equi(points, cameras, keys) if keys else points.crossJoin(F.broadcast(cameras))
-    p = C.world_to_camera("w2c", V.vec("x", "y", "z"))
-    seen = joined.withColumns({"_cx": p[0], "_cy": p[1], "depth": p[2]}).filter(V.positive(F.col("depth")))
+    joined = points.join(cameras, keys)
+    seen = V.columns(joined, C.world_to_camera("w2c", V.vec("x", "y", "z")), ("_cx", "_cy", "_cz"))
+    seen = seen.withColumn("depth", F.when(V.positive(F.col("_cz")), F.col("_cz"))).filter("depth is not null")
     seen = seen.withColumns({
-        "px": F.rint(F.col("fx") * F.col("_cx") / F.col("depth") + F.col("cx")).cast("long"),
-        "py": F.rint(F.col("fy") * F.col("_cy") / F.col("depth") + F.col("cy")).cast("long"),
-    }).filter(F.col("px").between(0, width - 1) & F.col("py").between(0, height - 1))
-    return nearest_per_pixel(seen.select(*keys, "frame_index", "px", "py", "depth", "pid"), [*keys, "frame_index"])
+        "_px": F.rint(F.col("fx") * F.col("_cx") / F.col("depth") + F.col("cx")),
+        "_py": F.rint(F.col("fy") * F.col("_cy") / F.col("depth") + F.col("cy")),
+    }).filter(F.col("_px").between(0, width - 1) & F.col("_py").between(0, height - 1))
+    placed = seen.select(*keys, "frame_index", F.col("_px").cast("int").alias("px"), F.col("_py").cast("int").alias("py"), "depth", "pid")
+    return nearest_per_pixel(placed, [*keys, "frame_index"])
+
+
+def z_buffer_all(points: DataFrame, cameras: DataFrame, width: int, height: int, maximum_cameras: int = 1800) -> DataFrame:
+    """Every point tested against every camera of one capture.
+
+    A capture has at most ``maximum_cameras`` frames (checked), so the cameras
+    travel as a constant of a few hundred kilobytes. Each Arrow batch is
+    projected at once and reduced to its own pixel minima before the shuffle.
+    """
+    rows = cameras.select("frame_index", "fx", "fy", "cx", "cy", "w2c").limit(maximum_cameras + 1).collect()
+    if len(rows) > maximum_cameras:
+        raise FusionError(f"a capture has at most {maximum_cameras} cameras")
+    views = [(int(r.frame_index), r.fx, r.fy, r.cx, r.cy, np.array(r.w2c[:12], dtype=float).reshape(3, 4)) for r in rows]
+
+    def run(batches):
+        for batch in batches:
+            xyz, pid = batch[["x", "y", "z"]].to_numpy(), batch["pid"].to_numpy()
+            for frame, fx, fy, cx, cy, pose in views:
+                p = xyz @ pose[:, :3].T + pose[:, 3]
+                front = np.isfinite(p).all(axis=1) & (p[:, 2] > 0)
+                p, ids = p[front], pid[front]
+                px, py = np.rint(fx * p[:, 0] / p[:, 2] + cx), np.rint(fy * p[:, 1] / p[:, 2] + cy)
+                inside = (px >= 0) & (px < width) & (py >= 0) & (py < height)
+                out = pd.DataFrame({"frame_index": frame, "px": px[inside].astype(np.int32), "py": py[inside].astype(np.int32),
+                                    "depth": p[inside, 2], "pid": ids[inside]})
+                yield out.sort_values(["depth", "pid"]).drop_duplicates(["px", "py"])
+
+    seen = points.select("pid", "x", "y", "z").mapInPandas(run, "frame_index int, px int, py int, depth double, pid long")
+    return nearest_per_pixel(seen, ["frame_index"])
 
 
 def nearest_per_pixel(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -274,20 +274,22 @@ def filter_text_model(images: DataFrame, observations: DataFrame, tracks: DataFr
     return kept_images, kept_observations, agreed, kept_cameras
 
 
-def diagnostic_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def diagnostic_links(nodes: DataFrame, edges: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Line segments between window anchors: consecutive seams and loop edges.
 
-    ``nodes``: window_index, x, y, z (first camera of the window).
+    ``nodes``: keys, window_index, x, y, z (first camera of the window). ``edges``:
+    keys, src, dst, loop_closure. Edges without both anchors are left out.
     """
-    to = nodes.select((F.col("window_index") - 1).alias("window_index"), *[F.col(a).alias(f"to_{a}") for a in "xyz"])
-    seams = nodes.join(to, "window_index").select(
-        F.lit("seam").alias("kind"), F.col("window_index").alias("src"), (F.col("window_index") + 1).alias("dst"),
-        "x", "y", "z", "to_x", "to_y", "to_z")
-    a = nodes.select(F.col("window_index").alias("src"), "x", "y", "z")
-    b = nodes.select(F.col("window_index").alias("dst"), *[F.col(c).alias(f"to_{c}") for c in "xyz"])
-    loops = edges.filter("loop_closure").select("src", "dst").join(a, "src").join(b, "dst").select(
-        F.lit("loop").alias("kind"), "src", "dst", "x", "y", "z", "to_x", "to_y", "to_z")
-    return seams.unionByName(loops)
+    keys = keys or []
+    here = [F.col(a) for a in "xyz"]
+    to = nodes.select(*keys, (F.col("window_index") - 1).alias("window_index"), *[c.alias(f"to_{a}") for c, a in zip(here, "xyz")])
+    ends = ["x", "y", "z", "to_x", "to_y", "to_z"]
+    seams = nodes.join(to, [*keys, "window_index"]).select(
+        *keys, F.lit("seam").alias("kind"), F.col("window_index").alias("src"), (F.col("window_index") + 1).alias("dst"), *ends)
+    a = nodes.select(*keys, F.col("window_index").alias("src"), "x", "y", "z")
+    b = nodes.select(*keys, F.col("window_index").alias("dst"), *[c.alias(f"to_{n}") for c, n in zip(here, "xyz")])
+    loops = edges.filter("loop_closure").select(*keys, "src", "dst").join(a, [*keys, "src"]).join(b, [*keys, "dst"])
+    return seams.unionByName(loops.select(*keys, F.lit("loop").alias("kind"), "src", "dst", *ends))
 
 
 def semantic_lookup(points: DataFrame, mask: DataFrame) -> DataFrame:

@@ -17,8 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..errors import ScheduleError
 from ..session import settle
 from ..settings import KeyframeSettings, WindowSettings
+from .common import apply_by_bucket
 
 BLOCK_ROWS = 65_536
+# Frame signatures are a few kilobytes each, so look-ahead blocks are smaller.
+LOOKAHEAD_ROWS = 4_096
 _POSITION_BITS = 33
 
 
@@ -226,9 +229,8 @@ def keyframes(frames: DataFrame, keys: list[str], fps: float, novelty, settings:
     block entries is chained per sequence; then every block marks its own rows.
     """
     low, high = gap_frames(fps, settings)
-    followers = best_followers(frames, keys, low, high, novelty, settings, ordinal, block)
+    followers = best_followers(frames, keys, low, high, novelty, settings, ordinal, min(block, LOOKAHEAD_ROWS))
     followers = settle(followers.withColumn("_block", F.floor(F.col(ordinal) / block).cast("long")))
-    group = [F.col(k) for k in keys]
     key_ddl = "".join(f"{name} {kind}, " for name, kind in followers.dtypes if name in keys)
 
     # Level 1: exits of every possible entry (the first `high` rows of a block).
@@ -246,7 +248,7 @@ def keyframes(frames: DataFrame, keys: list[str], fps: float, novelty, settings:
         return head[[*keys, "_block"]].assign(entry=head[ordinal].to_numpy(), leave=leave[entries])
 
     entry_ddl = f"{key_ddl}_block long, entry long, leave long"
-    table = settle(followers.groupBy(*group, "_block").applyInPandas(exits, entry_ddl))
+    table = settle(apply_by_bucket(followers, [*keys, "_block"], exits, entry_ddl))
 
     # Level 2: one row per block and entry, i.e. 1/block of the sequence.
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,8 +262,10 @@ def keyframes(frames: DataFrame, keys: list[str], fps: float, novelty, settings:
             out[key] = pdf[key].iloc[0]
         return out[[*keys, "entry"]]
 
-    entered = table.groupBy(*group).applyInPandas(chain, f"{key_ddl}entry long") if keys else \
-        table.groupBy().applyInPandas(chain, "entry long")
+    if keys:
+        entered = apply_by_bucket(table, keys, chain, f"{key_ddl}entry long")
+    else:
+        entered = table.groupBy().applyInPandas(chain, "entry long")
     entered = entered.withColumn("_block", F.floor(F.col("entry") / block).cast("long"))
 
     # Level 3: mark the path inside each block.
@@ -279,8 +283,8 @@ def keyframes(frames: DataFrame, keys: list[str], fps: float, novelty, settings:
             picked.add(frames_total - 1)
         return pdf[pdf[ordinal].isin(picked)][[*keys, ordinal]]
 
-    marked = followers.join(entered, [*keys, "_block"], "left")
-    return marked.groupBy(*group, "_block").applyInPandas(mark, f"{key_ddl}{ordinal} long")
+    marked = settle(followers.join(entered, [*keys, "_block"], "left"))
+    return apply_by_bucket(marked, [*keys, "_block"], mark, f"{key_ddl}{ordinal} long")
 
 
 # --- checks and schedules over time -------------------------------------

@@ -9,11 +9,12 @@ from ..functions import naming
 from ..functions import vectors as V
 from ..schemas import tag_pattern
 from ..settings import GlobalFitSettings
+from ..sources.rasters import frame_delta
 from . import similarity
 from .common import equi
 from .matching import camera_pairs
 from .ordering import adjacent
-from .quantiles import median, upper_median
+from .quantiles import median, percentiles, upper_median
 
 
 # --- scene summaries -----------------------------------------------------
@@ -118,21 +119,30 @@ def trial_intervals(samples: DataFrame, arm: str, trial: str, value: str) -> Dat
     return stats.select(arm, "trials", "mean", (F.col("mean") - margin).alias("low"), (F.col("mean") + margin).alias("high"))
 
 
-def capture_quality(frames: DataFrame, keys: list[str], ordinal: str, delta: Column | None = None) -> DataFrame:
-    """Mean change between neighbouring frames and the advice that follows from it.
+def _advised(seen: DataFrame, keys: list[str], step: Column, mixed: Column) -> DataFrame:
+    out = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("frame_count"), F.avg(step).alias("_mean"), F.max(mixed).alias("_mixed"))
+    unusable = (F.col("frame_count") < 2) | (F.coalesce("_mixed", F.lit(0)) == 1)
+    mean = F.col("mean_adjacent_luma_delta")
+    state = F.when(mean < 0.002, "recapture").when(mean < 0.01, "review").otherwise("ready")
+    return out.withColumn("mean_adjacent_luma_delta", F.when(unusable, 0.0).otherwise(F.col("_mean"))).withColumn(
+        "disposition", state).drop("_mean", "_mixed")
 
-    ``delta`` may compare richer columns; by default it is the change of ``luma``.
+
+def capture_quality(frames: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """Mean change of ``luma`` between neighbouring frames and the advice that follows from it."""
+    seen = adjacent(frames, keys, ordinal, {"_luma": lambda w: F.lag("luma").over(w)})
+    return _advised(seen, keys, F.abs(F.col("luma") - F.col("_luma")), F.lit(0))
+
+
+def frame_quality(frames: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
+    """The same over whole images; frames of different sizes call for a recapture.
+
+    Images are large, so a window block holds only a few dozen of them.
     """
-    previous = {"_luma": lambda w: F.lag("luma").over(w), "_size": lambda w: F.lag("size").over(w)} if "size" in frames.columns else {
-        "_luma": lambda w: F.lag("luma").over(w)}
-    seen = adjacent(frames, keys, ordinal, previous)
-    step = F.abs(F.col("luma") - F.col("_luma")) if delta is None else delta
-    mixed = F.max((F.col("size") != F.col("_size")).cast("int")) if "size" in frames.columns else F.lit(0)
-    out = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("frame_count"), F.avg(step).alias("_mean"), mixed.alias("_mixed"))
-    mean = F.when((F.col("frame_count") < 2) | (F.coalesce("_mixed", F.lit(0)) == 1), 0.0).otherwise(F.col("_mean"))
-    state = F.when(F.col("mean_adjacent_luma_delta") < 0.002, "recapture").when(
-        F.col("mean_adjacent_luma_delta") < 0.01, "review").otherwise("ready")
-    return out.withColumn("mean_adjacent_luma_delta", mean).withColumn("disposition", state).drop("_mean", "_mixed")
+    seen = adjacent(frames, keys, ordinal, {
+        "_rgb": lambda w: F.lag("rgb").over(w), "_w": lambda w: F.lag("width").over(w), "_h": lambda w: F.lag("height").over(w)}, block=32)
+    mixed = ((F.col("width") != F.col("_w")) | (F.col("height") != F.col("_h"))).cast("int")
+    return _advised(seen, keys, frame_delta("_rgb", "rgb"), mixed)
 
 
 # --- contracts -----------------------------------------------------------
@@ -263,7 +273,7 @@ def calibration_decision(canonical: DataFrame, overlap: DataFrame, maximum_error
     """One row: accepted share of frames, overlap p95 and the decision."""
     good = F.col("accepted") & (F.col("held_out_median_log_error") <= maximum_error)
     share = canonical.agg(F.avg(F.coalesce(good, F.lit(False)).cast("double")).alias("accepted_share"), F.count(F.lit(1)).alias("frames"))
-    spread = overlap.agg(F.percentile("difference", F.lit(0.95)).alias("overlap_p95"))
+    spread = percentiles(overlap, [], "difference", {"overlap_p95": 0.95})
     decision = (F.col("accepted_share") >= minimum_share) & (F.coalesce("overlap_p95", F.lit(0.0)) <= maximum_p95)
     return share.join(F.broadcast(spread)).withColumn("decision", F.when(decision, "accepted").otherwise("rejected"))
 

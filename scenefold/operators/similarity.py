@@ -22,7 +22,7 @@ from ..functions.types import SIM3
 from ..session import settle
 from ..settings import SeamGate
 from .common import equi
-from .quantiles import GROUP_ROWS, largest_group, upper_median, upper_median_of
+from .quantiles import GROUP_ROWS, largest_group, median, upper_median, upper_median_of
 
 _S, _T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 _CROSS = [(a, b) for a in range(3) for b in range(3)]
@@ -293,7 +293,7 @@ def provider_fit(pairs: DataFrame, keys: list[str], rounds: int = 6, minimum: in
     for _ in range(rounds):
         fit = solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys)
         measured = equi(work, fit, keys).withColumn("_r", residual())
-        middle = measured.groupBy(*keys).agg(F.percentile("_r", F.lit(0.5)).alias("_middle"))
+        middle = median(measured, keys, "_r", "_middle")
         joined = equi(equi(measured, middle, keys), extent, keys)
         limit = F.greatest(3 * F.col("_middle"), 0.03 * F.col("_extent"), F.lit(1e-5))
         fresh = settle(joined.select(*kept, F.coalesce(F.col("_r") <= limit, F.lit(False)).alias("_next"), "_in"))

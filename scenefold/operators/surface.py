@@ -326,7 +326,8 @@ def fuse_tsdf(observations: DataFrame, cameras: DataFrame | None, settings: Tsdf
     ``cameras``: x, y, z of the camera centres, or None. Fewer than eight usable
     observations, or an empty layer, pass the observations through.
     """
-    usable = settle(observations.filter(valid_observation()).withColumn("qid", F.monotonically_increasing_id()))
+    needed = ["x", "y", "z", "r", "g", "b", "confidence", "radius", "frame_index"]
+    usable = settle(observations.select(*needed).filter(valid_observation()).withColumn("qid", F.monotonically_increasing_id()))
 
     def passed_through() -> DataFrame:
         return usable.select(

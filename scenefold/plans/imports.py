@@ -2,21 +2,71 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import PoseError
 from ..functions import naming
 from ..operators import depth, matching, ordering, planes, reports, surface
 from ..operators.quantiles import percentiles
+from ..schemas import tag
 from ..session import settle
 from ..settings import ArchitectureSettings, CalibrationSettings, TsdfSettings
-from ..sources import ply, sparse_model
+from ..sources import ply, rasters, sparse_model
+from ..sources.bundle import pose_tables
+
+
+def raster_fingerprint(document: dict) -> str:
+    """SHA-256 of the manifest without its tag and fingerprint, keys in order, no spaces."""
+    body = {k: v for k, v in document.items() if k not in ("schema", "raster_fingerprint")}
+    return hashlib.sha256(json.dumps({k: body[k] for k in sorted(body)}, separators=(",", ":")).encode()).hexdigest()
 
 
-def import_sparse_model(spark: SparkSession, folder: str, rasters: DataFrame):
+def record_rasters(spark: SparkSession, cache: str, selection: str | None, fps: float, probe: dict) -> dict:
+    """Raster manifest of a decode cache (at most 1,800 frames, hence a driver document).
+
+    ``probe``: source_sha256, duration_seconds, source_width, source_height, crop.
+    """
+    frames = settle(rasters.scan_ppm(spark, cache).select("ordinal", "file_name", "sha256", "width", "height"))
+    source = rasters.selection_indices(spark, selection, frames.count(), fps)
+    millis = F.round(F.col("source_index") / fps * 1000.0).cast("long")
+    rows = frames.join(source, "ordinal").select(F.col("ordinal").alias("frame_index"), "file_name", "sha256", millis.alias("timestamp_millis"), "width", "height")
+    listed = sorted(rows.collect(), key=lambda r: r.frame_index)
+    document = {
+        "schema": tag("raster"), **probe, "output_width": int(listed[0].width), "output_height": int(listed[0].height),
+        "frames": [{"frame_index": int(r.frame_index), "file_name": r.file_name, "sha256": r.sha256, "timestamp_millis": r.timestamp_millis} for r in listed],
+    }
+    return document | {"raster_fingerprint": raster_fingerprint(document)}
+
+
+def import_pose_solution(spark: SparkSession, path: str, frames: DataFrame, fingerprint: str) -> dict[str, DataFrame]:
+    """Tables of an external pose solution after every check of its contract."""
+    tables = pose_tables(spark, path)
+    checks = [
+        reports.document_violations(tables["document"], "pose-solution", fingerprint),
+        reports.pose_violations(tables["poses"], frames, []),
+        reports.track_violations(tables["tracks"], tables["observations"], tables["poses"].select("frame_index").distinct()),
+    ]
+    for check in checks:
+        bad = check.limit(3).collect()
+        if bad:
+            raise PoseError(f"pose contract: {[row.asDict() for row in bad]}")
+    return tables
+
+
+def label_masks(scores: DataFrame) -> DataFrame:
+    """Surface class of each pixel from per-label scores: the best label, its score in 1/255 steps."""
+    best = scores.groupBy("frame_index", "x", "y").agg(F.max_by(F.struct("label", "score"), "score").alias("_b"))
+    confidence = F.round(F.least(F.greatest(F.col("_b.score"), F.lit(0.0)), F.lit(1.0)) * 255) / 255
+    return best.select("frame_index", "x", "y", naming.semantic_code(F.col("_b.label")).alias("class_code"), confidence.alias("confidence"))
+
+
+def import_sparse_model(spark: SparkSession, folder: str, frames: DataFrame):
     """Cameras, poses, tracks and observations of a text model, validated."""
-    cameras, poses, tracks, observations = sparse_model.global_model(spark, folder, rasters)
-    bad = reports.pose_violations(poses.select("frame_index", F.col("file_name").alias("image_name"), "registered", "w2c"), rasters, []).limit(3).collect()
+    cameras, poses, tracks, observations = sparse_model.global_model(spark, folder, frames)
+    bad = reports.pose_violations(poses.select("frame_index", F.col("file_name").alias("image_name"), "registered", "w2c"), frames, []).limit(3).collect()
     if bad:
         raise PoseError(f"pose contract: {[row.asDict() for row in bad]}")
     return cameras, poses, tracks, observations
@@ -68,7 +118,7 @@ def stereo_hybrid(pixels: DataFrame, stereo: DataFrame, cameras: DataFrame, rast
     ``pixels``: frame_index, px, py, depth, confidence. With ``cells`` the rest is
     scaled by the local ratio of both.
     """
-    seen = depth.z_buffer(stereo.withColumn("_all", F.lit(0)), cameras.withColumn("_all", F.lit(0)), ["_all"], *raster)
+    seen = depth.z_buffer_all(stereo, cameras, *raster)
     both = pixels.join(seen.select("frame_index", "px", "py", F.col("depth").alias("reference")), ["frame_index", "px", "py"], "left")
     if cells:
         tiled = depth.tile_ratio(both, ["frame_index"], *raster, cells, minimum)

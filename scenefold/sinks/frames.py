@@ -38,10 +38,10 @@ def ppm_to_bmp(content: pd.Series) -> pd.Series:
 
 
 def selected_cache(frames: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """Selected frames renumbered from 1 as ``frame_000001.ppm`` files."""
+    """Selected frames renumbered from 1 as ``frame-000001.ppm`` files."""
     kept = frames.join(keyframes.select("ordinal"), "ordinal", "left_semi")
     numbered = global_index(kept.withColumnRenamed("ordinal", "source_index"), ["source_index"], "selected")
-    return numbered.withColumn("name", F.format_string("frame_%06d.ppm", F.col("selected") + 1)).withColumn(
+    return numbered.withColumn("name", F.format_string("frame-%06d.ppm", F.col("selected") + 1)).withColumn(
         "payload", encode_ppm("rgb", "width", "height"))
 
 

@@ -9,7 +9,7 @@ from ..functions import hashing
 from ..functions import vectors as V
 from ..operators import depth, matching
 from ..operators.ordering import global_index
-from ..operators.quantiles import percentiles
+from ..operators.quantiles import median, percentiles
 from ..settings import CalibrationSettings, FrameGlobalSettings
 from . import bindings as B
 from .registry import near, query, sql_near as R
@@ -79,7 +79,7 @@ def image_to_raster(spark, folder):
 
 
 @query("rebased_points", f"""
-WITH {B.PIXELS_SQL}, src AS (SELECT *, (px + 0.5::DOUBLE) * 64 / 8 - 0.5 AS u, (py + 0.5::DOUBLE) * 512 / 64 - 0.5 AS v, 1 + window_index * 0.05::DOUBLE AS scale FROM pixels WHERE py < 64), {_fixed_point(8)},
+WITH {B.PIXELS_SQL}, src AS (SELECT *, (px + 0.5::DOUBLE) * 64 / 8 - 0.5 AS u, (py + 0.5::DOUBLE) * 512 / 64 - 0.5 AS v, 1 + window_index * 0.05::DOUBLE AS scale FROM pixels), {_fixed_point(8)},
 m AS (SELECT *, cos(frame_index * 0.05::DOUBLE) AS c, sin(frame_index * 0.05::DOUBLE) AS s, depth * scale AS d FROM s8),
 w AS (SELECT *, x * d - frame_index * 0.1::DOUBLE AS dx, y * d AS dy, d AS dz FROM m)
 SELECT window_index, frame_index, px, py, {R('c * dx - s * dz')} AS x, {R('dy')} AS y, {R('s * dx + c * dz')} AS z, {R('depth / 500 * 500 / depth * d / 40')} AS radius, {R('-s')} AS nx, {R('c')} AS nz FROM w""")
@@ -87,7 +87,7 @@ def rebased_points(spark, folder):
     """Measured camera-space points (identity view) moved to the turning global camera."""
     identity = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)])
     k = F.array(*[F.lit(v) for v in (500.0, 0.0, 3.5, 0.0, 500.0, 50.0, 0.0, 0.0, 1.0)])
-    pixels = B.pixels(spark, folder).filter("py < 64").select(
+    pixels = B.pixels(spark, folder).select(
         "window_index", "frame_index", "px", "py", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("depth").alias("z"), F.lit(0.0).alias("nx"),
         F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), (F.col("depth") / 500).alias("radius"), "confidence", identity.alias("w2c"), k.alias("k"),
         B.turning_camera(F.col("frame_index")).alias("global_w2c"), F.lit(40.0).alias("f"), F.lit(31.5).alias("cx"), F.lit(23.5).alias("cy"),
@@ -241,6 +241,19 @@ def projected_zbuffer(spark, folder):
     return seen.select("frame_index", "px", "py", near("depth").alias("depth"))
 
 
+@query("stereo_zbuffer", f"""
+WITH {B.CLOUD_SQL}, cams AS (SELECT DISTINCT label AS frame_index FROM cloud),
+p AS (SELECT frame_index, vec_id AS pid, z + 40.0::DOUBLE + frame_index AS depth, CAST(round_even(500 * x / (z + 40.0::DOUBLE + frame_index) + 20, 0) AS INTEGER) AS px,
+        CAST(round_even(500 * y / (z + 40.0::DOUBLE + frame_index) + 15, 0) AS INTEGER) AS py FROM cloud, cams WHERE z + 40.0::DOUBLE + frame_index > 0)
+SELECT frame_index, px, py, {R('min(depth)')} AS depth, arg_min(pid, (depth, pid)) AS pid FROM p WHERE px BETWEEN 0 AND 39 AND py BETWEEN 0 AND 29 GROUP BY ALL""")
+def stereo_zbuffer(spark, folder):
+    cloud = B.cloud(spark, folder)
+    pose = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)], F.lit(40.0) + F.col("frame_index"))
+    cameras = cloud.select(F.col("label").alias("frame_index")).distinct().select(
+        "frame_index", *[F.lit(v).alias(n) for n, v in (("fx", 500.0), ("fy", 500.0), ("cx", 20.0), ("cy", 15.0))], pose.alias("w2c"))
+    return depth.z_buffer_all(cloud.withColumnRenamed("vec_id", "pid"), cameras, 40, 30).withColumn("depth", near("depth"))
+
+
 @query("tile_local_ratio", f"""
 WITH {B.PIXELS_SQL},
 t AS (SELECT *, px // 3 AS tx, py // 25 AS ty, reference / depth AS ratio FROM pixels),
@@ -348,7 +361,9 @@ def overlap_differences(spark, folder):
         (F.col("l_orderkey") % 120).cast("int").alias("frame_index"), F.col("l_linenumber").alias("px"), F.col("l_suppkey").alias("py"),
         (F.col("l_partkey") % 16).alias("batch")).agg(F.max("l_quantity").alias("depth"))
     found = matching.overlap_differences(pixels, first_two=False)
-    return found.groupBy("frame_index", "batch").agg(F.count(F.lit(1)).alias("pixels"), near(F.percentile("difference", F.lit(0.5))).alias("median_difference"))
+    keys = ["frame_index", "batch"]
+    counts = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"))
+    return counts.join(median(found, keys, "difference", "median_difference"), keys).withColumn("median_difference", near("median_difference"))
 
 
 @query("coloured_depth", f"""

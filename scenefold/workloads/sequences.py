@@ -199,16 +199,14 @@ def pose_graph(spark, folder):
 
 @query("diagnostic_links", f"""
 WITH {B.FRAMES_SQL},
-a AS (SELECT capture, CAST(frame_index // 9 AS INTEGER) AS w, min(luma) AS x FROM frames GROUP BY ALL),
-one AS (SELECT * FROM a WHERE capture = (SELECT min(capture) FROM a))
-SELECT 'seam' AS kind, p.w AS src, q.w AS dst, p.x, q.x AS to_x FROM one p JOIN one q ON q.w = p.w + 1
-UNION ALL SELECT 'loop', 0, q.w, p.x, q.x FROM one p JOIN one q ON p.w = 0 AND q.w >= 3""")
+a AS (SELECT capture, CAST(frame_index // 9 AS INTEGER) AS w, min(luma) AS x FROM frames GROUP BY ALL)
+SELECT p.capture, 'seam' AS kind, p.w AS src, q.w AS dst, p.x, q.x AS to_x FROM a p JOIN a q ON q.capture = p.capture AND q.w = p.w + 1
+UNION ALL SELECT p.capture, 'loop', 0, q.w, p.x, q.x FROM a p JOIN a q ON q.capture = p.capture AND p.w = 0 AND q.w >= 3""")
 def diagnostic_links(spark, folder):
     anchors = B.frames(spark, folder).groupBy("capture", F.floor(F.col("frame_index") / 9).cast("int").alias("window_index")).agg(F.min("luma").alias("x"))
-    first = anchors.agg(F.min("capture").alias("capture"))
-    nodes = anchors.join(F.broadcast(first), "capture").select("window_index", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
-    edges = nodes.filter("window_index >= 3").select(F.lit(0).alias("src"), F.col("window_index").alias("dst"), F.lit(True).alias("loop_closure"))
-    return matching.diagnostic_links(nodes, edges).select("kind", "src", "dst", "x", "to_x")
+    nodes = anchors.select("capture", "window_index", "x", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    edges = nodes.filter("window_index >= 3").select("capture", F.lit(0).alias("src"), F.col("window_index").alias("dst"), F.lit(True).alias("loop_closure"))
+    return matching.diagnostic_links(nodes, edges, ["capture"]).select("capture", "kind", "src", "dst", "x", "to_x")
 
 
 # --- providers -----------------------------------------------------------
@@ -238,14 +236,14 @@ def keep_first_union(spark, folder):
 @query("text_model_filter", """
 WITH im AS (SELECT o_orderkey AS image_id, o_custkey % 50 AS camera_id, o_orderstatus AS s FROM orders), kept AS (SELECT * FROM im WHERE s <> 'F'),
 ob AS (SELECT l_orderkey AS image_id, l_linenumber AS slot, min(l_partkey) AS point_id FROM lineitem GROUP BY ALL),
-tr AS (SELECT DISTINCT l_partkey AS point_id, l_orderkey AS image_id, l_linenumber AS slot FROM lineitem WHERE l_suppkey < 70)
+tr AS (SELECT DISTINCT l_partkey AS point_id, l_orderkey AS image_id, l_linenumber AS slot FROM lineitem WHERE l_discount < 0.07)
 SELECT ob.image_id, ob.slot, CASE WHEN tr.point_id IS NULL THEN -1 ELSE ob.point_id END AS point_id FROM ob JOIN kept USING (image_id) LEFT JOIN tr ON tr.image_id = ob.image_id AND tr.slot = ob.slot AND tr.point_id = ob.point_id""")
 def text_model_filter(spark, folder):
     images = B.table(spark, folder, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_custkey") % 50).alias("camera_id"), "o_orderstatus")
     items = B.table(spark, folder, "lineitem")
     slot = [F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("slot")]
     observations = items.groupBy(*slot).agg(F.min("l_partkey").alias("point_id"))
-    tracks = items.filter("l_suppkey < 70").select(F.col("l_partkey").alias("point_id"), *slot).distinct()
+    tracks = items.filter("l_discount < 0.07D").select(F.col("l_partkey").alias("point_id"), *slot).distinct()
     cameras = images.select("camera_id").distinct()
     _, kept, _, _ = matching.filter_text_model(images, observations, tracks, cameras, F.col("o_orderstatus") != "F")
     return kept.select("image_id", "slot", "point_id")

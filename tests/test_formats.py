@@ -146,7 +146,7 @@ def test_ppm_cache_selection_and_bmp(spark, tmp_path):
     picked = cache.filter("ordinal in (0, 2)").select("ordinal")
     frames.write_selected_cache(cache, picked, str(tmp_path / "out"), 8.0)
     again = rasters.scan_ppm(spark, str(tmp_path / "out"))
-    assert sorted(r.file_name for r in again.select("file_name").collect()) == ["frame_000001.ppm", "frame_000002.ppm"]
+    assert sorted(r.file_name for r in again.select("file_name").collect()) == ["frame-000001.ppm", "frame-000002.ppm"]
     listed = rasters.selection_indices(spark, str(tmp_path / "out" / "selection.json"), 2, 8.0).orderBy("ordinal").collect()
     assert [r.source_index for r in listed] == [0, 2]
     with pytest.raises(VideoError):
@@ -227,6 +227,36 @@ def test_bundle_life_cycle(spark, surfels, tmp_path):
     assert out_bundle.read_manifest(path)["world_products"][0]["source_frames"] == [1, 3]
 
 
+def test_raster_record_and_fingerprint(spark, tmp_path):
+    import hashlib
+
+    from scenefold.plans import imports
+
+    for i in range(3):
+        (tmp_path / f"frame-00000{i + 1}.ppm").write_bytes(ppm(6, 4, i))
+    probe = {"source_sha256": "a" * 64, "duration_seconds": 2.5, "source_width": 12, "source_height": 8, "crop": {"x": 0, "y": 0, "width": 12, "height": 8}}
+    document = imports.record_rasters(spark, str(tmp_path), None, 8.0, probe)
+    assert [f["timestamp_millis"] for f in document["frames"]] == [0, 125, 250]
+    assert document["frames"][1]["sha256"] == hashlib.sha256(ppm(6, 4, 1)).hexdigest()
+    assert imports.raster_fingerprint(document) == document["raster_fingerprint"]
+    frames_ = spark.createDataFrame([tuple(f.values()) for f in document["frames"]], "frame_index int, file_name string, sha256 string, timestamp_millis long")
+    from scenefold.operators import reports
+
+    assert reports.raster_violations(frames_, []).count() == 0
+    assert imports.raster_fingerprint(document | {"source_width": 13}) != document["raster_fingerprint"]
+
+
+def test_capture_quality_of_frames(spark):
+    from scenefold.operators import reports
+
+    rows = [(0, 0, bytearray([10] * 12), 2, 2), (0, 1, bytearray([20] * 12), 2, 2), (1, 0, bytearray([5] * 12), 2, 2), (1, 1, bytearray([5] * 12), 2, 2),
+            (2, 0, bytearray([5] * 12), 2, 2), (2, 1, bytearray([5] * 18), 3, 2)]
+    frames_ = spark.createDataFrame(rows, "c int, ordinal long, rgb binary, width int, height int")
+    out = {r.c: r for r in reports.frame_quality(frames_, ["c"], "ordinal").collect()}
+    assert out[0].mean_adjacent_luma_delta == pytest.approx(10 / 255) and out[0].disposition == "ready"
+    assert out[1].disposition == "recapture" and out[2].mean_adjacent_luma_delta == 0.0
+
+
 def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     from scenefold.operators import surface
     from scenefold.streaming import increments
