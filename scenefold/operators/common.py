@@ -6,11 +6,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def attach(left: DataFrame, small: DataFrame) -> DataFrame:
+    """Pair every row with the few rows of an aggregate, by a scalar subquery.
+
+    ``small`` is one row, or a handful: it is evaluated once and travels as a
+    value, so there is no join and no shuffle of ``left``.
+    """
+    packed = small.agg(F.collect_list(F.struct(*small.columns)).alias("_rows")).scalar()
+    listed = left.withColumn("_rows", packed).withColumn("_row", F.explode("_rows"))
+    return listed.select(*left.columns, *[F.col(f"_row.{name}").alias(name) for name in small.columns])
+
+
 def equi(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys``; without keys ``right`` is one aggregate row and is attached."""
-    if keys:
-        return left.join(right, keys, how)
-    return left.join(F.broadcast(right), how="cross" if how == "inner" else how)
+    """Join on ``keys``; without keys ``right`` is an aggregate and is attached."""
+    return left.join(right, keys, how) if keys else attach(left, right)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column], smallest: bool = False) -> DataFrame:

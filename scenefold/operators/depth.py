@@ -11,7 +11,7 @@ from ..functions import cameras as C
 from ..functions import hashing
 from ..functions import vectors as V
 from ..settings import CalibrationSettings, FrameGlobalSettings
-from .common import equi, first_by, latest_by
+from .common import attach, equi, first_by, latest_by
 from .matching import bilinear
 from .ordering import adjacent
 from .quantiles import median, percentiles
@@ -313,7 +313,7 @@ def global_ratio_report(ratios: DataFrame) -> DataFrame:
     ``ratios``: frame_index, ratio. The global median is one row and is attached.
     """
     scale = median(ratios.filter(V.positive(F.col("ratio"))), [], "ratio", "global_ratio")
-    marked = ratios.filter(V.positive(F.col("ratio"))).join(F.broadcast(scale)).withColumn("_e", F.abs(F.log(F.col("ratio") / F.col("global_ratio"))))
+    marked = attach(ratios.filter(V.positive(F.col("ratio"))), scale).withColumn("_e", F.abs(F.log(F.col("ratio") / F.col("global_ratio"))))
     counts = marked.groupBy("frame_index").agg(F.count(F.lit(1)).alias("track_samples"), F.first("global_ratio").alias("global_ratio"))
     middle = median(marked, ["frame_index"], "ratio", "median_ratio")
     errors = percentiles(marked, ["frame_index"], "_e", {"median_abs_log_error": 0.5, "p95_abs_log_error": 0.95})

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..errors import ScheduleError
 from ..session import settle
 from ..settings import KeyframeSettings, WindowSettings
-from .common import apply_by_bucket
+from .common import apply_by_bucket, equi
 
 BLOCK_ROWS = 65_536
 # Frame signatures are a few kilobytes each, so look-ahead blocks are smaller.
@@ -123,8 +123,7 @@ def _frame_counts(frames: DataFrame, keys: list[str], ordinal: str) -> DataFrame
 
 
 def _with_counts(frames: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
-    counts = _frame_counts(frames, keys, ordinal)
-    return frames.join(counts, keys) if keys else frames.join(F.broadcast(counts))
+    return equi(frames, _frame_counts(frames, keys, ordinal), keys)
 
 
 def window_schedule(frames: DataFrame, keys: list[str] | None = None, ordinal: str = "ordinal",
@@ -308,7 +307,7 @@ def uniform_rate(df: DataFrame, keys: list[str], ordinal: str, millis: str = "ti
         F.min_by("_gap", F.when(F.col("_gap").isNotNull(), F.col(ordinal))).alias("step"),
         F.coalesce(F.min("_gap") > 0, F.lit(True)).alias("increasing"),
     )
-    joined = gaps.join(summary, keys) if keys else gaps.join(F.broadcast(summary))
+    joined = equi(gaps, summary, keys)
     broken = F.min(F.when(F.col("_gap") != F.col("step"), F.col(ordinal)))
     carried = [F.first(c).alias(c) for c in ("frames", "step", "increasing")]
     return joined.groupBy(*keys).agg(*carried, broken.alias("_broken")).select(

@@ -11,7 +11,7 @@ from ..schemas import tag_pattern
 from ..settings import GlobalFitSettings
 from ..sources.rasters import frame_delta
 from . import similarity
-from .common import equi
+from .common import attach, equi
 from .matching import camera_pairs
 from .ordering import adjacent
 from .quantiles import median, percentiles, upper_median
@@ -44,7 +44,7 @@ def three_point_summary(df: DataFrame, keys: list[str], values: dict[str, Column
         finite = df.withColumn("_v", _finite_or_null(value)).filter("_v is not null")
         ends = finite.groupBy(*keys).agg(F.min("_v").alias(f"{name}_min"), F.max("_v").alias(f"{name}_max"))
         one = equi(ends, upper_median(finite, keys, "_v", f"{name}_median"), keys)
-        out = one if out is None else (out.join(one, keys, "full_outer") if keys else out.join(F.broadcast(one)))
+        out = one if out is None else (out.join(one, keys, "full_outer") if keys else attach(out, one))
     return out
 
 
@@ -275,7 +275,7 @@ def calibration_decision(canonical: DataFrame, overlap: DataFrame, maximum_error
     share = canonical.agg(F.avg(F.coalesce(good, F.lit(False)).cast("double")).alias("accepted_share"), F.count(F.lit(1)).alias("frames"))
     spread = percentiles(overlap, [], "difference", {"overlap_p95": 0.95})
     decision = (F.col("accepted_share") >= minimum_share) & (F.coalesce("overlap_p95", F.lit(0.0)) <= maximum_p95)
-    return share.join(F.broadcast(spread)).withColumn("decision", F.when(decision, "accepted").otherwise("rejected"))
+    return attach(share, spread).withColumn("decision", F.when(decision, "accepted").otherwise("rejected"))
 
 
 # --- catalogue -----------------------------------------------------------

@@ -13,7 +13,7 @@ from ..functions import vectors as V
 from ..functions.types import INVERSES
 from ..session import settle
 from ..settings import BackprojectionSettings, PreviewSettings, TsdfSettings
-from .common import equi
+from .common import attach, equi
 from .ordering import global_index
 from .quantiles import percentiles, upper_median
 from .spatial import floor_cell, orient_towards_cameras, round_cell, surface_normals
@@ -392,7 +392,7 @@ def spatial_preview(points: DataFrame, order: list[str], settings: PreviewSettin
         return indexed.filter(F.col("ordinal") < settings.budget).withColumn("anchor", F.lit(False))
     finite = V.all_finite(F.col("x"), F.col("y"), F.col("z"))
     hashed = indexed.withColumn("_hash", hashing.preview_hash(F.col("ordinal"), F.col("x"), F.col("y"), F.col("z")))
-    placed = settle(hashed.filter(finite)).join(F.broadcast(low_high))
+    placed = attach(settle(hashed.filter(finite)), low_high)
     epsilon = 2.0**-23
 
     def cell(axis: str) -> Column:

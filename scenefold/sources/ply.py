@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import ImportFormatError
 from ..functions import vectors as V
+from ..operators.common import attach
 from ..operators.ordering import global_index
 from ..operators.surface import bounds
 from .files import decode_ranges, file_size, open_file, record_ranges
@@ -121,9 +122,10 @@ def import_points(spark: SparkSession, path: str) -> DataFrame:
     raw = scan_ply(spark, path).filter(V.all_finite(F.col("x"), F.col("y"), F.col("z")))
     unit = V.normalize(V.vec("nx", "ny", "nz"))
     extent = bounds(raw).select(F.greatest(F.col("diagonal") / 4096, F.lit(1e-5)).alias("radius"))
-    return raw.withColumns({
+    named = raw.withColumns({
         name: F.coalesce(component, F.lit(0.0)) for name, component in zip(("nx", "ny", "nz"), unit)
-    }).join(F.broadcast(extent)).select(
+    })
+    return attach(named, extent).select(
         "idx", "x", "y", "z", "nx", "ny", "nz", "r", "g", "b", F.lit(1.0).alias("confidence"), "radius",
         F.lit(-1).alias("first_observing_frame"), F.lit(1).cast("long").alias("contributors"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..errors import PoseError
 from ..functions import cameras as C
 from ..functions import vectors as V
-from ..operators.common import first_by
+from ..operators.common import attach, first_by
 from ..operators.ordering import adjacent, global_index
 from .ply import numbered_lines
 
@@ -45,7 +45,7 @@ def _image_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = numbered_lines(spark, path).filter("not value like '#%'")
     start = lines.filter("trim(value) <> ''").agg(F.min("line").alias("_start"))
-    body = lines.join(F.broadcast(start)).filter("line >= _start").drop("_start")
+    body = attach(lines, start).filter("line >= _start").drop("_start")
     placed = global_index(body, ["line"], "_i")
     heads = placed.filter("_i % 2 = 0").select((F.col("_i") / 2).cast("long").alias("image_no"), F.col("value").alias("head"))
     tails = placed.filter("_i % 2 = 1").select(F.floor(F.col("_i") / 2).cast("long").alias("image_no"), F.col("value").alias("tail"))

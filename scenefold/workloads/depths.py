@@ -184,9 +184,18 @@ def keyed_hold_out(spark, folder):
     return pairs.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("points"), F.sum(held.cast("long")).alias("held_out"))
 
 
-@query("batch_calibration")
+@query("batch_calibration", f"""
+WITH {B.EVIDENCE_SQL},
+m AS (SELECT *, ('0x' || substr(sha256('fold:' || frame_index || ':' || point_id), 1, 16))::UBIGINT % 5 = 0 AS held FROM evidence),
+c AS (SELECT frame_index, window_index, count(*) FILTER (NOT held) AS train, count(*) FILTER (held) AS held_out, median(log_ratio) FILTER (NOT held) AS raw FROM m GROUP BY ALL),
+s AS (SELECT * EXCLUDE (raw), CASE WHEN train >= 1 AND held_out > 0 THEN raw END AS log_scale FROM c),
+e AS (SELECT frame_index, window_index, median(abs(log_ratio - log_scale)) FILTER (NOT held) AS train_error, median(abs(log_ratio - log_scale)) FILTER (held) AS held_error FROM m JOIN s USING (frame_index, window_index) GROUP BY ALL)
+SELECT frame_index, window_index, train, held_out, {R('log_scale')} AS log_scale, {R('train_error')} AS train_error, {R('held_error')} AS held_error,
+       coalesce(train >= 12 AND held_out >= 6 AND held_error IS NOT NULL, false) AS accepted FROM s LEFT JOIN e USING (frame_index, window_index)""")
 def batch_calibration(spark, folder):
-    return depth.calibrate_batches(B.evidence(spark, folder), ["frame_index", "window_index"], "fold", F.col("frame_index"), CalibrationSettings())
+    out = depth.calibrate_batches(B.evidence(spark, folder), ["frame_index", "window_index"], "fold", F.col("frame_index"), CalibrationSettings())
+    return out.select("frame_index", "window_index", F.col("scale_samples").alias("train"), F.col("held_out_samples").alias("held_out"), near("log_scale").alias("log_scale"),
+                      near("train_median_log_error").alias("train_error"), near("held_out_median_log_error").alias("held_error"), "accepted")
 
 
 @query("track_scale_evidence", f"""
@@ -230,7 +239,7 @@ def zbuffer(spark, folder):
 WITH {B.POINTS_SQL},
 c AS (SELECT l_orderkey, cos(frame_index * 0.05::DOUBLE) * x + sin(frame_index * 0.05::DOUBLE) * z + frame_index * 0.1::DOUBLE AS cx, y AS cy,
         -sin(frame_index * 0.05::DOUBLE) * x + cos(frame_index * 0.05::DOUBLE) * z AS cz, frame_index FROM pts),
-p AS (SELECT *, CAST(round_even(10 * cx / cz + 20, 0) AS BIGINT) AS px, CAST(round_even(10 * cy / cz + 15, 0) AS BIGINT) AS py FROM c WHERE cz > 0 AND abs(10 * cx / cz) < 1e6 AND abs(10 * cy / cz) < 1e6)
+p AS (SELECT *, CAST(round_even(10 * cx / cz + 20, 0) AS INTEGER) AS px, CAST(round_even(10 * cy / cz + 15, 0) AS INTEGER) AS py FROM c WHERE cz > 0 AND abs(10 * cx / cz) < 1e6 AND abs(10 * cy / cz) < 1e6)
 SELECT frame_index, px, py, {R('min(cz)')} AS depth FROM p WHERE px BETWEEN 0 AND 39 AND py BETWEEN 0 AND 29 GROUP BY ALL""")
 def projected_zbuffer(spark, folder):
     points = B.points(spark, folder).withColumnRenamed("l_orderkey", "pid").withColumnRenamed("frame_index", "f")
@@ -296,7 +305,18 @@ def raster_bilinear(spark, folder):
     return sampled.select("frame_index", F.col("qx").alias("px"), F.col("qy").alias("py"), near("sample").alias("sample"))
 
 
-@query("neighbour_agreement")
+@query("neighbour_agreement", f"""
+WITH {B.PIXELS_SQL}, px1 AS (SELECT frame_index, px, py, avg(depth) AS depth FROM pixels GROUP BY ALL),
+n AS (SELECT row_number() OVER () AS pid, frame_index, x, y, z FROM pts),
+o AS (SELECT n.*, frame_index + d AS other FROM n, (VALUES (-2), (-1), (1), (2)) t(d)),
+cam AS (SELECT o.pid, o.frame_index, other, cos(other * 0.05::DOUBLE) * x + sin(other * 0.05::DOUBLE) * z + other * 0.1::DOUBLE AS cx, y AS cy, -sin(other * 0.05::DOUBLE) * x + cos(other * 0.05::DOUBLE) * z AS cz
+  FROM o JOIN (SELECT DISTINCT frame_index AS other FROM pts) f USING (other)),
+uv AS (SELECT *, (4 * (cx / cz) + 3.5::DOUBLE + 0.5) * 8 / 8 - 0.5 AS u, (4 * (cy / cz) + 31.5::DOUBLE + 0.5) * 64 / 64 - 0.5 AS v FROM cam WHERE cz > 0),
+ins AS (SELECT *, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(v) AS INTEGER) AS y0 FROM uv WHERE u >= 0 AND v >= 0 AND u < 7 AND v < 63),
+smp AS (SELECT i.pid, i.frame_index, i.cz, (a.depth * (1 - (u - x0)) + b.depth * (u - x0)) * (1 - (v - y0)) + (c.depth * (1 - (u - x0)) + d.depth * (u - x0)) * (v - y0) AS s
+  FROM ins i JOIN px1 a ON a.frame_index = other AND a.px = x0 AND a.py = y0 JOIN px1 b ON b.frame_index = other AND b.px = x0 + 1 AND b.py = y0
+  JOIN px1 c ON c.frame_index = other AND c.px = x0 AND c.py = y0 + 1 JOIN px1 d ON d.frame_index = other AND d.px = x0 + 1 AND d.py = y0 + 1)
+SELECT frame_index, count(DISTINCT pid) AS points FROM smp WHERE abs(ln(cz) - ln(s)) <= 0.5::DOUBLE GROUP BY frame_index""")
 def neighbour_agreement(spark, folder):
     points = B.points(spark, folder).withColumn("pid", F.monotonically_increasing_id())
     cameras = points.select("frame_index").distinct().select(
