@@ -104,39 +104,40 @@ def relative_edges(poses: DataFrame, keys: list[str] | None = None) -> DataFrame
 
 # --- pose graph ----------------------------------------------------------
 
+def _edge_errors(start, end, inverse):
+    """Seven residuals per edge: translation, rotation log, log scale (any leading batch)."""
+    s, r, t = linalg.sim3_compose(inverse, linalg.sim3_compose(linalg.sim3_inverse(start), end))
+    return np.concatenate([t, linalg.so3_log(r), np.log(s)[..., None]], axis=-1)
+
+
+def _at(nodes, index):
+    return nodes[0][..., index], nodes[1][..., index, :, :], nodes[2][..., index, :]
+
+
 def _residuals(nodes, edges):
-    """Seven residuals per edge: translation, rotation log, log scale."""
-    s, r, t = nodes
-    a = (s[edges["src"]], r[edges["src"]], t[edges["src"]])
-    b = (s[edges["dst"]], r[edges["dst"]], t[edges["dst"]])
-    error = linalg.sim3_compose(edges["inverse"], linalg.sim3_compose(linalg.sim3_inverse(a), b))
-    return np.concatenate([error[2], linalg.so3_log(error[1]), np.log(error[0])[:, None]], axis=1)
+    return _edge_errors(_at(nodes, edges["src"]), _at(nodes, edges["dst"]), edges["inverse"])
 
 
 def _moved(nodes, steps):
     s, r, t = nodes
-    return s * np.exp(steps[:, 6]), r @ linalg.so3_exp(steps[:, 3:6]), t + steps[:, :3]
+    return s * np.exp(steps[..., 6]), r @ linalg.so3_exp(steps[..., 3:6]), t + steps[..., :3]
 
 
-def _jacobians(nodes, edges, side: str, step: float):
-    """Central differences of the residuals by one endpoint, (edges, 7, 7)."""
-    columns = []
-    count = len(nodes[0])
-    for axis in range(7):
-        ends = []
-        for sign in (1.0, -1.0):
-            nudge = np.zeros((count, 7))
-            nudge[:, axis] = sign * step
-            shifted = _moved(nodes, nudge)
-            # Only one endpoint moves: the other is read from the originals.
-            other = "dst" if side == "src" else "src"
-            pick = lambda kind, part: (shifted if kind == side else nodes)[part][edges[kind]]
-            a = tuple(pick("src", p) for p in range(3))
-            b = tuple(pick("dst", p) for p in range(3))
-            error = linalg.sim3_compose(edges["inverse"], linalg.sim3_compose(linalg.sim3_inverse(a), b))
-            ends.append(np.concatenate([error[2], linalg.so3_log(error[1]), np.log(error[0])[:, None]], axis=1))
-        columns.append((ends[0] - ends[1]) / (2 * step))
-    return np.stack(columns, axis=-1)
+def _jacobians(nodes, edges, step: float):
+    """Central differences of the residuals by both endpoints, each (edges, 7, 7).
+
+    All seven axes and both signs are one batched evaluation per endpoint.
+    """
+    nudges = np.concatenate([np.eye(7), -np.eye(7)])[:, None, :] * step
+    shifted = _moved(nodes, np.broadcast_to(nudges, (14, len(nodes[0]), 7)))
+    src, dst = edges["src"], edges["dst"]
+    out = {}
+    for side, errors in (
+        ("src", _edge_errors(_at(shifted, src), _at(nodes, dst), edges["inverse"])),
+        ("dst", _edge_errors(_at(nodes, src), _at(shifted, dst), edges["inverse"])),
+    ):
+        out[side] = np.moveaxis((errors[:7] - errors[7:]) / (2 * step), 0, -1)
+    return out
 
 
 def _optimise(nodes, edges, settings: PoseGraphSettings):
@@ -149,7 +150,7 @@ def _optimise(nodes, edges, settings: PoseGraphSettings):
     size = 7 * count
     for iteration in range(settings.maximum_iterations if count > 1 else 0):
         residuals = _residuals(nodes, edges)
-        sides = {side: _jacobians(nodes, edges, side, settings.difference_step) for side in ("src", "dst")}
+        sides = _jacobians(nodes, edges, settings.difference_step)
         normal, gradient = np.zeros((count, 7, count, 7)), np.zeros((count, 7))
         for a, ja in sides.items():
             weighted = information[:, None, None] * ja

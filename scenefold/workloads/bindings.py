@@ -34,7 +34,7 @@ pts AS (
          l_extendedprice / 9973 AS x, l_quantity / 9.7::DOUBLE AS y, l_discount / 0.103::DOUBLE AS z,
          l_discount - 0.05::DOUBLE AS nx, l_tax - 0.04::DOUBLE AS ny, 0.1::DOUBLE AS nz,
          (l_partkey % 4) * 64 AS r, (l_suppkey % 4) * 64 AS g, (l_linenumber % 4) * 64 AS b,
-         1 - l_tax / 1.03::DOUBLE AS confidence, 0.05::DOUBLE + l_tax AS radius
+         1 - l_tax / 1.03::DOUBLE AS confidence, 0.05::DOUBLE + l_tax / 1.03::DOUBLE AS radius
   FROM lineitem)"""
 
 
@@ -52,7 +52,7 @@ def as_points(items: DataFrame) -> DataFrame:
         (F.col("l_extendedprice") / 9973).alias("x"), (F.col("l_quantity") / 9.7).alias("y"), (F.col("l_discount") / 0.103).alias("z"),
         (F.col("l_discount") - 0.05).alias("nx"), (F.col("l_tax") - 0.04).alias("ny"), F.lit(0.1).alias("nz"),
         ((F.col("l_partkey") % 4) * 64).alias("r"), ((F.col("l_suppkey") % 4) * 64).alias("g"), ((F.col("l_linenumber") % 4) * 64).alias("b"),
-        (1 - F.col("l_tax") / 1.03).alias("confidence"), (0.05 + F.col("l_tax")).alias("radius"),
+        (1 - F.col("l_tax") / 1.03).alias("confidence"), (0.05 + F.col("l_tax") / 1.03).alias("radius"),
     )
 
 
