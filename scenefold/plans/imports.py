@@ -13,7 +13,7 @@ from ..operators import depth, matching, ordering, planes, reports, surface
 from ..operators.quantiles import percentiles
 from ..schemas import tag
 from ..session import settle
-from ..settings import ArchitectureSettings, CalibrationSettings, TsdfSettings
+from ..settings import TRACK_FOLD, ArchitectureSettings, CalibrationSettings, TsdfSettings
 from ..sources import ply, rasters, sparse_model
 from ..sources.bundle import pose_tables
 
@@ -96,7 +96,7 @@ def calibrate_predictions(evidence: DataFrame, pixels: DataFrame, pose: str, set
     ``pixels``: batch, frame_index, px, py, depth, confidence.
     """
     keys = ["batch_index", "source_slot", "frame_index"]
-    rows = settle(depth.calibrate_batches(evidence, keys, "da3-scale", F.lit(pose), settings))
+    rows = settle(depth.calibrate_batches(evidence, keys, TRACK_FOLD, F.lit(pose), settings))
     canonical = depth.canonical_predictions(rows, [])
     scaled = pixels.join(rows.select(F.col("batch_index").alias("batch"), "frame_index", "scale"), ["batch", "frame_index"]).withColumn("depth", F.col("depth") * F.col("scale"))
     overlap = matching.overlap_differences(scaled)

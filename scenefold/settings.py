@@ -141,6 +141,10 @@ class PreviewSettings:
     chunk_rows: int = 50_000
 
 
+# Name of the hold-out split hashed with every track id. Fixed value.
+TRACK_FOLD = "sha256-track-id-fold/v1"
+
+
 @dataclass(frozen=True)
 class CalibrationSettings:
     minimum_train: int = 12

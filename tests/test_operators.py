@@ -423,3 +423,32 @@ def test_result_does_not_depend_on_partitions(spark):
     frame = cloud(spark, rng.random((300, 3)), "i").withColumns({"confidence": F.lit(1.0), "radius": F.lit(0.1), "frame_index": F.col("i") % 5})
     key = lambda df: sorted((r.kx, r.ky, r.kz, round(r.x, 9), r.contributors) for r in surface.fuse_voxels(df).collect())
     assert key(frame) == key(frame.repartition(13, "y"))
+
+
+def test_a_third_of_all_rows_on_one_key(spark):
+    """One frame, one pixel, one position and one cell hold a third of the rows."""
+    rng = np.random.default_rng(11)
+    n, hot = 6000, 2000
+    data = pd.DataFrame({
+        "i": range(n), "window_index": rng.integers(0, 4, n), "frame_index": rng.integers(0, 40, n), "px": rng.integers(0, 9, n), "py": rng.integers(0, 9, n),
+        "x": rng.random(n) * 9, "y": rng.random(n) * 9, "z": rng.random(n) * 9, "confidence": rng.random(n) + 0.1, "radius": 0.1, "depth": rng.random(n)})
+    data.loc[: hot - 1, ["frame_index", "px", "py"]] = 7
+    data.loc[: hot - 1, ["x", "y", "z"]] = 4.5
+    frame = spark.createDataFrame(data)
+    owned = surface.first_owner(frame).toPandas()
+    expected = data[data.window_index == data.groupby("frame_index").window_index.transform("min")]
+    assert sorted(owned.i) == sorted(expected.i)
+    voxel = spark.createDataFrame([(0.5,)], "voxel double")
+    assert surface.fuse_voxels(frame, voxel).agg(F.max("contributors"), F.sum("contributors")).first()[1] == n
+    pairs_ = matching.shared_pixel_pairs(frame, ["i"])
+    last = data.groupby(["window_index", "frame_index", "px", "py"]).i.max().reset_index()
+    last["window_index"] += 1
+    assert pairs_.count() == len(data.drop(columns="i").merge(last, on=["window_index", "frame_index", "px", "py"]))
+    queries = frame.select(F.col("i").cast("long").alias("qid"), "x", "y", "z")
+    moments = spatial.radius_moments(queries, queries, 0.4).filter("qid = 0").first()
+    xyz = data[["x", "y", "z"]].to_numpy()
+    assert moments.n == (((xyz - xyz[0]) ** 2).sum(axis=1) <= 0.16).sum() >= hot
+    nearest = depth.nearest_per_pixel(frame.select("px", "py", "depth", F.col("i").alias("pid")), []).toPandas()
+    assert np.allclose(nearest.sort_values(["px", "py"]).depth, data.groupby(["px", "py"]).depth.min())
+    middle = quantiles.upper_median(frame, ["frame_index"], "depth", "m", 500).toPandas().set_index("frame_index").m
+    assert middle[7] == sorted(data[data.frame_index == 7].depth)[(data.frame_index == 7).sum() // 2]
