@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import leaks, lines, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,21 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(_table(spark, folder, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op6_line_dedup": op6_line_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.LINE_SQL,
+    "op8_benchmark_decontamination": leaks.LEAK_SQL,
 }
