@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, lines, neardup
+from . import archives, leaks, lines, neardup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    merged = archives.capture_history(_table(spark, folder, "pages"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(_table(spark, folder, "documents"))
 
@@ -28,12 +33,14 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 
 QUERIES: dict[str, Query] = {
+    "op3_warc": op3_warc,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": archives.CAPTURE_SQL,
     "op6_line_dedup": lines.LINE_SQL,
     "op8_benchmark_decontamination": leaks.LEAK_SQL,
 }
