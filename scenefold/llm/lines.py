@@ -23,11 +23,12 @@ def line_key(line: Column) -> Column:
 def _hashes(lines: Column) -> Column:
     """Per line (h1, h2), a 128-bit fingerprint of its key; null for an empty key."""
 
-    def one(line: Column) -> Column:
-        key = line_key(line)
-        return F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2")))
-
-    return F.transform(lines, one)
+    # Two steps, so that the key is computed once: lambdas share no subexpressions.
+    keys = F.transform(lines, line_key)
+    return F.transform(
+        keys,
+        lambda key: F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2"))),
+    )
 
 
 def _runs(lines: Column, dropped: Column) -> Column:
