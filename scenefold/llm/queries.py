@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, leaks, lines, neardup
+from . import archives, hosts, leaks, lines, neardup, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
+def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.self_search(_table(spark, folder, "embeddings"), every=20, k=20)
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(_table(spark, folder, "documents"))
 
@@ -32,11 +36,17 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return leaks.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return hosts.judge(_table(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
