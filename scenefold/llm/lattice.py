@@ -1,8 +1,9 @@
-"""Best segmentation of words over a lattice of pieces, as DataFrame operations.
+"""Segmentation of words over a lattice of pieces, as DataFrame operations.
 
 Substrings of bounded length are exploded, joined with the piece table by
-equality and grouped by word; a higher-order ``aggregate`` folds the edges into
-the Viterbi table and a second one walks back.
+equality and grouped by word. A higher-order ``aggregate`` folds the edges: into
+the Viterbi table of the best path (``best_paths``), or into the cuts that remain
+after merging pairs by rank (``merged_paths``, what a BPE piece table means).
 """
 
 from __future__ import annotations
@@ -72,3 +73,41 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown: float
 
     walked = F.aggregate(F.sequence(F.lit(1), F.size("best")), begin, back)
     return table.select("word", walked["path"].alias("path"))
+
+
+def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, path): per distinct non-empty word the symbols (start, length, id) after all merges.
+
+    Beginning with single characters, the two neighbours whose concatenation is
+    the piece with the largest score are merged, the leftmost of equals first,
+    until none are left. A character that is no piece has id -1.
+    """
+    edge = F.struct((-F.col("score")).alias("rank"), (F.col("e") - F.col("l")).alias("b"), "e", "id")
+    grouped = edges(words, pieces, longest).groupBy("word").agg(
+        F.sort_array(F.collect_list(F.when(F.col("l") > 1, edge))).alias("joins"),
+        F.sort_array(F.collect_list(F.when(F.col("l") == 1, F.struct("e", F.coalesce("id", F.lit(-1)).alias("id"))))).alias("single"),
+    )
+
+    def at(cuts: Column, b: Column) -> Column:
+        return F.array_position(cuts, b).cast("int")
+
+    def step(cuts: Column, _: Column) -> Column:
+        # An edge is two neighbouring symbols if one cut lies between its ends.
+        open_ = F.filter("joins", lambda x: F.array_contains(cuts, x["b"]) & (F.get(cuts, at(cuts, x["b"]) + 1) == x["e"]))
+        # A one-element transform binds the best join once; lambdas share no subexpressions.
+        bound = F.transform(
+            F.array(F.get(open_, F.lit(0))["b"]),
+            lambda b: F.when(b.isNull(), cuts).otherwise(F.array_remove(cuts, F.get(cuts, at(cuts, b)))),
+        )
+        return F.get(bound, F.lit(0))
+
+    n = F.size("single")
+    steps = F.when(F.size("joins") > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cut = grouped.select("word", "joins", "single", F.aggregate(steps, F.sequence(F.lit(0), n), step).alias("cuts"))
+
+    def symbol(i: Column) -> Column:
+        b, e = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
+        joined = F.get(F.filter("joins", lambda x: (x["b"] == b) & (x["e"] == e)), F.lit(0))["id"]
+        return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, F.get(F.col("single"), b)["id"]).otherwise(joined).alias("id"))
+
+    return cut.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol).alias("path"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, hosts, leaks, lines, neardup, vectors
+from . import archives, hosts, languages, leaks, lines, neardup, pieces, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op4_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.self_search(_table(spark, folder, "embeddings"), every=20, k=20)
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, folder, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_report(_table(spark, folder, "documents"))
 
@@ -36,6 +40,10 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return leaks.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.language_report(_table(spark, folder, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.judge(_table(spark, folder, "pages"))
 
@@ -43,9 +51,11 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_warc": op3_warc,
     "op4_nearest_vectors": op4_nearest_vectors,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
 }
 
