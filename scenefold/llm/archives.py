@@ -224,8 +224,8 @@ class LoserTree:
             self._replay(leaf)
 
     def _beats(self, a: int, b: int) -> bool:
-        if a < 0:  # an empty place lets nobody pass while the tree fills
-            return True
+        if a < 0 or b < 0:  # an empty place goes up until the tree is full
+            return a < 0
         x, y = self.heads[a], self.heads[b]
         if x is None or y is None:
             return x is not None
