@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, hosts, languages, leaks, lines, neardup, pieces, vectors
+from . import archives, chunks, hosts, languages, leaks, lines, neardup, pieces, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeat_report(_table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     merged = archives.capture_history(_table(spark, folder, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
@@ -49,6 +53,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_warc": op3_warc,
     "op4_nearest_vectors": op4_nearest_vectors,
     "op5_sentencepiece": op5_sentencepiece,
