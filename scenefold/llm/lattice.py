@@ -14,28 +14,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD_CHARS = 256
 
 
-def _substrings(word: Column, longest: int) -> Column:
-    """All (end, length, piece) of at most ``longest`` characters."""
-    size = F.char_length(word)
-    starts = F.sequence(F.lit(1), size)
-    return F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1)),
-                lambda l: F.struct((i + l - 1).alias("e"), l.alias("l"), F.substr(word, i, l).alias("piece")),
-            ),
-        )
-    )
-
-
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, e, l, score, id): the pieces found in each word and one edge for each character.
 
     A character that is no piece has id and score null.
     """
-    spread = words.where(F.char_length("word") > 0).select("word", F.explode(_substrings(F.col("word"), longest)).alias("x"))
-    found = spread.select("word", "x.e", "x.l", "x.piece").join(pieces.select("piece", "score", "id"), "piece", "left")
+    # A flat counter over (start, length): generator, substring and join stay in one generated stage.
+    sized = words.select("word", F.char_length("word").alias("n")).where("n > 0")
+    counted = sized.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") * longest - 1)).alias("k"))
+    spread = counted.select("word", "n", F.expr(f"cast(k div {longest} as int)").alias("b"), (F.col("k") % longest + 1).alias("l")).where("b + l <= n")
+    named = spread.select("word", (F.col("b") + F.col("l")).alias("e"), "l", F.substr("word", F.col("b") + 1, F.col("l")).alias("piece"))
+    found = named.join(pieces.select("piece", "score", "id"), "piece", "left")
     return found.where("id is not null or l = 1").select("word", "e", "l", "score", "id")
 
 
@@ -88,26 +77,34 @@ def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame
         F.sort_array(F.collect_list(F.when(F.col("l") == 1, F.struct("e", F.coalesce("id", F.lit(-1)).alias("id"))))).alias("single"),
     )
 
-    def at(cuts: Column, b: Column) -> Column:
-        return F.array_position(cuts, b).cast("int")
+    def at(cuts: Column, value: Column) -> Column:
+        return F.array_position(cuts, value)
 
-    def step(cuts: Column, _: Column) -> Column:
+    def adjoining(cuts: Column, x: Column) -> Column:
         # An edge is two neighbouring symbols if one cut lies between its ends.
-        open_ = F.filter("joins", lambda x: F.array_contains(cuts, x["b"]) & (F.get(cuts, at(cuts, x["b"]) + 1) == x["e"]))
+        return (at(cuts, x["b"]) > 0) & (at(cuts, x["e"]) == at(cuts, x["b"]) + 2)
+
+    def joined(cuts: Column, b: Column) -> Column:
+        return F.array_remove(cuts, F.get(cuts, at(cuts, b).cast("int")))
+
+    def once(cuts: Column, x: Column) -> Column:
+        return F.when(adjoining(cuts, x), joined(cuts, x["b"])).otherwise(cuts)
+
+    def again(cuts: Column, _: Column) -> Column:
+        first = F.get(F.filter("joins", lambda x: adjoining(cuts, x)), F.lit(0))["b"]
         # A one-element transform binds the best join once; lambdas share no subexpressions.
-        bound = F.transform(
-            F.array(F.get(open_, F.lit(0))["b"]),
-            lambda b: F.when(b.isNull(), cuts).otherwise(F.array_remove(cuts, F.get(cuts, at(cuts, b)))),
-        )
-        return F.get(bound, F.lit(0))
+        return F.get(F.transform(F.array(first), lambda b: F.when(b.isNull(), cuts).otherwise(joined(cuts, b))), F.lit(0))
 
+    # A piece is made of pieces of better rank, so one pass by rank does every merge
+    # in its turn. Should a table be made otherwise, what is left is merged step by step.
     n = F.size("single")
-    steps = F.when(F.size("joins") > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    cut = grouped.select("word", "joins", "single", F.aggregate(steps, F.sequence(F.lit(0), n), step).alias("cuts"))
+    passed = grouped.select("word", "joins", "single", F.aggregate("joins", F.sequence(F.lit(0), n), once).alias("cuts"))
+    steps = F.when(F.exists("joins", lambda x: adjoining(F.col("cuts"), x)), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cut = passed.select("word", "joins", "single", F.aggregate(steps, F.col("cuts"), again).alias("cuts"))
 
     def symbol(i: Column) -> Column:
         b, e = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
-        joined = F.get(F.filter("joins", lambda x: (x["b"] == b) & (x["e"] == e)), F.lit(0))["id"]
-        return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, F.get(F.col("single"), b)["id"]).otherwise(joined).alias("id"))
+        piece = F.get(F.filter("joins", lambda x: (x["b"] == b) & (x["e"] == e)), F.lit(0))["id"]
+        return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, F.get(F.col("single"), b)["id"]).otherwise(piece).alias("id"))
 
     return cut.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol).alias("path"))

@@ -14,6 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,50 +55,50 @@ def byte_ids(table: list[tuple[str, float, int]]) -> list[int]:
 
 
 def split_words(text: bytes) -> list[bytes]:
-    """Words of a text with a space put before it; none of an empty text.
-
-    Words of more than WORD_CHARS characters are cut there, so that a lattice is bounded.
-    """
+    """Words of a text with a space put before it; none of an empty text."""
     if not text:
         return []
-    words = _WORD.findall(b" " + text)
-    if max(map(len, words)) <= WORD_CHARS:
-        return words
-    out = []
-    for word in words:
-        if len(word) <= WORD_CHARS:
-            out.append(word)
-        else:
-            chars = word.decode()
-            out += [chars[i : i + WORD_CHARS].encode() for i in range(0, len(chars), WORD_CHARS)]
-    return out
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Runs of a task's rows with about ``block_bytes`` of text, numbered by task and position."""
-    task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+    text = b" " + text
+    if b"  " in text or b"\0" in text:
+        return _WORD.findall(text)
+    # The same without a run of spaces: a zero byte before each space and around line feeds.
+    return list(filter(None, text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")))
+
+
+def bounded(word: bytes) -> list[bytes]:
+    """A word in blocks of WORD_CHARS characters, so that a lattice is bounded."""
+    if len(word) <= WORD_CHARS:
+        return [word]
+    chars = word.decode()
+    return [chars[i : i + WORD_CHARS].encode() for i in range(0, len(chars), WORD_CHARS)]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """(block, last of it, rows): a task's rows in blocks of about ``block_bytes`` of text."""
+    task, number, size, held = TaskContext.get().partitionId(), 0, 0, None
     for batch in batches:
         for part in slices(batch, column):
-            held.append(part)
-            size += sum(len(x) for x in utf8(part.column(column)) if x)
-            if size >= block_bytes:
-                yield task << 32 | number, held
-                number, held, size = number + 1, [], 0
-    if held:
-        yield task << 32 | number, held
+            if held is not None:
+                yield task << 32 | number, size >= block_bytes, held
+                number, size = (number + 1, 0) if size >= block_bytes else (number, size)
+            held = part
+            size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+    if held is not None:
+        yield task << 32 | number, True, held
 
 
 def _vocabulary(column: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in _blocks(batches, column, block_bytes):
-            words: set[bytes] = set()
-            for part in parts:
-                for text in utf8(part.column(column)):
-                    words.update(split_words(text or b""))
-            listed = sorted(words)
-            for start in range(0, len(listed), 50_000):
-                some = pa.array(listed[start : start + 50_000], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([some, pa.array([block] * len(some), pa.int64())], ["word", "block"])
+        words: set[bytes] = set()
+        for block, last, part in _numbered(batches, column, block_bytes):
+            for text in utf8(part.column(column)):
+                words.update(split_words(text or b""))
+            if last:
+                listed = [x for w in words for x in bounded(w)]
+                words = set()
+                for start in range(0, len(listed), 50_000):
+                    some = pa.array(listed[start : start + 50_000], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([some, pa.array([block] * len(some), pa.int64())], ["word", "block"])
 
     return run
 
@@ -105,13 +106,12 @@ def _vocabulary(column: str, block_bytes: int):
 def _packed(column: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
-        for block, parts in _blocks(batches, column, block_bytes):
+        for block, _, part in _numbered(batches, column, block_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema) as out:
-                for part in parts:
-                    out.write_batch(part)
+            with pa.ipc.new_stream(sink, part.schema) as out:
+                out.write_batch(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([packer.compress(sink.getvalue().to_pybytes())], pa.binary())], ["block", "rows"]
+                [pa.array([block], pa.int64()), pa.array([packer.compress(sink.getvalue())], pa.binary())], ["block", "rows"]
             )
 
     return run
@@ -119,16 +119,24 @@ def _packed(column: str, block_bytes: int):
 
 def _assembled(column: str, names: list[str]):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = [np.asarray(x, dtype=np.int32).tobytes() for x in _lists(right.column("ids"))]
-        known = dict(zip(utf8(right.column("word").combine_chunks()), ids, strict=True))
+        known: dict[bytes, bytes] = {}
+        for batch in right.to_batches():
+            ids = batch.column("ids")
+            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+            known.update(zip(utf8(batch.column("word")), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
         tables = []
         for packed in left.column("rows").to_pylist():
             with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)) as stream:
                 for batch in stream:
                     flat, ends, absent = [], [0], []
                     for text in utf8(batch.column(column)):
-                        # A word without an entry would mean that the two scans saw different rows: an error.
-                        flat.append(b"".join([known[w] for w in split_words(text)]) if text else b"")
+                        words = split_words(text or b"")
+                        try:
+                            flat.append(b"".join(map(known.__getitem__, words)))
+                        except KeyError:
+                            # Words too long for one lattice; a word without any entry would mean
+                            # that the two scans saw different rows, and fails here.
+                            flat.append(b"".join(known[x] for w in words for x in bounded(w)))
                         ends.append(ends[-1] + len(flat[-1]) // 4)
                         absent.append(text is None)
                     values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
@@ -139,14 +147,6 @@ def _assembled(column: str, names: list[str]):
     return run
 
 
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        values, ends = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
-        out += [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return out
-
-
 def word_ids(words: DataFrame, table: list[tuple[str, float, int]], method: str = "merge") -> DataFrame:
     """(word, ids): the ids of each distinct word; spaces stand for the table's word mark.
 
@@ -196,17 +196,19 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, method: str
 
 def _decoder(table: list[tuple[str, float, int]], column: str):
     spelled = {i: p.replace("▁", " ").encode() for p, _, i in table} | {i: bytes([b]) for b, i in enumerate(byte_ids(table))}
-    size = max(spelled) + 1
-    listed = [spelled.get(i, b"") for i in range(size)]
+    listed = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = pa.array(listed, pa.binary())
         for batch in batches:
-            texts = []
-            ids = batch.column(column)
-            for i, one in enumerate(_lists(pa.chunked_array([ids]))):
-                whole = b"".join([listed[k] for k in one.tolist()])
-                texts.append(whole.removeprefix(b" ").decode("utf-8", "replace") if ids[i].is_valid else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                ids = part.column(column)
+                shown = pc.take(spelling, pc.list_flatten(ids))
+                ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32))
+                whole = pc.binary_join(pa.ListArray.from_arrays(ends, shown), b"").to_pylist()
+                texts = [t.removeprefix(b" ").decode("utf-8", "replace") if v else None for t, v in zip(whole, ids.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return run
 
