@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, chunks, hosts, languages, leaks, lines, neardup, pieces, vectors
+from . import archives, chunks, hosts, languages, leaks, lines, neardup, pieces, secrets, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.repeat_report(_table(spark, folder, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, folder, "documents"))
+
+
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     merged = archives.capture_history(_table(spark, folder, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
@@ -54,6 +58,7 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_secret_scan": op2_secret_scan,
     "op3_warc": op3_warc,
     "op4_nearest_vectors": op4_nearest_vectors,
     "op5_sentencepiece": op5_sentencepiece,
