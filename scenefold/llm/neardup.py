@@ -7,7 +7,7 @@
 * Groups of a band are linked to a pivot first (no pairs within a group) and each
   link is confirmed on the full sets. Two rounds with different pivots join dense
   groups; then the pairs that still lie in different components of a group, and
-  that sizes and signature bits allow, are confirmed as well. So every candidate
+  that sizes, odd sketches and signature bits allow, are confirmed as well. So every candidate
   pair is decided, while a large group of copies costs one link per copy.
 * Components by alternating large-star and small-star.
 """
@@ -28,6 +28,9 @@ from .components import connected_components
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 4) ** 32, about 5e-8.
 BANDS, ROWS = 32, 4
 
+#: Places of the odd sketch that bounds the difference of two sets.
+ODD_BITS = 1024
+
 _random = np.random.default_rng(20_240_229)
 MULTIPLIERS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _random.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -91,18 +94,33 @@ def _sets(size: int):
                 found = [W.shingle_set(W.hashed(W.spaced_words(t or b"")), size) for t in utf8(part.column("text"))]
                 keys = [xxh3_128_digest(x.tobytes()) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
-                    ["doc_id", "set_key", "shingles"],
+                    [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
+                     pa.array([odd_sketch(x) for x in found], pa.list_(pa.int64()))],
+                    ["doc_id", "set_key", "shingles", "odd"],
                 )
 
     return run
 
 
+def odd_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes over ODD_BITS places; two sketches differ in at most as
+    many places as their sets have unequal elements."""
+    return np.packbits((np.bincount((shingles % np.uint64(ODD_BITS)).astype(np.int64), minlength=ODD_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _similar_enough(a: str, b: str, percent: int) -> Column:
-    """What sizes and signature bits say of a pair; never false for a similar one."""
-    small, large = F.least(F.col(f"{a}n"), F.col(f"{b}n")), F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
+    """What sizes, odd sketches and signature bits say of a pair.
+
+    Sizes and odd sketches never speak against a similar pair; for large sets,
+    which the sketch cannot tell apart, the signature bits do at six deviations.
+    """
+    total, small, large = F.col(f"{a}n") + F.col(f"{b}n"), F.least(F.col(f"{a}n"), F.col(f"{b}n")), F.greatest(F.col(f"{a}n"), F.col(f"{b}n"))
     apart = F.bit_count(F.col(f"{a}low").bitwiseXOR(F.col(f"{b}low"))) + F.bit_count(F.col(f"{a}high").bitwiseXOR(F.col(f"{b}high")))
-    return (small * 100 >= large * percent) & (apart <= bit_limit(percent))
+    unequal = F.lit(0)
+    for i in range(ODD_BITS // 64):
+        unequal = unequal + F.bit_count(F.get(F.col(f"{a}odd"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}odd"), F.lit(i))))
+    # With d unequal elements of t in all, similarity is (t - d) / (t + d).
+    return (small * 100 >= large * percent) & (apart <= bit_limit(percent)) & (unequal * (100 + percent) <= total * (100 - percent))
 
 
 def bit_limit(percent: int) -> int:
@@ -150,15 +168,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     facts = stored(nodes.select("node", "n", "low", "high", "set_key").join(in_groups, "node", "left_semi"), "facts")
     wanted = facts.select(F.col("node").alias("doc_id"), "set_key")
     sets = stored(
-        rows.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
-        .join(wanted, ["doc_id", "set_key"], "left_semi").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "shingles"),
+        rows.join(wanted.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, set_key binary, shingles array<long>, odd array<long>")
+        .join(wanted, ["doc_id", "set_key"], "left_semi").dropDuplicates(["set_key"]).select(F.col("doc_id").alias("node"), "shingles", "odd"),
         "sets",
     )
-    light = facts.select("node", "n", "low", "high")
+    light = stored(facts.select("node", "n", "low", "high").join(sets.select("node", "odd"), "node"), "light")
 
     def described(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(light.withColumnsRenamed({"node": side, **{c: side + c for c in ("n", "low", "high")}}), side)
+            pairs = pairs.join(light.withColumnsRenamed({"node": side, **{c: side + c for c in ("n", "odd", "low", "high")}}), side)
         return pairs
 
     links, labels = None, None
@@ -175,8 +193,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
     open_members = stored(labelled.join(mixed, ["band", "key"]).join(light, "node"), "open")
-    left = open_members.withColumnsRenamed({"node": "a", "label": "la", "n": "an", "low": "alow", "high": "ahigh"})
-    right = open_members.withColumnsRenamed({"node": "b", "label": "lb", "n": "bn", "low": "blow", "high": "bhigh"})
+    left = open_members.withColumnsRenamed({"node": "a", "label": "la", "n": "an", "odd": "aodd", "low": "alow", "high": "ahigh"})
+    right = open_members.withColumnsRenamed({"node": "b", "label": "lb", "n": "bn", "odd": "bodd", "low": "blow", "high": "bhigh"})
     rest = left.join(
         right,
         (left.band == right.band) & (left.key == right.key) & (F.col("la") < F.col("lb")) & _similar_enough("a", "b", percent),
