@@ -172,6 +172,12 @@ def batch_schedule(frames: DataFrame, keys: list[str] | None = None, ordinal: st
 
 # --- keyframes -----------------------------------------------------------
 
+def valid_gaps(fps: float, settings: KeyframeSettings = KeyframeSettings()) -> bool:
+    """Whether the gaps make a band; otherwise every candidate is kept."""
+    numbers = (fps, settings.minimum_gap_seconds, settings.maximum_gap_seconds)
+    return all(math.isfinite(x) and x > 0 for x in numbers) and settings.minimum_gap_seconds <= settings.maximum_gap_seconds
+
+
 def gap_frames(fps: float, settings: KeyframeSettings = KeyframeSettings()) -> tuple[int, int]:
     low = max(1, math.ceil(settings.minimum_gap_seconds * fps))
     return low, max(1, math.ceil(settings.maximum_gap_seconds * fps))
@@ -227,6 +233,8 @@ def keyframes(frames: DataFrame, keys: list[str], fps: float, novelty, settings:
     at which the path could enter it, where the path leaves; the short list of
     block entries is chained per sequence; then every block marks its own rows.
     """
+    if not valid_gaps(fps, settings):
+        return frames.select(*keys, ordinal)
     low, high = gap_frames(fps, settings)
     followers = best_followers(frames, keys, low, high, novelty, settings, ordinal, min(block, LOOKAHEAD_ROWS))
     followers = settle(followers.withColumn("_block", F.floor(F.col(ordinal) / block).cast("long")))

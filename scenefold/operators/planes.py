@@ -141,7 +141,7 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
     A supported plane that yields no cell is recorded nowhere, but its points
     still leave the search, so the search always ends.
     """
-    if not (settings.maximum_source_points > 2 and settings.maximum_planes > 0 and settings.plane_distance_fraction > 0
+    if not ((settings.maximum_source_points is None or settings.maximum_source_points > 2) and settings.maximum_planes > 0 and settings.plane_distance_fraction > 0
             and settings.cell_size_fraction > 0 and settings.trials_per_plane > 0 and settings.minimum_cell_support > 0):
         raise ArchitectureError("plane settings are out of range")
     finite = points.filter(valid_surfel())
@@ -151,8 +151,9 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
         return [], empty
     tolerance = max(extent * settings.plane_distance_fraction, 1e-5)
     edge = max(extent * settings.cell_size_fraction, tolerance * 1.5)
-    sampled = stride_sample(finite, order, stride_for_cap(finite.count(), settings.maximum_source_points))
-    remaining = settle(sampled)
+    if settings.maximum_source_points is not None:
+        finite = stride_sample(finite, order, stride_for_cap(finite.count(), settings.maximum_source_points))
+    remaining = settle(finite)
     planes: list[Plane] = []
     surfels: list[DataFrame] = []
     while len(planes) < settings.maximum_planes:

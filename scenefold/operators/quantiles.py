@@ -2,21 +2,19 @@
 
 Groups of ordinary size use Spark's exact ``percentile`` aggregate, which keeps
 one map of distinct values per group in one task. When the row counts show a
-larger group, the order statistics are found by distributed refinement instead:
-every round counts the values of a group in at most ``BUCKETS`` equal slices
-(with map-side combine), keeps the slice holding the wanted rank, and repeats
-inside it until it is a single value.
+larger group, the values are put in order by a range shuffle and the wanted
+positions are joined: a fixed number of steps for any values, infinite and NaN
+ones (which sort last) included, and no group in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import settle
 from .common import equi
+from .ordering import global_index
 
 GROUP_ROWS = 2_000_000
-BUCKETS = 65_536
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -25,27 +23,10 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def _order_statistics(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """Exact values at zero-based ``_rank`` (one or more per group) by refinement."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    extremes = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    state = settle(equi(ranks, extremes, keys).withColumn("_below", F.lit(0).cast("long")))
-    while state.filter("_low < _high").limit(1).count():
-        open_state = state.filter("_low < _high")
-        inside = equi(rows, open_state, keys).filter("_v between _low and _high")
-        slice_ = F.least(
-            F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BUCKETS), F.lit(BUCKETS - 1)
-        )
-        counted = inside.groupBy(*keys, "_rank", "_below", slice_.alias("_slice")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
-        )
-        upto = Window.partitionBy(*keys, "_rank").orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-        narrowed = (
-            counted.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto))
-            .filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
-            .select(*keys, "_rank", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_below"))
-        )
-        state = settle(narrowed.unionByName(state.filter("_low >= _high").select(*narrowed.columns)))
-    return state.select(*keys, "_rank", F.col("_low").alias("_value"))
+    """Exact values at zero-based ``_rank`` (one or more per group)."""
+    rows = df.select(*keys, F.col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
+    placed = global_index(rows, ["_value"], "_rank", keys)
+    return placed.join(ranks.select(*keys, "_rank"), [*keys, "_rank"]).select(*keys, "_rank", "_value")
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float],
@@ -59,7 +40,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
     counts = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     position = F.col("_fraction") * (F.col("_n") - 1)
     wanted = counts.withColumn("_fraction", F.explode(F.array(*[F.lit(f) for f in fractions.values()])))
-    wanted = settle(wanted.select(*keys, "_fraction", position.alias("_position")))
+    wanted = wanted.select(*keys, "_fraction", position.alias("_position"))
     ends = F.array(F.floor("_position"), F.ceil("_position"))
     ranks = wanted.select(*keys, F.explode(ends).alias("_rank")).distinct()
     found = _order_statistics(present, keys, value, ranks)
@@ -68,7 +49,10 @@ def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str,
     )
     lower, upper = F.min("_value"), F.max("_value")
     share = F.max(F.col("_position") - F.floor("_position"))
-    interpolated = both.groupBy(*keys, "_fraction").agg((lower * (1 - share) + upper * share).alias("_value"))
+    interpolated = both.groupBy(*keys, "_fraction").agg(
+        # Equal ends are the value itself, also where it is infinite.
+        F.when(lower == upper, lower).otherwise(lower * (1 - share) + upper * share).alias("_value")
+    )
     pick = [
         F.max(F.when(F.col("_fraction") == fraction, F.col("_value"))).alias(name)
         for name, fraction in fractions.items()

@@ -172,7 +172,8 @@ def fuse_frames_globally(points: DataFrame, views: DataFrame, solution: dict[str
     """Per-frame scales from sparse tracks, then one surface in the global frame.
 
     ``solution`` has the tables of ``pose_tables``. Returns (reports, surfels).
-    The cheap hash sample runs before the neighbour check, which joins rasters.
+    All points are fused; a hash sample is drawn only where ``maximum_observations``
+    asks for one, before the neighbour check, which joins rasters.
     """
     evidence = settle(matching.track_scale_evidence(
         solution["observations"], solution["tracks"], solution["poses"], solution["models"], points, views, raster, settings.maximum_track_error_px))
@@ -191,7 +192,9 @@ def fuse_frames_globally(points: DataFrame, views: DataFrame, solution: dict[str
     cameras = solution["poses"].filter("registered").join(models, "camera_id").select(
         "frame_index", F.col("w2c").alias("global_w2c"), "f", "cx", "cy", "radial", "width", "height")
     joined = points.join(accepted, ["window_index", "frame_index"]).join(views.select("window_index", "frame_index", "w2c", "k"), ["window_index", "frame_index"]).join(cameras, "frame_index")
-    sampled = surface.hash_sample(joined, joined.count(), settings.maximum_observations)
+    sampled = joined
+    if settings.maximum_observations is not None:
+        sampled = surface.hash_sample(joined, joined.count(), settings.maximum_observations)
     rebased = settle(depth.rebase_points(sampled, raster).withColumn("pid", F.monotonically_increasing_id()))
     if check_neighbours:
         local = C.camera_depth("w2c", V.vec("x", "y", "z"))

@@ -76,9 +76,11 @@ def import_stereo_cloud(spark: SparkSession, path: str) -> DataFrame:
     return ply.import_points(spark, path)
 
 
-def fuse_imported_cloud(points: DataFrame, maximum: int, settings: TsdfSettings = TsdfSettings()) -> DataFrame:
-    """Strided points of an imported cloud as one zero-crossing layer."""
-    sampled = ordering.stride_sample(points, ["idx"], ordering.stride_for_cap(points.count(), maximum))
+def fuse_imported_cloud(points: DataFrame, maximum: int | None = None, settings: TsdfSettings = TsdfSettings()) -> DataFrame:
+    """An imported cloud as one zero-crossing layer; ``maximum`` asks for a stride sample."""
+    sampled = points
+    if maximum is not None:
+        sampled = ordering.stride_sample(points, ["idx"], ordering.stride_for_cap(points.count(), maximum))
     return surface.fuse_tsdf(sampled.withColumnRenamed("first_observing_frame", "frame_index"), None, settings)
 
 

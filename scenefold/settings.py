@@ -120,12 +120,12 @@ class FrameGlobalSettings:
     neighbour_log_error: float = 0.20
     neighbour_minimum: int = 1
     neighbour_radius: int = 2
-    maximum_observations: int = 6_000_000
+    maximum_observations: int | None = None  # a hash sample of so many points, only on request
 
 
 @dataclass(frozen=True)
 class ArchitectureSettings:
-    maximum_source_points: int = 250_000
+    maximum_source_points: int | None = None  # a stride sample of so many points, only on request
     maximum_planes: int = 12
     plane_distance_fraction: float = 0.003
     minimum_plane_support: int = 900

@@ -31,19 +31,27 @@ def tsdf_stream(points: DataFrame, voxel: float, settings: TsdfSettings = TsdfSe
 
 
 def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Process everything that has arrived and keep the latest complete result in ``folder``.
+    """Process everything that has arrived; each batch adds the rows it changed.
 
-    The checkpoint makes a second run continue where the first stopped; the
-    target is replaced per batch, so a repeated batch leaves the same table.
+    The checkpoint makes a second run continue where the first stopped. A batch
+    has a folder of its own, ``batch=<number>``: a repeated batch replaces only
+    that, and a reader never meets an empty table. ``latest`` gives the present state.
     """
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(folder)
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    query = (stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    query = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(store).start())
     query.awaitTermination()
 
 
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key in a table of ``run_to_table``."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    newest = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(newest, [*keys, "batch"]).drop("batch")
+
+
 def distinct_windows(views: DataFrame, delay: str, time: str = "ts") -> DataFrame:
     """Each (window, frame) once, however often it is delivered within ``delay``."""
     timed = views.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)

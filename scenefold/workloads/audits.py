@@ -153,10 +153,10 @@ def frame_intersection(spark, folder):
     return B.table(spark, folder, "customer").select(F.col("c_nationkey").alias("frame_index")).intersect(B.table(spark, folder, "supplier").select("s_nationkey"))
 
 
-@query("frame_union", "SELECT c_nationkey AS frame_index FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier")
+@query("frame_union", "SELECT c_nationkey * 2 AS frame_index FROM customer UNION SELECT s_nationkey * 3 FROM supplier")
 def frame_union(spark, folder):
-    frames = B.table(spark, folder, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("frame_index"))
-    return frames.union(B.table(spark, folder, "supplier").select("s_nationkey")).distinct()
+    frames = B.table(spark, folder, "customer").select((F.col("c_nationkey") * 2).alias("frame_index"))
+    return frames.union(B.table(spark, folder, "supplier").select(F.col("s_nationkey") * 3)).distinct()
 
 
 @query("latest_job", """

@@ -12,8 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.ordering import global_index
 from ..session import ship_package
 
-RASTER = (8, 64)
-CAPTURE_FRAMES = 1800
+# Pixel columns are line numbers, pixel rows are suppliers: the raster is as high as they reach.
+RASTER_WIDTH = 8
+RASTER_SQL = "raster AS (SELECT CAST(max(l_suppkey) AS INTEGER) + 1 AS h FROM lineitem)"
+
+
+def raster(spark: SparkSession, folder: str) -> tuple[int, int]:
+    top = table(spark, folder, "lineitem").agg(F.max("l_suppkey")).first()[0]
+    return RASTER_WIDTH, int(top or 0) + 1
+
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -106,22 +113,21 @@ def cloud(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- captures of frames (events) -----------------------------------------
 
-# Each user records; a recording longer than the frame limit continues as the next capture.
-FRAMES_SQL = f"""
+# Each user records one capture.
+FRAMES_SQL = """
 numbered AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
 frames AS (
-  SELECT user_id * 1000000 + seq // {CAPTURE_FRAMES} AS capture, seq % {CAPTURE_FRAMES} AS frame_index, event_id, ts, event_type,
+  SELECT user_id AS capture, seq AS frame_index, event_id, ts, event_type,
          value / 500 AS luma, date_diff('microsecond', TIMESTAMP '2024-01-01 00:00:00', ts) // 1000 AS timestamp_millis
   FROM numbered)"""
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
-    seq = F.col("seq")
     numbered = global_index(table(spark, folder, "events").drop("props"), ["ts", "event_id"], "seq", keys=["user_id"])
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
     return numbered.select(
-        (F.col("user_id") * 1000000 + F.floor(seq / CAPTURE_FRAMES)).alias("capture"), (seq % CAPTURE_FRAMES).alias("frame_index"),
+        F.col("user_id").alias("capture"), F.col("seq").alias("frame_index"),
         "event_id", "ts", "event_type", (F.col("value") / 500).alias("luma"), F.floor(micros / 1000).alias("timestamp_millis"))
 
 

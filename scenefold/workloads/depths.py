@@ -92,7 +92,7 @@ def rebased_points(spark, folder):
         F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), (F.col("depth") / 500).alias("radius"), "confidence", identity.alias("w2c"), k.alias("k"),
         B.turning_camera(F.col("frame_index")).alias("global_w2c"), F.lit(40.0).alias("f"), F.lit(31.5).alias("cx"), F.lit(23.5).alias("cy"),
         F.lit(0.01).alias("radial"), F.lit(64).alias("width"), F.lit(512).alias("height"), (1 + F.col("window_index") * 0.05).alias("scale"))
-    moved = depth.rebase_points(pixels, B.RASTER)
+    moved = depth.rebase_points(pixels, (8, 64))
     return moved.select("window_index", "frame_index", "px", "py", *[near(c).alias(c) for c in ("x", "y", "z", "radius", "nx", "nz")])
 
 
@@ -199,16 +199,16 @@ def batch_calibration(spark, folder):
 
 
 @query("track_scale_evidence", f"""
-WITH {B.PIXELS_SQL},
+WITH {B.PIXELS_SQL}, {B.RASTER_SQL},
 trk AS (SELECT p_partkey AS point_id, p_size AS gx, p_retailprice / 500 AS gz, p_size * 0.1::DOUBLE AS err FROM part),
 obs AS (SELECT DISTINCT l_partkey AS point_id, CAST(l_orderkey % 120 AS INTEGER) AS frame_index, (l_linenumber + 0.5::DOUBLE) * 4 - 0.5 AS u, (CAST(l_suppkey AS INTEGER) + 0.5::DOUBLE) * 4 - 0.5 AS v FROM lineitem),
-pl AS (SELECT obs.*, CAST(round((u + 0.5) * 8 / 32 - 0.5) AS INTEGER) AS px, CAST(round((v + 0.5) * 64 / 256 - 0.5) AS INTEGER) AS py,
-        -sin(frame_index * 0.05::DOUBLE) * gx + cos(frame_index * 0.05::DOUBLE) * gz AS sparse FROM obs JOIN trk USING (point_id) WHERE err <= 2.5)
+pl AS (SELECT obs.*, CAST(round((u + 0.5) * 8 / 32 - 0.5) AS INTEGER) AS px, CAST(round((v + 0.5) * h / (4 * h) - 0.5) AS INTEGER) AS py, h,
+        -sin(frame_index * 0.05::DOUBLE) * gx + cos(frame_index * 0.05::DOUBLE) * gz AS sparse FROM raster, obs JOIN trk USING (point_id) WHERE err <= 2.5)
 SELECT window_index, frame_index, count(*) AS pairs, {R('sum(ln(sparse / depth))', 4)} AS log_ratio FROM pl JOIN pixels USING (frame_index, px, py)
-WHERE sparse > 0 AND px >= 0 AND px < 8 AND py >= 0 AND py < 64 GROUP BY ALL""")
+WHERE sparse > 0 AND px >= 0 AND px < 8 AND py >= 0 AND py < h GROUP BY ALL""")
 def track_scale_evidence(spark, folder):
     identity = F.array(*[F.lit(float(v)) for v in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)])
-    items = B.table(spark, folder, "lineitem")
+    items, raster = B.table(spark, folder, "lineitem"), B.raster(spark, folder)
     centre = lambda c: (F.col(c).cast("int") + 0.5) * 4 - 0.5
     observations = items.select(F.col("l_partkey").alias("point_id"), (F.col("l_orderkey") % 120).cast("int").alias("frame_index"),
                                 centre("l_linenumber").alias("u"), centre("l_suppkey").alias("v")).distinct()
@@ -217,11 +217,11 @@ def track_scale_evidence(spark, folder):
     frames = B.views(spark, folder).select("frame_index", "w2c").distinct()
     poses = items.select((F.col("l_orderkey") % 120).cast("int").alias("frame_index")).distinct().select(
         "frame_index", B.turning_camera(F.col("frame_index")).alias("w2c"), F.lit(1).alias("camera_id"), F.lit(True).alias("registered"))
-    models = frames.select(F.lit(1).alias("camera_id"), F.lit(32).alias("width"), F.lit(256).alias("height")).distinct()
+    models = frames.select(F.lit(1).alias("camera_id"), F.lit(32).alias("width"), F.lit(4 * raster[1]).alias("height")).distinct()
     pixels = B.pixels(spark, folder)
     points = pixels.select("window_index", "frame_index", "px", "py", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("depth").alias("z"))
     views = pixels.select("window_index", "frame_index").distinct().withColumn("w2c", identity)
-    found = matching.track_scale_evidence(observations, tracks, poses, models, points, views, B.RASTER)
+    found = matching.track_scale_evidence(observations, tracks, poses, models, points, views, raster)
     return found.groupBy("window_index", "frame_index").agg(F.count(F.lit(1)).alias("pairs"), near(F.sum("log_ratio"), 4).alias("log_ratio"))
 
 
@@ -306,24 +306,24 @@ def raster_bilinear(spark, folder):
 
 
 @query("neighbour_agreement", f"""
-WITH {B.PIXELS_SQL}, px1 AS (SELECT frame_index, px, py, avg(depth) AS depth FROM pixels GROUP BY ALL),
+WITH {B.PIXELS_SQL}, {B.RASTER_SQL}, px1 AS (SELECT frame_index, px, py, avg(depth) AS depth FROM pixels GROUP BY ALL),
 n AS (SELECT row_number() OVER () AS pid, frame_index, x, y, z FROM pts),
 o AS (SELECT n.*, frame_index + d AS other FROM n, (VALUES (-2), (-1), (1), (2)) t(d)),
 cam AS (SELECT o.pid, o.frame_index, other, cos(other * 0.05::DOUBLE) * x + sin(other * 0.05::DOUBLE) * z + other * 0.1::DOUBLE AS cx, y AS cy, -sin(other * 0.05::DOUBLE) * x + cos(other * 0.05::DOUBLE) * z AS cz
   FROM o JOIN (SELECT DISTINCT frame_index AS other FROM pts) f USING (other)),
-uv AS (SELECT *, (4 * (cx / cz) + 3.5::DOUBLE + 0.5) * 8 / 8 - 0.5 AS u, (4 * (cy / cz) + 31.5::DOUBLE + 0.5) * 64 / 64 - 0.5 AS v FROM cam WHERE cz > 0),
-ins AS (SELECT *, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(v) AS INTEGER) AS y0 FROM uv WHERE u >= 0 AND v >= 0 AND u < 7 AND v < 63),
+uv AS (SELECT *, (4 * (cx / cz) + 3.5::DOUBLE + 0.5) * 8 / 8 - 0.5 AS u, (4 * (cy / cz) + (h - 1) / 2.0::DOUBLE + 0.5) * h / h - 0.5 AS v FROM cam, raster WHERE cz > 0),
+ins AS (SELECT *, CAST(floor(u) AS INTEGER) AS x0, CAST(floor(v) AS INTEGER) AS y0 FROM uv WHERE u >= 0 AND v >= 0 AND u < 7 AND v < h - 1),
 smp AS (SELECT i.pid, i.frame_index, i.cz, (a.depth * (1 - (u - x0)) + b.depth * (u - x0)) * (1 - (v - y0)) + (c.depth * (1 - (u - x0)) + d.depth * (u - x0)) * (v - y0) AS s
   FROM ins i JOIN px1 a ON a.frame_index = other AND a.px = x0 AND a.py = y0 JOIN px1 b ON b.frame_index = other AND b.px = x0 + 1 AND b.py = y0
   JOIN px1 c ON c.frame_index = other AND c.px = x0 AND c.py = y0 + 1 JOIN px1 d ON d.frame_index = other AND d.px = x0 + 1 AND d.py = y0 + 1)
 SELECT frame_index, count(DISTINCT pid) AS points FROM smp WHERE abs(ln(cz) - ln(s)) <= 0.5::DOUBLE GROUP BY frame_index""")
 def neighbour_agreement(spark, folder):
-    points = B.points(spark, folder).withColumn("pid", F.monotonically_increasing_id())
+    points, raster = B.points(spark, folder).withColumn("pid", F.monotonically_increasing_id()), B.raster(spark, folder)
     cameras = points.select("frame_index").distinct().select(
-        "frame_index", B.turning_camera(F.col("frame_index")).alias("w2c"), *[F.lit(v).alias(n) for n, v in (("f", 4.0), ("cx", 3.5), ("cy", 31.5), ("k", 0.0))],
-        F.lit(8).alias("width"), F.lit(64).alias("height"))
+        "frame_index", B.turning_camera(F.col("frame_index")).alias("w2c"), *[F.lit(v).alias(n) for n, v in (("f", 4.0), ("cx", 3.5), ("cy", (raster[1] - 1) / 2), ("k", 0.0))],
+        F.lit(raster[0]).alias("width"), F.lit(raster[1]).alias("height"))
     pixels = B.pixels(spark, folder).groupBy("frame_index", "px", "py").agg(F.avg("depth").alias("depth"))
-    kept = matching.agreeing_neighbours(points, cameras, pixels, B.RASTER, maximum_log_error=0.5)
+    kept = matching.agreeing_neighbours(points, cameras, pixels, raster, maximum_log_error=0.5)
     return kept.groupBy("frame_index").agg(F.count(F.lit(1)).alias("points"))
 
 

@@ -212,14 +212,14 @@ def diagnostic_links(spark, folder):
 # --- providers -----------------------------------------------------------
 
 @query("provider_fallback_merge", """
-WITH a AS (SELECT n_nationkey AS frame_index, min(c_acctbal) AS v FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9900 GROUP BY n_nationkey),
-b AS (SELECT s_nationkey AS frame_index, min(s_acctbal) AS v FROM supplier GROUP BY s_nationkey)
+WITH a AS (SELECT n_nationkey * 2 AS frame_index, min(c_acctbal) AS v FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey),
+b AS (SELECT s_nationkey * 3 AS frame_index, min(s_acctbal) AS v FROM supplier GROUP BY s_nationkey)
 SELECT coalesce(a.frame_index, b.frame_index) AS frame_index, coalesce(a.v, b.v) AS v, CASE WHEN a.frame_index IS NOT NULL THEN 'primary' ELSE 'secondary' END AS provider
 FROM a FULL JOIN b ON a.frame_index = b.frame_index""")
 def provider_fallback_merge(spark, folder):
     nation = B.table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    primary = B.table(spark, folder, "customer").filter("c_acctbal > 9900").join(nation, "c_nationkey").groupBy(F.col("c_nationkey").alias("frame_index")).agg(F.min("c_acctbal").alias("v"))
-    secondary = B.table(spark, folder, "supplier").groupBy(F.col("s_nationkey").alias("frame_index")).agg(F.min("s_acctbal").alias("v"))
+    primary = B.table(spark, folder, "customer").join(nation, "c_nationkey").groupBy((F.col("c_nationkey") * 2).alias("frame_index")).agg(F.min("c_acctbal").alias("v"))
+    secondary = B.table(spark, folder, "supplier").groupBy((F.col("s_nationkey") * 3).alias("frame_index")).agg(F.min("s_acctbal").alias("v"))
     return matching.fallback_merge(primary, secondary, ["frame_index"], ["v"])
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir
 from ..streaming import increments
 from . import bindings as B
 from .registry import near, query, sql_near as R
@@ -23,10 +23,11 @@ cells AS (SELECT CAST(round(x / 0.25::DOUBLE) AS BIGINT) AS kx, CAST(round(y / 0
 SELECT kx, ky, kz, {R('sum(confidence * x) / sum(confidence)', 9)} AS x, {R('avg(confidence)')} AS confidence, min(frame_index) AS first_observing_frame, count(*) AS contributors
 FROM cells GROUP BY kx, ky, kz""")
 def voxel_fusion_stream(spark, folder):
-    ship_package(spark)
-    schema = spark.read.parquet(f"{folder}/lineitem.parquet").schema
-    points = B.as_points(increments.arriving(spark, folder, schema, "lineitem.parquet"))
     target = _shared_folder(spark)
+    # The table arrives in several files, each of which is a batch of its own.
+    items = B.table(spark, folder, "lineitem")
+    items.repartition(4).write.parquet(f"{target}/arrivals")
+    points = B.as_points(increments.arriving(spark, f"{target}/arrivals", items.schema, "*.parquet", files_per_trigger=1))
     increments.run_to_table(increments.voxel_stream(points, 0.25), f"{target}/table", f"{target}/state")
-    fused = spark.read.parquet(f"{target}/table")
+    fused = increments.latest(spark, f"{target}/table", ["kx", "ky", "kz"])
     return fused.select("kx", "ky", "kz", near("x", 9).alias("x"), near(F.col("confidence")).alias("confidence"), "first_observing_frame", "contributors")

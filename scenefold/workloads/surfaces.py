@@ -369,7 +369,7 @@ def plane_hypotheses(spark, folder):
 @query("dominant_planes")
 def dominant_planes(spark, folder):
     found, cells = planes.extract_planes(_surfels(spark, folder), ["l_orderkey", "l_partkey", "l_extendedprice", "l_quantity"],
-                                         ArchitectureSettings(maximum_planes=3, trials_per_plane=64, plane_distance_fraction=0.003))
+                                         ArchitectureSettings())
     return cells
 
 
