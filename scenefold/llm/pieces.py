@@ -3,7 +3,8 @@
 The distinct words of blocks of documents meet the piece table in the lattice of
 ``lattice``; each word is segmented once, whatever number of documents hold it.
 Blocks (a bounded run of documents of one scan task) then get the ids of their own
-words back and put their documents together. Texts travel in compressed blocks.
+words back and put their documents together. Texts, and a block's words of each
+hash bucket, travel compressed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from .common import slices, utf8, with_workers
 from .lattice import WORD_CHARS, best_paths, merged_paths
@@ -33,6 +35,16 @@ BROADCAST_PIECES = 300_000
 _WORD = re.compile(rb" *[^ \n]+|\n| +")
 
 
+#: Spark's xxhash64 of a string is XXH64 of its bytes with seed 42.
+_SEED = 42
+_BUCKET = "cast(pmod(xxhash64(word), {}) as int)"
+
+
+def bucket_of(word: bytes, buckets: int) -> int:
+    digest = xxh64_intdigest(word, _SEED)
+    return (digest - (1 << 64) if digest >> 63 else digest) % buckets
+
+
 def load_pieces(path: str = MODEL) -> list[tuple[str, float, int]]:
     """(piece, score, id) of the ordinary pieces of a model file; byte pieces as (<0xNN>, score, id)."""
     from sentencepiece import SentencePieceProcessor
@@ -87,25 +99,82 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int)
         yield task << 32 | number, True, held
 
 
-def _vocabulary(column: str, block_bytes: int):
+def _dealt(words: set[bytes], buckets: int) -> list[list[bytes]]:
+    """The distinct words of a block by bucket, sorted; a line feed is no word of a bucket."""
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for word in sorted({x for w in words if w != b"\n" for x in bounded(w)}):
+        out[bucket_of(word, buckets)].append(word)
+    return out
+
+
+def _vocabulary(column: str, block_bytes: int, buckets: int):
+    """(bucket, block, words): what a block has of each bucket, in one compressed value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: set[bytes] = set()
+        packer, words = zstandard.ZstdCompressor(level=9), set()
         for block, last, part in _numbered(batches, column, block_bytes):
             for text in utf8(part.column(column)):
                 words.update(split_words(text or b""))
             if last:
-                listed = [x for w in words for x in bounded(w)]
+                rows = [(i, packer.compress(b"\n".join(some))) for i, some in enumerate(_dealt(words, buckets)) if some]
                 words = set()
-                for start in range(0, len(listed), 50_000):
-                    some = pa.array(listed[start : start + 50_000], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([some, pa.array([block] * len(some), pa.int64())], ["word", "block"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())],
+                    ["bucket", "block", "words"],
+                )
 
     return run
 
 
+def _unpacked(packed: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(packed).split(b"\n")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, bucket): each word once; a bucket's rows follow one another."""
+    met: set[bytes] = set()
+    now = None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        listed = list(met)
+        for start in range(0, len(listed), 20_000):
+            some = listed[start : start + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).cast(pa.string()), pa.array([now] * len(some), pa.int32())], ["word", "bucket"])
+
+    for batch in batches:
+        for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            if bucket != now:
+                yield from told()
+                met.clear()
+                now = bucket
+            met.update(_unpacked(packed))
+    yield from told()
+
+
+def _answered(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(block, bucket, ids): lengths and ids of a block's words of one bucket, in their order."""
+    known = _word_table(right)
+    packer, rows = zstandard.ZstdCompressor(level=9), []
+    for packed in left.column("words").to_pylist():
+        ids = [known[w] for w in _unpacked(packed)]
+        lengths = np.fromiter((len(x) // 4 for x in ids), np.uint16, len(ids))
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        rows.append(packer.compress(lengths.tobytes() + (flat.astype(np.uint16) if flat.max(initial=0) < 1 << 16 else flat).tobytes()))
+    return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "ids": pa.array(rows, pa.binary())})
+
+
+def _word_table(table: pa.Table) -> dict[bytes, bytes]:
+    known: dict[bytes, bytes] = {}
+    for batch in table.to_batches():
+        ids = batch.column("ids")
+        flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        known.update(zip(utf8(batch.column("word")), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+    return known
+
+
 def _packed(column: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         for block, _, part in _numbered(batches, column, block_bytes):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, part.schema) as out:
@@ -117,31 +186,42 @@ def _packed(column: str, block_bytes: int):
     return run
 
 
-def _assembled(column: str, names: list[str]):
+def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
+    """Put a block's documents together from the ids of its words."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known: dict[bytes, bytes] = {}
-        for batch in right.to_batches():
-            ids = batch.column("ids")
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-            known.update(zip(utf8(batch.column("word")), [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        parts = [b for packed in left.column("rows").to_pylist() for b in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed))]
+        words: set[bytes] = set()
+        for batch in parts:
+            for text in utf8(batch.column(column)):
+                words.update(split_words(text or b""))
+        known = {b"\n": np.int32(line_feed).tobytes()}
+        dealt = _dealt(words, buckets)
+        for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
+            here, raw = dealt[bucket], zstandard.ZstdDecompressor().decompress(packed)
+            lengths = np.frombuffer(raw[: 2 * len(here)], np.uint16).astype(np.int64)
+            total = int(lengths.sum())
+            wide = len(raw) - 2 * len(here) == 4 * total
+            flat = np.frombuffer(raw[2 * len(here) :], np.int32 if wide else np.uint16).astype(np.int32)
+            if len(flat) != total:
+                raise ValueError("the documents changed between two reads")
+            ends = np.concatenate([[0], np.cumsum(lengths)]) * 4
+            data = flat.tobytes()
+            known.update(zip(here, [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
         tables = []
-        for packed in left.column("rows").to_pylist():
-            with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)) as stream:
-                for batch in stream:
-                    flat, ends, absent = [], [0], []
-                    for text in utf8(batch.column(column)):
-                        words = split_words(text or b"")
-                        try:
-                            flat.append(b"".join(map(known.__getitem__, words)))
-                        except KeyError:
-                            # Words too long for one lattice; a word without any entry would mean
-                            # that the two scans saw different rows, and fails here.
-                            flat.append(b"".join(known[x] for w in words for x in bounded(w)))
-                        ends.append(ends[-1] + len(flat[-1]) // 4)
-                        absent.append(text is None)
-                    values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(absent, pa.bool_()))
-                    tables.append(pa.Table.from_arrays([*[batch.column(n) for n in names], lists], [*names, "ids"]))
+        for batch in parts:
+            flat, ends, absent = [], [0], []
+            for text in utf8(batch.column(column)):
+                listed = split_words(text or b"")
+                try:
+                    flat.append(b"".join(map(known.__getitem__, listed)))
+                except KeyError:  # words too long for one lattice; any other missing word fails here
+                    flat.append(b"".join(known[x] for w in listed for x in bounded(w)))
+                ends.append(ends[-1] + len(flat[-1]) // 4)
+                absent.append(text is None)
+            values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=pa.array(absent, pa.bool_()))
+            tables.append(pa.Table.from_arrays([*[batch.column(n) for n in names], lists], [*names, "ids"]))
         return pa.concat_tables(tables)
 
     return run
@@ -187,11 +267,16 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, method: str
     table = load_pieces(model)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = docs.select(text).mapInArrow(_vocabulary(text, block_bytes), "word string, block long").repartition(tasks, "word")
-    # The words are dealt once: distinct words, lattice and join all keep that partitioning.
-    found = met.join(word_ids(met.select("word").distinct(), table, method), "word").select("block", "word", "ids")
+    buckets = 2 * tasks
+    met = docs.select(text).mapInArrow(_vocabulary(text, block_bytes, buckets), "bucket int, block long, words binary").repartition("bucket")
+    words = met.sortWithinPartitions("bucket").mapInArrow(_distinct, "word string, bucket int")
+    # More and smaller partitions for the lattice, so that grouping its edges fits in memory.
+    spread = words.repartition(4 * tasks, "word")
+    coded = word_ids(spread.select("word"), table, method).withColumn("bucket", F.expr(_BUCKET.format(buckets)))
+    found = met.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(_answered, "block long, bucket int, ids binary")
     packed = docs.mapInArrow(_packed(text, block_bytes), "block long, rows binary")
-    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_assembled(text, docs.columns), f"{shape}, ids array<int>")
+    assembled = _assembled(text, docs.columns, buckets, byte_ids(table)[10])
+    return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assembled, f"{shape}, ids array<int>")
 
 
 def _decoder(table: list[tuple[str, float, int]], column: str):
