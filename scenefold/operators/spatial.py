@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import linalg
 from ..functions import vectors as V
 from ..functions.types import VECTOR
-from ..session import settle
+from ..session import has_at_most, settle
 
 LEAF_ROWS = 256
 MAX_LEVEL = 40
@@ -215,18 +215,56 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))
 
 
-def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+# Targets of at most this many rows (32 bytes each) are held by every task.
+HELD_TARGETS = 100_000
+_SCORED = 2048
+
+
+def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS, held: int = HELD_TARGETS) -> DataFrame:
     """Nearest target at any distance; the lowest id wins a tie.
 
-    The first level is one cell spanning both sets, so there is always a walk
-    and never all pairs.
+    The targets are counted. A small side, such as the cameras of a capture, goes
+    to the tasks and each batch of queries is scored against it without a
+    shuffle. A larger one takes the cell walk of ``nearest_within``, whose first
+    level is one cell over both sets: queries then meet every occupied box of
+    that level before the bounds thin them out. Both give the same rows.
     """
+    finite = F.lit(True)
+    for axis in _AXES:
+        finite = finite & F.col(axis).isNotNull() & ~F.isnan(axis) & (F.abs(F.col(axis)) < float("inf"))
+    queries, targets = queries.select("qid", *_AXES).filter(finite), targets.select("tid", *_AXES).filter(finite)
+    if has_at_most(targets, held):
+        return _nearest_held(queries, targets)
     both = queries.select(*_AXES).unionByName(targets.select(*_AXES))
     spans = both.agg(*[(F.max(a) - F.min(a)).alias(a) for a in _AXES]).first()
     reach = float(np.sqrt(sum((spans[a] or 0.0) ** 2 for a in _AXES))) or 1.0
     return nearest_within(queries, targets, reach * (1 + 1e-9), "lowest_id", leaf_rows=leaf_rows)
 
 
+def _nearest_held(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    rows = targets.toPandas().sort_values("tid", kind="stable")
+    ids, places = rows["tid"].to_numpy(), rows[list(_AXES)].to_numpy(dtype=float)
+
+    def score(batches):
+        for pdf in batches:
+            points = pdf[list(_AXES)].to_numpy(dtype=float)
+            best, at = np.full(len(points), np.inf), np.full(len(points), -1)
+            for start in range(0, len(places), _SCORED):
+                for low in range(0, len(points), _SCORED):
+                    delta = places[None, start : start + _SCORED] - points[low : low + _SCORED, None]
+                    d2 = delta[..., 0] ** 2 + delta[..., 1] ** 2 + delta[..., 2] ** 2
+                    first = d2.argmin(axis=1)
+                    least = d2[np.arange(len(d2)), first]
+                    # Ids ascend, so an equal distance found earlier stays.
+                    closer = least < best[low : low + _SCORED]
+                    best[low : low + _SCORED][closer], at[low : low + _SCORED][closer] = least[closer], start + first[closer]
+            found = at >= 0
+            yield pd.DataFrame({"qid": pdf["qid"][found], "tid": ids[at[found]], "d2": best[found]})
+
+    kinds = dict(queries.dtypes) | dict(targets.dtypes)
+    return queries.mapInPandas(score, f"qid {kinds['qid']}, tid {kinds['tid']}, d2 double")
+
+
 _PAIRS = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
 
 

@@ -51,12 +51,21 @@ def test_nearest_and_moments_match_all_pairs(spark, clumped, leaf):
         assert moments[i].s_yz == pytest.approx((inside[:, 1] * inside[:, 2]).sum(), abs=1e-9)
 
 
-def test_nearest_without_a_radius(spark, clumped):
+@pytest.mark.parametrize("held", [10**6, 3])
+def test_nearest_without_a_radius(spark, clumped, held):
     a, b = clumped
-    found = {r.qid: r.tid for r in spatial.nearest(cloud(spark, b, "qid"), cloud(spark, a, "tid")).collect()}
+    found = {r.qid: r.tid for r in spatial.nearest(cloud(spark, b, "qid"), cloud(spark, a, "tid"), held=held).collect()}
     assert found == {i: int(((a - p) ** 2).sum(-1).argmin()) for i, p in enumerate(b)}
 
 
+def test_gaps_that_make_no_band_keep_every_candidate(spark):
+    from scenefold.settings import KeyframeSettings
+
+    frames = spark.range(9).select(F.col("id").alias("ordinal"), F.lit(0).alias("c"))
+    for fps, settings in ((float("nan"), KeyframeSettings()), (0.0, KeyframeSettings()), (30.0, KeyframeSettings(minimum_gap_seconds=2.0, maximum_gap_seconds=1.0))):
+        assert ordering.keyframes(frames, ["c"], fps, None, settings).count() == 9
+
+
 def test_one_to_one_matching_is_the_greedy_result(spark):
     rng = np.random.default_rng(3)
     a, b = rng.random((40, 3)), rng.random((50, 3))
@@ -70,6 +79,17 @@ def test_one_to_one_matching_is_the_greedy_result(spark):
     assert found == expected
 
 
+@pytest.mark.parametrize("rows", [10**6, 0])
+def test_quantiles_of_infinite_and_missing_values(spark, rows):
+    inf, nan = float("inf"), float("nan")
+    data = [("a", v) for v in (1.0, 2.0, 3.0, inf)] + [("b", v) for v in (nan, 1.0, -inf)] + [("c", inf), ("c", None), ("d", 1.7e308), ("d", -1.7e308), ("d", 0.0)]
+    frame = spark.createDataFrame(data, "k string, v double")
+    upper = {r.k: r.m for r in quantiles.upper_median(frame, ["k"], "v", "m", rows).collect()}
+    assert upper == {"a": 3.0, "b": 1.0, "c": inf, "d": 0.0}
+    most = {r.k: r.m for r in quantiles.percentiles(frame, ["k"], "v", {"m": 1.0}, rows).collect()}
+    assert most["a"] == most["c"] == inf and most["b"] != most["b"] and most["d"] == 1.7e308
+
+
 @pytest.mark.parametrize("rows", [10**6, 5])
 def test_quantiles_by_both_routes(spark, rows):
     rng = np.random.default_rng(4)
