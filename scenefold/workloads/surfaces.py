@@ -182,6 +182,57 @@ def huber_fit(spark, folder):
     return similarity.huber_fit(_pairs(spark, folder).withColumn("w", F.greatest("w", F.lit(1e-6))), ["window_index"])
 
 
+# Targets that are an exact similarity of their sources: what a fit must find is known.
+_KNOWN = f"""
+WITH {B.POINTS_SQL}
+SELECT window_index, {R('1 + window_index * 0.01::DOUBLE')} AS scale, {R('cos(window_index * 0.1::DOUBLE)')} AS r00, {R('-sin(window_index * 0.1::DOUBLE)')} AS r01,
+       {R('sin(window_index * 0.1::DOUBLE)')} AS r10, 1.0::DOUBLE AS r22, window_index::DOUBLE AS t0, 0.5::DOUBLE AS t1, -1.0::DOUBLE AS t2, count(*) AS points
+FROM pts GROUP BY window_index"""
+
+
+def _known_pairs(spark, folder):
+    w, third = F.col("window_index"), F.col("l_linenumber") % 3
+    c, s, k = F.cos(w * 0.1), F.sin(w * 0.1), 1 + w * 0.01
+    axis = lambda i: F.when(third == i, 1.0).otherwise(0.0)
+    return B.points(spark, folder).select(
+        "window_index", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"),
+        (k * (c * F.col("x") - s * F.col("y")) + w).alias("tx"), (k * (s * F.col("x") + c * F.col("y")) + 0.5).alias("ty"), (k * F.col("z") - 1).alias("tz"),
+        *[axis(i).alias(n) for i, n in enumerate(("tnx", "tny", "tnz"))], F.col("confidence").alias("w"))
+
+
+def _found(fits, pairs):
+    counted = pairs.groupBy("window_index").agg(F.count(F.lit(1)).alias("points"))
+    at = lambda name, i: near(F.get(F.col(name), F.lit(i)))
+    return fits.join(counted, "window_index").select(
+        "window_index", near("scale").alias("scale"), at("rotation", 0).alias("r00"), at("rotation", 1).alias("r01"), at("rotation", 3).alias("r10"),
+        at("rotation", 8).alias("r22"), *[at("translation", i).alias(f"t{i}") for i in range(3)], "points")
+
+
+@query("known_similarity", _KNOWN)
+def known_similarity(spark, folder):
+    pairs = _known_pairs(spark, folder)
+    return _found(similarity.fit_similarity(pairs, ["window_index"]).drop("pairs"), pairs)
+
+
+@query("known_robust", _KNOWN)
+def known_robust(spark, folder):
+    """Trimming keeps every exact pair; unit normals let the point-to-plane step run."""
+    pairs = _known_pairs(spark, folder)
+    return _found(similarity.robust_fit(pairs, ["window_index"]), pairs)
+
+
+@query("known_huber", _KNOWN)
+def known_huber(spark, folder):
+    pairs = _known_pairs(spark, folder)
+    return _found(similarity.huber_fit(pairs, ["window_index"]), pairs)
+
+
+@query("known_provider", _KNOWN)
+def known_provider(spark, folder):
+    pairs = _known_pairs(spark, folder)
+    return _found(similarity.provider_fit(pairs, ["window_index"]), pairs)
+
+
 @query("transformed_points", f"""
 WITH {B.POINTS_SQL},
 moved AS (
