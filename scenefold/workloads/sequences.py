@@ -265,3 +265,15 @@ def global_window_fit(spark, folder):
     doubled = F.transform(B.turning_camera(F.col("frame_index")), lambda v, i: F.when(i % 4 == 3, v * 2).otherwise(v))
     poses = views.select("frame_index").distinct().select("frame_index", doubled.alias("w2c"), F.lit(True).alias("registered"))
     return reports.global_window_fit(views, poses)
+
+
+@query("known_global_fit", f"""
+WITH {B.POINTS_SQL}, {B.VIEWS_SQL}
+SELECT window_index, 2.0::DOUBLE AS scale, 1.0::DOUBLE AS r00, 1.0::DOUBLE AS r22, 0.0::DOUBLE AS t0, 0.0::DOUBLE AS t2, count(*) AS pairs, count(*) >= 6 AS passed
+FROM views GROUP BY window_index""")
+def known_global_fit(spark, folder):
+    """A trajectory of twice the size: every window's fit is known."""
+    fits = global_window_fit(spark, folder)
+    at = lambda name, i: near(F.get(F.col(name), F.lit(i)))
+    return fits.select("window_index", near("scale").alias("scale"), at("rotation", 0).alias("r00"), at("rotation", 8).alias("r22"),
+                       at("translation", 0).alias("t0"), at("translation", 2).alias("t2"), F.col("pairs").cast("long").alias("pairs"), "passed")
