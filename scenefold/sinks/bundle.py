@@ -8,6 +8,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from ..errors import BundleError, PoseError
+from ..operators.ordering import chunk_numbers
 from ..operators.surface import spatial_preview
 from ..schemas import NAMESPACE, tag
 from ..settings import PreviewSettings
@@ -88,6 +89,27 @@ def publish_pose_solution(bundle: str, payload: bytes, raster_fingerprint: str)
     return hash_
 
 
+def write_point_chunks(points: DataFrame, order: list[str], bundle: str, rows: int = 50_000) -> list[str]:
+    """Fused surfels as ordered, content-addressed JSON chunks of ``rows`` points.
+
+    A chunk is one row and its size is fixed. The manifest lists the hashes in
+    order, one for each chunk; equal chunks are one file and are listed as often
+    as they come.
+    """
+    triple = lambda *names: F.array(*[F.col(n) for n in names])
+    point = F.struct(
+        triple("x", "y", "z").alias("position"), triple("nx", "ny", "nz").alias("normal"), triple("r", "g", "b").alias("color_srgb"),
+        "confidence", "radius", "first_observing_frame", "contributors")
+    packed = chunk_numbers(points, order, rows).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("ordinal", point.alias("p")))).alias("_p"))
+    documents = packed.select("chunk", F.to_json(F.struct(F.transform("_p", lambda e: e["p"]).alias("points"))).cast("binary").alias("payload"))
+    named = content_named(documents, "points-", ".json").cache()
+    write_files(named, f"{bundle}/chunks", replace=False)
+    hashes = [row["hash"] for row in named.select("chunk", "hash").orderBy("chunk").collect()]
+    named.unpersist()
+    _write_manifest(bundle, read_manifest(bundle) | {"fused_point_chunk_hashes": hashes})
+    return hashes
+
+
 def publish_product(points: DataFrame, order: list[str], bundle: str, product: str, surface_mode: str, summary: dict,
                     settings: PreviewSettings = PreviewSettings()) -> dict:
     """Write surfel chunks and preview of a world product and select it."""
