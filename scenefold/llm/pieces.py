@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .common import slices, utf8, with_workers
@@ -190,13 +190,19 @@ def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
     """Put a block's documents together from the ids of its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = [b for packed in left.column("rows").to_pylist() for b in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed))]
+        packed_rows = left.column("rows").to_pylist()
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for packed in packed_rows:
+                yield from pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed))
+
         words: set[bytes] = set()
-        for batch in parts:
+        for batch in parts():
             for text in utf8(batch.column(column)):
                 words.update(split_words(text or b""))
         known = {b"\n": np.int32(line_feed).tobytes()}
         dealt = _dealt(words, buckets)
+        del words
         for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
             here, raw = dealt[bucket], zstandard.ZstdDecompressor().decompress(packed)
             lengths = np.frombuffer(raw[: 2 * len(here)], np.uint16).astype(np.int64)
@@ -209,7 +215,7 @@ def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
             data = flat.tobytes()
             known.update(zip(here, [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], strict=True))
         tables = []
-        for batch in parts:
+        for batch in parts():
             flat, ends, absent = [], [0], []
             for text in utf8(batch.column(column)):
                 listed = split_words(text or b"")
@@ -279,32 +285,22 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, method: str
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assembled, f"{shape}, ids array<int>")
 
 
-def _decoder(table: list[tuple[str, float, int]], column: str):
-    spelled = {i: p.replace("▁", " ").encode() for p, _, i in table} | {i: bytes([b]) for b, i in enumerate(byte_ids(table))}
-    listed = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelling = pa.array(listed, pa.binary())
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                ids = part.column(column)
-                shown = pc.take(spelling, pc.list_flatten(ids))
-                ends = pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32))
-                whole = pc.binary_join(pa.ListArray.from_arrays(ends, shown), b"").to_pylist()
-                texts = [t.removeprefix(b" ").decode("utf-8", "replace") if v else None for t, v in zip(whole, ids.is_valid().to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+def spelled(ids: Column, table: list[tuple[str, float, int]]) -> Column:
+    """The text of a column of ids; bytes that form no character become U+FFFD.
 
-    return run
+    Null ids have no text, ids outside the table spell nothing.
+    """
+    shown = {i: p.replace("▁", " ").encode().hex() for p, _, i in table} | {i: f"{b:02x}" for b, i in enumerate(byte_ids(table))}
+    # One literal, which the optimiser folds into an array.
+    spelling = F.split(F.lit(",".join(shown.get(i, "") for i in range(max(shown) + 1))), ",")
+    whole = F.array_join(F.transform(ids, lambda i: F.get(spelling, i)), "")
+    text = F.make_valid_utf8(F.unhex(whole).cast("string"))
+    return F.when(text.startswith(" "), F.substr(text, F.lit(2))).otherwise(text)
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
-    """``rows`` with ``decoded``, the text of their ids; bytes that form no character become U+FFFD.
-
-    Null ids have no text. Ids outside the table spell nothing.
-    """
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("decoded").schema.fields)
-    return with_workers(rows.drop("decoded")).mapInArrow(_decoder(load_pieces(model), ids), f"{shape}, decoded string")
+    """``rows`` with ``decoded``, the text of their ids (see ``spelled``)."""
+    return rows.withColumn("decoded", spelled(F.col(ids), load_pieces(model)))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
