@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F, Window
 from xxhash import xxh64_intdigest
 
-from .common import slices, with_workers
+from .common import slices, stored, with_workers
 from .words import STEP, mixed
 
 #: Words of one chain; a longer text is several chains.
@@ -259,12 +259,14 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field | None:
     the driver receives; its size does not depend on the table's.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    # Ids first: a rank over two hashes, without carrying texts through the window.
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (
-        labelled.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
-        .withColumn("r", F.row_number().over(order)).where(F.col("r") <= train_docs).select("lang", "doc_id", "h")
-    )
+    # Copies of a text count once. A bound on the hash leaves about twice the wanted
+    # number in each language, so that the rank sees few rows however large the table is.
+    texts = stored(labelled.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id")), "texts")
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.pmod("h", F.lit(1 << 40))
+    few = texts.join(counts, "lang").where(place.cast("double") * F.col("n") < F.lit(float(2 * train_docs + 100) * (1 << 40)))
+    order = Window.partitionBy("lang").orderBy(place, "h")
+    chosen = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= train_docs).select("lang", "doc_id", "h")
     rows = labelled.select("lang", "doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "doc_id", "h"], "left_semi")
     sample = with_workers(rows.select("lang", "text").distinct()).mapInArrow(_sample_chains, "lang string, words array<string>")
     return fit([(r["lang"], list(r["words"])) for r in sample.collect()])
