@@ -40,9 +40,9 @@ _SEED = 42
 _BUCKET = "cast(pmod(xxhash64(word), {}) as int)"
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    digest = xxh64_intdigest(word, _SEED)
-    return (digest - (1 << 64) if digest >> 63 else digest) % buckets
+def buckets_of(words: list[bytes], buckets: int) -> list[int]:
+    digests = np.fromiter((xxh64_intdigest(w, _SEED) for w in words), np.uint64, len(words))
+    return (digests.view(np.int64) % buckets).tolist()
 
 
 def load_pieces(path: str = MODEL) -> list[tuple[str, float, int]]:
@@ -101,9 +101,12 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int)
 
 def _dealt(words: set[bytes], buckets: int) -> list[list[bytes]]:
     """The distinct words of a block by bucket, sorted; a line feed is no word of a bucket."""
+    if max(map(len, words), default=0) > WORD_CHARS:
+        words = {x for w in words for x in bounded(w)}
+    listed = sorted(words - {b"\n"})
     out: list[list[bytes]] = [[] for _ in range(buckets)]
-    for word in sorted({x for w in words if w != b"\n" for x in bounded(w)}):
-        out[bucket_of(word, buckets)].append(word)
+    for word, bucket in zip(listed, buckets_of(listed, buckets), strict=True):
+        out[bucket].append(word)
     return out
 
 
