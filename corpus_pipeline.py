@@ -14,7 +14,7 @@ from scenefold.llm.common import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, and those of no clear language, go."""
+    """Documents without letters go; those of several languages stay."""
     return languages.keep_identified(docs)
 
 

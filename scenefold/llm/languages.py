@@ -322,9 +322,13 @@ def language_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a mean posterior of ``least``."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that have a language, be it one of several in the text.
+
+    ``score`` does not decide: it is the share of the best language, which is small in
+    a code-switched text however certain each word is.
+    """
     names = docs.columns
     found = predict(docs.withColumnsRenamed({c: f"_llm_{c}" for c in names if c in ("lang_pred", "score")}), train(docs.select("doc_id", "text", "lang")))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
+    kept = found.where(F.col("lang_pred") != "und").drop("lang_pred", "score")
     return kept.withColumnsRenamed({f"_llm_{c}": c for c in ("lang_pred", "score")}).select(*names)

@@ -74,3 +74,15 @@ def test_nothing_to_learn_and_kept_columns(documents):
     docs = documents([*texts(40), (90, "12 34", "en"), (91, None, "en")]).selectExpr("*", "7 as score")
     kept = languages.keep_identified(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(40)) and kept.first().score == 7
+
+
+def test_texts_of_several_languages_and_of_one_word_are_kept(documents):
+    french = "le renard brun rapide saute par dessus chien paresseux puis ce fut la fin de cette histoire avec vous".split()
+    rng = np.random.default_rng(9)
+    lists = {"en": ENGLISH, "de": GERMAN, "fr": french}
+    rows = [(i, " ".join(rng.choice(lists[lang], 40)), lang) for i, lang in enumerate(list(lists) * 30)]
+    mixed = [(200, " ".join(ENGLISH[:15] + GERMAN[:15] + french[:15]), "en"), (201, " ".join(ENGLISH[:15] + GERMAN[:15]), "en"), (202, "xylo", "en"), (203, "chien und", "fr")]
+    docs = documents([*rows, *mixed, (204, "12 !", "en")])
+    # The best language of the even text is sure of its words, but has a third of them.
+    assert languages.predict(docs, languages.train(docs)).where("doc_id = 200 and score < 0.5").count() == 1
+    assert {r.doc_id for r in languages.keep_identified(docs).where("doc_id >= 200").collect()} == {200, 201, 202, 203}
