@@ -4,14 +4,18 @@ Substrings of bounded length are exploded, joined with the piece table by
 equality and grouped by word. A higher-order ``aggregate`` folds the edges: into
 the Viterbi table of the best path (``best_paths``), or into the cuts that remain
 after merging pairs by rank (``merged_paths``, what a BPE piece table means).
+``best_pieces`` and ``merged_pieces`` do the same to one long word at a time, whose
+edges and cuts would be copied too often as columns.
 """
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Longer words are cut into blocks of this many characters before the lattice.
-WORD_CHARS = 256
+#: Words of more bytes are long: they are segmented one at a time.
+WORD_BYTES = 256
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -108,3 +112,59 @@ def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame
         return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, F.get(F.col("single"), b)["id"]).otherwise(piece).alias("id"))
 
     return cut.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol).alias("path"))
+
+
+def merged_pieces(word: str, pieces: dict[str, tuple[float, int]]) -> list[str]:
+    """The symbols of ``word`` after all merges of ``merged_paths``, in O(n log n) for n characters.
+
+    ``pieces`` has (score, id) of each piece. Symbols are a linked list of their
+    ends; the best join comes from a heap, in which joins that no longer stand are
+    passed over.
+    """
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def join(b: int, middle: int) -> tuple[float, int, int, int] | None:
+        found = pieces.get(word[b : ends[middle]])
+        return (-found[0], b, middle, ends[middle]) if found is not None else None
+
+    heap = [x for b in range(n - 1) if (x := join(b, b + 1)) is not None]
+    heapify(heap)
+    while heap:
+        _, b, middle, e = heappop(heap)
+        # A symbol that was merged into its left neighbour has end 0.
+        if ends[b] != middle or ends[middle] != e:
+            continue
+        ends[b], ends[middle] = e, 0
+        if e < n:
+            before[e] = b
+            if (x := join(b, e)) is not None:
+                heappush(heap, x)
+        if b and (x := join(before[b], b)) is not None:
+            heappush(heap, x)
+    out, at = [], 0
+    while at < n:
+        out.append(word[at : ends[at]])
+        at = ends[at]
+    return out
+
+
+def best_pieces(word: str, pieces: dict[str, tuple[float, int]], longest: int, unknown: float) -> list[str]:
+    """The pieces of the best path of ``best_paths`` through ``word``."""
+    best, lengths = [0.0], [0]
+    for e in range(1, len(word) + 1):
+        total, length = None, 0
+        for l in range(min(longest, e), 0, -1):
+            found = pieces.get(word[e - l : e])
+            if found is None and l > 1:
+                continue
+            here = best[e - l] + (found[0] if found is not None else unknown)
+            if total is None or here > total:
+                total, length = here, l
+        best.append(total)
+        lengths.append(length)
+    out, at = [], len(word)
+    while at:
+        out.append(word[at - lengths[at] : at])
+        at -= lengths[at]
+    return out[::-1]

@@ -10,7 +10,7 @@ hash bucket, travel compressed.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .common import slices, utf8, with_workers
-from .lattice import WORD_CHARS, best_paths, merged_paths
+from .lattice import WORD_BYTES, best_paths, best_pieces, merged_paths, merged_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of one block, about; bounds what a task of the last step holds.
@@ -77,14 +77,6 @@ def split_words(text: bytes) -> list[bytes]:
     return list(filter(None, text.replace(b"\n", b"\0\n\0").replace(b" ", b"\0 ").split(b"\0")))
 
 
-def bounded(word: bytes) -> list[bytes]:
-    """A word in blocks of WORD_CHARS characters, so that a lattice is bounded."""
-    if len(word) <= WORD_CHARS:
-        return [word]
-    chars = word.decode()
-    return [chars[i : i + WORD_CHARS].encode() for i in range(0, len(chars), WORD_CHARS)]
-
-
 def _numbered(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
     """(block, last of it, rows): a task's rows in blocks of about ``block_bytes`` of text."""
     task, number, size, held = TaskContext.get().partitionId(), 0, 0, None
@@ -100,10 +92,8 @@ def _numbered(batches: Iterator[pa.RecordBatch], column: str, block_bytes: int)
 
 
 def _dealt(words: set[bytes], buckets: int) -> list[list[bytes]]:
-    """The distinct words of a block by bucket, sorted; a line feed is no word of a bucket."""
-    if max(map(len, words), default=0) > WORD_CHARS:
-        words = {x for w in words for x in bounded(w)}
-    listed = sorted(words - {b"\n"})
+    """The distinct words of a block by bucket, sorted; a line feed and long words are in no bucket."""
+    listed = sorted(w for w in words if len(w) <= WORD_BYTES and w != b"\n")
     out: list[list[bytes]] = [[] for _ in range(buckets)]
     for word, bucket in zip(listed, buckets_of(listed, buckets), strict=True):
         out[bucket].append(word)
@@ -189,8 +179,8 @@ def _packed(column: str, block_bytes: int):
     return run
 
 
-def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
-    """Put a block's documents together from the ids of its words."""
+def _assembled(column: str, names: list[str], buckets: int, line_feed: int, long_ids: Callable[[str], list[int]]):
+    """Put a block's documents together from the ids of its words; ``long_ids`` gives those of long words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         packed_rows = left.column("rows").to_pylist()
@@ -204,6 +194,7 @@ def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
             for text in utf8(batch.column(column)):
                 words.update(split_words(text or b""))
         known = {b"\n": np.int32(line_feed).tobytes()}
+        known.update((w, np.array(long_ids(w.decode()), np.int32).tobytes()) for w in words if len(w) > WORD_BYTES)
         dealt = _dealt(words, buckets)
         del words
         for bucket, packed in zip(right.column("bucket").to_pylist(), right.column("ids").to_pylist(), strict=True):
@@ -221,11 +212,7 @@ def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
         for batch in parts():
             flat, ends, absent = [], [0], []
             for text in utf8(batch.column(column)):
-                listed = split_words(text or b"")
-                try:
-                    flat.append(b"".join(map(known.__getitem__, listed)))
-                except KeyError:  # words too long for one lattice; any other missing word fails here
-                    flat.append(b"".join(known[x] for w in listed for x in bounded(w)))
+                flat.append(b"".join(map(known.__getitem__, split_words(text or b""))))
                 ends.append(ends[-1] + len(flat[-1]) // 4)
                 absent.append(text is None)
             values = pa.array(np.frombuffer(b"".join(flat), dtype=np.int32))
@@ -236,6 +223,19 @@ def _assembled(column: str, names: list[str], buckets: int, line_feed: int):
     return run
 
 
+def long_word_ids(table: list[tuple[str, float, int]], method: str = "merge") -> Callable[[str], list[int]]:
+    """The ids of one word of any length, the same as ``word_ids`` gives."""
+    known = {p.replace("▁", " "): (s, i) for p, s, i in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)}
+    spare = byte_ids(table)
+    longest, unknown = max(map(len, known)), min(s for s, _ in known.values()) - 10.0
+
+    def run(word: str) -> list[int]:
+        parts = merged_pieces(word, known) if method == "merge" else best_pieces(word, known, longest, unknown)
+        return [i for p in parts for i in ([known[p][1]] if p in known else [spare[b] for b in p.encode()])]
+
+    return run
+
+
 def word_ids(words: DataFrame, table: list[tuple[str, float, int]], method: str = "merge") -> DataFrame:
     """(word, ids): the ids of each distinct word; spaces stand for the table's word mark.
 
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, method: str
     coded = word_ids(spread.select("word"), table, method).withColumn("bucket", F.expr(_BUCKET.format(buckets)))
     found = met.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(_answered, "block long, bucket int, ids binary")
     packed = docs.mapInArrow(_packed(text, block_bytes), "block long, rows binary")
-    assembled = _assembled(text, docs.columns, buckets, byte_ids(table)[10])
+    assembled = _assembled(text, docs.columns, buckets, byte_ids(table)[10], long_word_ids(table, method))
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assembled, f"{shape}, ids array<int>")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +34,31 @@ def test_merges_equal_the_library_on_many_words(spark):
         assert list(r.ids) == library.encode(r.word[1:]), r.word
 
 
+def unspaced():
+    rng = random.Random(12)
+    draw = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    words = [draw(["the", "ing", "station", "a", "er", "qu", "Z", "é"], 1500), draw("abcdefghijklmnopqrstuvwxyz", 5000), draw("ABCDEFabcdef0123456789+/", 4000)]
+    return [*words, draw([chr(c) for c in range(0x4E00, 0x4E80)] + list("的是一"), 3000), " " * 3001 + "x", "ab" + " " * 700 + "\n" + " " * 900, "word " + draw("aeiou漢\0", 2000) + " word", "=" * 4001]
+
+
+def test_long_unspaced_words_equal_the_library(documents):
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = unspaced()
+    rows = pieces.decode(pieces.encode(documents([*enumerate(texts), (99, texts[0])]), block_bytes=6000)).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert list(r.ids) == library.encode(r.text) and r.decoded == r.text, r.text[:40]
+
+
+def test_long_words_are_segmented_like_short_ones(spark):
+    table, rng = pieces.load_pieces(), random.Random(13)
+    words = {" " + "".join(rng.choice(["the", "on", "s", "a", "漢", "é", " "]) for _ in range(n)) for n in range(1, 25)}
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    for method in ("merge", "viterbi"):
+        one = pieces.long_word_ids(table, method)
+        assert all(list(r.ids) == one(r.word) for r in pieces.word_ids(frame, table, method).collect())
+
+
 def test_viterbi_equals_every_segmentation(spark):
     table = [("a", -3.0, 0), ("b", -3.5, 1), ("ab", -5.0, 2), ("ba", -4.0, 3), ("aba", -7.9, 4), ("bb", -7.0, 5)]
     score = {p: s for p, s, _ in table}
