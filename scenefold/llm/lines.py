@@ -24,10 +24,12 @@ def _hashes(lines: Column) -> Column:
     """Per line (h1, h2), a 128-bit fingerprint of its key; null for an empty key."""
 
     # Two steps, so that the key is computed once: lambdas share no subexpressions.
+    # xxhash64 goes on from the hash of its first argument: the key comes last in h2, so
+    # that keys of one h1 do not agree in h2 as well.
     keys = F.transform(lines, line_key)
     return F.transform(
         keys,
-        lambda key: F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2"))),
+        lambda key: F.when(key != "", F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))),
     )
 
 
