@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archives, chunks, hosts, languages, leaks, lines, neardup, pieces, secrets, vectors
+from . import archives, chunks, hosts, languages, leaks, lines, neardup, periods, phrases, pieces, secrets, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,6 +56,18 @@ def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return hosts.judge(_table(spark, folder, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periods.run_report(_table(spark, folder, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents"), longest=5, least=100, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -67,10 +79,14 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op3_warc": archives.CAPTURE_SQL,
     "op6_line_dedup": lines.LINE_SQL,
     "op8_benchmark_decontamination": leaks.LEAK_SQL,
+    "op13_collocations": phrases.COLLOCATION_SQL,
 }
