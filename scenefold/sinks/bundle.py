@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -13,8 +14,9 @@ from ..operators.surface import spatial_preview
 from ..schemas import NAMESPACE, tag
 from ..settings import PreviewSettings
 from ..sources.files import open_file
-from .clouds import surfel_chunks
-from .writers import content_named, exists, write_atomic, write_files
+from .clouds import write_surfels
+from .committed import save
+from .writers import exists, write_atomic
 
 LISTS = ("measured_chunk_hashes", "pose_solution_hashes", "fused_point_chunk_hashes")
 
@@ -45,31 +47,35 @@ def _publish(bundle: str, column: str, hashes: list[str]) -> dict:
     return _write_manifest(bundle, manifest)
 
 
-def write_windows(views: DataFrame, points: DataFrame, bundle: str, schedule: DataFrame) -> list[str]:
-    """One content-addressed JSON chunk per window; an equal window is written once.
-
-    A window holds at most a dozen frames of one raster each. The hash list (one
-    entry per window) is what reaches the manifest.
-    """
+def _point_text(last: list) -> object:
     triple = lambda *names: F.array(*[F.col(n) for n in names])
-    point = F.struct(
+    return F.to_json(F.struct(
         triple("x", "y", "z").alias("position"), triple("nx", "ny", "nz").alias("normal"), triple("r", "g", "b").alias("color_srgb"),
-        "confidence", "radius", triple("px", "py").alias("source_pixel"))
-    packed = points.groupBy("window_index", "frame_index").agg(F.array_sort(F.collect_list(F.struct("py", "px", point.alias("p")))).alias("_p"))
-    view = views.join(packed, ["window_index", "frame_index"], "left").select("window_index", F.struct(
-        "frame_index", F.struct(F.col("k").alias("intrinsics"), F.col("w2c").alias("world_to_camera")).alias("camera"),
-        F.coalesce(F.transform("_p", lambda e: e["p"]), F.array()).alias("points")).alias("v"))
-    chunks = view.groupBy("window_index").agg(F.array_sort(F.collect_list(F.struct(F.col("v.frame_index").alias("f"), "v"))).alias("_v"))
-    documents = chunks.join(schedule.select("window_index", "start", "stop"), "window_index").select(
-        "window_index", F.to_json(F.struct(
-            F.struct(F.col("window_index").alias("index"), "start", F.col("stop").alias("end")).alias("window"),
-            F.transform("_v", lambda e: e["v"]).alias("views"))).cast("binary").alias("payload"))
-    named = content_named(documents, "", ".json").cache()
-    write_files(named, f"{bundle}/chunks", replace=False)
-    hashes = [row["hash"] for row in named.select("hash").collect()]
-    named.unpersist()
-    _publish(bundle, "measured_chunk_hashes", hashes)
-    return hashes
+        "confidence", "radius", *last))
+
+
+def _indexed(bundle: str, column: str, index: str, commit: dict, replace: bool) -> dict:
+    """Name an index folder in the manifest; the hashes stay in its rows."""
+    manifest = read_manifest(bundle)
+    indexes = manifest.setdefault("chunk_indexes", {})
+    indexes[column] = [index] if replace else [*indexes.get(column, []), index]
+    _write_manifest(bundle, manifest)
+    return {"index": index, "chunks": commit["chunks"], "rows": commit["rows"]}
+
+
+def write_windows(views: DataFrame, points: DataFrame, bundle: str, schedule: DataFrame) -> dict:
+    """One content-addressed JSON chunk per window, streamed view by view; an equal window is one file.
+
+    The manifest names the index of the chunks, a table with a row per window; the
+    returned record has its place and sums.
+    """
+    camera = F.to_json(F.struct(F.col("k").alias("intrinsics"), F.col("w2c").alias("world_to_camera")))
+    rows = points.select("window_index", "frame_index", "py", "px", _point_text([F.array("px", "py").alias("source_pixel")]).alias("point"))
+    view = views.select("window_index", "frame_index", camera.alias("camera")).join(schedule.select("window_index", "start", "stop"), "window_index")
+    index = f"index/{uuid.uuid4().hex}"
+    commit = save(view.join(rows, ["window_index", "frame_index"], "left"), "scene_windows", f"{bundle}/{index}", "window_index",
+                  ["frame_index", "py", "px"], named="hash", chunks=f"{bundle}/chunks")
+    return _indexed(bundle, "measured_chunk_hashes", index, commit, replace=False)
 
 
 def publish_raster(bundle: str, fingerprint: str) -> dict:
@@ -89,42 +95,31 @@ def publish_pose_solution(bundle: str, payload: bytes, raster_fingerprint: str)
     return hash_
 
 
-def write_point_chunks(points: DataFrame, order: list[str], bundle: str, rows: int = 50_000) -> list[str]:
+def write_point_chunks(points: DataFrame, order: list[str], bundle: str, rows: int = 50_000) -> dict:
     """Fused surfels as ordered, content-addressed JSON chunks of ``rows`` points.
 
-    A chunk is one row and its size is fixed. The manifest lists the hashes in
-    order, one for each chunk; equal chunks are one file and are listed as often
-    as they come.
+    The index lists the chunks in order; equal chunks are one file and are listed as
+    often as they come.
     """
-    triple = lambda *names: F.array(*[F.col(n) for n in names])
-    point = F.struct(
-        triple("x", "y", "z").alias("position"), triple("nx", "ny", "nz").alias("normal"), triple("r", "g", "b").alias("color_srgb"),
-        "confidence", "radius", "first_observing_frame", "contributors")
-    packed = chunk_numbers(points, order, rows).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("ordinal", point.alias("p")))).alias("_p"))
-    documents = packed.select("chunk", F.to_json(F.struct(F.transform("_p", lambda e: e["p"]).alias("points"))).cast("binary").alias("payload"))
-    named = content_named(documents, "points-", ".json").cache()
-    write_files(named, f"{bundle}/chunks", replace=False)
-    hashes = [row["hash"] for row in named.select("chunk", "hash").orderBy("chunk").collect()]
-    named.unpersist()
-    _write_manifest(bundle, read_manifest(bundle) | {"fused_point_chunk_hashes": hashes})
-    return hashes
+    numbered = chunk_numbers(points, order, rows).select("chunk", "ordinal", _point_text(["first_observing_frame", "contributors"]).alias("point"))
+    index = f"index/{uuid.uuid4().hex}"
+    commit = save(numbered, "scene_points", f"{bundle}/{index}", "chunk", ["ordinal"], named="hash", prefix="points-", chunks=f"{bundle}/chunks")
+    return _indexed(bundle, "fused_point_chunk_hashes", index, commit, replace=True)
 
 
 def publish_product(points: DataFrame, order: list[str], bundle: str, product: str, surface_mode: str, summary: dict,
                     settings: PreviewSettings = PreviewSettings()) -> dict:
     """Write surfel chunks and preview of a world product and select it."""
-    chunks = surfel_chunks(points, order, settings.chunk_rows).cache()
-    write_files(chunks, f"{bundle}/chunks", replace=False)
-    hashes = [row["hash"] for row in chunks.select("chunk", "hash").orderBy("chunk").collect()]
-    chunks.unpersist()
+    index, preview_index = f"index/{uuid.uuid4().hex}", f"index/{uuid.uuid4().hex}"
+    named = {"named": "hash", "prefix": "points-", "chunks": f"{bundle}/chunks"}
+    whole = write_surfels(points, order, f"{bundle}/{index}", settings.chunk_rows, **named)
     preview = spatial_preview(points, order, settings)
-    previews = surfel_chunks(preview.withColumn("_first", ~F.col("anchor")).drop("anchor").withColumnRenamed("ordinal", "_source"),
-                             ["_first", "_source"], settings.chunk_rows).cache()
-    write_files(previews, f"{bundle}/chunks", replace=False)
-    preview_hashes = [row["hash"] for row in previews.select("chunk", "hash").orderBy("chunk").collect()]
-    previews.unpersist()
-    entry = {"id": product, "surface_mode": surface_mode, "summary": summary, "point_binary_chunk_hashes": hashes,
-             "preview_point_binary_chunk_hashes": preview_hashes, "source_frames": [], "depth_frame_count": 0, "architecture_mesh": None}
+    few = preview.withColumn("_first", ~F.col("anchor")).drop("anchor").withColumnRenamed("ordinal", "_source")
+    part = write_surfels(few, ["_first", "_source"], f"{bundle}/{preview_index}", settings.chunk_rows, **named)
+    entry = {"id": product, "surface_mode": surface_mode, "summary": summary,
+             "point_binary_chunks": {"index": index, "chunks": whole["chunks"], "rows": whole["rows"]},
+             "preview_point_binary_chunks": {"index": preview_index, "chunks": part["chunks"], "rows": part["rows"]},
+             "source_frames": [], "depth_frame_count": 0, "architecture_mesh": None}
     manifest = read_manifest(bundle)
     others = [p for p in manifest["world_products"] if p["id"] != product]
     manifest["world_products"] = sorted([*others, entry], key=lambda p: p["id"])

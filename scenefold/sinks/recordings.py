@@ -2,52 +2,21 @@
 
 from __future__ import annotations
 
-import struct
+from pyspark.sql import DataFrame
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from ..errors import ExportError
-from ..sources.recordings import window_lengths
-from .writers import write_atomic, write_files
+from ..sources.files import chunk_path, committed_chunks
+from .committed import save
 
 
 def write_input_parts(views: DataFrame, pixels: DataFrame, header: dict, folder: str) -> list[str]:
     """Write a version 3 recording as parts: a header, then one part for each window.
 
-    The parts in name order, put end to end, are the recording. ``views`` and
-    ``pixels`` have the columns of ``scan_input``, ``header`` its numbers; every
-    scheduled view must hold one row for each pixel. A task packs one view, and
-    a window is at most ``size`` views.
+    The returned parts, put end to end, are the recording. ``views`` and ``pixels``
+    have the columns of ``scan_input``, ``header`` its numbers; every scheduled view
+    must hold one row for each pixel. A task streams its windows and holds one view;
+    nothing is listed unless all windows are whole.
     """
-    height, width = header["height"], header["width"]
-    schedule = window_lengths(header["frames"], header["size"], header["overlap"])
-    plane = height * width
-
-    def view(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = (pdf["py"] * width + pdf["px"]).to_numpy()
-        if len(pdf) != plane or len(np.unique(at)) != plane or at.min() < 0 or at.max() >= plane:
-            raise ExportError("a view needs each pixel of its raster once")
-        rows = pdf.iloc[np.argsort(at)]
-        numbers = [np.asarray(rows["k"].iloc[0]), np.asarray(rows["w2c"].iloc[0]), rows["depth"].to_numpy(), rows["confidence"].to_numpy()]
-        payload = np.concatenate(numbers).astype("<f4").tobytes() + rows[["r", "g", "b"]].to_numpy(dtype=np.uint8).tobytes()
-        first = rows.iloc[0]
-        return pd.DataFrame({"window_index": [int(first["window_index"])], "frame_index": [int(first["frame_index"])], "payload": [payload]})
-
     joined = pixels.join(views.select("window_index", "frame_index", "k", "w2c"), ["window_index", "frame_index"])
-    packed = joined.groupBy("window_index", "frame_index").applyInPandas(view, "window_index int, frame_index int, payload binary")
-    length = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("n", 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)]))
-    windows = packed.groupBy("window_index").agg(
-        F.array_sort(F.collect_list(F.struct("frame_index", "payload"))).alias("_v"), F.count(F.lit(1)).cast("int").alias("n"))
-    joined_up = F.aggregate("_v", length, lambda whole, v: F.concat(whole, v["payload"]))
-    parts = windows.select("n", "window_index", F.format_string("part-%05d", F.col("window_index") + 1).alias("name"), joined_up.alias("payload")).cache()
-    counts = {row["window_index"]: row["n"] for row in parts.select("window_index", "n").collect()}
-    if counts != {i: n for i, (_, n) in enumerate(schedule)}:
-        raise ExportError("the views do not follow the window schedule")
-    head = b"VPS1" + struct.pack("<IIIIIIdfI", 3, header["frames"], height, width, header["size"], header["overlap"], header["percentile"], header["point_size"], header["minimum_overlap"])
-    head += struct.pack("<II", int(header["icp"]) | int(header["loops"]) << 1, len(schedule))
-    write_atomic(f"{folder}/part-00000", head)
-    write_files(parts, folder)
-    parts.unpersist()
-    return [f"{folder}/part-{i:05d}" for i in range(len(schedule) + 1)]
+    numbers = {k: v for k, v in header.items() if k != "views"}
+    save(joined, "scene_recording", folder, "window_index", ["frame_index", "py", "px"], **numbers)
+    return [chunk_path(folder, row) for row in committed_chunks(folder)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..errors import BundleError
 from ..schemas import POSE_SOLUTION, RASTER_MANIFEST, tag_pattern
+from .files import committed
 
 _POINT = (
     "position:array<double>,normal:array<double>,color_srgb:array<short>,confidence:double,radius:double"
@@ -38,11 +39,21 @@ def open_manifest(spark: SparkSession, bundle: str) -> DataFrame:
     return manifest
 
 
-def published(manifest: DataFrame, column: str) -> DataFrame:
-    """Hashes of a manifest list as rows."""
-    if column not in manifest.columns:
-        return manifest.sparkSession.createDataFrame([], "hash string")
-    return manifest.select(F.explode(column).alias("hash"))
+def published(manifest: DataFrame, column: str, bundle: str | None = None) -> DataFrame:
+    """Published chunks of a kind as ``chunk, hash``: the manifest's own list, then the rows of its indexes.
+
+    Without ``bundle`` only the list is read.
+    """
+    spark = manifest.sparkSession
+    rows = spark.createDataFrame([], "chunk long, hash string")
+    if column in manifest.columns and dict(manifest.dtypes)[column] == "array<string>":
+        rows = manifest.select(F.posexplode(column).alias("chunk", "hash"))
+    if bundle is not None and "chunk_indexes" in manifest.columns and column in manifest.select("chunk_indexes.*").columns:
+        parts = [f"{bundle}/{index}/{part}" for index in manifest.select(f"chunk_indexes.{column}").first()[0]
+                 for part in (committed(f"{bundle}/{index}") or {"parts": []})["parts"]]
+        if parts:
+            rows = rows.unionByName(spark.read.schema("chunk long, hash string").json(parts))
+    return rows
 
 
 def require_published(manifest: DataFrame, column: str, hash_: str) -> None:
@@ -64,7 +75,7 @@ def scan_windows(spark: SparkSession, bundle: str) -> tuple[DataFrame, DataFrame
 
     Chunk names sort by hash, not by time: ordered operators use ``window_index``.
     """
-    hashes = published(open_manifest(spark, bundle), "measured_chunk_hashes")
+    hashes = published(open_manifest(spark, bundle), "measured_chunk_hashes", bundle)
     chunks = spark.read.schema(WINDOW).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{bundle}/chunks").select(
         F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("hash"), "window", "views")
     views = chunks.join(hashes, "hash", "left_semi").filter("window is not null").select(
@@ -86,7 +97,7 @@ def scan_fused(spark: SparkSession, bundle: str, hash_: str) -> tuple[DataFrame,
 
 def scan_point_chunks(spark: SparkSession, bundle: str) -> DataFrame:
     """Surfels of the ordered point chunks: ``chunk, position`` is their order."""
-    hashes = open_manifest(spark, bundle).select(F.posexplode("fused_point_chunk_hashes").alias("chunk", "hash"))
+    hashes = published(open_manifest(spark, bundle), "fused_point_chunk_hashes", bundle)
     stored = spark.read.schema(POINTS_CHUNK).option("multiLine", True).option("pathGlobFilter", "points-*.json").json(f"{bundle}/chunks").select(
         F.regexp_extract("_metadata.file_name", r"^points-(.*)\.json$", 1).alias("hash"), "points")
     return stored.join(hashes, "hash").select("chunk", F.posexplode("points").alias("position", "p")).select(

@@ -7,6 +7,8 @@ their own range, so one large file is read by many tasks.
 
 from __future__ import annotations
 
+import fnmatch
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -37,6 +39,51 @@ def read_range(path: str, offset: int, length: int) -> bytes:
     return payload
 
 
+COMMITTED = "_commits/current.json"
+
+
+def committed(folder: str) -> dict | None:
+    """What the last commit of a folder of ``sinks.committed`` says, or None without one."""
+    system, inner = arrow_fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (arrow_fs.LocalFileSystem(), folder)
+    if system.get_file_info(f"{inner}/{COMMITTED}").type == arrow_fs.FileType.NotFound:
+        return None
+    with system.open_input_stream(f"{inner}/{COMMITTED}") as handle:
+        return json.loads(handle.read().decode())
+
+
+def committed_chunks(folder: str) -> list[dict]:
+    """Index rows (chunk, name, hash, rows, bytes) of a committed folder in chunk order."""
+    rows = []
+    for part in (committed(folder) or {"parts": []})["parts"]:
+        with open_file(f"{folder}/{part}") as handle:
+            rows += [json.loads(line) for line in handle.read().decode().splitlines()]
+    return sorted(rows, key=lambda r: r["chunk"])
+
+
+def chunk_path(folder: str, row: dict) -> str:
+    """Where a chunk of an index row is: a whole path, or one inside the folder."""
+    return row["name"] if row["name"].startswith("/") or "://" in row["name"] else f"{folder}/{row['name']}"
+
+
+def list_files(path: str, pattern: str = "*") -> list[str]:
+    """The files of a path: itself, what was committed to it, or what matches in its folder, in order."""
+    head, _, last = path.rstrip("/").rpartition("/")
+    system, inner = arrow_fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (arrow_fs.LocalFileSystem(), path)
+    kind = system.get_file_info(inner).type
+    if kind == arrow_fs.FileType.File:
+        return [path]
+    if kind == arrow_fs.FileType.Directory:
+        if committed(path) is not None:
+            return [chunk_path(path, row) for row in committed_chunks(path)]
+        head, last = path.rstrip("/"), pattern
+    elif not any(c in last for c in "*?["):
+        return []
+    folder = inner if kind == arrow_fs.FileType.Directory else inner.rstrip("/").rpartition("/")[0]
+    listed = system.get_file_info(arrow_fs.FileSelector(folder))
+    names = sorted(i.base_name for i in listed if i.type == arrow_fs.FileType.File and not i.base_name.startswith(("_", ".")))
+    return [f"{head}/{n}" for n in names if fnmatch.fnmatch(n, last)]
+
+
 def decode_ranges(ranges: DataFrame, decode: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
     """Apply ``decode(payload, row)`` to each ``path, offset, length`` row."""
 

@@ -169,8 +169,8 @@ def batch_pixels(batches: DataFrame) -> DataFrame:
 SEMANTIC_MAGIC = b"VSEM1"
 
 
-def scan_semantic_masks(spark: SparkSession, path: str) -> DataFrame:
-    """Class and confidence of every mask pixel; every frame is its own read."""
+def mask_header(path: str) -> tuple[np.ndarray, int, int, int]:
+    """Frame numbers, width, height and the place of the first class plane."""
     with open_file(path) as handle:
         head = handle.read(17)
         if head[:5] != SEMANTIC_MAGIC or len(head) < 17:
@@ -182,6 +182,13 @@ def scan_semantic_masks(spark: SparkSession, path: str) -> DataFrame:
             raise ImportFormatError("unexpected mask length")
     if len(indices) != frames or (np.diff(indices) <= 0).any():
         raise ImportFormatError("mask frames must increase")
+    return indices, width, height, classes
+
+
+def scan_semantic_masks(spark: SparkSession, path: str) -> DataFrame:
+    """Class and confidence of every mask pixel; every frame is its own read."""
+    indices, width, height, classes = mask_header(path)
+    frames, plane = len(indices), width * height
     half = frames * plane
     ranges = spark.createDataFrame(
         [(path, int(classes + i * plane), int(plane), int(f)) for i, f in enumerate(indices)],

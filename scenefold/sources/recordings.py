@@ -37,8 +37,12 @@ def _read(handle, layout: str):
 
 
 def read_input_header(path: str) -> dict:
-    """Header of a VPS1 file (versions 2 and 3) and the offset of every view."""
-    with open_file(path) as handle:
+    """Header of a VPS1 file (versions 2 and 3) and the place of every view.
+
+    ``path`` may be a comma-separated list: the header and one part for each window.
+    """
+    files = path.split(",")
+    with open_file(files[0]) as handle:
         if handle.read(4) != b"VPS1":
             raise ImportFormatError("not a VPS1 recording")
         version, frames, height, width, size, overlap, percentile, point_size, minimum = _read(handle, "IIIIIIdfI")
@@ -46,20 +50,24 @@ def read_input_header(path: str) -> dict:
             raise ImportFormatError(f"unsupported version {version}")
         branches = _read(handle, "I")[0] if version == 3 else 0
         windows = _read(handle, "I")[0]
-        plane = width * height
-        schedule = window_lengths(frames, size, overlap) if frames and 0 <= overlap < size and size >= 2 else []
-        if plane == 0 or branches & ~3 or len(schedule) != windows or not 0 <= percentile <= 100 or not point_size > 0:
-            raise ImportFormatError("invalid VPS1 header")
-        view_bytes = 4 * 21 + 11 * plane
-        offset, views = handle.tell(), []
-        for index, (start, length) in enumerate(schedule):
-            handle.seek(offset)
-            if _read(handle, "I")[0] != length:
+        offset = handle.tell()
+    plane = width * height
+    schedule = window_lengths(frames, size, overlap) if frames and 0 <= overlap < size and size >= 2 else []
+    if plane == 0 or branches & ~3 or len(schedule) != windows or not 0 <= percentile <= 100 or not point_size > 0:
+        raise ImportFormatError("invalid VPS1 header")
+    if len(files) not in (1, 1 + windows):
+        raise ImportFormatError("a recording in parts has one part for each window")
+    view_bytes, views = 4 * 21 + 11 * plane, []
+    for index, (start, length) in enumerate(schedule):
+        where = files[0] if len(files) == 1 else files[1 + index]
+        offset = offset if len(files) == 1 else 0
+        with open_file(where) as handle:
+            if handle.read_at(4, offset) != struct.pack("<I", length):
                 raise ImportFormatError("a window does not follow the schedule")
-            views += [(path, offset + 4 + view_bytes * i, view_bytes, index, start + i) for i in range(length)]
+            views += [(where, offset + 4 + view_bytes * i, view_bytes, index, start + i) for i in range(length)]
             offset += 4 + view_bytes * length
-        if handle.size() != offset:
-            raise ImportFormatError("unexpected recording length")
+            if (len(files) > 1 or index == windows - 1) and handle.size() != offset:
+                raise ImportFormatError("unexpected recording length")
     return {"frames": frames, "height": height, "width": width, "size": size, "overlap": overlap, "percentile": percentile,
             "point_size": point_size, "minimum_overlap": minimum, "icp": bool(branches & 1), "loops": bool(branches & 2), "views": views}
 
@@ -154,8 +162,26 @@ def scan_expected_cloud(spark: SparkSession, path: str) -> dict:
     return header
 
 
-def scan_multiview(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
-    """MVO1: header and one row per view with its arrays."""
+def cloud_header(path: str) -> tuple[int, int]:
+    """Where the points of a VPO1 or CPS1 recording begin, and how many there are."""
+    with open_file(path) as handle:
+        magic = handle.read(4)
+        if magic == b"VPO1":
+            version, frames, height, width, points, *_ = _read(handle, "IIIIIIiif")
+            good = height * width > 0
+        elif magic == b"CPS1":
+            version, frames, points, poses = _read(handle, "IIII")
+            handle.seek(handle.tell() + 4 * frames)
+            good = poses <= frames
+        else:
+            raise ImportFormatError("not a VPO1 or CPS1 recording")
+        if version != 1 or frames == 0 or not good or handle.size() < handle.tell() + 19 * points:
+            raise ImportFormatError("invalid header")
+        return handle.tell(), points
+
+
+def multiview_header(path: str) -> dict:
+    """Header of a MVO1 file and the place of every view."""
     with open_file(path) as handle:
         if handle.read(4) != b"MVO1":
             raise ImportFormatError("not a MVO1 recording")
@@ -174,7 +200,14 @@ def scan_multiview(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
             handle.seek(here + each * count)
         if handle.tell() != handle.size():
             raise ImportFormatError("unexpected recording length")
-    plane = shape[0] * shape[1]
+    return {"frames": frames, "size": size, "overlap": overlap, "height": shape[0], "width": shape[1], "views": views}
+
+
+def scan_multiview(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """MVO1: header and one row per view with its arrays."""
+    header = multiview_header(path)
+    views = header.pop("views")
+    plane = header["height"] * header["width"]
     ranges = spark.createDataFrame(views, "path string, offset long, length long, window_index int, frame_index int").repartition(len(views))
 
     def decode(payload: bytes, row) -> pd.DataFrame:
@@ -183,4 +216,4 @@ def scan_multiview(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
                              "confidence": [v[plane:2 * plane].tolist()], "w2c": [v[2 * plane:2 * plane + 12].tolist()], "k": [v[2 * plane + 12:].tolist()]})
 
     schema = "window_index int, frame_index int, depth array<double>, confidence array<double>, w2c array<double>, k array<double>"
-    return {"frames": frames, "size": size, "overlap": overlap, "height": shape[0], "width": shape[1]}, decode_ranges(ranges, decode, schema)
+    return header, decode_ranges(ranges, decode, schema)

@@ -65,10 +65,10 @@ def test_surfel_chunks_splats_and_glb(spark, surfels, tmp_path):
     again = clouds.surfel_chunks(surfels.repartition(7), ["i"], 10).orderBy("chunk").collect()
     assert [c.hash for c in chunks] == [c.hash for c in again]
     clouds.write_splats(surfels, ["i"], str(tmp_path / "splat"), rows=10)
-    splat = np.frombuffer(joined(tmp_path / "splat", "*.splat"), clouds.SPLAT)
+    splat = np.frombuffer(joined(tmp_path / "splat", "data-*/*.splat"), clouds.SPLAT)
     assert len(splat) == 25 and splat["s"][0].tolist() == [0.25, 0.25, pytest.approx(0.025)] and splat["c"][5].tolist() == [5, 2, 3, 128]
     clouds.write_glb(surfels, ["i"], str(tmp_path / "glb"), rows=100)
-    payload = (tmp_path / "glb" / "tile-000000.glb").read_bytes()
+    payload = next((tmp_path / "glb").glob("data-*/*.glb")).read_bytes()
     magic, version, total, length = struct.unpack_from("<4sIII", payload)
     document = json.loads(payload[20:20 + length])
     assert magic == b"glTF" and total == len(payload) and document["accessors"][0]["max"] == [24.0, 48.0, 0.0]
@@ -126,8 +126,12 @@ def test_point_chunks_come_back_in_order(spark, tmp_path):
     out_bundle.create_bundle(path, {"source": "test"})
     rows = [(float(i), 0.5, -1.0, 0.0, 0.0, 1.0, i % 256, 2, 3, 0.5, 0.1, i, 2 * i) for i in range(25)]
     points = spark.createDataFrame(rows, "x double, y double, z double, nx double, ny double, nz double, r short, g short, b short, confidence double, radius double, first_observing_frame int, contributors long")
-    hashes = out_bundle.write_point_chunks(points.repartition(3), ["x"], path, 10)
-    assert len(hashes) == 3 and out_bundle.write_point_chunks(points, ["x"], path, 10) == hashes
+    listed = lambda: [tuple(r) for r in in_bundle.published(in_bundle.open_manifest(spark, path), "fused_point_chunk_hashes", path).orderBy("chunk").collect()]
+    record = out_bundle.write_point_chunks(points.repartition(3), ["x"], path, 10)
+    hashes = listed()
+    assert (record["chunks"], record["rows"], len(hashes)) == (3, 25, 3)
+    out_bundle.write_point_chunks(points, ["x"], path, 10)
+    assert listed() == hashes and len(list((tmp_path / "scene" / "chunks").glob("points-*.json"))) == 3
     back = in_bundle.scan_point_chunks(spark, path).orderBy("chunk", "position")
     assert [tuple(r)[2:] for r in back.collect()] == rows
 
@@ -230,9 +234,11 @@ def test_bundle_life_cycle(spark, surfels, tmp_path):
     points = spark.createDataFrame([(0, 0, 5, 6, 1.0, 2.0, 3.0, 0.0, 0.0, 1.0, 7, 8, 9, 1.0, 0.1)],
                                    "window_index int, frame_index int, px int, py int, x double, y double, z double, nx double, ny double, nz double, r short, g short, b short, confidence double, radius double")
     schedule = spark.createDataFrame([(0, 0, 12), (1, 9, 21)], "window_index int, start int, stop int")
-    hashes = out_bundle.write_windows(views, points, path, schedule)
-    assert sorted(out_bundle.write_windows(views, points, path, schedule)) == sorted(hashes)
-    assert sorted(in_bundle.published(in_bundle.open_manifest(spark, path), "measured_chunk_hashes").toPandas().hash) == sorted(hashes)
+    listed = lambda: {r.hash for r in in_bundle.published(in_bundle.open_manifest(spark, path), "measured_chunk_hashes", path).collect()}
+    out_bundle.write_windows(views, points, path, schedule)
+    hashes = listed()
+    out_bundle.write_windows(views, points, path, schedule)
+    assert listed() == hashes
     read_views, read_points = in_bundle.scan_windows(spark, path)
     assert sorted((r.window_index, r.frame_index, r.w2c[0]) for r in read_views.collect()) == [(0, 0, 1.0), (1, 3, 3.0)]
     row = read_points.first()
@@ -242,7 +248,7 @@ def test_bundle_life_cycle(spark, surfels, tmp_path):
     with pytest.raises(BundleError):
         out_bundle.publish_raster(path, "0" * 64)
     manifest = out_bundle.publish_product(surfels, ["i"], path, "voxel", "surfel", {"point_count": 25})
-    assert manifest["selected_world_product"] == "voxel" and len(manifest["world_products"][0]["point_binary_chunk_hashes"]) == 1
+    assert manifest["selected_world_product"] == "voxel" and manifest["world_products"][0]["point_binary_chunks"]["chunks"] == 1
     out_bundle.update_product(path, "voxel", source_frames=[3, 1, 3], depth_frames=2)
     with pytest.raises(BundleError):
         out_bundle.update_product(path, "voxel", depth_frames=5)
