@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
@@ -163,55 +164,48 @@ def _counted(sizes: tuple[int, ...], shared: int, words_seen: Broadcast | None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _blocks(batches):
-            block = table.combine_chunks().to_batches()[0]
-            listed = [c.split(b" ") for c in utf8(block.column("chunk"))]
-            lengths = np.fromiter(map(len, listed), np.int64, len(listed))
-            final = block.column("final").to_numpy(zero_copy_only=False)
-            flat = np.empty(int(lengths.sum()), dtype=object)
-            flat[:] = [w for words in listed for w in words]
-            codes, distinct = pd.factorize(flat)
-            lang_codes, langs = pd.factorize(np.array(block.column("lang").to_pylist(), dtype=object))
-            owner = np.repeat(np.arange(len(listed)), lengths)
-            to_end = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
-            weight = np.repeat(block.column("n").to_numpy(), lengths)
-            starts = final[owner] | (to_end > shared)
-            own_lang = lang_codes[owner]
-            ids = own_lang.astype(np.int64) * len(distinct) + codes
+            # Words stay in Arrow arrays; a number stands for each until its text is given out.
+            lists = pc.split_pattern(table.column("chunk").combine_chunks(), " ")
+            lengths = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            coded, tagged = flat.dictionary_encode(), table.column("lang").combine_chunks().dictionary_encode()
+            codes, distinct = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            to_end = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+            weight = np.repeat(table.column("n").to_numpy(), lengths)
+            starts = table.column("final").to_numpy()[owner] | (to_end > shared)
+            own_lang = tagged.indices.to_numpy()[owner].astype(np.int64)
+            ids = own_lang * distinct + codes
+            at = np.arange(len(codes))
             if words_seen is not None:
-                known, inverse = np.unique(ids, return_inverse=True)
-                lang_hash = hashed([x.encode() for x in langs])
-                word_hash = hashed(list(distinct))
-                alone = _fold(lang_hash[known // len(distinct)], word_hash[known % len(distinct)])
+                inverse, known = pd.factorize(ids)
+                word_hash = hashed(utf8(coded.dictionary))
+                alone = _fold(hashed(utf8(tagged.dictionary))[known // distinct], word_hash[known % distinct])
                 good = words_seen.value.seen(alone)[inverse]
                 # A place goes on while the phrase from it may be frequent.
                 at = np.flatnonzero(good[:-1] & good[1:] & (to_end[:-1] > 1))
                 if pairs_seen is not None:
-                    pair = _fold(alone[inverse[at]], word_hash[codes[at + 1]])
-                    at = at[pairs_seen.value.seen(pair)]
-            else:
-                at = np.arange(len(flat))
-            linked = np.zeros(len(flat) + 1, dtype=bool)
+                    at = at[pairs_seen.value.seen(_fold(alone[inverse[at]], word_hash[codes[at + 1]]))]
+            linked = np.zeros(len(codes) + 1, dtype=bool)
             linked[at] = True
             size = 1
             for wanted in sizes:
                 while size < wanted:
                     # The phrase from each place grows by a word; all of its pairs must be linked.
                     at = at[linked[at + size - 1]]
-                    inverse = np.unique(ids[at], return_inverse=True)[1]
-                    grown = inverse.astype(np.int64) * len(distinct) + codes[at + size]
-                    ids = np.zeros(len(flat), dtype=np.int64)
-                    ids[at] = grown
+                    ids[at] = pd.factorize(ids[at])[0].astype(np.int64) * distinct + codes[at + size]
                     size += 1
                 own = at[starts[at]]
-                phrases, first, inverse = np.unique(ids[own], return_index=True, return_inverse=True)
-                counts = np.bincount(inverse, weight[own], len(phrases)).astype(np.int64)
-                begin = own[first]
-                texts = [b" ".join(flat[i : i + size]) for i in begin.tolist()] if size > 1 else flat[begin].tolist()
+                numbers, phrases = pd.factorize(ids[own])
+                first = np.empty(len(phrases), dtype=np.int64)
+                first[numbers[::-1]] = own[::-1]
+                counts = np.bincount(numbers, weight[own], len(phrases)).astype(np.int64)
+                parts = [flat.take(pa.array(first + k)) for k in range(size)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(langs[own_lang[begin]], pa.string()),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                        pa.array(np.full(len(begin), size), pa.int32()),
+                        tagged.dictionary.take(pa.array(own_lang[first])).cast(pa.string()),
+                        (pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]).cast(pa.string()),
+                        pa.array(np.full(len(first), size), pa.int32()),
                         pa.array(counts, pa.int64()),
                     ],
                     ["lang", "phrase", "size", "f"],
@@ -281,8 +275,8 @@ def collocations(docs: DataFrame, longest: int = 5, least: int = 100, top: int =
     longer = sub.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") < F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    ranked = kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return ranked.select("lang", F.col("place").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
 
 
 COLLOCATION_SQL = r"""
