@@ -10,16 +10,17 @@ from ..errors import FusionError
 from ..functions import cameras as C
 from ..functions import hashing
 from ..functions import vectors as V
+from ..session import settle
 from ..settings import CalibrationSettings, FrameGlobalSettings
 from .common import attach, equi, first_by, latest_by
 from .matching import bilinear
 from .ordering import adjacent
-from .quantiles import median, percentiles
+from .quantiles import median, percentiles, statistics
 
 
 # --- scale from tracks ---------------------------------------------------
 
-def scale_reports(evidence: DataFrame, keys: list[str], hold_out: Column, minimum_train: int) -> DataFrame:
+def scale_reports(evidence: DataFrame, keys: list[str], hold_out: Column, minimum_train: int, train_error: bool = True) -> DataFrame:
     """Log-scale and held-out error per key.
 
     The scale is the median log ratio of the training tracks, the error the
@@ -29,18 +30,19 @@ def scale_reports(evidence: DataFrame, keys: list[str], hold_out: Column, minimu
     marked = evidence.withColumn("_held", hold_out)
     counts = marked.groupBy(*keys).agg(
         F.sum((~F.col("_held")).cast("long")).alias("scale_samples"), F.sum(F.col("_held").cast("long")).alias("held_out_samples"))
-    train = median(marked.filter(~F.col("_held")), keys, "log_ratio", "_log")
+    train = statistics(marked, keys, {"_log": (F.when(~F.col("_held"), F.col("log_ratio")), 0.5)})
     usable = (F.col("scale_samples") >= minimum_train) & (F.col("held_out_samples") > 0)
-    base = counts.join(train, keys, "left").withColumn("log_scale", F.when(usable, F.col("_log"))).drop("_log")
+    # One row per key; settled, because the deviations are gone through twice.
+    base = settle(counts.join(train, keys, "left").withColumn("log_scale", F.when(usable, F.col("_log"))).drop("_log"))
     deviation = marked.join(base.select(*keys, "log_scale"), keys).withColumn("_e", F.abs(F.col("log_ratio") - F.col("log_scale")))
-    held = median(deviation.filter(F.col("_held") & F.col("_e").isNotNull()), keys, "_e", "held_out_median_log_error")
-    fitted = median(deviation.filter(~F.col("_held") & F.col("_e").isNotNull()), keys, "_e", "train_median_log_error")
-    return base.join(held, keys, "left").join(fitted, keys, "left").withColumn("scale", F.exp("log_scale"))
+    wanted = {"held_out_median_log_error": (F.when(F.col("_held"), F.col("_e")), 0.5)}
+    if train_error:
+        wanted["train_median_log_error"] = (F.when(~F.col("_held"), F.col("_e")), 0.5)
+    return base.join(statistics(deviation, keys, wanted), keys, "left").withColumn("scale", F.exp("log_scale"))
 
 
 def frame_scale_reports(evidence: DataFrame, keys: list[str], settings: FrameGlobalSettings = FrameGlobalSettings()) -> DataFrame:
-    reports = scale_reports(evidence, keys, hashing.modulo_hold_out(F.col("point_id")), settings.minimum_scale_samples)
-    return reports.drop("train_median_log_error")
+    return scale_reports(evidence, keys, hashing.modulo_hold_out(F.col("point_id")), settings.minimum_scale_samples, train_error=False)
 
 
 def calibrate_batches(evidence: DataFrame, keys: list[str], fold: str, pose: Column,

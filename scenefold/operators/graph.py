@@ -140,45 +140,53 @@ def _jacobians(nodes, edges, step: float):
     return out
 
 
+def _normal_system(nodes, edges, step: float):
+    """Gauss-Newton matrix and gradient of half the weighted squares, over nodes 1, 2, ..."""
+    count = len(nodes[0])
+    sides = _jacobians(nodes, edges, step)
+    both = np.concatenate([sides["src"], sides["dst"]], axis=2)
+    axes = np.concatenate([7 * edges[side][:, None] + np.arange(7) for side in ("src", "dst")], axis=1)
+    weighted = edges["information"][:, None, None] * both
+    size = 7 * count
+    cells = (axes[:, :, None] * size + axes[:, None, :]).ravel()
+    matrix = np.bincount(cells, (weighted.transpose(0, 2, 1) @ both).ravel(), size * size).reshape(size, size)
+    gradient = np.bincount(axes.ravel(), np.einsum("eij,ei->ej", weighted, _residuals(nodes, edges)).ravel(), size)
+    return matrix[7:, 7:], gradient[7:]
+
+
 def _optimise(nodes, edges, settings: PoseGraphSettings):
-    """Damped Gauss-Newton over all nodes but the first."""
+    """Least squares over all nodes but the first, as a trust region.
+
+    The damping is absolute and follows the gain ratio (actual over predicted
+    decrease, Nielsen's rule), so each system is solved once: a step with a poor
+    ratio shrinks the region for the next linearisation or repeats with the same one.
+    """
     count = len(nodes[0])
-    information = edges["information"]
-    cost_of = lambda state: float((information[:, None] * _residuals(state, edges) ** 2).sum())
+    cost_of = lambda state: 0.5 * float(edges["information"] @ (_residuals(state, edges) ** 2).sum(axis=1))
     initial = cost = cost_of(nodes)
-    damping, iterations = settings.initial_damping, 0
-    size = 7 * count
-    for iteration in range(settings.maximum_iterations if count > 1 else 0):
-        residuals = _residuals(nodes, edges)
-        sides = _jacobians(nodes, edges, settings.difference_step)
-        normal, gradient = np.zeros((count, 7, count, 7)), np.zeros((count, 7))
-        for a, ja in sides.items():
-            weighted = information[:, None, None] * ja
-            np.add.at(gradient, edges[a], -np.einsum("eij,ei->ej", weighted, residuals))
-            for b, jb in sides.items():
-                block = np.einsum("eij,eik->ejk", weighted, jb)
-                np.add.at(normal.transpose(0, 2, 1, 3), (edges[a], edges[b]), block)
-        system = normal.reshape(size, size)[7:, 7:]
-        right = gradient.reshape(size)[7:]
-        accepted = False
-        for _ in range(12):
-            diagonal = np.diag(system)
-            try:
-                factor = np.linalg.cholesky(system + np.diag(damping * (diagonal + 1e-12)))
-                step = np.linalg.solve(factor.T, np.linalg.solve(factor, right))
-            except np.linalg.LinAlgError:
-                damping *= 4
-                continue
-            trial = _moved(nodes, np.concatenate([np.zeros(7), step]).reshape(count, 7))
-            trial_cost = cost_of(trial)
-            if trial_cost < cost:
-                gain, nodes, cost = cost - trial_cost, trial, trial_cost
-                damping, iterations, accepted = max(damping * 0.5, 1e-12), iteration + 1, True
+    accepted = 0
+    if count < 2 or not initial > 0:
+        return nodes, 2 * initial, 2 * cost, accepted
+    matrix, gradient = _normal_system(nodes, edges, settings.difference_step)
+    damping, growth = settings.initial_damping * max(float(np.diag(matrix).max()), 1e-12), 2.0
+    for _ in range(4 * settings.maximum_iterations):
+        step = np.linalg.lstsq(matrix + damping * np.eye(len(matrix)), -gradient, rcond=None)[0]
+        predicted = 0.5 * float(step @ (damping * step - gradient))
+        moved = _moved(nodes, np.concatenate([np.zeros(7), step]).reshape(count, 7))
+        after = cost_of(moved)
+        ratio = (cost - after) / predicted if predicted > 0 else -1.0
+        if ratio > 0:
+            settled = cost - after <= settings.relative_cost * initial
+            nodes, cost, accepted = moved, after, accepted + 1
+            damping, growth = damping * max(1 / 3, 1 - (2 * ratio - 1) ** 3), 2.0
+            if settled or accepted >= settings.maximum_iterations:
+                break
+            matrix, gradient = _normal_system(nodes, edges, settings.difference_step)
+        else:
+            damping, growth = damping * growth, 2 * growth
+            if not np.isfinite(damping) or float(np.abs(step).max()) < 1e-14:
                 break
-            damping *= 4
-        if not accepted or gain <= settings.relative_cost * (abs(initial) + 1e-30):
-            break
-    return nodes, initial, cost, iterations
+    return nodes, 2 * initial, 2 * cost, accepted
 
 
 def optimise_pose_graph(nodes: DataFrame, edges: DataFrame, key: str, settings: PoseGraphSettings = PoseGraphSettings()) -> DataFrame:
@@ -224,6 +232,39 @@ def optimise_pose_graph(nodes: DataFrame, edges: DataFrame, key: str, settings:
 
 # --- co-visibility groups ------------------------------------------------
 
+class _Cover:
+    """Frames not yet in a core, and what a growing group shares with every frame."""
+
+    def __init__(self, shared: np.ndarray, axes: np.ndarray, least: float) -> None:
+        self.shared, self.sees = shared, axes @ axes.T >= least
+        self.open = np.ones(len(shared), dtype=bool)
+        self.weight = shared.sum(axis=1)
+
+    def _join(self, frame: int) -> None:
+        self.open[frame] = False
+        self.weight = self.weight - self.shared[frame]
+        self.pull = self.pull + self.shared[frame]
+        self.gap = np.minimum(self.gap, np.abs(np.arange(len(self.open)) - frame))
+        self.fits = self.fits & self.sees[frame]
+
+    def _by_pull(self, allowed: np.ndarray) -> np.ndarray:
+        """Allowed frames that fit: most shared tracks first, then the closest in time, then the earliest."""
+        frames = np.flatnonzero(allowed & self.fits)
+        return frames[np.lexsort((frames, self.gap[frames], -self.pull[frames]))]
+
+    def next_group(self, core_size: int, context_size: int) -> tuple[list[int], list[int]]:
+        """A core of open frames around the best connected one, and frames of context for it."""
+        count = len(self.open)
+        self.pull, self.gap, self.fits = np.zeros(count, dtype=np.int64), np.full(count, count), np.ones(count, dtype=bool)
+        core = [int(np.argmax(np.where(self.open, self.weight, -1)))]
+        self._join(core[0])
+        while len(core) < core_size and len(found := self._by_pull(self.open)):
+            core.append(int(found[0]))
+            self._join(core[-1])
+        outside = ~np.isin(np.arange(count), core)
+        return core, self._by_pull(outside)[: max(context_size, 3 - len(core))].tolist()
+
+
 def covisibility_batches(frames: DataFrame, weights: DataFrame, key: str, size: int = 16, overlap: int = 4,
                          minimum_direction: float = -1.0, maximum_frames: int = 1800) -> DataFrame:
     """Greedy cover of a capture's frames by groups that share many tracks.
@@ -242,45 +283,22 @@ def covisibility_batches(frames: DataFrame, weights: DataFrame, key: str, size:
     kind = dict(frames.dtypes)[key]
 
     def cover(frame_rows: pd.DataFrame, pair_rows: pd.DataFrame) -> pd.DataFrame:
-        frame_rows = frame_rows.sort_values("frame_index").reset_index(drop=True)
+        frame_rows = frame_rows.sort_values("frame_index")
         ids = frame_rows["frame_index"].to_numpy()
-        count = len(ids)
-        place = {frame: i for i, frame in enumerate(ids)}
-        shared = np.zeros((count, count), dtype=np.int64)
-        for a, b, n in pair_rows[["frame_a", "frame_b", "shared_tracks"]].itertuples(index=False):
-            if a in place and b in place:
-                shared[place[a], place[b]] = shared[place[b], place[a]] = n
+        shared = pd.DataFrame(0, index=ids, columns=ids)
+        known = pair_rows[pair_rows["frame_a"].isin(ids) & pair_rows["frame_b"].isin(ids)]
+        if len(known):
+            shared = known.pivot_table(index="frame_a", columns="frame_b", values="shared_tracks", aggfunc="last", fill_value=0).reindex(index=ids, columns=ids, fill_value=0)
         axes = frame_rows[["fx", "fy", "fz"]].to_numpy(dtype=float)
-        axes = axes / np.linalg.norm(axes, axis=1, keepdims=True)
-        facing = axes @ axes.T >= minimum_direction
-        order = np.arange(count)
-        left = np.ones(count, dtype=bool)
-        out = []
-
-        def ranked(pool, core):
-            gap = np.abs(pool[:, None] - np.array(core)[None, :]).min(axis=1)
-            return pool[np.lexsort((pool, gap, -shared[np.ix_(pool, core)].sum(axis=1)))]
-
-        while left.any():
-            pool = order[left]
-            anchor = pool[np.lexsort((pool, -shared[np.ix_(pool, pool)].sum(axis=1)))][0]
-            core = [int(anchor)]
-            left[anchor] = False
-            while left.any() and len(core) < size - overlap:
-                pool = order[left & facing[:, core].all(axis=1)]
-                if not len(pool):
-                    break
-                chosen = int(ranked(pool, core)[0])
-                core.append(chosen)
-                left[chosen] = False
-            context = np.setdiff1d(order[facing[:, core].all(axis=1)], core)
-            extra = ranked(context, core)[: max(overlap, 3 - len(core))].tolist() if len(context) else []
-            members = sorted([*core, *extra])
+        groups = _Cover(shared.to_numpy() + shared.to_numpy().T, axes / np.linalg.norm(axes, axis=1, keepdims=True), minimum_direction)
+        parts = []
+        while groups.open.any():
+            core, context = groups.next_group(size - overlap, overlap)
+            members = sorted(core + context)
             if len(members) < 3:
-                raise ScheduleError(f"frame {ids[anchor]} has fewer than three compatible views")
-            out.append(pd.DataFrame({key: frame_rows[key].iloc[0], "batch": len(out), "frame_index": ids[members],
-                                     "core": [m in core for m in members]}))
-        return pd.concat(out)
+                raise ScheduleError(f"frame {ids[core[0]]} has fewer than three compatible views")
+            parts.append(pd.DataFrame({key: frame_rows[key].iloc[0], "batch": len(parts), "frame_index": ids[members], "core": np.isin(members, core)}))
+        return pd.concat(parts)
 
     return frames.groupBy(key).cogroup(weights.withColumnRenamed(key, "_graph").groupBy("_graph")).applyInPandas(
         cover, f"{key} {kind}, batch int, frame_index long, core boolean")

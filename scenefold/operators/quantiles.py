@@ -1,20 +1,26 @@
-"""Exact percentiles and the three medians of the data contract.
-
-Groups of ordinary size use Spark's exact ``percentile`` aggregate, which keeps
-one map of distinct values per group in one task. When the row counts show a
-larger group, the values are put in order by a range shuffle and the wanted
-positions are joined: a fixed number of steps for any values, infinite and NaN
-ones (which sort last) included, and no group in one task.
+"""Exact order statistics by descending through a histogram.
+
+Values fall into buckets by a monotone function of the value: its sign and the
+logarithm of its size, 4,096 buckets for each doubling. One aggregate counts buckets
+and combines before the shuffle; running sums of a group's few buckets tell in which
+one every wanted rank lies. A second aggregate counts the values of those buckets, and
+running sums tell the value. All measures and ranks of a call descend together.
+
+There is one route for groups of any size. No row count is taken first, nothing is
+sorted as a whole, and a task holds the buckets of a group, or the distinct values of
+one bucket. Infinite values and NaN (which sorts last) are values like others; nulls
+are not counted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .common import equi
-from .ordering import global_index
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 GROUP_ROWS = 2_000_000
+#: Buckets for each doubling of the value.
+PER_DOUBLING = 4096
+# Above the logarithm of the largest double and the reciprocal of the smallest. Fixed value.
+_BEYOND = 1100 * PER_DOUBLING
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -22,57 +28,92 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def _order_statistics(df: DataFrame, keys: list[str], value: str, ranks: DataFrame) -> DataFrame:
-    """Exact values at zero-based ``_rank`` (one or more per group)."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("_value")).filter(F.col("_value").isNotNull())
-    placed = global_index(rows, ["_value"], "_rank", keys)
-    return placed.join(ranks.select(*keys, "_rank"), [*keys, "_rank"]).select(*keys, "_rank", "_value")
+def bucket_of(value: Column) -> Column:
+    """A number that never falls when the value rises; null for null."""
+    size = F.floor(F.log2(F.abs(value)) * PER_DOUBLING) + _BEYOND
+    return (
+        F.when(F.isnan(value), F.lit(4 * _BEYOND))
+        .when(F.abs(value) == F.lit(float("inf")), F.signum(value).cast("long") * 3 * _BEYOND)
+        .when(value == 0, F.lit(0))
+        .when(value.isNotNull(), F.signum(value).cast("long") * size)
+        .cast("long")
+    )
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float],
-                group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Linearly interpolated percentiles, one output column per entry of ``fractions``."""
-    if largest_group(df, keys) <= group_rows:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(fraction)).alias(name) for name, fraction in fractions.items()]
-        )
-    present = df.filter(F.col(value).isNotNull())
-    counts = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    position = F.col("_fraction") * (F.col("_n") - 1)
-    wanted = counts.withColumn("_fraction", F.explode(F.array(*[F.lit(f) for f in fractions.values()])))
-    wanted = wanted.select(*keys, "_fraction", position.alias("_position"))
-    ends = F.array(F.floor("_position"), F.ceil("_position"))
-    ranks = wanted.select(*keys, F.explode(ends).alias("_rank")).distinct()
-    found = _order_statistics(present, keys, value, ranks)
-    both = equi(wanted, found, keys).filter(
-        (F.col("_rank") == F.floor("_position")) | (F.col("_rank") == F.ceil("_position"))
-    )
-    lower, upper = F.min("_value"), F.max("_value")
-    share = F.max(F.col("_position") - F.floor("_position"))
-    interpolated = both.groupBy(*keys, "_fraction").agg(
+def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null; the key columns of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float | None]]) -> DataFrame:
+    """One row per group with the order statistics of ``wanted``.
+
+    ``wanted`` maps an output name to (value, fraction): the linearly interpolated
+    percentile at that fraction, or for None the element ``count // 2`` of the sorted
+    values. A group without values has nulls; without ``keys`` there is always one row.
+    """
+    values: list[Column | str] = []
+    numbered: dict[str, tuple[int, float | None]] = {}
+    for name, (value, fraction) in wanted.items():
+        same = [i for i, v in enumerate(values) if v is value or (isinstance(v, str) and isinstance(value, str) and v == value)]
+        if not same:
+            values.append(value)
+        numbered[name] = (same[0] if same else len(values) - 1, fraction)
+    column = lambda v: (F.col(v) if isinstance(v, str) else v).cast("double")
+    if len(values) == 1:
+        rows = df.select(*keys, F.lit(0).alias("_m"), column(values[0]).alias("_v"))
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("_m"), column(v).alias("_v")) for i, v in enumerate(values)])
+        rows = df.select(*keys, F.explode(pairs).alias("_p")).select(*keys, "_p.*")
+    rows = rows.withColumn("_b", bucket_of(F.col("_v")))
+    own = [*keys, "_m"]
+
+    counted = rows.groupBy(*own, "_b").agg(F.count("_v").alias("_c"))
+    whole = Window.partitionBy(*own)
+    running = whole.orderBy(F.asc_nulls_first("_b")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumns({"_n": F.sum("_c").over(whole), "_until": F.sum("_c").over(running)})
+    ranks = []
+    for name, (measure, fraction) in numbered.items():
+        position = F.floor(F.col("_n") / 2).cast("double") if fraction is None else F.lit(float(fraction)) * (F.col("_n") - 1)
+        for end in (F.floor(position), F.ceil(position)):
+            ranks.append(F.struct(F.lit(name).alias("name"), F.lit(measure).alias("m"), end.cast("long").alias("rank"), position.alias("position")))
+    picked = placed.withColumn("_w", F.explode(F.array(*ranks))).filter(
+        (F.col("_w.m") == F.col("_m")) & (F.col("_w.rank") < F.col("_until")) & (F.col("_w.rank") >= F.col("_until") - F.col("_c")))
+    picked = picked.select(*own, "_b", (F.col("_until") - F.col("_c")).alias("_before"), "_w.name", "_w.rank", "_w.position").distinct()
+
+    chosen = picked.select(*own, "_b", "_before").distinct()
+    inside = _on(rows, chosen, [*own, "_b"]).groupBy(*own, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    within = Window.partitionBy(*own, "_b", "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("_until", F.col("_before") + F.sum("_c").over(within)).drop("_before")
+    found = _on(inside, picked.drop("_before"), [*own, "_b"]).filter(
+        (F.col("rank") < F.col("_until")) & (F.col("rank") >= F.col("_until") - F.col("_c")))
+
+    out = []
+    for name in wanted:
+        mine = F.col("name") == name
+        low, high = F.min(F.when(mine, F.col("_v"))), F.max(F.when(mine, F.col("_v")))
+        share = F.max(F.when(mine, F.col("position") - F.floor("position")))
         # Equal ends are the value itself, also where it is infinite.
-        F.when(lower == upper, lower).otherwise(lower * (1 - share) + upper * share).alias("_value")
-    )
-    pick = [
-        F.max(F.when(F.col("_fraction") == fraction, F.col("_value"))).alias(name)
-        for name, fraction in fractions.items()
-    ]
-    return interpolated.groupBy(*keys).agg(*pick)
+        out.append(F.when(low == high, low).otherwise(low * (1 - share) + high * share).alias(name))
+    result = found.groupBy(*keys).agg(*out)
+    return _on(counted.select(*keys).distinct(), result, keys, "left") if keys else result
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """Linearly interpolated percentiles, one output column per entry of ``fractions``."""
+    return statistics(df, keys, {name: (value, fraction) for name, fraction in fractions.items()})
 
 
-def median(df: DataFrame, keys: list[str], value: str, out: str = "median", group_rows: int = GROUP_ROWS) -> DataFrame:
+def median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
     """True median: the mean of the two middle values of an even count."""
-    return percentiles(df, keys, value, {out: 0.5}, group_rows)
+    return percentiles(df, keys, value, {out: 0.5})
 
 
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "upper_median",
-                 group_rows: int = GROUP_ROWS) -> DataFrame:
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str = "upper_median") -> DataFrame:
     """Element ``count // 2`` of the sorted values."""
-    if largest_group(df, keys) <= group_rows:
-        return df.groupBy(*keys).agg(upper_median_of(value).alias(out))
-    present = df.filter(F.col(value).isNotNull())
-    ranks = present.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) / 2).alias("_rank"))
-    return _order_statistics(present, keys, value, ranks).select(*keys, F.col("_value").alias(out))
+    return statistics(df, keys, {out: (value, None)})
 
 
 def upper_median_of(value: str) -> Column:

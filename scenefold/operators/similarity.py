@@ -181,7 +181,7 @@ def robust_fit(pairs: DataFrame, keys: list[str], refine: bool = True, rounds: i
         if small:
             middle = measured.filter("_in").groupBy(*keys).agg(upper_median_of("_r").alias("_middle"))
         else:
-            middle = upper_median(measured.filter("_in"), keys, "_r", "_middle", 0)
+            middle = upper_median(measured.filter("_in"), keys, "_r", "_middle")
         limited = equi(measured, middle, keys).withColumn("_limit", F.greatest(3 * F.col("_middle"), F.lit(1e-5)))
         near = F.col("_in") & (F.col("_r") <= F.col("_limit"))
         counts = limited.groupBy(*keys).agg(
@@ -252,7 +252,7 @@ def huber_fit(pairs: DataFrame, keys: list[str], rounds: int = 8) -> DataFrame:
         if small:
             middle = measured.groupBy(*keys).agg(upper_median_of("_r").alias("_middle"))
         else:
-            middle = upper_median(measured, keys, "_r", "_middle", 0)
+            middle = upper_median(measured, keys, "_r", "_middle")
         width = F.greatest(1.345 * F.col("_middle"), 1e-6 * F.col("_scene") + 1e-30)
         fresh = equi(fit, middle, keys).select(*keys, *names, width.alias("_delta"))
         if state is None:

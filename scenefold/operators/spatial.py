@@ -26,6 +26,7 @@ from ..functions import linalg
 from ..functions import vectors as V
 from ..functions.types import VECTOR
 from ..session import has_at_most, settle
+from .kdtree import Tree
 
 LEAF_ROWS = 256
 MAX_LEVEL = 40
@@ -217,14 +218,13 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
 
 # Targets of at most this many rows (32 bytes each) are held by every task.
 HELD_TARGETS = 100_000
-_SCORED = 2048
 
 
 def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS, held: int = HELD_TARGETS) -> DataFrame:
     """Nearest target at any distance; the lowest id wins a tie.
 
     The targets are counted. A small side, such as the cameras of a capture, goes
-    to the tasks and each batch of queries is scored against it without a
+    to the tasks as a k-d tree and each batch of queries walks it without a
     shuffle. A larger one takes the cell walk of ``nearest_within``, whose first
     level is one cell over both sets: queries then meet every occupied box of
     that level before the bounds thin them out. Both give the same rows.
@@ -242,24 +242,16 @@ def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS,
 
 
 def _nearest_held(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """One tree over the small side, made once; each batch of queries walks it."""
     rows = targets.toPandas().sort_values("tid", kind="stable")
-    ids, places = rows["tid"].to_numpy(), rows[list(_AXES)].to_numpy(dtype=float)
+    if not len(rows):
+        return queries.limit(0).select("qid", F.lit(None).cast(targets.schema["tid"].dataType).alias("tid"), F.lit(0.0).alias("d2"))
+    ids, tree = rows["tid"].to_numpy(), Tree(rows[list(_AXES)].to_numpy(dtype=float))
 
     def score(batches):
         for pdf in batches:
-            points = pdf[list(_AXES)].to_numpy(dtype=float)
-            best, at = np.full(len(points), np.inf), np.full(len(points), -1)
-            for start in range(0, len(places), _SCORED):
-                for low in range(0, len(points), _SCORED):
-                    delta = places[None, start : start + _SCORED] - points[low : low + _SCORED, None]
-                    d2 = delta[..., 0] ** 2 + delta[..., 1] ** 2 + delta[..., 2] ** 2
-                    first = d2.argmin(axis=1)
-                    least = d2[np.arange(len(d2)), first]
-                    # Ids ascend, so an equal distance found earlier stays.
-                    closer = least < best[low : low + _SCORED]
-                    best[low : low + _SCORED][closer], at[low : low + _SCORED][closer] = least[closer], start + first[closer]
-            found = at >= 0
-            yield pd.DataFrame({"qid": pdf["qid"][found], "tid": ids[at[found]], "d2": best[found]})
+            at, d2 = tree.nearest(pdf[list(_AXES)].to_numpy(dtype=float))
+            yield pd.DataFrame({"qid": pdf["qid"], "tid": ids[at], "d2": d2})
 
     kinds = dict(queries.dtypes) | dict(targets.dtypes)
     return queries.mapInPandas(score, f"qid {kinds['qid']}, tid {kinds['tid']}, d2 double")

@@ -30,7 +30,7 @@ def tsdf_stream(points: DataFrame, voxel: float, settings: TsdfSettings = TsdfSe
     return surface.tsdf_cells(surface.splat(points, voxel, settings))
 
 
-def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> None:
+def run_to_table(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update") -> None:
     """Process everything that has arrived; each batch adds the rows it changed.
 
     The checkpoint makes a second run continue where the first stopped. A batch
@@ -40,7 +40,7 @@ def run_to_table(stream: DataFrame, folder: str, checkpoint: str) -> None:
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    query = (stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).foreachBatch(store).start())
     query.awaitTermination()
 

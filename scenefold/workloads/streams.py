@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..streaming import increments
+from ..streaming import increments, sequences
 from . import bindings as B
-from .registry import near, query, sql_near as R
+from .registry import ORACLES, near, query, sql_near as R
+from . import sequences as batch
 
 
 def _shared_folder(spark) -> str:
@@ -31,3 +32,29 @@ def voxel_fusion_stream(spark, folder):
     increments.run_to_table(increments.voxel_stream(points, 0.25), f"{target}/table", f"{target}/state")
     fused = increments.latest(spark, f"{target}/table", ["kx", "ky", "kz"])
     return fused.select("kx", "ky", "kz", near("x", 9).alias("x"), near(F.col("confidence")).alias("confidence"), "first_observing_frame", "contributors")
+
+
+def _arrivals(spark, folder):
+    """Frames of all captures in four files in no order, then a file with the end of each capture."""
+    target = _shared_folder(spark)
+    luma = F.col("luma")
+    frames = B.frames(spark, folder).select("capture", "frame_index", F.array(luma).alias("signature"), luma.alias("sharpness"), F.lit(False).alias("closed"))
+    frames.repartition(4).write.parquet(f"{target}/arrivals")
+    ends = frames.select("capture").distinct().select("capture", *[F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in ("frame_index", "signature", "sharpness")], F.lit(True).alias("closed"))
+    ends.coalesce(1).write.mode("append").parquet(f"{target}/arrivals")
+    return target, increments.arriving(spark, f"{target}/arrivals", frames.schema, "*.parquet", files_per_trigger=1)
+
+
+@query("window_schedule_stream", ORACLES["window_schedule"])
+def window_schedule_stream(spark, folder):
+    target, frames = _arrivals(spark, folder)
+    increments.run_to_table(sequences.window_stream(frames, "capture", "frame_index"), f"{target}/table", f"{target}/state", "append")
+    return spark.read.parquet(f"{target}/table").select("capture", "window_index", "start", "stop")
+
+
+@query("keyframe_stream", ORACLES["keyframe_select"])
+def keyframe_stream(spark, folder):
+    target, frames = _arrivals(spark, folder)
+    chosen = sequences.keyframe_stream(frames, "capture", 8.0, "frame_index", batch._KEY)
+    increments.run_to_table(chosen, f"{target}/table", f"{target}/state", "append")
+    return spark.read.parquet(f"{target}/table").select("capture", "frame_index")

@@ -14,12 +14,13 @@ from scenefold.schemas import PIXELS, VIEWS
 from scenefold.settings import BackprojectionSettings
 
 EYE = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0]
-K = [2.0, 0.0, 0.5, 0.0, 2.0, 0.5, 0.0, 0.0, 1.0]
+# Focal length 4, optical axis through the middle of a raster three pixels wide and high.
+K = [4.0, 0.0, 1.0, 0.0, 4.0, 1.0, 0.0, 0.0, 1.0]
 
 
 def scene(spark, depths, width, k=K, w2c=EYE, confidence=None):
     confidence = confidence or [1.0] * len(depths)
-    rows = [(0, 0, i % width, i // width, float(d), float(c), 10 * (3 * i + 1), 10 * (3 * i + 2), 10 * (3 * i + 3))
+    rows = [(0, 0, i % width, i // width, float(d), float(c), 7 * i % 256, 11 * i % 256, 13 * i % 256)
             for i, (d, c) in enumerate(zip(depths, confidence))]
     view = [(0, 0, [float(v) for v in w2c], [float(v) for v in k])]
     return spark.createDataFrame(rows, PIXELS), spark.createDataFrame(view, VIEWS)
@@ -30,43 +31,50 @@ def ordered(points):
 
 
 def test_backprojection_of_a_small_raster(spark):
-    points = ordered(surface.backproject(*scene(spark, [2, 4, 1, 3], 2)))
-    assert [(p.x, p.y, p.z) for p in points] == [(-0.5, -0.5, 2.0), (1.0, -1.0, 4.0), (-0.25, 0.25, 1.0), (0.75, 0.75, 3.0)]
-    assert (points[1].r, points[1].g, points[1].b) == (40, 50, 60)
-    assert points[0].radius == 1.0
+    points = ordered(surface.backproject(*scene(spark, [8, 8, 16, 4, 12, 4], 3)))
+    # x = (px - 1) z / 4 and y = (py - 1) z / 4.
+    assert [(p.x, p.y, p.z) for p in points] == [(-2, -2, 8), (0, -2, 8), (4, -4, 16), (-1, 0, 4), (0, 0, 12), (1, 0, 4)]
+    assert (points[5].r, points[5].g, points[5].b) == (35, 55, 65)
+    assert [p.radius for p in points[:3]] == [2.0, 2.0, 4.0]
 
 
 def test_stencil_normal_faces_the_camera(spark):
-    first = ordered(surface.backproject(*scene(spark, [2, 2, 2, 2], 2)))[0]
-    assert (first.nx, first.ny, first.nz) == (0.0, 0.0, -1.0)
+    # A wall at one depth is seen along the axis; a wall that recedes to the right turns to the left.
+    flat = ordered(surface.backproject(*scene(spark, [5] * 9, 3)))[0]
+    assert (flat.nx, flat.ny, flat.nz) == (0.0, 0.0, -1.0)
+    slanted = ordered(surface.backproject(*scene(spark, [4, 5, 6] * 3, 3)))[0]
+    assert slanted.nx > 0 > slanted.nz and slanted.nx ** 2 + slanted.ny ** 2 + slanted.nz ** 2 == pytest.approx(1.0)
 
 
 def test_pose_is_inverted(spark):
-    w2c = [1, 0, 0, 3, 0, 1, 0, -2, 0, 0, 1, 1]
-    point = ordered(surface.backproject(*scene(spark, [2], 1, w2c=w2c)))[0]
-    # One pixel at (0, 0): camera point (-0.5, -0.5, 2).
-    assert (point.x, point.y, point.z) == (-3.5, 1.5, 1.0)
+    # The camera looks along world -x: its rows are the world axes (0, 0, 1), (0, 1, 0), (-1, 0, 0).
+    w2c = [0, 0, 1, 5, 0, 1, 0, 6, -1, 0, 0, 7]
+    point = ordered(surface.backproject(*scene(spark, [20], 1, w2c=w2c)))[0]
+    # Camera point (-5, -5, 20), less the translation (-10, -11, 13), by the transposed rotation.
+    assert (point.x, point.y, point.z) == (-13.0, -11.0, -10.0)
 
 
 def test_only_finite_confident_evidence_stays(spark):
-    pixels, views = scene(spark, [1, math.nan, -1, 2], 2, confidence=[0.5, 2, 2, 1])
-    points = ordered(surface.backproject(pixels, views, BackprojectionSettings(minimum_confidence=1.0)))
-    assert [(p.px, p.py) for p in points] == [(1, 1)]
+    pixels, views = scene(spark, [3, math.inf, 0, 3, 3, math.nan], 3, confidence=[0.7, 0.9, 0.9, 0.2, math.nan, 0.9])
+    points = ordered(surface.backproject(pixels, views, BackprojectionSettings(minimum_confidence=0.7)))
+    assert [(p.px, p.py) for p in points] == [(0, 0)]
 
 
 def test_exact_inverse_backprojection(spark):
-    k = [2.0, 0.0, 1.0, 0.0, 4.0, 0.5, 0.0, 0.0, 1.0]
-    pixels, views = scene(spark, [2] * 20, 4, k=k, w2c=[1, 0, 0, -2, 0, 1, 0, 3, 0, 0, 1, -4])
-    point = surface.backproject_exact(pixels, views).filter("px = 0 and py = 0").first()
-    assert (point.x, point.y, point.z) == (1.0, -3.25, 6.0)
+    k = [4.0, 0.0, 3.0, 0.0, 8.0, 2.0, 0.0, 0.0, 1.0]
+    pixels, views = scene(spark, [8] * 20, 5, k=k, w2c=[1, 0, 0, 1, 0, 1, 0, 2, 0, 0, 1, 3])
+    point = surface.backproject_exact(pixels, views).filter("px = 4 and py = 1").first()
+    # Camera point (2, -1, 8), less the translation.
+    assert (point.x, point.y, point.z) == (1.0, -3.0, 5.0)
 
 
 def test_stride_keeps_full_raster_neighbours(spark):
-    depths = [2, 3, 2, 2, 2, 2, 2, 2, 2]
-    points = ordered(surface.backproject(*scene(spark, depths, 3), BackprojectionSettings(stride=2)))
-    assert [(p.px, p.py) for p in points] == [(0, 0), (2, 0), (0, 2), (2, 2)]
-    # The neighbour at (1, 0) is off the stride grid but still bends the normal.
-    assert points[0].nx != 0.0
+    depths = [6] * 25
+    depths[1 + 5 * 2] = 7
+    points = ordered(surface.backproject(*scene(spark, depths, 5), BackprojectionSettings(stride=2)))
+    assert [(p.px, p.py) for p in points] == [(x, y) for y in (0, 2, 4) for x in (0, 2, 4)]
+    # The neighbour at (1, 2) is off the stride grid but still bends the normal of (0, 2).
+    assert [abs(points[i].nx) > 1e-6 for i in (0, 1, 3, 4)] == [False, False, True, False]
 
 
 def test_camera_centre_and_direction(spark):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scenefold.errors import PoseError, PoseGraphError, ScheduleError, StitchError
-from scenefold.functions import hashing
+from scenefold.functions import hashing, linalg
 from scenefold.operators import depth, graph, icp, matching, ordering, planes, quantiles, reports, similarity, spatial, surface
 from scenefold.settings import ArchitectureSettings, FrameGlobalSettings, KeyframeSettings, PreviewSettings, TsdfSettings, WindowSettings
 
@@ -79,30 +79,44 @@ def test_one_to_one_matching_is_the_greedy_result(spark):
     assert found == expected
 
 
-@pytest.mark.parametrize("rows", [10**6, 0])
-def test_quantiles_of_infinite_and_missing_values(spark, rows):
+def test_quantiles_of_infinite_and_missing_values(spark):
     inf, nan = float("inf"), float("nan")
     data = [("a", v) for v in (1.0, 2.0, 3.0, inf)] + [("b", v) for v in (nan, 1.0, -inf)] + [("c", inf), ("c", None), ("d", 1.7e308), ("d", -1.7e308), ("d", 0.0)]
     frame = spark.createDataFrame(data, "k string, v double")
-    upper = {r.k: r.m for r in quantiles.upper_median(frame, ["k"], "v", "m", rows).collect()}
+    upper = {r.k: r.m for r in quantiles.upper_median(frame, ["k"], "v", "m").collect()}
     assert upper == {"a": 3.0, "b": 1.0, "c": inf, "d": 0.0}
-    most = {r.k: r.m for r in quantiles.percentiles(frame, ["k"], "v", {"m": 1.0}, rows).collect()}
+    most = {r.k: r.m for r in quantiles.percentiles(frame, ["k"], "v", {"m": 1.0}).collect()}
     assert most["a"] == most["c"] == inf and most["b"] != most["b"] and most["d"] == 1.7e308
 
 
-@pytest.mark.parametrize("rows", [10**6, 5])
-def test_quantiles_by_both_routes(spark, rows):
+def test_quantiles_of_random_groups(spark):
     rng = np.random.default_rng(4)
     data = pd.DataFrame({"k": rng.integers(0, 3, 400), "v": np.round(rng.exponential(size=400) ** 4, 2)})
     frame = spark.createDataFrame(data)
-    got = quantiles.percentiles(frame, ["k"], "v", {"a": 0.55, "b": 0.95}, rows).orderBy("k").toPandas()
-    upper = quantiles.upper_median(frame, ["k"], "v", "m", rows).orderBy("k").toPandas()
+    got = quantiles.percentiles(frame, ["k"], "v", {"a": 0.55, "b": 0.95}).orderBy("k").toPandas()
+    upper = quantiles.upper_median(frame, ["k"], "v", "m").orderBy("k").toPandas()
     for k, part in data.groupby("k"):
         assert got.a[k] == pytest.approx(np.percentile(part.v, 55))
         assert got.b[k] == pytest.approx(np.percentile(part.v, 95))
         assert upper.m[k] == sorted(part.v)[len(part) // 2]
 
 
+def test_statistics_of_several_measures_and_null_keys(spark):
+    data = [(None, 1.0, -5.0), (None, 3.0, None), ("a", None, -1e-300), ("a", None, -0.0), ("a", None, 5e-324), ("b", None, None)]
+    frame = spark.createDataFrame(data, "k string, v double, w double")
+    wanted = {"v50": ("v", 0.5), "w50": ("w", 0.5), "w0": ("w", 0.0), "top": (F.col("v") * 2, None)}
+    rows = {r.k: tuple(r)[1:] for r in quantiles.statistics(frame, ["k"], wanted).collect()}
+    assert rows == {None: (2.0, -5.0, -5.0, 6.0), "a": (None, 0.0, -1e-300, None), "b": (None, None, None, None)}
+    assert quantiles.statistics(frame.limit(0), [], wanted).collect()[0][:] == (None,) * 4
+
+
+def test_buckets_never_fall(spark):
+    rng = np.random.default_rng(9)
+    values = np.r_[rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), 0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0)]
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", quantiles.bucket_of(F.col("v")).alias("b")).orderBy("v").toPandas()
+    assert (np.diff(frame.b) >= 0).all()
+
+
 def test_percentile_examples(spark):
     frame = spark.createDataFrame([(float(v),) for v in (9, 1, 5, 3)], "v double")
     row = quantiles.percentiles(frame, [], "v", {"a": 0.0, "b": 1.0, "c": 0.5}).first()
@@ -244,6 +258,42 @@ def test_pose_graph_with_a_loop(spark):
         graph.optimise_pose_graph(nodes.filter("window_index <> 1"), edges, "g")
 
 
+def test_a_loop_of_turned_and_scaled_windows_closes(spark):
+    rng = np.random.default_rng(3)
+    truth = [(1.0, np.eye(3), np.zeros(3))]
+    steps = [(float(np.exp(rng.normal(0, 0.1))), linalg.so3_exp(rng.normal(0, 0.3, 3)), rng.normal(size=3)) for _ in range(7)]
+    for one in steps:
+        truth.append(linalg.sim3_compose(truth[-1], one))
+    loop = linalg.sim3_compose(linalg.sim3_inverse(truth[0]), truth[-1])
+    pack = lambda pose: (float(pose[0]), np.asarray(pose[1]).ravel().tolist(), np.asarray(pose[2]).tolist())
+    rough = [(0, i, *pack((p[0] * (1 + 0.02 * (i > 0)), p[1], p[2] + 0.1 * (i > 0)))) for i, p in enumerate(truth)]
+    edges = [(0, i, i + 1, *pack(one), 1.0, False) for i, one in enumerate(steps)] + [(0, 0, 7, *pack(loop), 4.0, True)]
+    rows = graph.optimise_pose_graph(spark.createDataFrame(rough, f"g int, window_index int, {SIM3}"),
+                                     spark.createDataFrame(edges, f"g int, src int, dst int, {SIM3}, information double, loop_closure boolean"), "g").collect()
+    for row in rows:
+        scale, rotation, translation = truth[row.window_index]
+        assert row.scale == pytest.approx(scale, abs=1e-6) and np.allclose(np.reshape(row.rotation, (3, 3)), rotation, atol=1e-6)
+        assert np.allclose(row.translation, translation, atol=1e-5) and row.final_cost < 1e-10 < row.initial_cost
+
+
+def test_nearest_by_a_tree_scores_few_pairs():
+    from scenefold.operators.kdtree import Tree
+
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 3)) * 20
+    places = np.round(centres[rng.integers(0, 40, 5000)] + rng.normal(size=(5000, 3)), 1)
+    places[100:140] = places[50]
+    asked = np.r_[centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 3)), places[:50], [[1e6, 0, 0]]]
+    tree = Tree(places)
+    at, d2 = tree.nearest(asked)
+    assert tree.evaluations < 0.05 * len(places) * len(asked)
+    for q in range(len(asked)):
+        every = ((places - asked[q]) ** 2).sum(axis=1)
+        assert at[q] == np.argmin(every) and d2[q] == pytest.approx(every.min())
+    one = Tree(np.zeros((20, 3)))
+    assert one.nearest(np.ones((2, 3)))[0].tolist() == [0, 0]
+
+
 def test_components_match_union_find(spark):
     rng = np.random.default_rng(7)
     edges = rng.integers(0, 60, size=(45, 2))
@@ -470,5 +520,5 @@ def test_a_third_of_all_rows_on_one_key(spark):
     assert moments.n == (((xyz - xyz[0]) ** 2).sum(axis=1) <= 0.16).sum() >= hot
     nearest = depth.nearest_per_pixel(frame.select("px", "py", "depth", F.col("i").alias("pid")), []).toPandas()
     assert np.allclose(nearest.sort_values(["px", "py"]).depth, data.groupby(["px", "py"]).depth.min())
-    middle = quantiles.upper_median(frame, ["frame_index"], "depth", "m", 500).toPandas().set_index("frame_index").m
+    middle = quantiles.upper_median(frame, ["frame_index"], "depth", "m").toPandas().set_index("frame_index").m
     assert middle[7] == sorted(data[data.frame_index == 7].depth)[(data.frame_index == 7).sum() // 2]
