@@ -15,7 +15,7 @@ from ..settings import CalibrationSettings, FrameGlobalSettings
 from .common import attach, equi, first_by, latest_by
 from .matching import bilinear
 from .ordering import adjacent
-from .quantiles import median, percentiles, statistics
+from .quantiles import is_small, median, percentiles, statistics
 
 
 # --- scale from tracks ---------------------------------------------------
@@ -32,13 +32,15 @@ def scale_reports(evidence: DataFrame, keys: list[str], hold_out: Column, minimu
         F.sum((~F.col("_held")).cast("long")).alias("scale_samples"), F.sum(F.col("_held").cast("long")).alias("held_out_samples"))
     train = statistics(marked, keys, {"_log": (F.when(~F.col("_held"), F.col("log_ratio")), 0.5)})
     usable = (F.col("scale_samples") >= minimum_train) & (F.col("held_out_samples") > 0)
-    # One row per key; settled, because the deviations are gone through twice.
-    base = settle(counts.join(train, keys, "left").withColumn("log_scale", F.when(usable, F.col("_log"))).drop("_log"))
+    base = counts.join(train, keys, "left").withColumn("log_scale", F.when(usable, F.col("_log"))).drop("_log")
+    if not is_small(marked):
+        # One row per key; settled, because the deviations are then gone through twice.
+        base = settle(base)
     deviation = marked.join(base.select(*keys, "log_scale"), keys).withColumn("_e", F.abs(F.col("log_ratio") - F.col("log_scale")))
     wanted = {"held_out_median_log_error": (F.when(F.col("_held"), F.col("_e")), 0.5)}
     if train_error:
         wanted["train_median_log_error"] = (F.when(~F.col("_held"), F.col("_e")), 0.5)
-    return base.join(statistics(deviation, keys, wanted), keys, "left").withColumn("scale", F.exp("log_scale"))
+    return base.join(statistics(deviation, keys, wanted, within=marked), keys, "left").withColumn("scale", F.exp("log_scale"))
 
 
 def frame_scale_reports(evidence: DataFrame, keys: list[str], settings: FrameGlobalSettings = FrameGlobalSettings()) -> DataFrame:
@@ -112,7 +114,7 @@ def smooth_scales(reports: DataFrame, held_out: DataFrame, keys: list[str], ordi
     smoothed = seen.withColumn("_logs", logs).withColumn("smoothed_log", F.when(F.col("_ok") & (size > 1), middle))
     smoothed = smoothed.select(*reports.columns, "smoothed_log")
     errors = held_out.join(smoothed.filter("smoothed_log is not null").select(*keys, "frame_index", "smoothed_log"), [*keys, "frame_index"])
-    errors = median(errors.withColumn("_e", F.abs(F.col("log_ratio") - F.col("smoothed_log"))), [*keys, "frame_index"], "_e", "_error")
+    errors = statistics(errors, [*keys, "frame_index"], {"_error": (F.abs(F.col("log_ratio") - F.col("smoothed_log")), 0.5)}, within=held_out)
     joined = smoothed.join(errors, [*keys, "frame_index"], "left")
     better = F.coalesce(F.col("_error") <= settings.maximum_held_out_error, F.lit(False))
     return joined.withColumns({

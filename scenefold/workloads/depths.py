@@ -159,11 +159,10 @@ er AS (SELECT sm.frame_index, median(abs(log_ratio - smoothed)) AS e2 FROM sm JO
 SELECT grp.frame_index, {R('CASE WHEN e2 <= 0.5::DOUBLE THEN smoothed ELSE log_scale END')} AS log_scale, {R('CASE WHEN e2 <= 0.5::DOUBLE THEN e2 ELSE err END')} AS held_out_error
 FROM grp LEFT JOIN sm USING (frame_index) LEFT JOIN er USING (frame_index)""")
 def temporal_smoothing(spark, folder):
-    canonical = _canonical(spark, folder)
-    owners = canonical.select("frame_index", "window_index")
-    held = B.evidence(spark, folder).filter(hashing.modulo_hold_out(F.col("point_id"))).join(owners, ["frame_index", "window_index"], "left_semi")
     # Reports are one row per frame of a capture; their position is their frame order.
-    ordered = global_index(canonical, ["frame_index"])
+    ordered = global_index(_canonical(spark, folder), ["frame_index"])
+    owners = ordered.select("frame_index", "window_index")
+    held = B.evidence(spark, folder).filter(hashing.modulo_hold_out(F.col("point_id"))).join(owners, ["frame_index", "window_index"], "left_semi")
     smoothed = depth.smooth_scales(ordered, held, [], "ordinal", _WIDE)
     return smoothed.select("frame_index", near("log_scale").alias("log_scale"), near("held_out_median_log_error").alias("held_out_error"))
 

@@ -79,7 +79,9 @@ def test_one_to_one_matching_is_the_greedy_result(spark):
     assert found == expected
 
 
-def test_quantiles_of_infinite_and_missing_values(spark):
+@pytest.mark.parametrize("small", [0, 1 << 62])
+def test_quantiles_of_infinite_and_missing_values(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
     inf, nan = float("inf"), float("nan")
     data = [("a", v) for v in (1.0, 2.0, 3.0, inf)] + [("b", v) for v in (nan, 1.0, -inf)] + [("c", inf), ("c", None), ("d", 1.7e308), ("d", -1.7e308), ("d", 0.0)]
     frame = spark.createDataFrame(data, "k string, v double")
@@ -89,7 +91,9 @@ def test_quantiles_of_infinite_and_missing_values(spark):
     assert most["a"] == most["c"] == inf and most["b"] != most["b"] and most["d"] == 1.7e308
 
 
-def test_quantiles_of_random_groups(spark):
+@pytest.mark.parametrize("small", [0, 1 << 62])
+def test_quantiles_of_random_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
     rng = np.random.default_rng(4)
     data = pd.DataFrame({"k": rng.integers(0, 3, 400), "v": np.round(rng.exponential(size=400) ** 4, 2)})
     frame = spark.createDataFrame(data)
@@ -101,7 +105,9 @@ def test_quantiles_of_random_groups(spark):
         assert upper.m[k] == sorted(part.v)[len(part) // 2]
 
 
-def test_statistics_of_several_measures_and_null_keys(spark):
+@pytest.mark.parametrize("small", [0, 1 << 62])
+def test_statistics_of_several_measures_and_null_keys(spark, monkeypatch, small):
+    monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
     data = [(None, 1.0, -5.0), (None, 3.0, None), ("a", None, -1e-300), ("a", None, -0.0), ("a", None, 5e-324), ("b", None, None)]
     frame = spark.createDataFrame(data, "k string, v double, w double")
     wanted = {"v50": ("v", 0.5), "w50": ("w", 0.5), "w0": ("w", 0.0), "top": (F.col("v") * 2, None)}
@@ -260,8 +266,8 @@ def test_pose_graph_with_a_loop(spark):
 
 def test_a_loop_of_turned_and_scaled_windows_closes(spark):
     rng = np.random.default_rng(3)
-    truth = [(1.0, np.eye(3), np.zeros(3))]
-    steps = [(float(np.exp(rng.normal(0, 0.1))), linalg.so3_exp(rng.normal(0, 0.3, 3)), rng.normal(size=3)) for _ in range(7)]
+    truth = [(np.array(1.0), np.eye(3), np.zeros(3))]
+    steps = [(np.exp(np.array(rng.normal(0, 0.1))), linalg.so3_exp(rng.normal(0, 0.3, 3)), rng.normal(size=3)) for _ in range(7)]
     for one in steps:
         truth.append(linalg.sim3_compose(truth[-1], one))
     loop = linalg.sim3_compose(linalg.sim3_inverse(truth[0]), truth[-1])
@@ -270,6 +276,7 @@ def test_a_loop_of_turned_and_scaled_windows_closes(spark):
     edges = [(0, i, i + 1, *pack(one), 1.0, False) for i, one in enumerate(steps)] + [(0, 0, 7, *pack(loop), 4.0, True)]
     rows = graph.optimise_pose_graph(spark.createDataFrame(rough, f"g int, window_index int, {SIM3}"),
                                      spark.createDataFrame(edges, f"g int, src int, dst int, {SIM3}, information double, loop_closure boolean"), "g").collect()
+    assert len(rows) == 8
     for row in rows:
         scale, rotation, translation = truth[row.window_index]
         assert row.scale == pytest.approx(scale, abs=1e-6) and np.allclose(np.reshape(row.rotation, (3, 3)), rotation, atol=1e-6)
