@@ -6,7 +6,7 @@ from . import registry
 
 
 def _load() -> None:
-    from . import audits, depths, formats, sequences, streams, surfaces  # noqa: F401  (importing registers the queries)
+    from . import audits, depths, formats, scenes, sequences, streams, surfaces  # noqa: F401  (importing registers the queries)
 
 
 def all_queries() -> dict[str, registry.Query]:
