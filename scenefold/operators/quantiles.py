@@ -55,7 +55,13 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
 def is_small(df: DataFrame) -> bool:
     """Whether the planner bounds the size of ``df`` by SMALL_BYTES; unknown sizes count as large."""
     plan = getattr(df, "_jdf", None)
-    return plan is not None and int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    if plan is None:
+        return False
+    try:
+        return plan.queryExecution().optimizedPlan().stats().sizeInBytes() <= SMALL_BYTES
+    except ValueError:
+        # Estimates of joins multiply, to numbers of thousands of digits that Python refuses to parse.
+        return False
 
 
 def statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float | None]], within: DataFrame | None = None) -> DataFrame:
