@@ -141,7 +141,7 @@ def test_rebase_at_unit_scale_returns_the_point(spark):
     frame = spark.createDataFrame([tuple([float(v) for v in x] if isinstance(x, list) else x for x in row)],
                                   "window_index int, frame_index int, px int, py int, x double, y double, z double, nx double, ny double, nz double, "
                                   "radius double, confidence double, w2c array<double>, k array<double>")
-    extra = {n: F.lit(v) for n, v in (("f", 2.0), ("cx", 0.5), ("cy", 0.5), ("radial", 0.0), ("scale", 1.0))}
+    extra = {n: F.lit(v) for n, v in (("f", 4.0), ("cx", 1.0), ("cy", 1.0), ("radial", 0.0), ("scale", 1.0))}
     moved = depth.rebase_points(frame.withColumns({**extra, "width": F.lit(8), "height": F.lit(8), "global_w2c": F.col("w2c")}), (8, 8)).first()
-    assert (moved.x, moved.y, moved.z) == (2.5, 1.5, 2.0)
+    assert (moved.x, moved.y, moved.z) == (1.0, 0.5, 2.0)
     assert moved.radius == pytest.approx(0.01)
