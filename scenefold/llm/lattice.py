@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Words of more bytes are long: they are segmented one at a time.
 WORD_BYTES = 256
+#: Bits of the number of different scores of a table whose pairs are merged.
+_TURN = 29
 
 
 def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -28,8 +30,11 @@ def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     counted = sized.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") * longest - 1)).alias("k"))
     spread = counted.select("word", "n", F.expr(f"cast(k div {longest} as int)").alias("b"), (F.col("k") % longest + 1).alias("l")).where("b + l <= n")
     named = spread.select("word", (F.col("b") + F.col("l")).alias("e"), "l", F.substr("word", F.col("b") + 1, F.col("l")).alias("piece"))
-    found = named.join(pieces.select("piece", "score", "id"), "piece", "left")
-    return found.where("id is not null or l = 1").select("word", "e", "l", "score", "id")
+    # The key is a long, which joins faster than a string; the pieces themselves decide, so that no hash takes another's place.
+    known = pieces.select(F.xxhash64("piece").alias("h"), "score", "id", F.col("piece").alias("same"))
+    found = named.withColumn("h", F.xxhash64("piece")).join(known, "h", "left").withColumn("met", F.coalesce(F.col("same") == F.col("piece"), F.lit(False)))
+    held = found.where("met or l = 1")
+    return held.select("word", "e", "l", *[F.when(F.col("met"), F.col(c)).alias(c) for c in ("score", "id")])
 
 
 def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
@@ -68,48 +73,79 @@ def best_paths(words: DataFrame, pieces: DataFrame, longest: int, unknown: float
     return table.select("word", walked["path"].alias("path"))
 
 
+def ranked(pieces: dict[str, tuple[float, int]]) -> list[tuple[str, int, int]]:
+    """(piece, score, id) for ``merged_paths``, of a dict of (score, id).
+
+    The score is a whole number that orders like the old one, doubled, and odd for a
+    late piece: one that two pieces make of which one has no better score.
+    """
+    turn = {s: i for i, s in enumerate(sorted({s for s, _ in pieces.values()}))}
+    if len(turn) > 1 << _TURN:
+        raise ValueError(f"a table of more than {1 << _TURN} scores is not supported")
+
+    def late(piece: str, score: float) -> bool:
+        # A single character needs no merge and is always in time.
+        parts = ([x for x in (piece[:k], piece[k:]) if len(x) > 1] for k in range(1, len(piece)))
+        return any(some and all(x in pieces for x in some) and min(pieces[x][0] for x in some) <= score for some in parts)
+
+    return [(p, 2 * turn[s] + late(p, s), i) for p, (s, i) in pieces.items()]
+
+
 def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, path): per distinct non-empty word the symbols (start, length, id) after all merges.
 
     Beginning with single characters, the two neighbours whose concatenation is
     the piece with the largest score are merged, the leftmost of equals first,
-    until none are left. A character that is no piece has id -1.
+    until none are left. A character that is no piece has id -1. ``pieces`` has
+    the scores of ``ranked``; a word has fewer than 65,536 characters.
     """
-    edge = F.struct((-F.col("score")).alias("rank"), (F.col("e") - F.col("l")).alias("b"), "e", "id")
+    start, span = F.col("e") - F.col("l"), lambda b, e: F.shiftleft(b.cast("long"), 16).bitwiseOR(e.cast("long"))
+    place = span(start, F.col("e"))
+    # A join is one long that sorts by turn, then start, then end; the last bit tells late pieces.
+    turn = F.lit(1 << _TURN) - F.shiftright("score", 1)
+    join = F.shiftleft(turn.cast("long"), 33).bitwiseOR(F.shiftleft(place, 1)).bitwiseOR(F.col("score").bitwiseAND(F.lit(1)))
     grouped = edges(words, pieces, longest).groupBy("word").agg(
-        F.sort_array(F.collect_list(F.when(F.col("l") > 1, edge))).alias("joins"),
-        F.sort_array(F.collect_list(F.when(F.col("l") == 1, F.struct("e", F.coalesce("id", F.lit(-1)).alias("id"))))).alias("single"),
+        F.sort_array(F.collect_list(F.when(F.col("l") > 1, join))).alias("joins"),
+        F.collect_list(place).alias("places"), F.collect_list(F.coalesce("id", F.lit(-1))).alias("ids"),
     )
 
-    def at(cuts: Column, value: Column) -> Column:
-        return F.array_position(cuts, value)
+    def begin(x: Column) -> Column:
+        return F.shiftright(x, 17).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+    def end(x: Column) -> Column:
+        return F.shiftright(x, 1).bitwiseAND(F.lit(0xFFFF)).cast("int")
+
+    def at(cuts: Column, b: Column) -> Column:
+        return F.array_position(cuts, b).cast("int")
 
     def adjoining(cuts: Column, x: Column) -> Column:
         # An edge is two neighbouring symbols if one cut lies between its ends.
-        return (at(cuts, x["b"]) > 0) & (at(cuts, x["e"]) == at(cuts, x["b"]) + 2)
+        return F.array_contains(cuts, begin(x)) & (F.get(cuts, at(cuts, begin(x)) + 1) == end(x))
 
     def joined(cuts: Column, b: Column) -> Column:
-        return F.array_remove(cuts, F.get(cuts, at(cuts, b).cast("int")))
+        return F.array_remove(cuts, F.get(cuts, at(cuts, b)))
 
     def once(cuts: Column, x: Column) -> Column:
-        return F.when(adjoining(cuts, x), joined(cuts, x["b"])).otherwise(cuts)
+        return F.when(adjoining(cuts, x), joined(cuts, begin(x))).otherwise(cuts)
 
     def again(cuts: Column, _: Column) -> Column:
-        first = F.get(F.filter("joins", lambda x: adjoining(cuts, x)), F.lit(0))["b"]
+        first = begin(F.get(F.filter("joins", lambda x: adjoining(cuts, x)), F.lit(0)))
         # A one-element transform binds the best join once; lambdas share no subexpressions.
         return F.get(F.transform(F.array(first), lambda b: F.when(b.isNull(), cuts).otherwise(joined(cuts, b))), F.lit(0))
 
-    # A piece is made of pieces of better rank, so one pass by rank does every merge
-    # in its turn. Should a table be made otherwise, what is left is merged step by step.
-    n = F.size("single")
-    passed = grouped.select("word", "joins", "single", F.aggregate("joins", F.sequence(F.lit(0), n), once).alias("cuts"))
-    steps = F.when(F.exists("joins", lambda x: adjoining(F.col("cuts"), x)), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    cut = passed.select("word", "joins", "single", F.aggregate(steps, F.col("cuts"), again).alias("cuts"))
+    # Where the parts of a piece have better turns, one pass does its merges in their
+    # time. Only late pieces can be left over; then what is left is merged step by step.
+    n = F.char_length("word")
+    passed = grouped.select("word", "joins", "places", "ids", F.aggregate("joins", F.sequence(F.lit(0), n), once).alias("cuts"))
+    is_late = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    left = F.exists("joins", lambda x: is_late(x) & adjoining(F.col("cuts"), x))
+    steps = F.when(left, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    cut = passed.select("word", "joins", "places", "ids", F.aggregate(steps, F.col("cuts"), again).alias("cuts"))
 
     def symbol(i: Column) -> Column:
         b, e = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
-        piece = F.get(F.filter("joins", lambda x: (x["b"] == b) & (x["e"] == e)), F.lit(0))["id"]
-        return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, F.get(F.col("single"), b)["id"]).otherwise(piece).alias("id"))
+        known = F.get(F.col("ids"), F.array_position("places", span(b, e)).cast("int") - 1)
+        return F.struct((b + 1).alias("start"), (e - b).alias("l"), known.alias("id"))
 
     return cut.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol).alias("path"))
 
