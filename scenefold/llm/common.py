@@ -17,6 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"
 #: Texts are handed to numpy in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
+#: Partitions that the size of an input can ask for.
+MOST_PARTITIONS = 4096
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -36,6 +38,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def partitions_for(df: DataFrame, share: int) -> int:
+    """Partitions of about ``share`` bytes of ``df`` by the planner's bound of its size.
+
+    At least the session's shuffle partitions; an unknown or immense bound (joins
+    multiply theirs) counts as ``MOST_PARTITIONS``.
+    """
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return least
+    try:
+        size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return max(least, min(MOST_PARTITIONS, int(size) // share))
+    except ValueError:
+        # Such bounds have thousands of digits, which Python refuses to parse.
+        return max(least, MOST_PARTITIONS)
+
+
 def with_workers(df: DataFrame) -> DataFrame:
     """Make this package importable in the Python workers of ``df``'s session."""
     ship_package(df.sparkSession)

@@ -21,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import slices, utf8, with_workers
+from .common import partitions_for, slices, utf8, with_workers
 from .lattice import WORD_BYTES, best_paths, best_pieces, merged_paths, merged_pieces, ranked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of one block, about; bounds what a task of the last step holds.
 BLOCK_BYTES = 16 << 20
+#: Bytes of the input, as files have them, for each partition of the words and of the blocks.
+PARTITION_BYTES = 64 << 20
 #: A vocabulary is a fixed file; only one of at most this many pieces is broadcast.
 BROADCAST_PIECES = 300_000
 
@@ -278,15 +280,17 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, method: str
     docs = with_workers(docs.drop("ids"))
     table = load_pieces(model)
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    tasks = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The partitions grow with the input, so that a bucket and a task keep their size.
+    tasks = partitions_for(docs, PARTITION_BYTES)
     buckets = 2 * tasks
-    met = docs.select(text).mapInArrow(_vocabulary(text, block_bytes, buckets), "bucket int, block long, words binary").repartition("bucket")
+    met = docs.select(text).mapInArrow(_vocabulary(text, block_bytes, buckets), "bucket int, block long, words binary").repartition(tasks, "bucket")
     words = met.sortWithinPartitions("bucket").mapInArrow(_distinct, "word string, bucket int")
     # More and smaller partitions for the lattice, so that grouping its edges fits in memory.
     spread = words.repartition(4 * tasks, "word")
-    coded = word_ids(spread.select("word"), table, method).withColumn("bucket", F.expr(_BUCKET.format(buckets)))
+    coded = word_ids(spread.select("word"), table, method).withColumn("bucket", F.expr(_BUCKET.format(buckets))).repartition(tasks, "bucket")
     found = met.groupBy("bucket").cogroup(coded.groupBy("bucket")).applyInArrow(_answered, "block long, bucket int, ids binary")
-    packed = docs.mapInArrow(_packed(text, block_bytes), "block long, rows binary")
+    packed = docs.mapInArrow(_packed(text, block_bytes), "block long, rows binary").repartition(tasks, "block")
+    found = found.repartition(tasks, "block")
     assembled = _assembled(text, docs.columns, buckets, byte_ids(table)[10], long_word_ids(table, method))
     return packed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assembled, f"{shape}, ids array<int>")
 
