@@ -17,8 +17,8 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"
 #: Texts are handed to numpy in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
-#: Partitions that the size of an input can ask for.
-MOST_PARTITIONS = 4096
+#: Partitions that the size of an input can ask for, and the bound from which a size counts as unknown.
+MOST_PARTITIONS, UNKNOWN_BYTES = 4096, 1 << 58
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -41,19 +41,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def partitions_for(df: DataFrame, share: int) -> int:
     """Partitions of about ``share`` bytes of ``df`` by the planner's bound of its size.
 
-    At least the session's shuffle partitions; an unknown or immense bound (joins
-    multiply theirs) counts as ``MOST_PARTITIONS``.
+    At least the session's shuffle partitions, which is also the answer where the
+    planner knows no bound (rows from memory) or an immense one (joins multiply theirs).
     """
     least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return least
     try:
-        size = plan.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return max(least, min(MOST_PARTITIONS, int(size) // share))
+        size = int(plan.queryExecution().optimizedPlan().stats().sizeInBytes())
     except ValueError:
         # Such bounds have thousands of digits, which Python refuses to parse.
-        return max(least, MOST_PARTITIONS)
+        return least
+    return max(least, min(MOST_PARTITIONS, size // share)) if size < UNKNOWN_BYTES else least
 
 
 def with_workers(df: DataFrame) -> DataFrame:
