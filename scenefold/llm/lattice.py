@@ -20,15 +20,16 @@ WORD_BYTES = 256
 _TURN = 29
 
 
-def edges(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def edges(words: DataFrame, pieces: DataFrame, longest: int, shortest: int = 1) -> DataFrame:
     """(word, e, l, score, id): the pieces found in each word and one edge for each character.
 
-    A character that is no piece has id and score null.
+    A character that is no piece has id and score null. Of edges below ``shortest``
+    characters there is only a word's first character.
     """
     # A flat counter over (start, length): generator, substring and join stay in one generated stage.
     sized = words.select("word", F.char_length("word").alias("n")).where("n > 0")
     counted = sized.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") * longest - 1)).alias("k"))
-    spread = counted.select("word", "n", F.expr(f"cast(k div {longest} as int)").alias("b"), (F.col("k") % longest + 1).alias("l")).where("b + l <= n")
+    spread = counted.select("word", "n", F.expr(f"cast(k div {longest} as int)").alias("b"), (F.col("k") % longest + 1).alias("l")).where(f"b + l <= n and (l >= {shortest} or b + l = 1)")
     named = spread.select("word", (F.col("b") + F.col("l")).alias("e"), "l", F.substr("word", F.col("b") + 1, F.col("l")).alias("piece"))
     # The key is a long, which joins faster than a string; the pieces themselves decide, so that no hash takes another's place.
     known = pieces.select(F.xxhash64("piece").alias("h"), "score", "id", F.col("piece").alias("same"))
@@ -91,22 +92,29 @@ def ranked(pieces: dict[str, tuple[float, int]]) -> list[tuple[str, int, int]]:
     return [(p, 2 * turn[s] + late(p, s), i) for p, (s, i) in pieces.items()]
 
 
-def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def single_ids(pieces: dict[str, tuple[float, int]]) -> Column:
+    """The ids of single characters by code point, -1 where there is none: one literal."""
+    known = {ord(p): i for p, (_, i) in pieces.items() if len(p) == 1}
+    return F.split(F.lit(",".join(str(known.get(c, -1)) for c in range(max(known, default=0) + 1))), ",").cast("array<int>")
+
+
+def merged_paths(words: DataFrame, pieces: DataFrame, longest: int, singles: Column) -> DataFrame:
     """(word, path): per distinct non-empty word the symbols (start, length, id) after all merges.
 
     Beginning with single characters, the two neighbours whose concatenation is
     the piece with the largest score are merged, the leftmost of equals first,
     until none are left. A character that is no piece has id -1. ``pieces`` has
-    the scores of ``ranked``; a word has fewer than 65,536 characters.
+    the scores of ``ranked``, ``singles`` the ids of ``single_ids``; a word has fewer
+    than 65,536 characters.
     """
     start, span = F.col("e") - F.col("l"), lambda b, e: F.shiftleft(b.cast("long"), 16).bitwiseOR(e.cast("long"))
     place = span(start, F.col("e"))
     # A join is one long that sorts by turn, then start, then end; the last bit tells late pieces.
     turn = F.lit(1 << _TURN) - F.shiftright("score", 1)
     join = F.shiftleft(turn.cast("long"), 33).bitwiseOR(F.shiftleft(place, 1)).bitwiseOR(F.col("score").bitwiseAND(F.lit(1)))
-    grouped = edges(words, pieces, longest).groupBy("word").agg(
-        F.sort_array(F.collect_list(F.when(F.col("l") > 1, join))).alias("joins"),
-        F.collect_list(place).alias("places"), F.collect_list(F.coalesce("id", F.lit(-1))).alias("ids"),
+    several = lambda c: F.collect_list(F.when(F.col("l") > 1, c))
+    grouped = edges(words, pieces, longest, shortest=2).groupBy("word").agg(
+        F.sort_array(several(join)).alias("joins"), several(place).alias("places"), several(F.col("id")).alias("ids")
     )
 
     def begin(x: Column) -> Column:
@@ -144,8 +152,9 @@ def merged_paths(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame
 
     def symbol(i: Column) -> Column:
         b, e = F.get(F.col("cuts"), i - 1), F.get(F.col("cuts"), i)
-        known = F.get(F.col("ids"), F.array_position("places", span(b, e)).cast("int") - 1)
-        return F.struct((b + 1).alias("start"), (e - b).alias("l"), known.alias("id"))
+        merged = F.get(F.col("ids"), F.array_position("places", span(b, e)).cast("int") - 1)
+        single = F.coalesce(F.get(singles, F.ascii(F.substr(F.col("word"), b + 1, F.lit(1)))), F.lit(-1))
+        return F.struct((b + 1).alias("start"), (e - b).alias("l"), F.when(e - b == 1, single).otherwise(merged).alias("id"))
 
     return cut.select("word", F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), symbol).alias("path"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .common import partitions_for, slices, utf8, with_workers
-from .lattice import WORD_BYTES, best_paths, best_pieces, merged_paths, merged_pieces, ranked
+from .lattice import WORD_BYTES, best_paths, best_pieces, merged_paths, merged_pieces, ranked, single_ids
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of one block, about; bounds what a task of the last step holds.
@@ -247,15 +247,16 @@ def word_ids(words: DataFrame, table: list[tuple[str, float, int]], method: str
     """
     spark = words.sparkSession
     ordinary = [(p.replace("▁", " "), s, i) for p, s, i in table if not re.fullmatch("<0x[0-9A-F]{2}>", p)]
+    known = {p: (s, i) for p, s, i in ordinary}
     if method == "merge":
-        pieces = spark.createDataFrame(ranked({p: (s, i) for p, s, i in ordinary}), "piece string, score long, id int")
+        pieces = spark.createDataFrame(ranked(known), "piece string, score long, id int")
     else:
         pieces = spark.createDataFrame(ordinary, "piece string, score double, id int")
     if len(ordinary) <= BROADCAST_PIECES:
         pieces = F.broadcast(pieces)
     longest = max(len(p) for p, _, _ in ordinary)
     if method == "merge":
-        paths = merged_paths(words, pieces, longest)
+        paths = merged_paths(words, pieces, longest, single_ids(known))
     else:
         paths = best_paths(words, pieces, longest, min(s for _, s, _ in ordinary) - 10.0)
     spare = F.array(*[F.lit(i) for i in byte_ids(table)])
