@@ -17,7 +17,7 @@ import hashlib
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -308,6 +308,8 @@ class WindowSink(ChunkSink):
 
     Rows: window_index, start, stop, frame_index, ``camera`` and ``point`` (JSON texts; a
     view without points has one row with a null), sorted by window, frame and pixel.
+    A part of a window also has ``first_view``, the place of its first view in the window,
+    and ``continued``, whether an earlier part began that view.
     """
 
     chunk_key, unit_keys, suffix = "window_index", ("frame_index",), ".json"
@@ -318,8 +320,11 @@ class WindowSink(ChunkSink):
         return "scene_windows"
 
     def open(self, unit: pa.Table) -> bytes:
-        index, start, stop = (unit.column(n)[0].as_py() for n in ("window_index", "start", "stop"))
-        return json.dumps({"window": {"index": index, "start": start, "end": stop}})[:-1].encode() + b',"views":['
+        first = {n: unit.column(n)[0].as_py() for n in unit.column_names if n in (*self.needed[:3], "first_view", "continued")}
+        window = {"index": first["window_index"], "start": first["start"], "end": first["stop"]}
+        if first.get("first_view") is not None:
+            window |= {"first_view": first["first_view"], "continued": first["continued"]}
+        return json.dumps({"window": window})[:-1].encode() + b',"views":['
 
     def pack(self, unit: pa.Table, before: int) -> bytes:
         head = f'{{"frame_index":{unit.column("frame_index")[0].as_py()},"camera":{unit.column("camera")[0].as_py()},"points":['
@@ -369,14 +374,17 @@ def _joined(texts: pa.ChunkedArray) -> bytes:
 SINKS: tuple[type[ChunkSink], ...] = (SurfelSink, PlySink, SplatSink, GlbSink, RecordingSink, WindowSink, PointSink, ReplaySink)
 
 
-def save(rows: DataFrame, kind: str, folder: str, by: str, order: list[str], **options) -> dict:
+def save(rows: DataFrame, kind: str, folder: str, by: str, order: list[str], finish: Callable[[DataFrame], DataFrame] | None = None, **options) -> dict:
     """Deal rows to tasks by ``by``, sort them there and write; the commit document is returned.
 
     A task holds whole values of ``by``, so chunks do not depend on the partitioning.
+    ``finish`` makes wide columns, such as texts, only when the rows are dealt and sorted.
     """
     from ..sources.formats import register
 
     register(rows.sparkSession)
     sorted_rows = rows.repartition(by).sortWithinPartitions(by, *order)
+    if finish is not None:
+        sorted_rows = finish(sorted_rows)
     sorted_rows.write.format(kind).options(**{k: str(v) for k, v in options.items()}).mode("overwrite").save(folder)
     return committed(folder)

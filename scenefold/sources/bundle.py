@@ -12,7 +12,7 @@ _POINT = (
     "position:array<double>,normal:array<double>,color_srgb:array<short>,confidence:double,radius:double"
 )
 WINDOW = (
-    "window struct<index:int,start:int,end:int>, views array<struct<frame_index:int,"
+    "window struct<index:int,start:int,end:int,first_view:int,continued:boolean>, views array<struct<frame_index:int,"
     "camera:struct<intrinsics:array<double>,world_to_camera:array<double>>,"
     f"points:array<struct<{_POINT},source_pixel:array<int>>>>>"
 )
@@ -71,7 +71,7 @@ def _point_columns(source: str) -> list:
 
 
 def scan_windows(spark: SparkSession, bundle: str) -> tuple[DataFrame, DataFrame]:
-    """``views`` and ``measured_points`` of all published windows.
+    """``views`` and ``measured_points`` of all published windows, whole or in parts.
 
     Chunk names sort by hash, not by time: ordered operators use ``window_index``.
     """
@@ -79,8 +79,11 @@ def scan_windows(spark: SparkSession, bundle: str) -> tuple[DataFrame, DataFrame
     chunks = spark.read.schema(WINDOW).option("multiLine", True).option("pathGlobFilter", "*.json").json(f"{bundle}/chunks").select(
         F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("hash"), "window", "views")
     views = chunks.join(hashes, "hash", "left_semi").filter("window is not null").select(
-        F.col("window.index").alias("window_index"), F.posexplode("views").alias("view_index", "v"))
-    calibrated = views.select("window_index", "view_index", F.col("v.frame_index").alias("frame_index"),
+        F.col("window.index").alias("window_index"), F.coalesce("window.first_view", F.lit(0)).alias("_first"),
+        F.coalesce("window.continued", F.lit(False)).alias("_continued"), F.posexplode("views").alias("_at", "v"))
+    # A view that goes on in further parts counts once.
+    views = views.withColumn("view_index", F.col("_first") + F.col("_at"))
+    calibrated = views.filter(~F.col("_continued") | (F.col("_at") > 0)).select("window_index", "view_index", F.col("v.frame_index").alias("frame_index"),
                               F.col("v.camera.world_to_camera").alias("w2c"), F.col("v.camera.intrinsics").alias("k"))
     points = views.select("window_index", F.col("v.frame_index").alias("frame_index"), F.explode("v.points").alias("p")).select(
         "window_index", "frame_index", F.col("p.source_pixel").getItem(0).alias("px"), F.col("p.source_pixel").getItem(1).alias("py"), *_point_columns("p"))

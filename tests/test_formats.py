@@ -257,6 +257,29 @@ def test_bundle_life_cycle(spark, surfels, tmp_path):
     assert out_bundle.read_manifest(path)["world_products"][0]["source_frames"] == [1, 3]
 
 
+def test_large_windows_are_written_in_parts(spark, tmp_path):
+    """No chunk file holds more than about ``rows`` points, and nothing is lost or doubled."""
+    path = str(tmp_path / "scene")
+    out_bundle.create_bundle(path, {"source": "test"})
+    views = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 2)], "window_index int, frame_index int").withColumns(
+        {"w2c": F.array(*[F.col("frame_index").cast("double")] * 12), "k": F.array(*[F.lit(2.0)] * 9)})
+    i = F.col("id")
+    points = spark.range(1000).select(
+        F.when(i < 990, 0).otherwise(1).alias("window_index"), F.when(i < 950, 0).when(i < 990, 1).otherwise(2).alias("frame_index"),
+        (i % 8).cast("int").alias("px"), F.floor(i / 8).cast("int").alias("py"), *[(i + n).cast("double").alias(a) for n, a in enumerate(("x", "y", "z", "nx", "ny", "nz"))],
+        *[F.lit(n).cast("short").alias(a) for n, a in enumerate("rgb")], F.lit(1.0).alias("confidence"), F.lit(0.1).alias("radius"))
+    schedule = spark.createDataFrame([(0, 0, 3), (1, 2, 3)], "window_index int, start int, stop int")
+    out_bundle.write_windows(views, points, path, schedule, rows=100)
+    documents = [json.loads(f.read_text()) for f in (tmp_path / "scene" / "chunks").glob("*.json")]
+    assert max(sum(len(v["points"]) for v in d["views"]) for d in documents) < 200 and len(documents) == 10 + 1 + 1 + 1
+    whole = [d["window"] for d in documents if "first_view" not in d["window"]]
+    assert whole == [{"index": 1, "start": 2, "end": 3}]
+    read_views, read_points = in_bundle.scan_windows(spark, path)
+    assert sorted((r.window_index, r.view_index, r.frame_index, r.w2c[0]) for r in read_views.collect()) == [(0, 0, 0, 0.0), (0, 1, 1, 1.0), (0, 2, 2, 2.0), (1, 0, 2, 2.0)]
+    key = ["window_index", "frame_index", "px", "py", "x", "nz", "g", "radius"]
+    assert sorted(map(tuple, read_points.select(*key).collect())) == sorted(map(tuple, points.select(*key).collect()))
+
+
 def test_raster_record_and_fingerprint(spark, tmp_path):
     import hashlib
 
