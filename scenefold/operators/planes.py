@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..errors import ArchitectureError
 from ..functions import cameras as C
@@ -29,6 +29,10 @@ class Plane:
         return F.abs(V.dot(n, V.vec("x", "y", "z")) - self.offset)
 
 
+#: Rows of the blocks by which points that are left are counted.
+BLOCK_ROWS = 1_024
+
+
 def canonical(normal: np.ndarray) -> np.ndarray:
     axis = 2 - int(np.argmax(np.abs(normal)[::-1]))
     return -normal if normal[axis] < 0 else normal
@@ -71,13 +75,36 @@ def hypothesis_support(points: DataFrame, normals: np.ndarray, offsets: np.ndarr
     return np.array([found.get(h, 0) for h in range(count)], dtype=np.int64)
 
 
-def _hypotheses(points: DataFrame, size: int, trials: int):
+def _blocks(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks of ``ordinal`` that hold points, and how many: one row per BLOCK_ROWS of the input."""
+    counted = points.groupBy(F.floor(F.col("ordinal") / BLOCK_ROWS).alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("b")
+    return counted["b"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=np.int64)
+
+
+def _at_places(points: DataFrame, blocks: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """The points at the given places in the order of ``ordinal``, which may have gaps.
+
+    The counts tell the block of a place; only those blocks are numbered.
+    """
+    numbers, counts = blocks
+    ends = np.cumsum(counts)
+    at = np.searchsorted(ends, wanted, side="right")
+    inside = wanted - (ends[at] - counts[at])
+    block = F.floor(F.col("ordinal") / BLOCK_ROWS)
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("ordinal")) - 1
+    # Block and rank as one number.
+    pairs = {int(numbers[i]) * BLOCK_ROWS + int(r): int(w) for i, r, w in zip(at, inside, wanted, strict=True)}
+    numbered = points.select("ordinal", "x", "y", "z", block.alias("_b")).filter(F.col("_b").isin(sorted({int(numbers[i]) for i in at})))
+    place = F.col("_b") * BLOCK_ROWS + rank
+    rows = numbered.withColumn("_place", place).filter(F.col("_place").isin(sorted(pairs))).select("_place", "x", "y", "z").collect()
+    return {pairs[r["_place"]]: np.array([r["x"], r["y"], r["z"]]) for r in rows}
+
+
+def _hypotheses(points: DataFrame, blocks: tuple[np.ndarray, np.ndarray], trials: int):
     """Trial numbers, unit normals and offsets of reproducible three-point planes."""
-    picks = hashing.index_for_seed(np.arange(1, 3 * trials + 1), size).reshape(trials, 3)
+    picks = hashing.index_for_seed(np.arange(1, 3 * trials + 1), int(blocks[1].sum())).reshape(trials, 3)
     distinct = (picks[:, 0] != picks[:, 1]) & (picks[:, 0] != picks[:, 2]) & (picks[:, 1] != picks[:, 2])
-    wanted = sorted({int(v) for v in picks[distinct].ravel()})
-    rows = points.filter(F.col("ordinal").isin(wanted)).select("ordinal", "x", "y", "z").collect()
-    at = {r["ordinal"]: np.array([r["x"], r["y"], r["z"]]) for r in rows}
+    at = _at_places(points, blocks, np.unique(picks[distinct].astype(np.int64)))
     kept, normals, offsets = [], [], []
     for trial in np.flatnonzero(distinct):
         a, b, c = (at[int(i)] for i in picks[trial])
@@ -94,14 +121,14 @@ def _hypotheses(points: DataFrame, size: int, trials: int):
 
 def hypothesis_table(points: DataFrame, trials: int, tolerance: float) -> DataFrame:
     """Support of every usable three-point plane, one row per trial."""
-    kept, normals, offsets = _hypotheses(points, points.count(), trials)
+    kept, normals, offsets = _hypotheses(points, _blocks(points), trials)
     support = hypothesis_support(points, normals, offsets, tolerance)
     return points.sparkSession.createDataFrame([(t, int(n)) for t, n in zip(kept, support)], "trial long, support long")
 
 
-def seed_plane(points: DataFrame, size: int, tolerance: float, trials: int):
-    """Best of ``trials`` reproducible three-point planes over rows numbered ``ordinal``."""
-    _, normals, offsets = _hypotheses(points, size, trials)
+def seed_plane(points: DataFrame, blocks: tuple[np.ndarray, np.ndarray], tolerance: float, trials: int):
+    """Best of ``trials`` reproducible three-point planes over rows in the order of ``ordinal``."""
+    _, normals, offsets = _hypotheses(points, blocks, trials)
     if not len(normals):
         return None
     support = hypothesis_support(points, normals, offsets, tolerance)
@@ -140,6 +167,9 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
 
     A supported plane that yields no cell is recorded nowhere, but its points
     still leave the search, so the search always ends.
+
+    The points are ordered and written once. What a round leaves is a filter on them,
+    and its places are found by counts of blocks.
     """
     if not ((settings.maximum_source_points is None or settings.maximum_source_points > 2) and settings.maximum_planes > 0 and settings.plane_distance_fraction > 0
             and settings.cell_size_fraction > 0 and settings.trials_per_plane > 0 and settings.minimum_cell_support > 0):
@@ -153,22 +183,24 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
     edge = max(extent * settings.cell_size_fraction, tolerance * 1.5)
     if settings.maximum_source_points is not None:
         finite = stride_sample(finite, order, stride_for_cap(finite.count(), settings.maximum_source_points))
-    remaining = settle(finite)
+    needed = ["x", "y", "z", "r", "g", "b", "confidence", "first_observing_frame"]
+    ordered = finite.repartitionByRange(*order).sortWithinPartitions(*order).select(*needed)
+    # Numbers that rise with the order and jump between tasks; a block stays within a task.
+    remaining = settle(ordered.withColumn("ordinal", F.monotonically_increasing_id()))
     planes: list[Plane] = []
     surfels: list[DataFrame] = []
     while len(planes) < settings.maximum_planes:
-        numbered = settle(global_index(remaining, order))
-        size = numbered.count()
-        if size < 3:
+        blocks = _blocks(remaining)
+        if blocks[1].sum() < 3:
             break
-        seed = seed_plane(numbered, size, tolerance, settings.trials_per_plane)
+        seed = seed_plane(remaining, blocks, tolerance, settings.trials_per_plane)
         if seed is None:
             break
-        fitted = fit_plane(numbered.filter(Plane(*seed, 0).distance() <= tolerance))
+        fitted = fit_plane(remaining.filter(Plane(*seed, 0).distance() <= tolerance))
         if fitted is None:
             break
         candidate = Plane(*fitted, 0)
-        support = numbered.filter(candidate.distance() <= tolerance)
+        support = remaining.filter(candidate.distance() <= tolerance)
         count = support.count()
         if count < settings.minimum_plane_support:
             break
@@ -176,7 +208,7 @@ def extract_planes(points: DataFrame, order: list[str], settings: ArchitectureSe
         if cells.limit(1).count():
             planes.append(Plane(candidate.normal, candidate.offset, count))
             surfels.append(cells)
-        remaining = settle(numbered.filter(candidate.distance() > tolerance).drop("ordinal"))
+        remaining = remaining.filter(candidate.distance() > tolerance)
     result = empty
     for cells in surfels:
         result = result.unionByName(cells)

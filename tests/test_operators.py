@@ -392,6 +392,24 @@ def test_planes_keep_holes(spark):
     assert vertices.count() == 8 and indices.count() == 12 and indices.agg(F.max("vertex")).first()[0] == 7
 
 
+def test_planes_write_their_points_once(spark, monkeypatch):
+    """Three stacked sheets: the search finds all, and only the first round writes points."""
+    rows = [(i * 0.02, j * 0.02, float(k)) for k, n in enumerate((60, 50, 40)) for i in range(n) for j in range(50)]
+    names = {n: F.lit(v) for n, v in (("nx", 0.0), ("ny", 0.0), ("nz", 1.0), ("confidence", 1.0), ("radius", 0.01))}
+    frame = spark.createDataFrame(rows, "x double, y double, z double").withColumns({**names, "r": F.lit(90), "g": F.lit(90), "b": F.lit(90), "first_observing_frame": F.lit(0)})
+    written = []
+    real = planes.settle
+    monkeypatch.setattr(planes, "settle", lambda df: written.append("ordinal" in df.columns) or real(df))
+    found, cells = planes.extract_planes(frame, ["x", "y", "z"], ArchitectureSettings(minimum_plane_support=1500, cell_size_fraction=0.02))
+    assert [round(abs(p.offset)) for p in found] == [0, 1, 2] and [p.support for p in found] == [3000, 2500, 2000]
+    assert written.count(True) == 1
+    # Places among rows with gaps are those of the rows that are left.
+    left = spark.range(0, 9000).select((F.col("id") * 3).alias("ordinal"), *[F.col("id").cast("double").alias(a) for a in "xyz"]).filter("ordinal % 2 = 0")
+    kept = sorted(r.ordinal for r in left.collect())
+    at = planes._at_places(left, planes._blocks(left), np.array([0, 1, 700, 2999, 4499]))
+    assert {k: v[0] for k, v in at.items()} == {k: kept[k] / 3 for k in (0, 1, 700, 2999, 4499)}
+
+
 # --- hashes --------------------------------------------------------------
 
 def mix(value):
