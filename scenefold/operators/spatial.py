@@ -30,6 +30,8 @@ from .kdtree import Tree
 
 LEAF_ROWS = 256
 MAX_LEVEL = 40
+# The rank of a target that has none.
+NO_RANK = 1 << 62
 CELL = ["cx", "cy", "cz"]
 _AXES = ("x", "y", "z")
 
@@ -163,7 +165,7 @@ def _tie_order(tie: str, radius: float, tid: str) -> Column:
 
 def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str = "lowest_id",
                    ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS,
-                   flat: bool = False) -> DataFrame:
+                   flat: bool = False, most: int | None = None) -> DataFrame:
     """Nearest target of every query point at a distance of at most ``radius``.
 
     ``queries`` has ``qid, x, y, z`` and ``targets`` has ``tid, x, y, z`` with
@@ -171,16 +173,19 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     ``(qid, tid, d2)``. With ``ranked`` both sides also have ``rank`` and only
     targets whose rank is NULL or above the rank of the query are eligible.
     Points only meet within equal ``by`` columns. ``flat`` says that the caller
-    has already asked ``is_flat`` about these targets and radius.
+    has already asked ``is_flat`` about these targets and radius. ``most`` asks a
+    ranked search for that many nearest targets: rows ``(qid, tid, d2, hold,
+    place)`` with the rank of the target, or NO_RANK, and the place from 1.
     """
     by = by or []
     limit = float(radius) * float(radius)
     query_columns = ["qid", *by, *_AXES] + (["rank"] if ranked else [])
     queries = queries.select(*query_columns)
     if ranked:
-        open_rank = F.coalesce(F.col("rank"), F.lit((1 << 62)))
+        open_rank = F.coalesce(F.col("rank"), F.lit(NO_RANK))
         targets = targets.select("tid", *by, *_AXES, open_rank.alias("_hold"))
-        extra, carried = [F.min("_hold").alias("_hold_min"), F.max("_hold").alias("_hold_max")], ["tid", "_hold"]
+        extra, carried = [F.min("_hold").alias("_hold_min"), F.max("_hold").alias("_hold_max"),
+                          F.sum((F.col("_hold") == NO_RANK).cast("long")).alias("_free")], ["tid", "_hold"]
     else:
         pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
         targets = targets.groupBy(*by, *_AXES).agg(pick.alias("tid"))
@@ -192,15 +197,21 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
         found = asked.join(_target_columns(levels.points[0], levels.key, carried), levels.key)
     else:
         near, far = _box_bounds()
-        guaranteed = F.when(F.col("_hold_min") > F.col("rank"), far) if ranked else far
         per_query = Window.partitionBy("qid")
+        if ranked:
+            # Boxes in the order of their bound, until the targets surely open reach ``most``.
+            sure = F.when(F.col("_hold_min") > F.col("rank"), F.col("_n")).otherwise(F.col("_free"))
+            so_far = F.sum(sure).over(per_query.orderBy(far))
+            guaranteed = F.when(so_far >= (most or 1), far)
+        else:
+            guaranteed = far
 
         def keep(pairs: DataFrame) -> DataFrame:
             if ranked:
                 pairs = pairs.filter("_hold_max > rank")
-            bounded = pairs.withColumn("_near", near).filter(F.col("_near") <= limit)
-            best = bounded.withColumn("_best", F.min(guaranteed).over(per_query))
-            return best.filter(F.col("_best").isNull() | (F.col("_near") <= F.col("_best"))).drop("_near", "_best")
+            bounded = pairs.withColumn("_near", near).filter(F.col("_near") <= limit).withColumn("_far", guaranteed)
+            best = bounded.withColumn("_best", F.min("_far").over(per_query))
+            return best.filter(F.col("_best").isNull() | (F.col("_near") <= F.col("_best"))).drop("_near", "_far", "_best")
 
         leaves = _descend(levels, queries, query_columns, keep).select(*query_columns, *CELL, "_level")
         points = reduce(
@@ -211,6 +222,10 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     if ranked:
         found = found.filter("_hold > rank")
     found = found.withColumn("_d2", _distance2()).filter(F.col("_d2") <= limit)
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(_tie_order(tie, radius, "tid")))
+        return found.withColumn("place", place).filter(F.col("place") <= most).select(
+            "qid", "tid", F.col("_d2").alias("d2"), F.col("_hold").alias("hold"), "place")
     return found.groupBy("qid").agg(
         F.min_by(F.struct("tid", "_d2"), _tie_order(tie, radius, "tid")).alias("_best")
     ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))

@@ -79,6 +79,30 @@ def test_one_to_one_matching_is_the_greedy_result(spark):
     assert found == expected
 
 
+def test_one_to_one_matching_of_a_clump_takes_few_nearest_joins(spark, monkeypatch):
+    """Sources at one place all want the same targets: a round serves many of them, not one."""
+    rng = np.random.default_rng(5)
+    a, b, calls, join = np.zeros((60, 3)), rng.random((70, 3)) * 0.2, [], matching.nearest_within
+    monkeypatch.setattr(matching, "nearest_within", lambda *args, **more: calls.append(1) or join(*args, **more))
+    found = {r.qid: r.tid for r in matching.one_to_one_nearest(cloud(spark, a, "qid"), cloud(spark, b, "tid"), 0.5).collect()}
+    assert found == dict(enumerate(np.argsort((b**2).sum(1), kind="stable")[:60].tolist())) and len(calls) <= 3
+
+
+def test_one_to_one_matching_in_batches_and_blocks_with_short_lists(spark, monkeypatch):
+    for name, value in (("BLOCK_SOURCES", 7), ("LISTED", 2), ("LIST_ROWS", 1), ("SMALL_BATCH", 30), ("FLAT_PAIRS", 0)):
+        monkeypatch.setattr(matching, name, value)
+    rng = np.random.default_rng(7)
+    a, b = rng.random((60, 3)) * 0.4, rng.random((60, 3)) * 0.4
+    found = {r.qid: r.tid for r in matching.one_to_one_nearest(cloud(spark, a, "qid"), cloud(spark, b, "tid"), 0.3).collect()}
+    used, expected = set(), {}
+    for i, p in enumerate(a):
+        options = [(d, j) for j, d in enumerate(np.linalg.norm(b - p, axis=1)) if d <= 0.3 and j not in used]
+        if options:
+            expected[i] = min(options)[1]
+            used.add(expected[i])
+    assert found == expected
+
+
 @pytest.mark.parametrize("small", [0, 1 << 62])
 def test_quantiles_of_infinite_and_missing_values(spark, monkeypatch, small):
     monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
