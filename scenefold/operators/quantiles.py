@@ -64,14 +64,16 @@ def is_small(df: DataFrame) -> bool:
         return False
 
 
-def statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float | None]], within: DataFrame | None = None) -> DataFrame:
+def statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column | str, float | None]], within: DataFrame | None = None,
+               few: bool = False) -> DataFrame:
     """One row per group with the order statistics of ``wanted``.
 
     ``wanted`` maps an output name to (value, fraction): the linearly interpolated
     percentile at that fraction, or for None the element ``count // 2`` of the sorted
     values. A group without values has nulls; without ``keys`` there is always one row.
     ``within`` is a table that has at least the rows of ``df`` and a size that the
-    planner knows better.
+    planner knows better. ``few`` says that one row per group fits every task, so that
+    the second aggregate reads its values where they are.
     """
     if is_small(df if within is None else within):
         at = lambda v: (F.col(v) if isinstance(v, str) else v).cast("double")
@@ -109,7 +111,7 @@ def statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column |
     picked = picked.select(*own, "_b", (F.col("_until") - F.col("_c")).alias("_before"), "_w.name", "_w.rank", "_w.position").distinct()
 
     chosen = picked.select(*own, "_b", "_before").distinct()
-    inside = _on(rows, chosen, [*own, "_b"]).groupBy(*own, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    inside = _on(rows, F.broadcast(chosen) if few else chosen, [*own, "_b"]).groupBy(*own, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
     within = Window.partitionBy(*own, "_b", "_before").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("_until", F.col("_before") + F.sum("_c").over(within)).drop("_before")
     found = _on(inside, picked.drop("_before"), [*own, "_b"]).filter(

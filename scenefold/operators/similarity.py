@@ -19,10 +19,10 @@ from ..functions import cameras as C
 from ..functions import linalg
 from ..functions import vectors as V
 from ..functions.types import SIM3
-from ..session import settle
+from ..session import BROADCAST_ROWS, settle
 from ..settings import SeamGate
 from .common import equi
-from .quantiles import GROUP_ROWS, largest_group, median, upper_median, upper_median_of
+from .quantiles import GROUP_ROWS, statistics, upper_median_of
 
 _S, _T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 _CROSS = [(a, b) for a in range(3) for b in range(3)]
@@ -39,6 +39,23 @@ def with_shift(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return equi(pairs, means, keys)
 
 
+def _settled_pairs(pairs: DataFrame, keys: list[str], columns: list[str]):
+    """The pairs, written once; their shift as a table of one row per key; a join on tables of that size; whether the groups are small.
+
+    The join sends such a table to every task where the keys are few, so that the
+    pairs of a long seam are not shuffled once per round.
+    """
+    base = settle(pairs.select(*keys, *columns))
+    means = settle(base.groupBy(*keys).agg(*[F.avg(c).alias(f"o_{c}") for c in _S + _T], F.count(F.lit(1)).alias("_n")))
+    size = means.agg(F.max("_n"), F.count(F.lit(1))).first()
+    few = bool(keys) and size[1] <= BROADCAST_ROWS
+
+    def on_keys(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(F.broadcast(right), keys) if few else equi(left, right, keys)
+
+    return base, means.drop("_n"), on_keys, (size[0] or 0) <= GROUP_ROWS, few
+
+
 def moment_sums(weight: Column) -> list[Column]:
     """The 22 sums of one fit, about the shift columns."""
     d = {c: F.col(c) - F.col(f"o_{c}") for c in _S + _T}
@@ -116,9 +133,9 @@ def fit_similarity(pairs: DataFrame, keys: list[str], strict: bool = True, weigh
     return solve(sums, keys, strict)
 
 
-def residual() -> Column:
+def residual(prefix: str = "") -> Column:
     """Distance of the transformed source to the target, transform columns attached."""
-    moved = C.sim3_apply(C.sim3(), V.vec(*_S))
+    moved = C.sim3_apply(C.sim3(prefix), V.vec(*_S))
     return V.length(V.sub(moved, V.vec(*_T)))
 
 
@@ -170,44 +187,57 @@ def robust_fit(pairs: DataFrame, keys: list[str], refine: bool = True, rounds: i
     """
     if "tnx" not in pairs.columns:
         pairs = pairs.withColumns({c: F.lit(None).cast("double") for c in ("tnx", "tny", "tnz")})
-    columns = [*keys, *_S, *_T, "w", "tnx", "tny", "tnz"]
-    work = settle(with_shift(pairs.select(*columns), keys).withColumn("_in", F.lit(True)).withColumn("_open", F.lit(True)))
-    small = largest_group(work, keys) <= GROUP_ROWS
-    kept = [c for c in work.columns if c not in ("_in", "_open")]
-    for _ in range(rounds):
-        inliers = work.filter("_in")
-        fit = solve(inliers.groupBy(*keys).agg(*moment_sums(F.col("w"))), keys)
-        measured = equi(work, fit, keys).withColumn("_r", residual())
+    base, known, on_keys, small, few = _settled_pairs(pairs, keys, [*_S, *_T, "w", "tnx", "tny", "tnz"])
+    names = ("scale", "rotation", "translation")
+    # The pairs are never rewritten: ``known`` has, per key, the transform and limit
+    # of every round that trimmed it, and an inlier is within all of these limits.
+    known, trims = known.withColumn("_open", F.lit(True)), []
+
+    def marked() -> DataFrame:
+        inside = F.lit(True)
+        for trim in trims:
+            within = F.coalesce(residual(trim) <= F.col(f"{trim}limit"), F.lit(False))
+            inside = inside & (F.col(f"{trim}limit").isNull() | within)
+        spent = [f"{trim}{n}" for trim in trims for n in (*names, "limit")]
+        return on_keys(base, known).withColumn("_in", inside).drop("_open", *spent)
+
+    for index in range(rounds):
+        work, trim = marked(), f"_t{index}_"
+        fit = settle(solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys))
+        measured = on_keys(work, fit).withColumn("_r", residual())
         if small:
             middle = measured.filter("_in").groupBy(*keys).agg(upper_median_of("_r").alias("_middle"))
         else:
-            middle = upper_median(measured.filter("_in"), keys, "_r", "_middle")
-        limited = equi(measured, middle, keys).withColumn("_limit", F.greatest(3 * F.col("_middle"), F.lit(1e-5)))
-        near = F.col("_in") & (F.col("_r") <= F.col("_limit"))
-        counts = limited.groupBy(*keys).agg(
+            middle = statistics(measured.filter("_in"), keys, {"_middle": ("_r", None)}, few=few)
+        limits = settle(on_keys(fit, middle).withColumn(f"{trim}limit", F.greatest(3 * F.col("_middle"), F.lit(1e-5))).drop("_middle"))
+        near = F.col("_in") & (F.col("_r") <= F.col(f"{trim}limit"))
+        counts = on_keys(measured, limits.select(*keys, f"{trim}limit")).groupBy(*keys).agg(
             F.sum(F.col("_in").cast("long")).alias("_before"), F.sum(near.cast("long")).alias("_after")
         )
         stops = (F.col("_after") < 3) | (F.col("_after") == F.col("_before"))
-        decided = equi(limited, counts, keys)
         advance = F.col("_open") & ~F.coalesce(stops, F.lit(True))
-        work = settle(decided.select(*kept, F.when(advance, near).otherwise(F.col("_in")).alias("_in"), advance.alias("_open")))
-        if not work.filter("_open").limit(1).count():
+        decided = equi(equi(known, limits.withColumnsRenamed({n: f"{trim}{n}" for n in names}), keys), counts, keys)
+        decided = decided.withColumn("_open", advance)
+        known = settle(decided.withColumn(f"{trim}limit", F.when(F.col("_open"), F.col(f"{trim}limit"))).drop("_before", "_after"))
+        trims.append(trim)
+        if not known.filter("_open").limit(1).count():
             break
+    work = marked()
     inliers = work.filter("_in")
-    fit = solve(inliers.groupBy(*keys).agg(*moment_sums(F.col("w"))), keys)
+    fit = settle(solve(inliers.groupBy(*keys).agg(*moment_sums(F.col("w"))), keys))
     if refine:
-        sums = equi(inliers, fit, keys).groupBy(*keys).agg(
+        sums = on_keys(inliers, fit).groupBy(*keys).agg(
             *_plane_sums(), *[F.first(c).alias(c) for c in ("scale", "rotation", "translation")]
         )
         packed = F.struct(*[c for c in sums.columns if c not in keys])
-        fit = sums.withColumn("_fit", _plane_step(packed)).select(*keys, "_fit.*")
-    return _summarised(work, fit, keys)
+        fit = settle(sums.withColumn("_fit", _plane_step(packed)).select(*keys, "_fit.*"))
+    return _summarised(work, fit, keys, on_keys)
 
 
-def _summarised(work: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+def _summarised(work: DataFrame, fit: DataFrame, keys: list[str], on_keys) -> DataFrame:
     r = residual()
     spread = [F.var_pop(F.when(F.col("_in"), F.col(c))) for c in _T]
-    summary = equi(work, fit, keys).groupBy(*keys).agg(
+    summary = on_keys(work, fit).groupBy(*keys).agg(
         *[F.first(c).alias(c) for c in ("scale", "rotation", "translation")],
         F.count(F.lit(1)).alias("correspondence_count"),
         F.sum(F.col("_in").cast("long")).alias("inlier_count"),
@@ -229,8 +259,7 @@ def huber_fit(pairs: DataFrame, keys: list[str], rounds: int = 8) -> DataFrame:
     stops once its transform moves by less than 1e-12. Returns the transform,
     the weighted RMS and the pair count.
     """
-    base = settle(with_shift(pairs.select(*keys, *_S, *_T, "w"), keys))
-    small = largest_group(base, keys) <= GROUP_ROWS
+    base, shift, on_keys, small, few = _settled_pairs(pairs, keys, [*_S, *_T, "w"])
     names = ("scale", "rotation", "translation")
     delta = F.col("_delta")
     # State of a round, one row per key: the transform and Huber width that
@@ -238,21 +267,21 @@ def huber_fit(pairs: DataFrame, keys: list[str], rounds: int = 8) -> DataFrame:
     state, final = None, None
     for index in range(rounds):
         if state is None:
-            weighted = base.withColumn("_weight", F.col("w"))
+            weighted = on_keys(base, shift).withColumn("_weight", F.col("w"))
         else:
             r = residual()
-            weighted = equi(base, state.filter("_open"), keys).withColumn(
+            weighted = on_keys(base, equi(shift, state.filter("_open"), keys)).withColumn(
                 "_weight", F.col("w") * F.when(r <= delta, 1.0).otherwise(delta / r)
             ).drop(*names, "_delta", "_open")
         sums = weighted.groupBy(*keys).agg(*moment_sums(F.col("_weight")), F.count(F.lit(1)).alias("pairs"))
         d = [(F.col(f"ss_{a}{a}") - F.col(f"m_{_S[a]}") * F.col(f"m_{_S[a]}") / F.col("w_sum")) for a in range(3)]
         sums = sums.withColumn("_scene", F.sqrt(F.greatest(d[0] + d[1] + d[2], F.lit(0.0)) / F.col("pairs")))
         fit = settle(solve(sums, keys, strict=False))
-        measured = equi(base, fit, keys).withColumn("_r", residual())
+        measured = on_keys(base, fit).withColumn("_r", residual())
         if small:
             middle = measured.groupBy(*keys).agg(upper_median_of("_r").alias("_middle"))
         else:
-            middle = upper_median(measured, keys, "_r", "_middle")
+            middle = statistics(measured, keys, {"_middle": ("_r", None)}, few=few)
         width = F.greatest(1.345 * F.col("_middle"), 1e-6 * F.col("_scene") + 1e-30)
         fresh = equi(fit, middle, keys).select(*keys, *names, width.alias("_delta"))
         if state is None:
@@ -271,7 +300,7 @@ def huber_fit(pairs: DataFrame, keys: list[str], rounds: int = 8) -> DataFrame:
             break
     r = residual()
     weight = F.col("w") * F.when(r <= delta, 1.0).otherwise(delta / r)
-    return equi(base, state, keys).groupBy(*keys).agg(
+    return on_keys(base, state).groupBy(*keys).agg(
         *[F.first(n).alias(n) for n in names],
         F.count(F.lit(1)).alias("pairs"),
         F.sqrt(F.sum(weight * r * r) / F.sum(weight)).alias("rms_residual"),
@@ -286,23 +315,34 @@ def provider_fit(pairs: DataFrame, keys: list[str], rounds: int = 6, minimum: in
     The threshold of a round is ``max(3 median, 0.03 extent, 1e-5)`` with the
     true median of all residuals; fewer than ``minimum`` inliers is NULL.
     """
-    work = settle(with_shift(pairs.select(*keys, *_S, *_T).withColumn("w", F.lit(1.0)), keys).withColumn("_in", F.lit(True)))
-    kept = [c for c in work.columns if c != "_in"]
+    base, shift, on_keys, _, few = _settled_pairs(pairs.withColumn("w", F.lit(1.0)), keys, [*_S, *_T, "w"])
+    names = ("scale", "rotation", "translation")
     span = [F.max(c) - F.min(c) for c in _T]
-    extent = work.groupBy(*keys).agg(F.sqrt(span[0] ** 2 + span[1] ** 2 + span[2] ** 2).alias("_extent"))
+    extent = settle(base.groupBy(*keys).agg(F.sqrt(span[0] ** 2 + span[1] ** 2 + span[2] ** 2).alias("_extent")))
+    # The inliers follow from the transform and limit of the last round, so the pairs are written once.
+    last = None
+
+    def marked() -> DataFrame:
+        if last is None:
+            return on_keys(base, shift).withColumn("_in", F.lit(True))
+        inside = F.coalesce(residual("_last_") <= F.col("_last_limit"), F.lit(False))
+        return on_keys(base, equi(shift, last, keys)).withColumn("_in", inside).drop("_last_limit", *[f"_last_{n}" for n in names])
+
     for _ in range(rounds):
-        fit = solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys)
-        measured = equi(work, fit, keys).withColumn("_r", residual())
-        middle = median(measured, keys, "_r", "_middle")
-        joined = equi(equi(measured, middle, keys), extent, keys)
+        work = marked()
+        fit = settle(solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys))
+        measured = on_keys(work, fit).withColumn("_r", residual())
+        middle = statistics(measured, keys, {"_middle": ("_r", 0.5)}, few=few)
         limit = F.greatest(3 * F.col("_middle"), 0.03 * F.col("_extent"), F.lit(1e-5))
-        fresh = settle(joined.select(*kept, F.coalesce(F.col("_r") <= limit, F.lit(False)).alias("_next"), "_in"))
-        changed = fresh.filter(F.col("_in") != F.col("_next")).limit(1).count()
-        work = fresh.select(*kept, F.col("_next").alias("_in"))
+        fresh = settle(equi(equi(fit, middle, keys), extent, keys).withColumn("_last_limit", limit).drop("_middle", "_extent"))
+        compared = on_keys(measured, fresh.select(*keys, "_last_limit"))
+        changed = compared.filter(F.col("_in") != F.coalesce(F.col("_r") <= F.col("_last_limit"), F.lit(False))).limit(1).count()
+        last = fresh.withColumnsRenamed({n: f"_last_{n}" for n in names})
         if not changed:
             break
-    fit = solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys)
-    summary = _summarised(work, fit, keys)
+    work = marked()
+    fit = settle(solve(work.filter("_in").groupBy(*keys).agg(*moment_sums(F.col("w"))), keys))
+    summary = _summarised(work, fit, keys, on_keys)
     enough = F.col("inlier_count") >= minimum
     return summary.withColumns({n: F.when(enough, F.col(n)) for n in ("scale", "rotation", "translation")})
 

@@ -571,3 +571,35 @@ def test_a_third_of_all_rows_on_one_key(spark):
     assert np.allclose(nearest.sort_values(["px", "py"]).depth, data.groupby(["px", "py"]).depth.min())
     middle = quantiles.upper_median(frame, ["frame_index"], "depth", "m").toPandas().set_index("frame_index").m
     assert middle[7] == sorted(data[data.frame_index == 7].depth)[(data.frame_index == 7).sum() // 2]
+
+
+def test_fits_write_their_pairs_once_and_send_the_transforms_to_them(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    xyz = rng.random((80, 3))
+    rows = [(k, *p, *(1.5 * p + k), 1.0) for k in range(2) for p in xyz.tolist() for p in [np.array(p)]]
+    pairs = spark.createDataFrame([tuple(float(v) if i else int(v) for i, v in enumerate(r)) for r in rows],
+                                  "k int, sx double, sy double, sz double, tx double, ty double, tz double, w double")
+    bent = pairs.withColumn("tz", F.col("tz") + F.when(F.col("sx") > 0.9, 5.0).otherwise(0.0))
+    written, settle = [], similarity.settle
+
+    def counted(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "settle", counted)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for fit in (similarity.robust_fit, similarity.provider_fit, similarity.huber_fit):
+            written.clear()
+            found = fit(bent, ["k"])
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan.split("Scan")[0] and "BroadcastHashJoin" in plan
+            assert sum(n == 160 for n in written) == 1
+            if fit is not similarity.huber_fit:
+                kept = {r.k: (r.inlier_count, r.scale) for r in found.collect()}
+                assert {k: v[0] for k, v in kept.items()} == {k: int((xyz[:, 0] <= 0.9).sum()) for k in range(2)}
+                assert all(v[1] == pytest.approx(1.5) for v in kept.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
