@@ -112,6 +112,16 @@ class _Levels:
         return self.cells[level].withColumns(parents)
 
 
+def place_on_curve(radius: float, bits: int = 10) -> Column:
+    """Place on a Z-order curve; it only decides which points share a block."""
+    place = F.lit(0).cast("long")
+    for axis, name in enumerate("xyz"):
+        cell = F.pmod(F.floor(F.col(name) * (16 / radius)) + (1 << (bits - 1)), F.lit(1 << bits))
+        for bit in range(bits):
+            place = place + F.shiftleft(F.shiftright(cell, bit).bitwiseAND(1), 3 * bit + axis)
+    return place
+
+
 def is_flat(targets: DataFrame, radius: float, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS) -> bool:
     """Whether no cell of edge ``radius`` is crowded; loops over fixed targets ask once."""
     distinct = targets.select(*(by or []), *_AXES).distinct()
@@ -287,66 +297,100 @@ def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, by: li
     asking = ["qid", *by, *_AXES]
     queries = queries.select(*asking)
     targets = targets.groupBy(*by, *_AXES).agg(F.count(F.lit(1)).alias("_w"))
-    levels = _Levels(targets, float(radius), leaf_rows, [], by)
     names = ["n", *[f"s_{a}" for a in _AXES], *[f"s_{a}{b}" for a, b in _PAIRS]]
-
-    def point_terms(found: DataFrame) -> DataFrame:
+    if is_flat(targets, radius, by, leaf_rows):
+        cell = _level_cell(float(radius), 0)
+        key = [*by, *CELL]
+        asked = around(queries.select(*asking, *cell))
+        found = asked.join(_target_columns(targets.withColumns(dict(zip(CELL, cell))), key, ["_w"]), key)
         d = {a: F.col(f"t{a}") - F.col(a) for a in _AXES}
         w = F.col("_w")
-        return found.filter(_distance2() <= limit).select(
+        terms = found.filter(_distance2() <= limit).select(
             "qid", w.cast("double").alias("n"), *[(w * d[a]).alias(f"s_{a}") for a in _AXES],
             *[(w * d[a] * d[b]).alias(f"s_{a}{b}") for a, b in _PAIRS],
         )
-
-    if levels.depth == 1:
-        asked = around(queries.select(*asking, *_level_cell(levels.edge, 0)))
-        terms = point_terms(asked.join(_target_columns(levels.points[0], levels.key, ["_w"]), levels.key))
     else:
-        whole = _cell_moments(levels, targets)
-        near, far = _box_bounds()
-        inside: list[DataFrame] = []
+        terms = _block_terms(queries, targets, radius, by, names, max(1, leaf_rows * 16))
+    return terms.groupBy("qid").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", F.col("n").cast("long"))
 
-        def keep(pairs: DataFrame) -> DataFrame:
-            return pairs.filter(near <= limit)
 
-        def take_whole(pairs: DataFrame) -> DataFrame:
-            pairs = settle(pairs.withColumn("_inside", far <= limit))
-            inside.append(pairs.filter("_inside").select(*asking, *CELL, "_level"))
-            return pairs.filter(~F.col("_inside")).drop("_inside")
+# --- blocks --------------------------------------------------------------
 
-        leaves = _descend(levels, queries, asking, keep, take_whole).select(*asking, *CELL, "_level")
-        points = reduce(
-            DataFrame.unionByName,
-            [_target_columns(p, levels.key, ["_w"]).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
-        )
-        terms = point_terms(leaves.join(points, [*levels.key, "_level"]))
-        boxed = reduce(DataFrame.unionByName, inside).join(whole, [*levels.key, "_level"])
-        # Shift from the cell corner to the query point.
-        d = {a: F.col(f"o_{a}") - F.col(a) for a in _AXES}
-        shifted = [(F.col(f"m_{a}") + F.col("m") * d[a]).alias(f"s_{a}") for a in _AXES]
-        crossed = [
-            (F.col(f"m_{a}{b}") + d[a] * F.col(f"m_{b}") + d[b] * F.col(f"m_{a}") + F.col("m") * d[a] * d[b])
-            .alias(f"s_{a}{b}") for a, b in _PAIRS
-        ]
-        terms = terms.unionByName(boxed.select("qid", F.col("m").alias("n"), *shifted, *crossed))
-    return terms.groupBy("qid").agg(*[F.sum(c).alias(c) for c in names]).withColumn("n", F.col("n").cast("long"))
+# Blocks of queries in a task meet so many blocks of targets at most.
+MET_BLOCKS = 64
 
 
-def _cell_moments(levels: _Levels, targets: DataFrame) -> DataFrame:
-    """Weighted moments of every cell of every level about the cell's low corner."""
-    tables = []
-    for level in range(levels.depth):
-        scale = levels.edge / float(2**level)
-        placed = targets.withColumns(dict(zip(CELL, _level_cell(levels.edge, level))))
-        u = {a: F.col(a) - F.col(n) * scale for a, n in zip(_AXES, CELL)}
-        w = F.col("_w")
-        sums = placed.groupBy(*levels.key).agg(
-            F.sum(w.cast("double")).alias("m"), *[F.sum(w * u[a]).alias(f"m_{a}") for a in _AXES],
-            *[F.sum(w * u[a] * u[b]).alias(f"m_{a}{b}") for a, b in _PAIRS],
-        )
-        corners = {f"o_{a}": F.col(n) * scale for a, n in zip(_AXES, CELL)}
-        tables.append(sums.withColumns(corners).withColumn("_level", F.lit(level)))
-    return reduce(DataFrame.unionByName, tables)
+def _blocks(points: DataFrame, columns: list[str], radius: float, by: list[str], side: str, rows: int) -> DataFrame:
+    """Points near each other as rows of at most ``rows`` points: a number, the box, and the columns as packed arrays."""
+    kinds, types = dict(points.dtypes), {"bigint": "int64", "double": "float64"}
+    place = place_on_curve(radius).alias("_place")
+    dealt = points.select(*by, *columns, place).repartitionByRange(-(-points.count() // rows), *by, "_place", *_AXES)
+    box = [f"{side}{end}_{a}" for end in ("low", "high") for a in _AXES]
+
+    def pack(batches):
+        frames = [pdf for pdf in batches if len(pdf)]
+        if not frames:
+            return
+        whole = pd.concat(frames, ignore_index=True).sort_values([*by, "_place"], kind="stable")
+        groups = whole.groupby(by, sort=False) if by else [((), whole)]
+        for key, group in groups:
+            for start in range(0, len(group), rows):
+                part = group.iloc[start:start + rows]
+                row = dict(zip(by, key)) | {f"{side}_{c}": part[c].to_numpy().astype(types[kinds[c]]).tobytes() for c in columns}
+                for a in _AXES:
+                    row |= {f"{side}low_{a}": part[a].min(), f"{side}high_{a}": part[a].max()}
+                yield pd.DataFrame([row])
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], *[f"{c} double" for c in box], *[f"{side}_{c} binary" for c in columns]])
+    return settle(dealt.mapInPandas(pack, schema).withColumn(f"{side}block", F.monotonically_increasing_id()))
+
+
+def _block_terms(queries: DataFrame, targets: DataFrame, radius: float, by: list[str], names: list[str], rows: int) -> DataFrame:
+    """Terms of ``radius_moments`` for crowded targets: blocks of points meet where their boxes are near enough.
+
+    A task holds one pair of blocks at a time, and the shuffles carry blocks, not
+    pairs of points, whose number may grow with the square of a clump.
+    """
+    limit = float(radius) * float(radius)
+    queries, targets = settle(queries), settle(targets.withColumn("_w", F.col("_w").cast("double")))
+    if not queries.limit(1).count() or not targets.limit(1).count():
+        return queries.limit(0).select("qid", *[F.lit(0.0).alias(n) for n in names])
+    asked = _blocks(queries.withColumn("qid", F.col("qid").cast("long")), ["qid", *_AXES], radius, by, "q", rows)
+    offered = _blocks(targets, [*_AXES, "_w"], radius, by, "t", rows)
+    gap = [F.greatest(F.col(f"tlow_{a}") - F.col(f"qhigh_{a}"), F.col(f"qlow_{a}") - F.col(f"thigh_{a}"), F.lit(0.0)) for a in _AXES]
+    box = lambda side: [f"{side}block", *[f"{side}{end}_{a}" for end in ("low", "high") for a in _AXES]]
+    here, there = asked.select(*by, *box("q")), offered.select(*by, *box("t"))
+    # A little more than the radius: only the points decide.
+    met = (here.join(there, by) if by else here.crossJoin(there)).filter(
+        gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= limit * (1 + 1e-9)).select("qblock", "tblock")
+    pairs = met.join(asked.select("qblock", *[f"q_{c}" for c in ("qid", *_AXES)]), "qblock").join(
+        offered.select("tblock", *[f"t_{c}" for c in (*_AXES, "_w")]), "tblock")
+    pairs = pairs.repartition("qblock", F.floor(F.col("tblock") / MET_BLOCKS))
+
+    def meet(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids = np.frombuffer(row.q_qid, dtype=np.int64)
+                q = np.stack([np.frombuffer(getattr(row, f"q_{a}")) for a in _AXES], axis=1)
+                t = np.stack([np.frombuffer(getattr(row, f"t_{a}")) for a in _AXES], axis=1)
+                w = np.frombuffer(row.t__w)
+                # Moments about the middle of the targets, then moved to each query.
+                origin = (t.min(axis=0) + t.max(axis=0)) / 2
+                u, o = t - origin, origin - q
+                terms = np.column_stack([w, *[w * u[:, i] for i in range(3)], *[w * u[:, _AXES.index(a)] * u[:, _AXES.index(b)] for a, b in _PAIRS]])
+                sums = np.empty((len(q), terms.shape[1]))
+                for start in range(0, len(q), 256):
+                    d = [t[None, :, i] - q[start:start + 256, None, i] for i in range(3)]
+                    sums[start:start + 256] = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= limit).astype(float) @ terms
+                n, first = sums[:, :1], sums[:, 1:4]
+                moved = first + n * o
+                pairs_ = [(_AXES.index(a), _AXES.index(b)) for a, b in _PAIRS]
+                second = [sums[:, 4 + k] + o[:, i] * first[:, j] + o[:, j] * first[:, i] + n[:, 0] * o[:, i] * o[:, j] for k, (i, j) in enumerate(pairs_)]
+                out = pd.DataFrame(np.column_stack([n, moved, *second]), columns=names)
+                out.insert(0, "qid", ids)
+                yield out[out["n"] > 0]
+
+    return pairs.drop("qblock", "tblock").mapInPandas(meet, "qid long, " + ", ".join(f"{c} double" for c in names))
 
 
 @F.pandas_udf(VECTOR)

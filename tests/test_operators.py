@@ -51,6 +51,29 @@ def test_nearest_and_moments_match_all_pairs(spark, clumped, leaf):
         assert moments[i].s_yz == pytest.approx((inside[:, 1] * inside[:, 2]).sum(), abs=1e-9)
 
 
+def test_moments_of_a_clump_write_blocks_and_not_pairs(spark, monkeypatch):
+    """Where each point has hundreds of neighbours, what is written grows with the points."""
+    rng = np.random.default_rng(13)
+    xyz, group = rng.normal(size=(300, 3)) * 0.2, np.arange(300) % 2
+    points = spark.createDataFrame(pd.DataFrame({"g": group, "qid": range(300), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]}))
+    written, settle = [], spatial.settle
+
+    def counted(df):
+        out = settle(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "settle", counted)
+    found = {r.qid: r for r in spatial.radius_moments(points, points.drop("qid"), 0.3, ["g"], leaf_rows=1).collect()}
+    assert max(written) <= 300
+    for i in range(300):
+        d = xyz[group == group[i]] - xyz[i]
+        inside = d[(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) <= 0.3 * 0.3]
+        assert found[i].n == len(inside)
+        assert found[i].s_x == pytest.approx(inside[:, 0].sum(), abs=1e-9)
+        assert found[i].s_xz == pytest.approx((inside[:, 0] * inside[:, 2]).sum(), abs=1e-9)
+
+
 @pytest.mark.parametrize("held", [10**6, 3])
 def test_nearest_without_a_radius(spark, clumped, held):
     a, b = clumped
