@@ -298,11 +298,18 @@ def track_depth_report(samples: DataFrame, keys: list[str]) -> DataFrame:
 
 def local_minimum_depth(samples: DataFrame, raster: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest depth in the 3x3 pixels around ``(u, v)`` as ``measured`` (NULL if none)."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = samples.withColumn("_s", F.explode(steps)).withColumns({
-        "px": (F.rint("u") + F.col("_s.i")).cast("int"), "py": (F.rint("v") + F.col("_s.j")).cast("int")}).drop("_s")
-    found = spread.join(raster.select(*keys, "px", "py", "depth"), [*keys, "px", "py"], "left")
-    return found.groupBy(*samples.columns).agg(F.min("depth").alias("measured"))
+    tiles = raster.select(*keys, F.col("px").alias("_px"), F.col("py").alias("_py"), "depth").withColumns(
+        {"_tx": F.shiftright("_px", 2), "_ty": F.shiftright("_py", 2)})
+    found = _reached_tiles(samples).join(tiles, [*keys, "_tx", "_ty"], "left")
+    inside = (F.abs(F.col("_px") - F.col("_u")) <= 1) & (F.abs(F.col("_py") - F.col("_v")) <= 1)
+    return found.groupBy(*samples.columns).agg(F.min(F.when(inside, F.col("depth"))).alias("measured"))
+
+
+def _reached_tiles(samples: DataFrame) -> DataFrame:
+    """Each sample once for every tile of 4x4 pixels that the 3x3 pixels around it touch."""
+    around = lambda c: F.explode_outer(F.sequence(F.shiftright(F.col(c) - 1, 2), F.shiftright(F.col(c) + 1, 2)))
+    placed = samples.withColumns({"_u": F.rint("u").cast("int"), "_v": F.rint("v").cast("int")})
+    return placed.withColumn("_tx", around("_u")).withColumn("_ty", around("_v"))
 
 
 def bilinear_depth(samples: DataFrame, raster: DataFrame, keys: list[str], query_keys: list[str], size: tuple[int, int]) -> DataFrame:

@@ -639,3 +639,17 @@ def test_fits_write_their_pairs_once_and_send_the_transforms_to_them(spark, monk
                 assert all(v[1] == pytest.approx(1.5) for v in kept.values())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_local_minimum_repeats_a_sample_for_few_tiles(spark):
+    rng = np.random.default_rng(19)
+    grid = {(int(x), int(y)): float(d) for x, y, d in zip(rng.integers(-6, 12, 120), rng.integers(-6, 12, 120), rng.random(120))}
+    raster = spark.createDataFrame([(0, x, y, d) for (x, y), d in grid.items()], "frame_index int, px int, py int, depth double")
+    spots = [(float(u), float(v)) for u in range(-8, 14) for v in range(-8, 14)]
+    samples = spark.createDataFrame([(0, u + 0.25, v - 0.25) for u, v in spots] + [(0, None, 1.0)], "frame_index int, u double, v double")
+    assert depth._reached_tiles(samples).count() <= 2.5 * len(spots)
+    found = {(r.u, r.v): r.measured for r in depth.local_minimum_depth(samples, raster, ["frame_index"]).collect()}
+    assert len(found) == len(spots) + 1 and found[(None, 1.0)] is None
+    for u, v in spots:
+        near = [grid[p] for p in ((u + i, v + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if p in grid]
+        assert found[(u + 0.25, v - 0.25)] == (min(near) if near else None)
