@@ -2,16 +2,16 @@
 
 Ordinary data takes one equi-join: the query point looks at the 27 cells of
 edge ``radius`` around it. Where a cell holds more than ``leaf_rows`` distinct
-positions the cell is split into eighths, as often as needed, and queries walk
-down only through cells that their distance bounds cannot decide:
+positions:
 
-* nearest: a cell is skipped when its box is farther than the best guarantee
-  found so far;
-* moments: a box inside the ball is added as one pre-aggregated row, a box
-  outside is dropped.
+* nearest: the cell is split into eighths, as often as needed, and queries walk
+  down; a cell is skipped when its box is farther than the best guarantee found
+  so far;
+* moments: queries and targets are packed into blocks of near points, and blocks
+  meet whose boxes are near enough.
 
-So a dense clump costs a walk per query instead of all pairs, equal positions
-are collapsed to one row first, and the result is exact either way.
+So a dense clump costs a walk or a few blocks instead of shuffled pairs, equal
+positions are collapsed to one row first, and the result is exact either way.
 """
 
 from __future__ import annotations
