@@ -76,6 +76,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def file_bytes(df: DataFrame) -> int:
+    """The bytes of the files that ``df`` reads, by the planner; 0 where it does not know them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if len(df.inputFiles()) else 0
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads at most ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, file_bytes
 from ..streaming import increments, sequences
 from . import bindings as B
 from .registry import ORACLES, near, query, sql_near as R
 from . import sequences as batch
 
 
+# A table arrives in four batches; their files hold about this many bytes each.
+BATCHES, FILE_BYTES = 4, 64 << 20
+
+
 def _shared_folder(spark) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
+def _deal(rows: DataFrame, target: str, table: DataFrame | None = None) -> int:
+    """Write ``rows`` in no order as the files of four batches; how many of them make a batch.
+
+    Their number follows the planner's size of ``table`` that the rows come from, so that no task reads a share of the whole.
+    """
+    files = max(1, -(-file_bytes(rows if table is None else table) // (BATCHES * FILE_BYTES)))
+    rows.repartition(BATCHES * files).write.parquet(target)
+    return files
+
+
 @query("voxel_fusion_stream", f"""
 WITH {B.POINTS_SQL},
 cells AS (SELECT CAST(round(x / 0.25::DOUBLE) AS BIGINT) AS kx, CAST(round(y / 0.25::DOUBLE) AS BIGINT) AS ky, CAST(round(z / 0.25::DOUBLE) AS BIGINT) AS kz, * FROM pts)
@@ -25,24 +39,24 @@ SELECT kx, ky, kz, {R('sum(confidence * x) / sum(confidence)', 9)} AS x, {R('avg
 FROM cells GROUP BY kx, ky, kz""")
 def voxel_fusion_stream(spark, folder):
     target = _shared_folder(spark)
-    # The table arrives in several files, each of which is a batch of its own.
     items = B.table(spark, folder, "lineitem")
-    items.repartition(4).write.parquet(f"{target}/arrivals")
-    points = B.as_points(increments.arriving(spark, f"{target}/arrivals", items.schema, "*.parquet", files_per_trigger=1))
+    files = _deal(items, f"{target}/arrivals")
+    points = B.as_points(increments.arriving(spark, f"{target}/arrivals", items.schema, "*.parquet", files_per_trigger=files))
     increments.run_to_table(increments.voxel_stream(points, 0.25), f"{target}/table", f"{target}/state")
     fused = increments.latest(spark, f"{target}/table", ["kx", "ky", "kz"])
     return fused.select("kx", "ky", "kz", near("x", 9).alias("x"), near(F.col("confidence")).alias("confidence"), "first_observing_frame", "contributors")
 
 
 def _arrivals(spark, folder):
-    """Frames of all captures in four files in no order, then a file with the end of each capture."""
+    """Frames of all captures in four batches in no order, then the end of each capture."""
     target = _shared_folder(spark)
     luma = F.col("luma")
     frames = B.frames(spark, folder).select("capture", "frame_index", F.array(luma).alias("signature"), luma.alias("sharpness"), F.lit(False).alias("closed"))
-    frames.repartition(4).write.parquet(f"{target}/arrivals")
-    ends = frames.select("capture").distinct().select("capture", *[F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in ("frame_index", "signature", "sharpness")], F.lit(True).alias("closed"))
-    ends.coalesce(1).write.mode("append").parquet(f"{target}/arrivals")
-    return target, increments.arriving(spark, f"{target}/arrivals", frames.schema, "*.parquet", files_per_trigger=1)
+    files = _deal(frames, f"{target}/arrivals", B.table(spark, folder, "events"))
+    captures = spark.read.schema(frames.schema).parquet(f"{target}/arrivals").select("capture").distinct()
+    ends = captures.select("capture", *[F.lit(None).cast(frames.schema[c].dataType).alias(c) for c in ("frame_index", "signature", "sharpness")], F.lit(True).alias("closed"))
+    ends.coalesce(files).write.mode("append").parquet(f"{target}/arrivals")
+    return target, increments.arriving(spark, f"{target}/arrivals", frames.schema, "*.parquet", files_per_trigger=files)
 
 
 @query("window_schedule_stream", ORACLES["window_schedule"])

@@ -86,3 +86,15 @@ def test_idle_captures_end_by_a_timer(spark, tmp_path):
     increments.run_to_table(windows, str(tmp_path / "out"), str(tmp_path / "state"), "append")
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.capture, r.window_index, r.start, r.stop) for r in rows] == [("a", 0, 0, 3)]
+
+
+def test_files_of_a_batch_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
+    from scenefold.workloads import streams
+
+    spark.range(100_000).write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    assert streams._deal(table, str(tmp_path / "one")) == 1
+    monkeypatch.setattr(streams, "FILE_BYTES", 20_000)
+    files = streams._deal(table, str(tmp_path / "many"))
+    assert files > 1 and len(list((tmp_path / "many").glob("*.parquet"))) == 4 * files
+    assert spark.read.parquet(str(tmp_path / "many")).distinct().count() == 100_000
