@@ -9,8 +9,10 @@ newest event by that much (an event-time timer). Rows behind the end of a captur
 frames that were there before, change nothing.
 
 The state of a capture is a few numbers and the frames that wait: those ahead of a gap
-and, for keyframes, those in reach of the last one. All rows given out together are
-those of ``operators.ordering`` over the whole capture.
+and, for keyframes, those in reach of the last one. Frames wait in blocks of neighbours,
+so that a batch asks the state store once for a block and not once for a frame; a task
+holds few blocks at a time. All rows given out together are those of
+``operators.ordering`` over the whole capture.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from ..errors import ScheduleError
 from ..operators.ordering import gap_frames, valid_gaps
 from ..settings import KeyframeSettings, WindowSettings
 
+#: Frames of a block, and the blocks that a task holds before it writes them back.
+BLOCK_FRAMES, HELD_BLOCKS = 256, 64
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -38,8 +42,8 @@ class CaptureProcessor(StatefulProcessor):
     """Puts the frames of a capture in order and asks for what can be decided."""
 
     progress = "frames long, newest long, ended boolean"
-    #: What is known of the work done, and what is kept of a frame.
-    memory, frame = "", ""
+    #: What is known of the work done, and what is kept of a frame beside its ordinal.
+    memory, frame = "", ()
 
     def __init__(self, names: list[str], idle_millis: int | None) -> None:
         self.names, self.idle = names, idle_millis
@@ -47,21 +51,27 @@ class CaptureProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("progress", f"{self.progress}, {self.memory}")
-        self.waiting = handle.getMapState("waiting", "ordinal long", self.frame)
+        kept = ", ".join(["ordinal: bigint", *self.frame])
+        self.waiting = handle.getMapState("waiting", "block long", f"frames array<struct<{kept}>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = self._now()
         if now["ended"]:
             return
+        self.held, self.changed = {}, set()
         closed, newest = False, now["newest"]
         for row in rows:
             closed = closed or bool(row["closed"])
             if row["millis"] is not None:
                 newest = max(newest, row["millis"])
             if row["ordinal"] is not None and row["ordinal"] >= now["frames"]:
-                self.waiting.updateValue((row["ordinal"],), self.kept(row))
-        while self.waiting.containsKey((now["frames"],)):
+                self._keep(row["ordinal"], self.kept(row))
+        first = now["frames"]
+        while self._frame(now["frames"]) is not None:
             now["frames"] += 1
+        if not self.frame:
+            # Only the place of a frame counts: those in order need not wait.
+            self._drop(first, now["frames"])
         yield from self._give(key, now, closed)
         if self.idle is not None and not closed and newest > now["newest"]:
             self._stop_timers()
@@ -71,6 +81,7 @@ class CaptureProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = self._now()
+        self.held, self.changed = {}, set()
         if not now["ended"]:
             yield from self._give(key, now, True)
             self._remember(now, True)
@@ -79,7 +90,7 @@ class CaptureProcessor(StatefulProcessor):
         pass
 
     def _now(self) -> dict:
-        held = self.state.get() if self.state.exists() else None
+        held = self.state.get()
         names = [p.split()[0] for p in f"{self.progress}, {self.memory}".split(", ")]
         return dict(zip(names, held, strict=True)) if held is not None else dict.fromkeys(names, 0) | {"ended": False}
 
@@ -90,6 +101,8 @@ class CaptureProcessor(StatefulProcessor):
             # The capture itself stays known, so that late rows do not open it anew.
             self.waiting.clear()
             self._stop_timers()
+        else:
+            self._write_back()
 
     def _stop_timers(self) -> None:
         if self.idle is not None:
@@ -100,10 +113,36 @@ class CaptureProcessor(StatefulProcessor):
         for values in self.decide(now, closed):
             yield Row(*self.names)(*key, *values)
 
+    def _write_back(self) -> None:
+        for block in self.changed:
+            if frames := self.held[block]:
+                self.waiting.updateValue((block,), ([(ordinal, *kept) for ordinal, kept in frames.items()],))
+            else:
+                self.waiting.removeKey((block,))
+        self.held, self.changed = {}, set()
+
+    def _block(self, block: int) -> dict[int, tuple]:
+        """The waiting frames of a block by their ordinal."""
+        if block not in self.held:
+            if len(self.held) >= HELD_BLOCKS:
+                self._write_back()
+            stored = self.waiting.getValue((block,))
+            self.held[block] = {ordinal: tuple(kept) for ordinal, *kept in stored[0]} if stored is not None else {}
+        return self.held[block]
+
+    def _frame(self, ordinal: int) -> tuple | None:
+        return self._block(ordinal // BLOCK_FRAMES).get(ordinal)
+
+    def _keep(self, ordinal: int, kept: tuple) -> None:
+        self._block(ordinal // BLOCK_FRAMES)[ordinal] = kept
+        self.changed.add(ordinal // BLOCK_FRAMES)
+
     def _drop(self, first: int, last: int) -> None:
-        for ordinal in range(first, last):
-            if self.waiting.containsKey((ordinal,)):
-                self.waiting.removeKey((ordinal,))
+        for block in range(first // BLOCK_FRAMES, -(-last // BLOCK_FRAMES) if last > first else 0):
+            frames = self._block(block)
+            for ordinal in range(max(first, block * BLOCK_FRAMES), min(last, (block + 1) * BLOCK_FRAMES)):
+                if frames.pop(ordinal, None) is not None:
+                    self.changed.add(block)
 
     def kept(self, row: Row) -> tuple:
         raise NotImplementedError
@@ -115,7 +154,7 @@ class CaptureProcessor(StatefulProcessor):
 class ScheduleProcessor(CaptureProcessor):
     """Full windows as soon as their last frame is there, the last one at the end."""
 
-    memory, frame = "windows long", "there boolean"
+    memory = "windows long"
 
     def __init__(self, names: list[str], settings: WindowSettings, idle_millis: int | None) -> None:
         super().__init__(names, idle_millis)
@@ -124,10 +163,10 @@ class ScheduleProcessor(CaptureProcessor):
         self.size, self.step = settings.size, settings.size - settings.overlap
 
     def kept(self, row: Row) -> tuple:
-        return (True,)
+        return ()
 
     def decide(self, now: dict, closed: bool) -> Iterator[tuple]:
-        frames, before = now["frames"], now["windows"]
+        frames = now["frames"]
         while now["windows"] * self.step + self.size <= frames:
             start = now["windows"] * self.step
             yield now["windows"], start, start + self.size
@@ -137,14 +176,12 @@ class ScheduleProcessor(CaptureProcessor):
         if closed and start < frames and covered < frames:
             yield now["windows"], start, frames
             now["windows"] += 1
-        if now["windows"] > before:
-            self._drop(before * self.step, now["windows"] * self.step)
 
 
 class KeyframeProcessor(CaptureProcessor):
     """The next keyframe as soon as all frames in reach of the last one are there."""
 
-    memory, frame = "last long, begun boolean", "signature array<double>, sharpness double"
+    memory, frame = "last long, begun boolean", ("signature: array<double>", "sharpness: double")
 
     def __init__(self, names: list[str], fps: float, novelty: Callable, settings: KeyframeSettings, idle_millis: int | None) -> None:
         super().__init__(names, idle_millis)
@@ -156,10 +193,10 @@ class KeyframeProcessor(CaptureProcessor):
 
     def _best(self, last: int, stop: int) -> int | None:
         """The frame with the largest accepted score in ``last + low .. stop``, the first of equals."""
-        seen = self.waiting.getValue((last,))[0]
+        seen = self._frame(last)[0]
         best, chosen = None, None
         for ordinal in range(last + self.low, stop + 1):
-            signature, sharpness = self.waiting.getValue((ordinal,))
+            signature, sharpness = self._frame(ordinal)
             change = self.novelty(seen, signature)
             if sharpness >= self.settings.minimum_sharpness and change >= self.settings.minimum_novelty:
                 if best is None or sharpness * change > best:

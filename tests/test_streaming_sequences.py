@@ -88,6 +88,66 @@ def test_idle_captures_end_by_a_timer(spark, tmp_path):
     assert [(r.capture, r.window_index, r.start, r.stop) for r in rows] == [("a", 0, 0, 3)]
 
 
+class Store:
+    """State of one capture in memory, as a handle gives it out; counts what is asked."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.map.pop(key, None)
+
+    def clear(self):
+        self.calls += 1
+        self.map = {}
+
+    exists = lambda self: self.value is not None
+    containsKey = lambda self, key: self.getValue(key) is not None
+
+
+@pytest.mark.parametrize("block,held,most", [(256, 64, 60), (2, 2, None)])
+def test_the_store_is_asked_for_blocks_of_frames(monkeypatch, block, held, most):
+    monkeypatch.setattr(sequences, "BLOCK_FRAMES", block, raising=False)
+    monkeypatch.setattr(sequences, "HELD_BLOCKS", held, raising=False)
+    rng = random.Random(3)
+    rows = [{"ordinal": i, "signature": [rng.random()], "sharpness": rng.random(), "closed": False, "millis": None} for i in range(300)]
+    ends = [{"ordinal": None, "signature": None, "sharpness": None, "closed": True, "millis": None}]
+    whole, parts = [], list(rows)
+    rng.shuffle(parts)
+    for batches in ([rows + ends], [parts[:100], parts[100:200], parts[200:], ends]):
+        for processor in (sequences.ScheduleProcessor(["capture", "window_index", "start", "stop"], WindowSettings(), None),
+                          sequences.KeyframeProcessor(["capture", "ordinal"], 8.0, sequences.mean_change, KEY, None)):
+            store = Store()
+            processor.init(store)
+            whole.append([tuple(r) for batch in batches for r in processor.handleInputRows(("a",), iter(batch), None)])
+            assert not store.map
+            assert most is None or store.calls <= most
+    assert whole[0] == whole[2] and whole[1] == whole[3] and len(whole[0]) == 33
+
+
 def test_files_of_a_batch_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
     from scenefold.workloads import streams
 
