@@ -246,14 +246,16 @@ class GlbSink(ChunkSink):
 
 
 class RecordingSink(ChunkSink, RecordingSource):
-    """A VPS1 recording as parts: rows sorted by window, frame, py, px, one file per window.
+    """A VPS1 recording as parts: rows sorted by view, py, px, one file per view.
 
-    Options are the numbers of the header. Put end to end in order, ``part-...`` files
-    are the recording.
+    ``view`` is the place of a view in the recording, see ``recordings.view_rows``; the
+    first row of a view has its ``k`` and ``w2c``. Options are the numbers of the header.
+    Put end to end in order, ``part-...`` files are the recording.
     """
 
-    chunk_key, unit_keys, suffix = "window_index", ("frame_index",), ""
-    needed = tuple("window_index frame_index px py depth confidence r g b k w2c".split())
+    chunk_key, suffix = "view", ""
+    unit_keys = ("view",)
+    needed = tuple("view window_index frame_index px py depth confidence r g b k w2c".split())
 
     def _numbers(self) -> dict:
         whole = {n: int(self.options[n]) for n in ("frames", "height", "width", "size", "overlap", "minimum_overlap")}
@@ -270,12 +272,14 @@ class RecordingSink(ChunkSink, RecordingSource):
         return schedule[window]
 
     def open(self, unit: pa.Table) -> bytes:
-        return struct.pack("<I", self._views(unit.column("window_index")[0].as_py())[1])
+        start, count = self._views(unit.column("window_index")[0].as_py())
+        return struct.pack("<I", count) if unit.column("frame_index")[0].as_py() == start else b""
 
     def pack(self, unit: pa.Table, before: int) -> bytes:
         h = self._numbers()
-        start, count = self._views(unit.column("window_index")[0].as_py())
-        if unit.column("frame_index")[0].as_py() != start + before or before >= count:
+        window, frame, view = (unit.column(n)[0].as_py() for n in ("window_index", "frame_index", "view"))
+        start, count = self._views(window)
+        if not start <= frame < start + count or view != frame + window * h["overlap"]:
             raise ExportError("the views do not follow the window schedule")
         at = unit.column("py").to_numpy().astype(np.int64) * h["width"] + unit.column("px").to_numpy()
         if len(at) != h["height"] * h["width"] or (at != np.arange(len(at))).any():
@@ -283,18 +287,13 @@ class RecordingSink(ChunkSink, RecordingSource):
         numbers = [np.array(unit.column("k")[0].as_py()), np.array(unit.column("w2c")[0].as_py()), unit.column("depth").to_numpy(), unit.column("confidence").to_numpy()]
         return np.concatenate(numbers).astype("<f4").tobytes() + _block(unit, "r g b").astype(np.uint8).tobytes()
 
-    def close(self, chunk: int | None, units: int) -> Iterator[bytes]:
-        if units != self._views(chunk)[1]:
-            raise ExportError("the views do not follow the window schedule")
-        yield b""
-
     def committing(self, folder: str, document: dict) -> None:
         h = self._numbers()
-        windows = len(window_lengths(h["frames"], h["size"], h["overlap"]))
-        if document["chunks"] != windows:
+        schedule = window_lengths(h["frames"], h["size"], h["overlap"])
+        if document["chunks"] != sum(count for _, count in schedule):
             raise ExportError("the views do not follow the window schedule")
         head = b"VPS1" + struct.pack("<IIIIIIdfI", 3, h["frames"], h["height"], h["width"], h["size"], h["overlap"], h["percentile"], h["point_size"], h["minimum_overlap"])
-        head += struct.pack("<II", int(h["icp"]) | int(h["loops"]) << 1, windows)
+        head += struct.pack("<II", int(h["icp"]) | int(h["loops"]) << 1, len(schedule))
         name = f"_head-{uuid.uuid4().hex}/part-00000"
         write_atomic(f"{folder}/{name}", head)
         line = {"chunk": -1, "name": name, "hash": hashlib.sha256(head).hexdigest(), "rows": 0, "bytes": len(head)}

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ImportFormatError
 from ..schemas import PIXELS, VIEWS
-from .files import decode_ranges, open_file, read_range, record_ranges
+from .files import decode_ranges, file_size, open_file, read_range, record_ranges
 
 
 def window_lengths(frames: int, size: int, overlap: int) -> list[tuple[int, int]]:
@@ -39,7 +39,7 @@ def _read(handle, layout: str):
 def read_input_header(path: str) -> dict:
     """Header of a VPS1 file (versions 2 and 3) and the place of every view.
 
-    ``path`` may be a comma-separated list: the header and one part for each window.
+    ``path`` may be a comma-separated list: the header and one part for each window or each view.
     """
     files = path.split(",")
     with open_file(files[0]) as handle:
@@ -55,19 +55,27 @@ def read_input_header(path: str) -> dict:
     schedule = window_lengths(frames, size, overlap) if frames and 0 <= overlap < size and size >= 2 else []
     if plane == 0 or branches & ~3 or len(schedule) != windows or not 0 <= percentile <= 100 or not point_size > 0:
         raise ImportFormatError("invalid VPS1 header")
-    if len(files) not in (1, 1 + windows):
-        raise ImportFormatError("a recording in parts has one part for each window")
+    total = sum(length for _, length in schedule)
+    if len(files) not in (1, 1 + windows, 1 + total):
+        raise ImportFormatError("a recording in parts has one part for each window or each view")
     view_bytes, views = 4 * 21 + 11 * plane, []
+    by_view = len(files) == 1 + total
     for index, (start, length) in enumerate(schedule):
-        where = files[0] if len(files) == 1 else files[1 + index]
+        where = files[1 + (len(views) if by_view else index)] if len(files) > 1 else files[0]
         offset = offset if len(files) == 1 else 0
         with open_file(where) as handle:
             if handle.read_at(4, offset) != struct.pack("<I", length):
                 raise ImportFormatError("a window does not follow the schedule")
-            views += [(where, offset + 4 + view_bytes * i, view_bytes, index, start + i) for i in range(length)]
-            offset += 4 + view_bytes * length
+            # The part of a view holds nothing else; the first of a window has the window's length before it.
+            first = [(where, offset + 4 + view_bytes * i, view_bytes, index, start + i) for i in range(1 if by_view else length)]
+            offset += 4 + view_bytes * len(first)
             if (len(files) > 1 or index == windows - 1) and handle.size() != offset:
                 raise ImportFormatError("unexpected recording length")
+        views += first
+        for i in range(len(first), length):
+            views.append((files[1 + len(views)], 0, view_bytes, index, start + i))
+            if file_size(views[-1][0]) != view_bytes:
+                raise ImportFormatError("unexpected recording length")
     return {"frames": frames, "height": height, "width": width, "size": size, "overlap": overlap, "percentile": percentile,
             "point_size": point_size, "minimum_overlap": minimum, "icp": bool(branches & 1), "loops": bool(branches & 2), "views": views}
 

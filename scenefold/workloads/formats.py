@@ -11,6 +11,7 @@ from ..session import ensure_checkpoint_dir
 from ..sinks import bundle as out_bundle
 from ..sinks import clouds
 from ..sinks.committed import save
+from ..sinks.recordings import write_recording
 from ..sources import bundle as in_bundle
 from . import bindings as B
 from .registry import near, query, sql_near as R
@@ -113,8 +114,7 @@ def recording_round_trip(spark, folder):
     calibration = F.array(*[F.lit(v) for v in (500.0, 0.0, 3.5, 0.0, 500.0, 50.0, 0.0, 0.0, 1.0)])
     rows = members.select("window_index", "frame_index", "px", "py", "depth", "confidence", "r", "g", "b",
                           calibration.alias("k"), B.turning_camera(frame).alias("w2c"))
-    save(rows, "scene_recording", target, "window_index", ["frame_index", "py", "px"], frames=120, height=height, width=width, size=12, overlap=3,
-         percentile=0.0, point_size=1.0, minimum_overlap=3)
+    write_recording(rows, target, frames=120, height=height, width=width, size=12, overlap=3, percentile=0.0, point_size=1.0, minimum_overlap=3)
     back = spark.read.format("scene_recording").load(target)
     return back.groupBy("window_index", "frame_index").agg(
         F.count(F.lit(1)).alias("pixels"), near(F.sum("depth"), 4).alias("depth"), near(F.sum("confidence"), 4).alias("confidence"),

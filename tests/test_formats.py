@@ -328,3 +328,22 @@ def test_stream_resumes_from_its_checkpoint(spark, tmp_path):
     key = lambda df: sorted((r.kx, r.contributors, r.first_observing_frame, round(r.x, 9)) for r in df.collect())
     batch = surface.fuse_voxels(spark.read.parquet(folder), spark.createDataFrame([(0.2,)], "voxel double"))
     assert key(increments.latest(spark, str(tmp_path / "table"), ["kx", "ky", "kz"])) == key(batch)
+
+
+def test_a_recording_is_dealt_by_view_and_reads_back(spark, tmp_path):
+    from scenefold.sinks import recordings as out
+    from scenefold.sources.files import committed_chunks
+    from scenefold.sources.formats import register
+
+    path, parts = tmp_path / "e.vps1", str(tmp_path / "parts")
+    write_recording(path, version=3)
+    header, views, pixels = recordings.scan_input(spark, str(path))
+    out.write_input_parts(views, pixels, header, parts)
+    # A header and one part for each of the five views: no task holds a window.
+    assert [c["rows"] for c in committed_chunks(parts)] == [0] + [12] * 5
+    back = register(spark).read.format("scene_recording").load(parts)
+    assert sorted(back.collect()) == sorted(pixels.select(back.columns).collect())
+    cameras = spark.read.format("scene_recording").option("table", "views").load(parts)
+    assert sorted(cameras.collect()) == sorted(views.select(cameras.columns).collect())
+    with pytest.raises(Exception, match="schedule"):
+        out.write_input_parts(views, pixels.filter("window_index = 0 or frame_index = 3"), header, str(tmp_path / "other"))
