@@ -23,6 +23,8 @@ from ..session import settle
 from .writers import content_named, write_atomic, write_files
 
 CHUNK_ROWS = 50_000
+# Raster rows of a block of a replay payload.
+REPLAY_ROWS = 2_048
 SURFEL_MAGIC, SURFEL_VERSION = b"VSPT", 1
 # Record layouts. Fixed values.
 SURFEL = np.dtype([("p", "<f4", 3), ("n", "<f4", 3), ("c", "u1", 3), ("pad", "u1"), ("conf", "<f4"), ("radius", "<f4"), ("contributors", "<u4")])
@@ -171,17 +173,26 @@ def write_cameras(views: DataFrame, poses: DataFrame, folder: str) -> None:
 def replay_payloads(points: DataFrame, views: DataFrame) -> DataFrame:
     """VRPL payload of each owned frame: camera-space points in front of it.
 
-    A frame has at most one row per pixel of its raster, so one task packs one frame.
+    Tasks pack blocks of REPLAY_ROWS raster rows; a frame puts the packed blocks of its
+    one payload together. Cameras meet blocks, not pixels.
     """
-    joined = points.join(views, ["window_index", "frame_index"])
+    joined = points.join(views.select("window_index", "frame_index", "w2c"), ["window_index", "frame_index"])
     p = C.world_to_camera("w2c", V.vec("x", "y", "z"))
     seen = joined.withColumns(dict(zip(("_x", "_y", "_z"), p))).filter(V.all_finite(F.col("_x"), F.col("_y")) & V.positive(F.col("_z")))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["py", "px"])
-        k = pdf["k"].iloc[0]
-        head = b"VRPL" + struct.pack("<HHI4f", 2, 0, len(pdf), k[0], k[4], k[2], k[5])
         body = _packed(pdf, REPLAY_RECORD, p=_block(pdf, ("_x", "_y", "_z")), c=_block(pdf, "rgb"))
-        return pd.DataFrame({"frame_index": [int(pdf["frame_index"].iloc[0])], "payload": [head + body.tobytes()]})
+        return pd.DataFrame({**{n: [int(pdf[n].iloc[0])] for n in ("frame_index", "block", "window_index")}, "rows": [len(pdf)], "body": [body.tobytes()]})
 
-    return seen.select("frame_index", "px", "py", "_x", "_y", "_z", "r", "g", "b", "k").groupBy("frame_index").applyInPandas(pack, "frame_index int, payload binary")
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        k = pdf["k"].iloc[0]
+        head = b"VRPL" + struct.pack("<HHI4f", 2, 0, int(pdf["rows"].sum()), k[0], k[4], k[2], k[5])
+        return pd.DataFrame({"frame_index": [int(pdf["frame_index"].iloc[0])], "payload": [b"".join([head, *pdf["body"]])]})
+
+    block = F.floor(F.col("py") / REPLAY_ROWS).alias("block")
+    blocks = seen.select("frame_index", block, "window_index", "px", "py", "_x", "_y", "_z", "r", "g", "b").groupBy("frame_index", "block").applyInPandas(
+        pack, "frame_index int, block long, window_index int, rows long, body binary")
+    whole = blocks.join(views.select("window_index", "frame_index", "k"), ["window_index", "frame_index"])
+    return whole.select("frame_index", "block", "rows", "body", "k").groupBy("frame_index").applyInPandas(join, "frame_index int, payload binary")

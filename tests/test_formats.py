@@ -347,3 +347,19 @@ def test_a_recording_is_dealt_by_view_and_reads_back(spark, tmp_path):
     assert sorted(cameras.collect()) == sorted(views.select(cameras.columns).collect())
     with pytest.raises(Exception, match="schedule"):
         out.write_input_parts(views, pixels.filter("window_index = 0 or frame_index = 3"), header, str(tmp_path / "other"))
+
+
+def test_replay_payloads_are_packed_in_blocks(spark, monkeypatch):
+    from scenefold.sinks import clouds
+
+    eye, k = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0], [2.0, 0.0, 1.5, 0.0, 2.0, 1.0, 0.0, 0.0, 1.0]
+    rows = [(f // 2, f, x, y, float(x), float(y), 1.0 + f, x, y, f) for f in range(3) for x in range(4) for y in range(7)]
+    points = spark.createDataFrame(rows, "window_index int, frame_index int, px int, py int, x double, y double, z double, r short, g short, b short")
+    views = spark.createDataFrame([(f // 2, f, eye, k) for f in range(3)], "window_index int, frame_index int, w2c array<double>, k array<double>")
+    taken = lambda: {r.frame_index: bytes(r.payload) for r in clouds.replay_payloads(points, views).collect()}
+    whole = taken()
+    monkeypatch.setattr(clouds, "REPLAY_ROWS", 2)
+    pieces = taken()
+    assert pieces == whole and len(whole) == 3
+    assert whole[1][:28] == b"VRPL" + struct.pack("<HHI4f", 2, 0, 28, 2.0, 2.0, 1.5, 1.0)
+    assert whole[1][28:58] == struct.pack("<3f3B", 0, 0, 2, 0, 0, 1) + struct.pack("<3f3B", 1, 0, 2, 1, 0, 1)
