@@ -8,6 +8,7 @@ from ..functions import cameras as C
 from ..functions import naming
 from ..functions import vectors as V
 from ..schemas import tag_pattern
+from ..session import spread
 from ..settings import GlobalFitSettings
 from ..sources.rasters import frame_delta
 from . import similarity
@@ -196,8 +197,13 @@ def pose_violations(solution: DataFrame, rasters: DataFrame, keys: list[str]) ->
 
 
 def track_violations(tracks: DataFrame, observations: DataFrame, frames: DataFrame) -> DataFrame:
-    """Sparse tracks with bad numbers, repeated frames or unknown frames."""
-    per_track = observations.join(frames.select("frame_index", F.lit(True).alias("_known")), "frame_index", "left").groupBy("point_id").agg(
+    """Sparse tracks with bad numbers, repeated frames or unknown frames.
+
+    A task sees a bounded share of the observations, by frame for the frames that are known and
+    then by track: the aggregate of distinct frames holds nearly a row for each of them.
+    """
+    known = spread(observations, "frame_index").join(frames.select("frame_index", F.lit(True).alias("_known")), "frame_index", "left")
+    per_track = spread(known, "point_id", table=observations).groupBy("point_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_distinct("frame_index").alias("_d"),
         F.sum(F.col("_known").isNull().cast("int")).alias("_unknown"),
         F.min(V.all_finite(F.col("u"), F.col("v"))).alias("_finite"))

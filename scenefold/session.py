@@ -81,6 +81,15 @@ def file_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if len(df.inputFiles()) else 0
 
 
+def spread(df: DataFrame, *columns: str, table: DataFrame | None = None, share: int = 2 << 20) -> DataFrame:
+    """Deal rows by columns to partitions whose number follows the bytes of ``table``, so that the rows of a task do not grow with it.
+
+    ``share`` bytes by the planner are some 400,000 narrow rows; there are never fewer partitions than the session's.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, file_bytes(df if table is None else table) // share), *columns)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads at most ``rows + 1``."""
     return df.limit(rows + 1).count() <= rows

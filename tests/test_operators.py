@@ -653,3 +653,16 @@ def test_local_minimum_repeats_a_sample_for_few_tiles(spark):
     for u, v in spots:
         near = [grid[p] for p in ((u + i, v + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if p in grid]
         assert found[(u + 0.25, v - 0.25)] == (min(near) if near else None)
+
+
+def test_rows_of_a_task_follow_the_table(spark, tmp_path):
+    from scenefold import session
+
+    spark.range(200_000).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert session.spread(table, "id").rdd.getNumPartitions() == least
+    many = session.spread(table, "id", share=10_000)
+    assert many.rdd.getNumPartitions() == session.file_bytes(table) // 10_000 > least
+    assert session.spread(table.join(table, "id"), "id", table=table, share=10_000).rdd.getNumPartitions() == many.rdd.getNumPartitions()
+    assert session.file_bytes(spark.range(5)) == 0
