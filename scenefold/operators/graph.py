@@ -124,12 +124,12 @@ def _moved(nodes, steps):
 
 
 def _jacobians(nodes, edges, step: float):
-    """Central differences of the residuals by both endpoints, each (edges, 7, 7).
+    """Central differences of the residuals by both endpoints, each (graphs, edges, 7, 7).
 
     All seven axes and both signs are one batched evaluation per endpoint.
     """
     nudges = np.concatenate([np.eye(7), -np.eye(7)])[:, None, :] * step
-    shifted = _moved(nodes, np.broadcast_to(nudges, (14, len(nodes[0]), 7)))
+    shifted = _moved(nodes, nudges[:, None])
     src, dst = edges["src"], edges["dst"]
     out = {}
     for side, errors in (
@@ -141,61 +141,122 @@ def _jacobians(nodes, edges, step: float):
 
 
 def _normal_system(nodes, edges, step: float):
-    """Gauss-Newton matrix and gradient of half the weighted squares, over nodes 1, 2, ..."""
-    count = len(nodes[0])
+    """Gauss-Newton matrices and gradients of half the weighted squares, over nodes 1, 2, ..."""
+    graphs, count = nodes[0].shape
     sides = _jacobians(nodes, edges, step)
-    both = np.concatenate([sides["src"], sides["dst"]], axis=2)
+    both = np.concatenate([sides["src"], sides["dst"]], axis=3)
     axes = np.concatenate([7 * edges[side][:, None] + np.arange(7) for side in ("src", "dst")], axis=1)
-    weighted = edges["information"][:, None, None] * both
+    weighted = edges["information"][:, :, None, None] * both
     size = 7 * count
-    cells = (axes[:, :, None] * size + axes[:, None, :]).ravel()
-    matrix = np.bincount(cells, (weighted.transpose(0, 2, 1) @ both).ravel(), size * size).reshape(size, size)
-    gradient = np.bincount(axes.ravel(), np.einsum("eij,ei->ej", weighted, _residuals(nodes, edges)).ravel(), size)
-    return matrix[7:, 7:], gradient[7:]
+    first = np.arange(graphs)[:, None]
+    cells = (axes[:, :, None] * size + axes[:, None, :]).ravel() + first * size**2
+    matrix = np.bincount(cells.ravel(), (np.swapaxes(weighted, -1, -2) @ both).ravel(), graphs * size**2).reshape(graphs, size, size)
+    pulls = np.einsum("geij,gei->gej", weighted, _residuals(nodes, edges))
+    gradient = np.bincount((axes.ravel() + first * size).ravel(), pulls.ravel(), graphs * size).reshape(graphs, size)
+    return matrix[:, 7:, 7:], gradient[:, 7:]
+
+
+def _steps(matrix, gradient, damping):
+    """Damped steps of all graphs; where damping is too small to make a system regular, the shortest least-squares step."""
+    systems = matrix + damping[:, None, None] * np.eye(matrix.shape[-1])
+    out = np.empty_like(gradient)
+    regular = damping > 1e-10 * np.einsum("gii->gi", matrix).max(axis=1)
+    out[regular] = np.linalg.solve(systems[regular], -gradient[regular][..., None])[..., 0]
+    for i in np.flatnonzero(~regular):
+        out[i] = np.linalg.lstsq(systems[i], -gradient[i], rcond=None)[0]
+    return out
 
 
 def _optimise(nodes, edges, settings: PoseGraphSettings):
-    """Least squares over all nodes but the first, as a trust region.
+    """Least squares over all nodes but the first, as a trust region of each graph of a batch.
 
-    The damping is absolute and follows the gain ratio (actual over predicted
-    decrease, Nielsen's rule), so each system is solved once: a step with a poor
-    ratio shrinks the region for the next linearisation or repeats with the same one.
+    All graphs have the same ``src`` and ``dst``. The damping is absolute and follows the
+    gain ratio (actual over predicted decrease, Nielsen's rule), so each system is solved
+    once: a step with a poor ratio shrinks the region for the next linearisation or repeats
+    with the same one. A graph that is done leaves the batch.
     """
-    count = len(nodes[0])
-    cost_of = lambda state: 0.5 * float(edges["information"] @ (_residuals(state, edges) ** 2).sum(axis=1))
-    initial = cost = cost_of(nodes)
-    accepted = 0
-    if count < 2 or not initial > 0:
-        return nodes, 2 * initial, 2 * cost, accepted
-    matrix, gradient = _normal_system(nodes, edges, settings.difference_step)
-    damping, growth = settings.initial_damping * max(float(np.diag(matrix).max()), 1e-12), 2.0
+    graphs, count = nodes[0].shape
+    nodes = tuple(part.copy() for part in nodes)
+    among = lambda table, rows: {n: table[n] if n in ("src", "dst") else tuple(p[rows] for p in table[n]) if n == "inverse" else table[n][rows] for n in table}
+    cost_of = lambda state, table: 0.5 * np.einsum("ge,gei->g", table["information"], _residuals(state, table) ** 2)
+    initial = cost_of(nodes, edges)
+    cost, accepted = initial.copy(), np.zeros(graphs, dtype=np.int64)
+    left = np.flatnonzero(initial > 0) if count > 1 else np.arange(0)
+    matrix, gradient = np.empty((graphs, 7 * count - 7, 7 * count - 7)), np.empty((graphs, 7 * count - 7))
+
+    def linearise(rows):
+        if len(rows):
+            matrix[rows], gradient[rows] = _normal_system(tuple(p[rows] for p in nodes), among(edges, rows), settings.difference_step)
+
+    linearise(left)
+    growth = np.full(graphs, 2.0)
+    damping = settings.initial_damping * np.maximum(np.einsum("gii->gi", matrix).max(axis=1, initial=0.0), 1e-12) if len(left) else np.ones(graphs)
     for _ in range(4 * settings.maximum_iterations):
-        step = np.linalg.lstsq(matrix + damping * np.eye(len(matrix)), -gradient, rcond=None)[0]
-        predicted = 0.5 * float(step @ (damping * step - gradient))
-        moved = _moved(nodes, np.concatenate([np.zeros(7), step]).reshape(count, 7))
-        after = cost_of(moved)
-        ratio = (cost - after) / predicted if predicted > 0 else -1.0
-        if ratio > 0:
-            settled = cost - after <= settings.relative_cost * initial
-            nodes, cost, accepted = moved, after, accepted + 1
-            damping, growth = damping * max(1 / 3, 1 - (2 * ratio - 1) ** 3), 2.0
-            if settled or accepted >= settings.maximum_iterations:
-                break
-            matrix, gradient = _normal_system(nodes, edges, settings.difference_step)
-        else:
-            damping, growth = damping * growth, 2 * growth
-            if not np.isfinite(damping) or float(np.abs(step).max()) < 1e-14:
-                break
+        if not len(left):
+            break
+        step = _steps(matrix[left], gradient[left], damping[left])
+        predicted = 0.5 * np.einsum("gi,gi->g", step, damping[left, None] * step - gradient[left])
+        whole = np.concatenate([np.zeros((len(left), 7)), step], axis=1).reshape(len(left), count, 7)
+        moved = _moved(tuple(p[left] for p in nodes), whole)
+        after = cost_of(moved, among(edges, left))
+        gain = cost[left] - after
+        ratio = np.where(predicted > 0, gain / np.where(predicted > 0, predicted, 1.0), -1.0)
+        good = ratio > 0
+        taken, refused = left[good], left[~good]
+        settled = gain[good] <= settings.relative_cost * initial[taken]
+        for part, new in zip(nodes, moved):
+            part[taken] = new[good]
+        cost[taken] = after[good]
+        accepted[taken] += 1
+        damping[taken] *= np.maximum(1 / 3, 1 - (2 * ratio[good] - 1) ** 3)
+        growth[taken] = 2.0
+        damping[refused] *= growth[refused]
+        growth[refused] *= 2
+        again = taken[~settled & (accepted[taken] < settings.maximum_iterations)]
+        stuck = ~np.isfinite(damping[refused]) | (np.abs(step[~good]).max(axis=1, initial=0.0) < 1e-14)
+        linearise(again)
+        left = np.sort(np.concatenate([again, refused[~stuck]]))
     return nodes, 2 * initial, 2 * cost, accepted
 
 
+# Numbers in the systems of the graphs that are solved together, and rows of nodes and edges in a task's group.
+SYSTEM_NUMBERS, GRAPH_ROWS = 4_000_000, 20_000
+
+
+def _solve_graphs(nodes, edges, counts, links, settings: PoseGraphSettings):
+    """Poses, costs and iterations of many graphs; those of one shape are solved together.
+
+    ``nodes`` and ``edges`` are sorted by graph, ``counts`` and ``links`` say how many each has.
+    """
+    first, start = np.cumsum(counts) - counts, np.cumsum(links) - links
+    nodes = tuple(part.copy() for part in nodes)
+    initial, final, iterations = np.zeros(len(counts)), np.zeros(len(counts)), np.zeros(len(counts), dtype=np.int64)
+    shapes: dict[tuple, list[int]] = {}
+    for graph, (count, at, many) in enumerate(zip(counts, start, links)):
+        if many:
+            shapes.setdefault((count, edges["src"][at : at + many].tobytes(), edges["dst"][at : at + many].tobytes()), []).append(graph)
+    for (count, *_), members in shapes.items():
+        many = links[members[0]]
+        most = max(1, SYSTEM_NUMBERS // (49 * int(count) ** 2))
+        for low in range(0, len(members), most):
+            chosen = np.array(members[low : low + most])
+            node, edge = first[chosen][:, None] + np.arange(count), start[chosen][:, None] + np.arange(many)
+            table = {"src": edges["src"][edge[0]], "dst": edges["dst"][edge[0]], "inverse": tuple(p[edge] for p in edges["inverse"]),
+                     "information": edges["information"][edge]}
+            state, initial[chosen], final[chosen], iterations[chosen] = _optimise(tuple(p[node] for p in nodes), table, settings)
+            for part, new in zip(nodes, state):
+                part[node] = new
+    return nodes, initial, final, iterations
+
+
 def optimise_pose_graph(nodes: DataFrame, edges: DataFrame, key: str, settings: PoseGraphSettings = PoseGraphSettings()) -> DataFrame:
     """Loop-corrected window poses of every graph (one graph per ``key`` value).
 
     ``nodes``: key, window_index 0..n-1, scale, rotation, translation. ``edges``:
     key, src, dst, similarity, information, loop_closure. The dense solve of one
-    graph is a single small task; a graph has one node per window of a capture,
-    and one above the stated limit is refused, not truncated.
+    graph is within one task, and graphs of one shape are solved together; a graph
+    has one node per window of a capture, and one above the stated limit is
+    refused, not truncated.
     """
     sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("window_index").alias("m"), F.min("window_index").alias("z"))
     bad = sizes.filter((F.col("n") > settings.maximum_nodes) | (F.col("m") != F.col("n") - 1) | (F.col("z") != 0)).limit(1).collect()
@@ -210,24 +271,32 @@ def optimise_pose_graph(nodes: DataFrame, edges: DataFrame, key: str, settings:
               "initial_cost double, final_cost double, iterations int, loop_edges long")
 
     def solve(node_rows: pd.DataFrame, edge_rows: pd.DataFrame) -> pd.DataFrame:
-        node_rows = node_rows.sort_values("window_index")
+        codes, _ = pd.factorize(pd.concat([node_rows[key], edge_rows["_graph"]]), use_na_sentinel=False)
+        node_rows = node_rows.assign(_code=codes[: len(node_rows)]).sort_values(["_code", "window_index"])
+        edge_rows = edge_rows.assign(_code=codes[len(node_rows) :]).sort_values(["_code", "src", "dst", "loop_closure"])
+        graphs = int(codes.max()) + 1
+        counts, links = (np.bincount(rows["_code"], minlength=graphs) for rows in (node_rows, edge_rows))
+        if (counts == 0).any():
+            raise PoseGraphError("edges of a graph without nodes")
         unpack = lambda rows: (
             rows["scale"].to_numpy(dtype=float), np.array(rows["rotation"].tolist(), dtype=float).reshape(-1, 3, 3),
             np.array(rows["translation"].tolist(), dtype=float).reshape(-1, 3))
-        state = unpack(node_rows)
-        initial = final = 0.0
-        iterations = 0
-        if len(edge_rows):
-            index = {"src": edge_rows["src"].to_numpy(), "dst": edge_rows["dst"].to_numpy(),
-                     "inverse": linalg.sim3_inverse(unpack(edge_rows)), "information": edge_rows["information"].to_numpy()}
-            state, initial, final, iterations = _optimise(state, index, settings)
+        index = {"src": edge_rows["src"].to_numpy(), "dst": edge_rows["dst"].to_numpy(),
+                 "inverse": linalg.sim3_inverse(unpack(edge_rows)), "information": edge_rows["information"].to_numpy(dtype=float)}
+        state, initial, final, iterations = _solve_graphs(unpack(node_rows), index, counts, links, settings)
+        loops = np.bincount(edge_rows["_code"], edge_rows["loop_closure"].to_numpy(dtype=float), graphs).astype(np.int64)
+        code = node_rows["_code"].to_numpy()
         return pd.DataFrame({
             key: node_rows[key].to_numpy(), "window_index": node_rows["window_index"].to_numpy(), "scale": state[0],
-            "rotation": state[1].reshape(-1, 9).tolist(), "translation": state[2].tolist(), "initial_cost": initial,
-            "final_cost": final, "iterations": iterations, "loop_edges": int(edge_rows["loop_closure"].sum()) if len(edge_rows) else 0,
+            "rotation": state[1].reshape(-1, 9).tolist(), "translation": state[2].tolist(), "initial_cost": initial[code],
+            "final_cost": final[code], "iterations": iterations[code], "loop_edges": loops[code],
         })
 
-    return nodes.groupBy(key).cogroup(edges.withColumnRenamed(key, "_graph").groupBy("_graph")).applyInPandas(solve, schema)
+    # Many small graphs share a group, of a bounded number of rows; a graph is never split.
+    rows = nodes.count() + edges.count()
+    bucket = F.pmod(F.xxhash64(key), F.lit(max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // GRAPH_ROWS)))).alias("_bucket")
+    dealt = edges.select("*", bucket).withColumnRenamed(key, "_graph")
+    return nodes.select("*", bucket).groupBy("_bucket").cogroup(dealt.groupBy("_bucket")).applyInPandas(solve, schema)
 
 
 # --- co-visibility groups ------------------------------------------------

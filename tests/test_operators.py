@@ -655,6 +655,29 @@ def test_local_minimum_repeats_a_sample_for_few_tiles(spark):
         assert found[(u + 0.25, v - 0.25)] == (min(near) if near else None)
 
 
+def test_pose_graphs_of_one_shape_are_solved_together():
+    from scenefold.functions import linalg
+    from scenefold.settings import PoseGraphSettings
+
+    rng = np.random.default_rng(4)
+    chains = [5, 3, 5, 1, 5]
+    links = [n if n > 1 else 0 for n in chains]
+    pose = lambda n: (1 + 0.02 * rng.normal(size=n), linalg.so3_exp(0.2 * rng.normal(size=(n, 3))), rng.normal(size=(n, 3)))
+    nodes, steps = pose(sum(chains)), pose(sum(links))
+    edges = {"src": np.concatenate([[*range(n - 1), 0] for n in chains if n > 1]), "dst": np.concatenate([[*range(1, n), n - 1] for n in chains if n > 1]),
+             "inverse": linalg.sim3_inverse(steps), "information": np.ones(sum(links))}
+    together, initial, final, rounds = graph._solve_graphs(nodes, edges, np.array(chains), np.array(links), PoseGraphSettings())
+    assert final[3] == rounds[3] == 0 and (final <= initial).all() and (rounds[[0, 1, 2, 4]] > 0).all()
+    low = edge = 0
+    for i, (n, many) in enumerate(zip(chains, links)):
+        part = {k: tuple(p[edge : edge + many] for p in v) if k == "inverse" else v[edge : edge + many] for k, v in edges.items()}
+        alone, _, cost, _ = graph._solve_graphs(tuple(p[low : low + n] for p in nodes), part, np.array([n]), np.array([many]), PoseGraphSettings())
+        assert cost[0] == pytest.approx(final[i], rel=1e-9)
+        for a, b in zip(alone, together):
+            np.testing.assert_allclose(a, b[low : low + n], atol=1e-6)
+        low, edge = low + n, edge + many
+
+
 def test_rows_of_a_task_follow_the_table(spark, tmp_path):
     from scenefold import session
 
