@@ -150,7 +150,10 @@ def write_splats(points: DataFrame, order: list[str], folder: str, rows: int = 1
     """Ordered parts of 32-byte splat rows; put end to end they are one file. Returns the commit."""
     from .committed import save
 
-    return save(splat_columns(chunk_numbers(points, order, rows)), "scene_splats", folder, "chunk", ["ordinal"], chunk_key="chunk")
+    # Only what the file needs is numbered and dealt, and its wide fields are made behind the last shuffle.
+    fields = ["x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "confidence", "radius"]
+    numbered = chunk_numbers(points.select(*fields, *[c for c in order if c not in fields]), order, rows)
+    return save(numbered.select("chunk", "ordinal", *fields), "scene_splats", folder, "chunk", ["ordinal"], splat_columns, chunk_key="chunk")
 
 
 def write_surfels(points: DataFrame, order: list[str], folder: str, rows: int = CHUNK_ROWS, **options) -> dict:

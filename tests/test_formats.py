@@ -363,3 +363,14 @@ def test_replay_payloads_are_packed_in_blocks(spark, monkeypatch):
     assert pieces == whole and len(whole) == 3
     assert whole[1][:28] == b"VRPL" + struct.pack("<HHI4f", 2, 0, 28, 2.0, 2.0, 1.5, 1.0)
     assert whole[1][28:58] == struct.pack("<3f3B", 0, 0, 2, 0, 0, 1) + struct.pack("<3f3B", 1, 0, 2, 1, 0, 1)
+
+
+def test_splats_shuffle_only_their_fields(spark, tmp_path, monkeypatch):
+    from scenefold.sinks import committed
+
+    dealt = []
+    monkeypatch.setattr(committed, "save", lambda rows, *rest, **options: dealt.append(rows.columns))
+    names = ["x", "y", "z", "nx", "ny", "nz", "r", "g", "b", "confidence", "radius"]
+    points = spark.range(3).select("id", F.lit("unused").alias("other"), *[F.lit(0.5).alias(c) for c in names])
+    clouds.write_splats(points, ["id"], str(tmp_path / "s"), 2)
+    assert dealt == [["chunk", "ordinal", *names]]
