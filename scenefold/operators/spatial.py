@@ -320,22 +320,28 @@ def radius_moments(queries: DataFrame, targets: DataFrame, radius: float, by: li
 MET_BLOCKS = 64
 
 
-def _blocks(points: DataFrame, columns: list[str], radius: float, by: list[str], side: str, rows: int) -> DataFrame:
-    """Points near each other as rows of at most ``rows`` points: a number, the box, and the columns as packed arrays."""
+def blocks(points: DataFrame, columns: list[str], radius: float, by: list[str], side: str, rows: int, task_rows: int | None = None) -> DataFrame:
+    """Points near each other as rows of at most ``rows`` points: a number, the box, and the columns as packed arrays.
+
+    A task takes ``task_rows`` points that are near on the curve, ``rows`` if not given, and halves them along the longest side.
+    """
     kinds, types = dict(points.dtypes), {"bigint": "int64", "double": "float64"}
     place = place_on_curve(radius).alias("_place")
-    dealt = points.select(*by, *columns, place).repartitionByRange(-(-points.count() // rows), *by, "_place", *_AXES)
+    tasks = max(1, -(-points.count() // (task_rows or rows)))
+    dealt = points.select(*by, *dict.fromkeys([*columns, *_AXES]), place).repartitionByRange(tasks, *by, "_place", *_AXES)
     box = [f"{side}{end}_{a}" for end in ("low", "high") for a in _AXES]
 
     def pack(batches):
         frames = [pdf for pdf in batches if len(pdf)]
         if not frames:
             return
-        whole = pd.concat(frames, ignore_index=True).sort_values([*by, "_place"], kind="stable")
+        whole = pd.concat(frames, ignore_index=True)
         groups = whole.groupby(by, sort=False) if by else [((), whole)]
         for key, group in groups:
-            for start in range(0, len(group), rows):
-                part = group.iloc[start:start + rows]
+            tree = Tree(group[list(_AXES)].to_numpy(dtype=float), rows)
+            leaves = np.flatnonzero(tree.child[:, 0] < 0)
+            for start, end in ((s, min(s + rows, tree.end[leaf])) for leaf in leaves for s in range(tree.first[leaf], tree.end[leaf], rows)):
+                part = group.iloc[tree.order[start:end]]
                 row = dict(zip(by, key)) | {f"{side}_{c}": part[c].to_numpy().astype(types[kinds[c]]).tobytes() for c in columns}
                 for a in _AXES:
                     row |= {f"{side}low_{a}": part[a].min(), f"{side}high_{a}": part[a].max()}
@@ -355,8 +361,8 @@ def _block_terms(queries: DataFrame, targets: DataFrame, radius: float, by: list
     queries, targets = settle(queries), settle(targets.withColumn("_w", F.col("_w").cast("double")))
     if not queries.limit(1).count() or not targets.limit(1).count():
         return queries.limit(0).select("qid", *[F.lit(0.0).alias(n) for n in names])
-    asked = _blocks(queries.withColumn("qid", F.col("qid").cast("long")), ["qid", *_AXES], radius, by, "q", rows)
-    offered = _blocks(targets, [*_AXES, "_w"], radius, by, "t", rows)
+    asked = blocks(queries.withColumn("qid", F.col("qid").cast("long")), ["qid", *_AXES], radius, by, "q", rows)
+    offered = blocks(targets, [*_AXES, "_w"], radius, by, "t", rows)
     gap = [F.greatest(F.col(f"tlow_{a}") - F.col(f"qhigh_{a}"), F.col(f"qlow_{a}") - F.col(f"thigh_{a}"), F.lit(0.0)) for a in _AXES]
     box = lambda side: [f"{side}block", *[f"{side}{end}_{a}" for end in ("low", "high") for a in _AXES]]
     here, there = asked.select(*by, *box("q")), offered.select(*by, *box("t"))

@@ -297,6 +297,69 @@ def test_icp_on_a_shifted_plane(spark):
     assert fit.correspondences >= 20 and fit.rms_after < fit.rms_before / 100
 
 
+def _brute_icp(sources, targets, reach, normal_radius, rounds=30):
+    """Point-to-plane refinement over all pairs, ties to the last cell and id."""
+    far = lambda a, b: sum((b[None, :, i] - a[:, None, i]) ** 2 for i in range(3))
+    normals = np.full((len(targets), 3), np.nan)
+    for k, row in enumerate(far(targets, targets) <= normal_radius**2):
+        if row.sum() >= 3:
+            normals[k] = np.linalg.eigh(np.cov(targets[row].T))[1][:, 0]
+    order = np.lexsort((np.arange(len(targets)), *np.floor(targets / reach).T[::-1]))[::-1]
+    t, normals = targets[order], normals[order]
+    turn, shift, rms, step, before = np.eye(3), np.zeros(3), None, None, None
+    for done in range(rounds + 1):
+        p = sources @ turn.T + shift
+        d2 = far(p, t)
+        to = d2.argmin(axis=1)
+        hit = (d2[np.arange(len(p)), to] <= reach**2) & ~np.isnan(normals[to, 0])
+        p, n = p[hit], normals[to[hit]]
+        r = ((p - t[to[hit]]) * n).sum(axis=1)
+        now = np.sqrt((r * r).mean())
+        before = now if before is None else before
+        if done and (step < 1e-7 or rms - now <= 1e-6 * rms):
+            return turn, shift, before, now, done, hit.sum()
+        w = np.where(np.abs(r) > 0.05, 0.05 / np.abs(r), 1.0)
+        row = np.column_stack([np.cross(p, n), n])
+        move, _ = linalg.rank_truncated_solve((row * w[:, None]).T @ row, (row * w[:, None]).T @ r, 1e-3)
+        rms, step = now, np.linalg.norm(move)
+        turn, shift = linalg.so3_exp(move[:3]) @ turn, linalg.so3_exp(move[:3]) @ shift + move[3:]
+
+
+@pytest.mark.parametrize("slack, rows", [(1 / 16, 4096), (1e-4, 64)])
+def test_icp_lays_blocks_together_and_keeps_points_in_place(spark, monkeypatch, slack, rows):
+    from scenefold.settings import IcpSettings
+
+    rng = np.random.default_rng(11)
+    clouds = []
+    for size in (700, 500):
+        at = rng.random((size, 2))
+        clouds.append(np.column_stack([at, 0.1 * np.sin(6 * at[:, 0]) * np.cos(5 * at[:, 1])]))
+    turn = linalg.so3_exp(np.array([0.02, -0.01, 0.03]))
+    moved = [cloud @ turn.T + [0.01, -0.02, 0.015] for cloud in clouds]
+    # Copies of one position, and points that are no places.
+    moved = [np.vstack([m, np.repeat(m[:1], 40, axis=0)]) for m in moved]
+    odd = [(0, 9000, float("nan"), 0.0, 0.0), (0, 9001, None, 0.0, 0.0), (1, 9002, float("inf"), 0.0, 0.0)]
+    listed = lambda sides: [(pair, 1000 * pair + k, *map(float, p)) for pair, side in enumerate(sides) for k, p in enumerate(side)] + odd
+    frame = lambda sides, name: spark.createDataFrame(listed(sides), f"pair int, {name} long, x double, y double, z double")
+    written, keep = [], spatial.settle
+    count = lambda df: (written.append(keep(df)) or written[-1])
+    for module in (spatial, icp):
+        monkeypatch.setattr(module, "settle", count)
+    for name, value in (("SLACK", slack), ("SOURCE_ROWS", rows), ("TARGET_ROWS", max(16, rows // 4)), ("TASK_ROWS", 300)):
+        monkeypatch.setattr(icp, name, value, raising=False)
+    start = spark.createDataFrame([(pair, 1.0, EYE, [0.0] * 3) for pair in (0, 1)], f"pair int, {SIM3}")
+    found = {r.pair: r for r in icp.icp_refine(frame(moved, "qid"), frame(clouds, "tid"), start, IcpSettings(maximum_distance=0.5, normal_radius=0.3)).collect()}
+    for pair in (0, 1):
+        turn_, shift, before, after, rounds, hits = _brute_icp(moved[pair], clouds[pair], 0.5, 0.3)
+        row = found[pair]
+        assert np.allclose(row.rotation, turn_.ravel(), atol=1e-9) and np.allclose(row.translation, shift, atol=1e-9)
+        assert row.rms_before == pytest.approx(before, abs=1e-9) and row.rms_after == pytest.approx(after, abs=1e-9)
+        assert (row.iterations, row.correspondences) == (rounds, hits)
+    if slack == 1 / 16:
+        # A round of joins wrote every source with the boxes that it met.
+        assert sum(df.count() for df in written) <= 8 * sum(map(len, moved))
+
+
 # --- graphs --------------------------------------------------------------
 
 def test_pose_graph_with_a_loop(spark):
