@@ -18,7 +18,7 @@ from ..operators import depth, graph, matching, ordering, reports, similarity, s
 from ..operators.icp import icp_refine
 from ..operators.quantiles import upper_median
 from ..operators.spatial import nearest_within
-from ..session import settle
+from ..session import BROADCAST_ROWS, broadcast_if_small, has_at_most, settle
 from ..settings import (
     FrameGlobalSettings, GlobalFitSettings, LoopSettings, RelativeLoopSettings, SeamGate, TsdfSettings, WindowSettings,
 )
@@ -48,10 +48,12 @@ def align_windows(points: DataFrame, order: list[str], profile: str = "product",
     not wait for each other.
     """
     keyed = ["window_index"]
+    seen = settle(points.select("window_index", "frame_index").distinct())
+    seen = seen if has_at_most(seen, BROADCAST_ROWS) else None
     if profile == "product":
-        fit = similarity.robust_fit(matching.shared_pixel_pairs(points, order), keyed)
+        fit = similarity.robust_fit(matching.shared_pixel_pairs(points, order, seen=seen), keyed)
         return similarity.require_seams(settle(fit), gate)
-    fit = similarity.huber_fit(matching.shared_pixel_pairs(points, order, minimum_weight=1e-6), keyed)
+    fit = similarity.huber_fit(matching.shared_pixel_pairs(points, order, minimum_weight=1e-6, seen=seen), keyed)
     return settle(fit.withColumnRenamed("pairs", "correspondence_count"))
 
 
@@ -146,7 +148,7 @@ def fuse_scene(points: DataFrame, views: DataFrame, order: list[str], profile: s
             edges = settle(edges.unionByName(found))
             solved = graph.optimise_pose_graph(poses.withColumn("graph", F.lit(0)), edges.withColumn("graph", F.lit(0)), "graph")
             poses = settle(solved.select("window_index", *_SIM3))
-    world = surface.first_owner(surface.transform_points(points, poses))
+    world = surface.first_owner(surface.transform_points(points, broadcast_if_small(poses)))
     if surface_mode == "voxel":
         return FusedScene(alignments, edges, poses, surface.fuse_voxels(world))
     cameras = surface.first_owner(world_cameras(views, poses)).select("x", "y", "z")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import fusion
-from ..session import settle
 from ..settings import SeamGate
 from . import bindings as B
 from .registry import near, query, sql_near as R
@@ -36,7 +35,7 @@ def _capture(spark, folder):
         "window_index", "frame_index", "px", "py", ((c * dx + s * dy) / k).alias("x"), ((c * dy - s * dx) / k).alias("y"), (F.col("z") / k).alias("z"),
         F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), "r", "g", "b", "confidence", (F.col("radius") / k).alias("radius"))
     views = local.select("window_index", "frame_index").distinct().withColumns({"w2c": B.turning_camera(F.col("frame_index")), "k": F.array(*[F.lit(1.0)] * 9)})
-    return settle(local), views
+    return local, views
 
 
 def _poses(scene):

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from scenefold.functions import linalg
+from scenefold.operators import matching, surface
 from scenefold.plans import fusion
 from scenefold.settings import LoopSettings, SeamGate, TsdfSettings
 
@@ -48,6 +49,29 @@ def test_windows_come_back_to_one_world(spark, walk, profile):
     assert fused.contributors.sum() == 12 * 64
 
 
+def shuffles(df):
+    """Shuffles by key in the plan, with joins that are broadcast by hint only."""
+    spark, name = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_seams_shuffle_the_frames_that_windows_share(spark, walk, monkeypatch):
+    points, _ = walk
+    asked, keep = [], matching.latest_by
+    monkeypatch.setattr(matching, "latest_by", lambda rows, *more: (asked.append(rows), keep(rows, *more))[1])
+    fits = fusion.align_windows(points, ["py", "px"], "product", SeamGate(maximum_normalized_rms=1.0)).collect()
+    assert sorted(f.window_index for f in fits) == [1, 2, 3, 4] and all(f.correspondence_count == 2 * 64 for f in fits)
+    # Each window but the last shares two of its four frames with the next.
+    assert asked[0].count() == 4 * 2 * 64
+    # The source once and the target once, also where a pixel is found twice.
+    assert shuffles(matching.shared_pixel_pairs(points, ["py", "px"])) == 2
+
+
 def test_loop_closure_adds_an_edge(spark, walk):
     points, views = walk
     loops = LoopSettings(minimum_correspondences=20, centre_distance_radii=20.0, minimum_inlier_ratio=0.3, maximum_rms_radii=5.0)
