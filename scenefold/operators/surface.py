@@ -11,7 +11,7 @@ from ..functions import cameras as C
 from ..functions import hashing
 from ..functions import vectors as V
 from ..functions.types import INVERSES
-from ..session import settle
+from ..session import broadcast_if_small, settle
 from ..settings import BackprojectionSettings, PreviewSettings, TsdfSettings
 from .common import attach, equi
 from .ordering import global_index
@@ -175,7 +175,8 @@ def owned_counts(rows: DataFrame, frames: DataFrame, clamp_unknown: bool = False
 
 def at_least_window_percentile(pixels: DataFrame, percentile: float = 55.0) -> DataFrame:
     """Pixels at or above the confidence percentile of their window."""
-    limit = percentiles(pixels, ["window_index"], "confidence", {"_limit": percentile / 100.0})
+    # One row per window: known before the join, so that the pixels are not shuffled for it.
+    limit = broadcast_if_small(settle(percentiles(pixels, ["window_index"], "confidence", {"_limit": percentile / 100.0})))
     return pixels.join(limit, "window_index").filter(F.col("confidence") >= F.col("_limit")).drop("_limit")
 
 

@@ -72,6 +72,15 @@ def test_seams_shuffle_the_frames_that_windows_share(spark, walk, monkeypatch):
     assert shuffles(matching.shared_pixel_pairs(points, ["py", "px"])) == 2
 
 
+def test_the_percentile_of_a_window_does_not_shuffle_its_pixels(spark, walk):
+    points, _ = walk
+    kept = surface.at_least_window_percentile(points.withColumn("confidence", ((points.px * 8 + points.py) % 20).cast("double")))
+    assert shuffles(kept) == 0
+    # 256 pixels of a window: the values 0 to 3 sixteen times, the others twelve times.
+    values = sorted((px * 8 + py) % 20 for px in range(8) for py in range(8)) * 4
+    assert kept.filter("window_index = 0").count() == sum(v >= np.percentile(values, 55) for v in values)
+
+
 def test_loop_closure_adds_an_edge(spark, walk):
     points, views = walk
     loops = LoopSettings(minimum_correspondences=20, centre_distance_radii=20.0, minimum_inlier_ratio=0.3, maximum_rms_radii=5.0)
