@@ -1,17 +1,14 @@
 """Distance joins over 3-D points.
 
-Ordinary data takes one equi-join: the query point looks at the 27 cells of
-edge ``radius`` around it. Where a cell holds more than ``leaf_rows`` distinct
-positions:
-
-* nearest: the cell is split into eighths, as often as needed, and queries walk
-  down; a cell is skipped when its box is farther than the best guarantee found
-  so far;
-* moments: queries and targets are packed into blocks of near points, and blocks
-  meet whose boxes are near enough.
-
-So a dense clump costs a walk or a few blocks instead of shuffled pairs, equal
-positions are collapsed to one row first, and the result is exact either way.
+* nearest: queries and targets are packed into blocks of near points. A block of
+  queries is laid beside the blocks of targets that may hold a nearest point of
+  one of its queries, and each query walks a k-d tree over these;
+* moments: the query point looks at the 27 cells of edge ``radius`` around it.
+  Where a cell holds more than ``leaf_rows`` distinct positions, blocks meet
+  whose boxes are near enough.
+
+So a dense clump costs a few blocks instead of shuffled pairs, equal positions
+are collapsed to one row first, and the result is exact either way.
 """
 
 from __future__ import annotations
@@ -32,6 +29,8 @@ LEAF_ROWS = 256
 MAX_LEVEL = 40
 # The rank of a target that has none.
 NO_RANK = 1 << 62
+# Stands for a NULL id in packed arrays; it comes first in either order, as NULL does.
+NO_ID = -(1 << 63)
 CELL = ["cx", "cy", "cz"]
 _AXES = ("x", "y", "z")
 
@@ -173,6 +172,12 @@ def _tie_order(tie: str, radius: float, tid: str) -> Column:
     raise ValueError(tie)
 
 
+# Queries of a block, and points of a task that cuts blocks.
+QUERY_ROWS, TASK_ROWS = 8192, 65536
+# So many targets of a layout are in one tree.
+TREE_ROWS = 131_072
+
+
 def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str = "lowest_id",
                    ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS,
                    flat: bool = False, most: int | None = None) -> DataFrame:
@@ -182,12 +187,33 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     unique integer ids; queries without a target are absent from the result
     ``(qid, tid, d2)``. With ``ranked`` both sides also have ``rank`` and only
     targets whose rank is NULL or above the rank of the query are eligible.
-    Points only meet within equal ``by`` columns. ``flat`` says that the caller
+    Points only meet within equal ``by`` columns. Targets come in blocks of at most
+    ``leaf_rows``; the shuffles carry points and blocks, not pairs of points. ``flat`` says that the caller
     has already asked ``is_flat`` about these targets and radius. ``most`` asks a
     ranked search for that many nearest targets: rows ``(qid, tid, d2, hold,
     place)`` with the rank of the target, or NO_RANK, and the place from 1.
     """
-    by = by or []
+    by, radius = by or [], float(radius)
+    if ranked:
+        return _ranked_within(queries, targets, radius, tie, by, leaf_rows, flat, most)
+    kinds = dict(queries.dtypes) | dict(targets.dtypes)
+    pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
+    distinct = places(targets, "tid", by).groupBy(*by, *_AXES).agg(pick.alias("tid"))
+    offered = blocks(settle(_packable(distinct, "tid")), ["tid", *_AXES], radius, by, "t", leaf_rows, TASK_ROWS)
+    asked = blocks(settle(_packable(places(queries, "qid", by), "qid")), ["qid", *_AXES], radius, by, "q", QUERY_ROWS, TASK_ROWS)
+    rows = laid_together(asked, offered, radius, by)
+    found = rows.mapInPandas(_nearest_matcher(tie, radius), "qid long, tid long, _d2 double, tx double, ty double, tz double")
+    back = lambda name: F.nullif(F.col(name), F.lit(NO_ID)).cast(kinds[name]).alias(name)
+    found = found.select(back("qid"), back("tid"), "_d2", "tx", "ty", "tz")
+    # One row for each query already, unless an id repeats.
+    return found.groupBy("qid").agg(
+        F.min_by(F.struct("tid", "_d2"), _tie_order(tie, radius, "tid")).alias("_best")
+    ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))
+
+
+def _ranked_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str, by: list[str], leaf_rows: int, flat: bool, most: int | None) -> DataFrame:
+    """``nearest_within`` with ranks: cells are split where crowded, and queries walk down."""
+    ranked = True
     limit = float(radius) * float(radius)
     query_columns = ["qid", *by, *_AXES] + (["rank"] if ranked else [])
     queries = queries.select(*query_columns)
@@ -241,6 +267,59 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))
 
 
+def places(points: DataFrame, id_name: str, by: list[str]) -> DataFrame:
+    """Rows that can be near others: with finite coordinates, here as doubles, and a known group."""
+    at = points.select(id_name, *by, *[F.col(a).cast("double").alias(a) for a in _AXES])
+    at = at.filter(V.all_finite(*[F.col(a) for a in _AXES]))
+    return at.dropna(subset=by) if by else at
+
+
+def _packable(points: DataFrame, id_name: str) -> DataFrame:
+    return points.withColumn(id_name, F.coalesce(F.col(id_name).cast("long"), F.lit(NO_ID)))
+
+
+def unpacked(row, columns: list[str], side: str) -> np.ndarray:
+    """Packed doubles of a block as columns of one array."""
+    return np.stack([np.frombuffer(getattr(row, f"{side}_{c}")) for c in columns], axis=1)
+
+
+def tie_columns(at: np.ndarray, ids: np.ndarray, tie: str, radius: float) -> list[np.ndarray]:
+    """What decides between targets at one distance, smallest first, as ``_tie_order`` has it."""
+    if tie == "lowest_id":
+        return [ids]
+    cells = list(np.floor(at / radius).T)
+    return [*cells, ids] if tie == "first_in_cell_order" else [*[-c for c in cells], -ids]
+
+
+def _nearest_matcher(tie: str, radius: float):
+    limit = radius * radius
+
+    def match(batches):
+        for row, parts in gathered(batches, TREE_ROWS):
+            qid, q = np.frombuffer(row.q_qid, dtype=np.int64), unpacked(row, _AXES, "q")
+            best, tid, at, order = np.full(len(q), np.inf), np.empty(len(q), dtype=np.int64), np.empty(q.shape), None
+            for part in parts:
+                ids, t = np.concatenate([np.frombuffer(r.t_tid, dtype=np.int64) for r in part]), np.concatenate([unpacked(r, _AXES, "t") for r in part])
+                keys = tie_columns(t, ids, tie, radius)
+                # The tree gives the first of equal distances.
+                first = np.lexsort(keys[::-1])
+                ids, t, keys = ids[first], t[first], [k[first] for k in keys]
+                to, d2 = Tree(t, 16).nearest(q)
+                better, tied = d2 < best, d2 == best
+                if order is None:
+                    order = [np.empty(len(q), dtype=k.dtype) for k in keys]
+                for have, key in zip(order, keys):
+                    better |= tied & (key[to] < have)
+                    tied &= key[to] == have
+                best[better], tid[better], at[better] = d2[better], ids[to[better]], t[to[better]]
+                for have, key in zip(order, keys):
+                    have[better] = key[to[better]]
+            hit = best <= limit
+            yield pd.DataFrame({"qid": qid[hit], "tid": tid[hit], "_d2": best[hit], **{f"t{a}": at[hit, i] for i, a in enumerate(_AXES)}})
+
+    return match
+
+
 # Targets of at most this many rows (32 bytes each) are held by every task.
 HELD_TARGETS = 100_000
 
@@ -250,9 +329,8 @@ def nearest(queries: DataFrame, targets: DataFrame, leaf_rows: int = LEAF_ROWS,
 
     The targets are counted. A small side, such as the cameras of a capture, goes
     to the tasks as a k-d tree and each batch of queries walks it without a
-    shuffle. A larger one takes the cell walk of ``nearest_within``, whose first
-    level is one cell over both sets: queries then meet every occupied box of
-    that level before the bounds thin them out. Both give the same rows.
+    shuffle. A larger one takes the blocks of ``nearest_within``, with a radius
+    that spans both sets. Both give the same rows.
     """
     finite = F.lit(True)
     for axis in _AXES:
@@ -339,18 +417,112 @@ def blocks(points: DataFrame, columns: list[str], radius: float, by: list[str],
         groups = whole.groupby(by, sort=False) if by else [((), whole)]
         for key, group in groups:
             tree = Tree(group[list(_AXES)].to_numpy(dtype=float), rows)
-            leaves = np.flatnonzero(tree.child[:, 0] < 0)
+            laid = {c: group[c].to_numpy().astype(types[kinds[c]])[tree.order] for c in columns}
+            leaves, packed = np.flatnonzero(tree.child[:, 0] < 0), []
             for start, end in ((s, min(s + rows, tree.end[leaf])) for leaf in leaves for s in range(tree.first[leaf], tree.end[leaf], rows)):
-                part = group.iloc[tree.order[start:end]]
-                row = dict(zip(by, key)) | {f"{side}_{c}": part[c].to_numpy().astype(types[kinds[c]]).tobytes() for c in columns}
-                for a in _AXES:
-                    row |= {f"{side}low_{a}": part[a].min(), f"{side}high_{a}": part[a].max()}
-                yield pd.DataFrame([row])
+                row = dict(zip(by, key)) | {f"{side}_{c}": laid[c][start:end].tobytes() for c in columns}
+                for i, a in enumerate(_AXES):
+                    row |= {f"{side}low_{a}": tree.places[start:end, i].min(), f"{side}high_{a}": tree.places[start:end, i].max()}
+                packed.append(row)
+            yield pd.DataFrame(packed)
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in by], *[f"{c} double" for c in box], *[f"{side}_{c} binary" for c in columns]])
     return settle(dealt.mapInPandas(pack, schema).withColumn(f"{side}block", F.monotonically_increasing_id()))
 
 
+def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[str], want: int = 1) -> DataFrame:
+    """Rows of each block of queries: the block, then the blocks of targets that may hold one of the ``want`` nearest of a query.
+
+    A box's farthest corner bounds its targets from above, its nearest side from
+    below; each query is held against the boxes near its block. The boxes alone are
+    brought together (64 bytes a block). Targets that are not open (``topen``, all
+    if the column is missing) do not count among the wanted ones. The block's row has
+    ``q_sure``, packed: to this squared distance, the limit at most, a query has all targets.
+    """
+    ends = [f"t{end}_{a}" for end in ("low", "high") for a in _AXES]
+    number = F.col("topen") if "topen" in offered.columns else F.octet_length("t_x") / 8
+    table = offered.select(*by, "tblock", number.cast("double").alias("_open"), *ends).toPandas()
+    groups = [(key, part) for key, part in table.groupby(by)] if by else [((), table)] if len(table) else []
+    boxes = {key: (part["tblock"].to_numpy(), part["_open"].to_numpy(), part[ends[:3]].to_numpy(), part[ends[3:]].to_numpy()) for key, part in groups}
+    limit = float(radius) * float(radius)
+    # A little more than the radius: only the points decide.
+    most = limit * (1 + 1e-9)
+
+    def lay(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if (box := boxes.get(tuple(getattr(row, k) for k in by))) is not None:
+                    yield _near_boxes(row, *box, most, want)
+
+    met = settle(asked.mapInPandas(lay, "qblock long, q_sure binary, t_blocks array<bigint>, t_gaps array<double>"))
+    near = met.select("qblock", F.explode(F.arrays_zip("t_blocks", "t_gaps")).alias("_near")).select(
+        "qblock", F.col("_near.t_blocks").alias("tblock"), F.col("_near.t_gaps").alias("gap"))
+    packed = [c for c in offered.columns if c not in (*by, "tblock", "topen")]
+    heads = asked.join(met.select("qblock", "q_sure"), "qblock").select(
+        "qblock", F.lit(-1.0).alias("gap"), "q_sure", *[c for c in asked.columns if c.startswith("q_")])
+    rows = heads.unionByName(near.join(offered.select("tblock", *packed), "tblock").drop("tblock"), allowMissingColumns=True)
+    return rows.repartition("qblock").sortWithinPartitions("qblock", "gap")
+
+
+def _near_boxes(row, blocks_: np.ndarray, open_: np.ndarray, low: np.ndarray, high: np.ndarray, most: float, want: int) -> pd.DataFrame:
+    """The boxes that the queries of one block may need, by their distance to the block."""
+    q = unpacked(row, _AXES, "q")
+    square = lambda v: v[..., 0] * v[..., 0] + v[..., 1] * v[..., 1] + v[..., 2] * v[..., 2]
+
+    def sure(far: np.ndarray) -> np.ndarray:
+        """The least distance within which boxes with enough open targets lie whole, for each row."""
+        full = open_[some] >= want
+        if full.any():
+            return far[:, full].min(axis=1)
+        order = far.argsort(axis=1)
+        enough = open_[some][order].cumsum(axis=1) >= want
+        at = np.take_along_axis(far, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+        return np.where(enough[:, -1], at, np.inf)
+
+    # First the block as a whole, which leaves few boxes.
+    some = slice(None)
+    bottom, top = q.min(axis=0), q.max(axis=0)
+    gap = square(np.maximum(np.maximum(low - top, bottom - high), 0.0))
+    bound = min(most, sure(square(np.maximum(high - bottom, top - low))[None])[0])
+    some = np.flatnonzero(gap <= bound)
+    needed, kept = np.zeros(len(some), dtype=bool), np.empty(len(q))
+    step = max(1, 250_000 // max(1, len(some)))
+    for start in range(0, len(q) if len(some) else 0, step):
+        at = q[start:start + step, None]
+        below, above = low[some] - at, at - high[some]
+        reach = np.minimum(most, sure(square(np.maximum(np.abs(below), np.abs(above)))))
+        needed |= (square(np.maximum(np.maximum(below, above), 0.0)) <= reach[:, None]).any(axis=0)
+        kept[start:start + step] = reach
+    some = some[needed]
+    return pd.DataFrame([{"qblock": row.qblock, "q_sure": kept.tobytes(), "t_blocks": blocks_[some], "t_gaps": gap[some]}])
+
+
+def gathered(batches, rows: int):
+    """Of a layout: each block of queries with its rows of targets, in parts of about ``rows`` targets.
+
+    The parts of a block must be read before the next block.
+    """
+    stream = (row for pdf in batches for row in pdf.itertuples(index=False))
+    row = next(stream, None)
+
+    def parts():
+        nonlocal row
+        part, held = [], 0
+        while row is not None and row.qblock == head.qblock:
+            part.append(row)
+            held += len(row.t_x) // 8
+            row = next(stream, None)
+            if held >= rows:
+                yield part
+                part, held = [], 0
+        if part:
+            yield part
+
+    while row is not None:
+        head, row = row, next(stream, None)
+        yield head, parts()
+
+
 def _block_terms(queries: DataFrame, targets: DataFrame, radius: float, by: list[str], names: list[str], rows: int) -> DataFrame:
     """Terms of ``radius_moments`` for crowded targets: blocks of points meet where their boxes are near enough.
 

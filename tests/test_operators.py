@@ -51,6 +51,34 @@ def test_nearest_and_moments_match_all_pairs(spark, clumped, leaf):
         assert moments[i].s_yz == pytest.approx((inside[:, 1] * inside[:, 2]).sum(), abs=1e-9)
 
 
+@pytest.mark.parametrize("tie", ["lowest_id", "first_in_cell_order", "last_in_cell_order"])
+def test_nearest_lays_blocks_together_and_writes_no_pairs(spark, monkeypatch, tie):
+    """Every query has hundreds of targets in reach, many at one distance; ids repeat or are missing."""
+    rng = np.random.default_rng(17)
+    a, b = rng.integers(-4, 5, (500, 4)) * 0.05, rng.integers(-4, 5, (400, 4)) * 0.05
+    group = lambda rows: (rows[:, 3] > 0).astype(int)
+    listed = lambda rows: [(int(g), i, *map(float, p[:3])) for i, (g, p) in enumerate(zip(group(rows), rows))]
+    odd = [(0, 9000, float("nan"), 0.0, 0.0), (1, 9001, None, 0.0, 0.0), (None, 9002, 0.0, 0.0, 0.0)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"g int, {name} long, x double, y double, z double")
+    asked, offered = listed(b), listed(a)
+    asked += [(1, 5, 0.012, 0.0, 0.0), (0, None, 0.013, 0.0, 0.0), (0, 700, 5.0, 0.0, 0.0)]
+    written, settle = [], spatial.settle
+    monkeypatch.setattr(spatial, "settle", lambda df: written.append(settle(df)) or written[-1])
+    for name, value in (("QUERY_ROWS", 32), ("TASK_ROWS", 150), ("TREE_ROWS", 64)):
+        monkeypatch.setattr(spatial, name, value, raising=False)
+    rows = spatial.nearest_within(frame(asked + odd, "qid"), frame(offered + odd, "tid"), 0.3, tie, by=["g"], leaf_rows=16).collect()
+    sign = -1 if tie == "last_in_cell_order" else 1
+    cells = lambda p: () if tie == "lowest_id" else tuple(sign * math.floor(v / 0.3) for v in p)
+    expected = {}
+    for g, qid, *q in asked:
+        for other, tid, *p in offered:
+            d2 = (p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
+            if g == other and d2 <= 0.3 * 0.3:
+                expected[qid] = min(expected.get(qid, (9.0,)), (d2, cells(p), sign * tid))
+    assert {r.qid: (r.d2, r.tid) for r in rows} == {k: (d2, sign * tid) for k, (d2, _, tid) in expected.items()}
+    assert len(rows) == len(expected) and sum(df.count() for df in written) <= 2 * (len(asked) + len(offered))
+
+
 def test_moments_of_a_clump_write_blocks_and_not_pairs(spark, monkeypatch):
     """Where each point has hundreds of neighbours, what is written grows with the points."""
     rng = np.random.default_rng(13)
