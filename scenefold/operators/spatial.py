@@ -13,11 +13,9 @@ are collapsed to one row first, and the result is exact either way.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import linalg
 from ..functions import vectors as V
@@ -26,9 +24,6 @@ from ..session import has_at_most, settle
 from .kdtree import Tree
 
 LEAF_ROWS = 256
-MAX_LEVEL = 40
-# The rank of a target that has none.
-NO_RANK = 1 << 62
 # Stands for a NULL id in packed arrays; it comes first in either order, as NULL does.
 NO_ID = -(1 << 63)
 CELL = ["cx", "cy", "cz"]
@@ -57,60 +52,11 @@ def around(df: DataFrame, reach: int = 1) -> DataFrame:
     return df.drop("_d")
 
 
-def _box_bounds() -> tuple[Column, Column]:
-    """Squared least and greatest distance from (x, y, z) to the box of a cell row."""
-    near, far = [], []
-    for a in _AXES:
-        below, above = F.col(f"low_{a}") - F.col(a), F.col(a) - F.col(f"high_{a}")
-        near.append(F.greatest(below, above, F.lit(0.0)))
-        far.append(F.greatest(F.abs(below), F.abs(above)))
-    square = lambda v: v[0] * v[0] + v[1] * v[1] + v[2] * v[2]
-    return square(near), square(far)
-
-
 def _distance2(target: str = "t") -> Column:
     delta = [F.col(f"{target}{a}") - F.col(a) for a in _AXES]
     return delta[0] * delta[0] + delta[1] * delta[1] + delta[2] * delta[2]
 
 
-class _Levels:
-    """Cells of the target points: level 0 of edge ``edge``, split where crowded."""
-
-    def __init__(self, points: DataFrame, edge: float, leaf_rows: int, extra: list[Column], by: list[str], flat: bool = False):
-        self.edge, self.key = edge, [*by, *CELL]
-        box = [f(a).alias(f"{n}_{a}") for a in _AXES for f, n in ((F.min, "low"), (F.max, "high"))]
-        self.points: list[DataFrame] = []
-        self.cells: list[DataFrame] = []
-        level, active = 0, points
-        while True:
-            active = active.drop(*CELL).withColumns(dict(zip(CELL, _level_cell(edge, level))))
-            cells = active.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n"), *box, *extra)
-            # Boxes of one position cannot be split further.
-            crowded = (F.col("_n") > leaf_rows) & F.expr(
-                " or ".join(f"low_{a} < high_{a}" for a in _AXES)
-            )
-            # Only the crowding question needs the aggregate here, so ordinary
-            # data is asked once and the plain join below reads the points only.
-            if flat or level == MAX_LEVEL or not cells.filter(crowded).limit(1).count():
-                self.points.append(active)
-                self.cells.append(cells.withColumn("_leaf", F.lit(True)))
-                return
-            cells = settle(cells.withColumn("_leaf", ~crowded))
-            self.cells.append(cells)
-            split = cells.filter(~F.col("_leaf")).select(*self.key)
-            self.points.append(active.join(split, self.key, "left_anti"))
-            active = settle(active.join(split, self.key, "left_semi"))
-            level += 1
-
-    @property
-    def depth(self) -> int:
-        return len(self.cells)
-
-    def children(self, level: int) -> DataFrame:
-        parents = {f"_p{n}": F.floor(F.col(n) / 2) for n in CELL}
-        return self.cells[level].withColumns(parents)
-
-
 def place_on_curve(radius: float, bits: int = 10) -> Column:
     """Place on a Z-order curve; it only decides which points share a block."""
     place = F.lit(0).cast("long")
@@ -132,35 +78,6 @@ def _target_columns(points: DataFrame, key: list[str], carried: list[str]) -> Da
     return points.select(*key, *[F.col(a).alias(f"t{a}") for a in _AXES], *carried)
 
 
-def _descend(levels: _Levels, queries: DataFrame, query_columns: list[str], keep, on_level=None):
-    """Walk queries down the cells; returns leaf pairs per level.
-
-    ``keep(pairs)`` prunes and ``on_level(pairs)`` may take decided pairs out.
-    """
-    by = levels.key[: -len(CELL)]
-    box_columns = [c for c in levels.cells[0].columns if c not in levels.key]
-    start = around(queries.select(*query_columns, *_level_cell(levels.edge, 0)))
-    pairs = start.join(levels.cells[0], levels.key)
-    leaves, level = [], 0
-    waiting = None
-    while True:
-        pairs = keep(pairs.withColumn("_level", F.lit(level)) if waiting is None else
-                     pairs.withColumn("_level", F.lit(level)).unionByName(waiting))
-        if on_level is not None:
-            pairs = on_level(pairs)
-        if level + 1 == levels.depth:
-            leaves.append(pairs)
-            return reduce(DataFrame.unionByName, leaves)
-        pairs = settle(pairs)
-        waiting = pairs.filter("_leaf")
-        parents = pairs.filter(~F.col("_leaf")).select(*query_columns, *[F.col(n).alias(f"_p{n}") for n in CELL])
-        level += 1
-        pairs = (
-            parents.join(levels.children(level), [*by, *[f"_p{n}" for n in CELL]])
-            .select(*query_columns, *CELL, *box_columns)
-        )
-
-
 def _tie_order(tie: str, radius: float, tid: str) -> Column:
     cell = [F.floor(F.col(f"t{a}") / F.lit(radius)) for a in _AXES]
     if tie == "lowest_id":
@@ -179,23 +96,16 @@ TREE_ROWS = 131_072
 
 
 def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str = "lowest_id",
-                   ranked: bool = False, by: list[str] | None = None, leaf_rows: int = LEAF_ROWS,
-                   flat: bool = False, most: int | None = None) -> DataFrame:
+                   by: list[str] | None = None, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Nearest target of every query point at a distance of at most ``radius``.
 
     ``queries`` has ``qid, x, y, z`` and ``targets`` has ``tid, x, y, z`` with
     unique integer ids; queries without a target are absent from the result
-    ``(qid, tid, d2)``. With ``ranked`` both sides also have ``rank`` and only
-    targets whose rank is NULL or above the rank of the query are eligible.
-    Points only meet within equal ``by`` columns. Targets come in blocks of at most
-    ``leaf_rows``; the shuffles carry points and blocks, not pairs of points. ``flat`` says that the caller
-    has already asked ``is_flat`` about these targets and radius. ``most`` asks a
-    ranked search for that many nearest targets: rows ``(qid, tid, d2, hold,
-    place)`` with the rank of the target, or NO_RANK, and the place from 1.
+    ``(qid, tid, d2)``. Points only meet within equal ``by`` columns. Targets come
+    in blocks of at most ``leaf_rows``; the shuffles carry points and blocks, not
+    pairs of points.
     """
     by, radius = by or [], float(radius)
-    if ranked:
-        return _ranked_within(queries, targets, radius, tie, by, leaf_rows, flat, most)
     kinds = dict(queries.dtypes) | dict(targets.dtypes)
     pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
     distinct = places(targets, "tid", by).groupBy(*by, *_AXES).agg(pick.alias("tid"))
@@ -211,62 +121,6 @@ def nearest_within(queries: DataFrame, targets: DataFrame, radius: float, tie: s
     ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))
 
 
-def _ranked_within(queries: DataFrame, targets: DataFrame, radius: float, tie: str, by: list[str], leaf_rows: int, flat: bool, most: int | None) -> DataFrame:
-    """``nearest_within`` with ranks: cells are split where crowded, and queries walk down."""
-    ranked = True
-    limit = float(radius) * float(radius)
-    query_columns = ["qid", *by, *_AXES] + (["rank"] if ranked else [])
-    queries = queries.select(*query_columns)
-    if ranked:
-        open_rank = F.coalesce(F.col("rank"), F.lit(NO_RANK))
-        targets = targets.select("tid", *by, *_AXES, open_rank.alias("_hold"))
-        extra, carried = [F.min("_hold").alias("_hold_min"), F.max("_hold").alias("_hold_max"),
-                          F.sum((F.col("_hold") == NO_RANK).cast("long")).alias("_free")], ["tid", "_hold"]
-    else:
-        pick = F.max("tid") if tie == "last_in_cell_order" else F.min("tid")
-        targets = targets.groupBy(*by, *_AXES).agg(pick.alias("tid"))
-        extra, carried = [], ["tid"]
-    levels = _Levels(targets, float(radius), leaf_rows, extra, by, flat)
-
-    if levels.depth == 1:
-        asked = around(queries.select(*query_columns, *_level_cell(levels.edge, 0)))
-        found = asked.join(_target_columns(levels.points[0], levels.key, carried), levels.key)
-    else:
-        near, far = _box_bounds()
-        per_query = Window.partitionBy("qid")
-        if ranked:
-            # Boxes in the order of their bound, until the targets surely open reach ``most``.
-            sure = F.when(F.col("_hold_min") > F.col("rank"), F.col("_n")).otherwise(F.col("_free"))
-            so_far = F.sum(sure).over(per_query.orderBy(far))
-            guaranteed = F.when(so_far >= (most or 1), far)
-        else:
-            guaranteed = far
-
-        def keep(pairs: DataFrame) -> DataFrame:
-            if ranked:
-                pairs = pairs.filter("_hold_max > rank")
-            bounded = pairs.withColumn("_near", near).filter(F.col("_near") <= limit).withColumn("_far", guaranteed)
-            best = bounded.withColumn("_best", F.min("_far").over(per_query))
-            return best.filter(F.col("_best").isNull() | (F.col("_near") <= F.col("_best"))).drop("_near", "_far", "_best")
-
-        leaves = _descend(levels, queries, query_columns, keep).select(*query_columns, *CELL, "_level")
-        points = reduce(
-            DataFrame.unionByName,
-            [_target_columns(p, levels.key, carried).withColumn("_level", F.lit(i)) for i, p in enumerate(levels.points)],
-        )
-        found = leaves.join(points, [*levels.key, "_level"])
-    if ranked:
-        found = found.filter("_hold > rank")
-    found = found.withColumn("_d2", _distance2()).filter(F.col("_d2") <= limit)
-    if most is not None:
-        place = F.row_number().over(Window.partitionBy("qid").orderBy(_tie_order(tie, radius, "tid")))
-        return found.withColumn("place", place).filter(F.col("place") <= most).select(
-            "qid", "tid", F.col("_d2").alias("d2"), F.col("_hold").alias("hold"), "place")
-    return found.groupBy("qid").agg(
-        F.min_by(F.struct("tid", "_d2"), _tie_order(tie, radius, "tid")).alias("_best")
-    ).select("qid", F.col("_best.tid").alias("tid"), F.col("_best._d2").alias("d2"))
-
-
 def places(points: DataFrame, id_name: str, by: list[str]) -> DataFrame:
     """Rows that can be near others: with finite coordinates, here as doubles, and a known group."""
     at = points.select(id_name, *by, *[F.col(a).cast("double").alias(a) for a in _AXES])
@@ -430,7 +284,7 @@ def blocks(points: DataFrame, columns: list[str], radius: float, by: list[str],
     return settle(dealt.mapInPandas(pack, schema).withColumn(f"{side}block", F.monotonically_increasing_id()))
 
 
-def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[str], want: int = 1) -> DataFrame:
+def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[str], want: int = 1, around: bool = False) -> DataFrame:
     """Rows of each block of queries: the block, then the blocks of targets that may hold one of the ``want`` nearest of a query.
 
     A box's farthest corner bounds its targets from above, its nearest side from
@@ -438,6 +292,7 @@ def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[
     brought together (64 bytes a block). Targets that are not open (``topen``, all
     if the column is missing) do not count among the wanted ones. The block's row has
     ``q_sure``, packed: to this squared distance, the limit at most, a query has all targets.
+    With ``around`` every place in the box of the block has them to the largest of these.
     """
     ends = [f"t{end}_{a}" for end in ("low", "high") for a in _AXES]
     number = F.col("topen") if "topen" in offered.columns else F.octet_length("t_x") / 8
@@ -452,7 +307,7 @@ def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 if (box := boxes.get(tuple(getattr(row, k) for k in by))) is not None:
-                    yield _near_boxes(row, *box, most, want)
+                    yield _near_boxes(row, *box, most, want, around)
 
     met = settle(asked.mapInPandas(lay, "qblock long, q_sure binary, t_blocks array<bigint>, t_gaps array<double>"))
     near = met.select("qblock", F.explode(F.arrays_zip("t_blocks", "t_gaps")).alias("_near")).select(
@@ -464,37 +319,48 @@ def laid_together(asked: DataFrame, offered: DataFrame, radius: float, by: list[
     return rows.repartition("qblock").sortWithinPartitions("qblock", "gap")
 
 
-def _near_boxes(row, blocks_: np.ndarray, open_: np.ndarray, low: np.ndarray, high: np.ndarray, most: float, want: int) -> pd.DataFrame:
-    """The boxes that the queries of one block may need, by their distance to the block."""
-    q = unpacked(row, _AXES, "q")
-    square = lambda v: v[..., 0] * v[..., 0] + v[..., 1] * v[..., 1] + v[..., 2] * v[..., 2]
+def _near_boxes(row, blocks_: np.ndarray, open_: np.ndarray, low: np.ndarray, high: np.ndarray, most: float, want: int, around: bool) -> pd.DataFrame:
+    """The boxes that the queries of one block may need, with their distance to the block."""
+    some, gap, reach = needed_boxes(unpacked(row, _AXES, "q"), open_, low, high, most, want, around)
+    return pd.DataFrame([{"qblock": row.qblock, "q_sure": reach.tobytes(), "t_blocks": blocks_[some], "t_gaps": gap}])
+
+
+def _square(v: np.ndarray) -> np.ndarray:
+    return v[..., 0] * v[..., 0] + v[..., 1] * v[..., 1] + v[..., 2] * v[..., 2]
+
+
+def _reach(far: np.ndarray, open_: np.ndarray, want: int) -> np.ndarray:
+    """The least squared distance within which boxes with enough open targets lie whole, for each row."""
+    full = open_ >= want
+    if full.any():
+        return far[:, full].min(axis=1)
+    if open_.sum() < want:
+        return np.full(len(far), np.inf)
+    order = far.argsort(axis=1)
+    enough = (open_[order].cumsum(axis=1) >= want).argmax(axis=1)
+    return np.take_along_axis(far, np.take_along_axis(order, enough[:, None], axis=1), axis=1)[:, 0]
 
-    def sure(far: np.ndarray) -> np.ndarray:
-        """The least distance within which boxes with enough open targets lie whole, for each row."""
-        full = open_[some] >= want
-        if full.any():
-            return far[:, full].min(axis=1)
-        order = far.argsort(axis=1)
-        enough = open_[some][order].cumsum(axis=1) >= want
-        at = np.take_along_axis(far, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
-        return np.where(enough[:, -1], at, np.inf)
 
-    # First the block as a whole, which leaves few boxes.
-    some = slice(None)
+def needed_boxes(q: np.ndarray, open_: np.ndarray, low: np.ndarray, high: np.ndarray, most: float, want: int, around: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Boxes that may hold one of the ``want`` nearest open targets of a query, their squared distances to the
+    box of the queries, and for each query the squared distance, ``most`` at most, to which they hold every target."""
+    # First the queries as a whole, which leaves few boxes.
     bottom, top = q.min(axis=0), q.max(axis=0)
-    gap = square(np.maximum(np.maximum(low - top, bottom - high), 0.0))
-    bound = min(most, sure(square(np.maximum(high - bottom, top - low))[None])[0])
+    gap = _square(np.maximum(np.maximum(low - top, bottom - high), 0.0))
+    bound = min(most, _reach(_square(np.maximum(high - bottom, top - low))[None], open_, want)[0])
     some = np.flatnonzero(gap <= bound)
-    needed, kept = np.zeros(len(some), dtype=bool), np.empty(len(q))
+    needed, reach = np.zeros(len(some), dtype=bool), np.full(len(q), most)
     step = max(1, 250_000 // max(1, len(some)))
     for start in range(0, len(q) if len(some) else 0, step):
         at = q[start:start + step, None]
         below, above = low[some] - at, at - high[some]
-        reach = np.minimum(most, sure(square(np.maximum(np.abs(below), np.abs(above)))))
-        needed |= (square(np.maximum(np.maximum(below, above), 0.0)) <= reach[:, None]).any(axis=0)
-        kept[start:start + step] = reach
-    some = some[needed]
-    return pd.DataFrame([{"qblock": row.qblock, "q_sure": kept.tobytes(), "t_blocks": blocks_[some], "t_gaps": gap[some]}])
+        sure = np.minimum(most, _reach(_square(np.maximum(np.abs(below), np.abs(above))), open_[some], want))
+        needed |= (_square(np.maximum(np.maximum(below, above), 0.0)) <= sure[:, None]).any(axis=0)
+        reach[start:start + step] = sure
+    if around:
+        some = np.flatnonzero(gap <= reach.max())
+        return some, gap[some], reach
+    return some[needed], gap[some[needed]], reach
 
 
 def gathered(batches, rows: int):

@@ -154,6 +154,33 @@ def test_one_to_one_matching_in_batches_and_blocks_with_short_lists(spark, monke
     assert found == expected
 
 
+@pytest.mark.parametrize("flat", [1 << 62, 0])
+def test_one_to_one_matching_follows_displaced_sources_in_their_task(spark, monkeypatch, flat):
+    """Blocks in one another's way need few rounds; ids are wide, equal distances and odd rows are there."""
+    rng, wide = np.random.default_rng(19), (1 << 53) + 1
+    place = lambda n: rng.integers(-6, 7, (n, 3)) * 0.03 + rng.choice([0.0, 0.001], (n, 3))
+    a, b = place(400), place(420)
+    asked = [(g, wide + 2 * i + g, *map(float, p)) for g in (0, 1) for i, p in enumerate(a[200 * g:200 * g + 200])]
+    offered = [(g, wide + 2 * i + g, *map(float, p)) for g in (0, 1) for i, p in enumerate(b[210 * g:210 * g + 210])]
+    odd = [(0, 9000, float("nan"), 0.0, 0.0), (1, 9001, None, 0.0, 0.0), (None, 9002, 0.0, 0.0, 0.0)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"g int, {name} long, x double, y double, z double")
+    for name, value in (("BLOCK_SOURCES", 25), ("LISTED", 2), ("LIST_ROWS", 1), ("SMALL_BATCH", 150), ("FLAT_PAIRS", flat),
+                        ("HELD_TARGETS", 1000), ("REGION_TARGETS", 30), ("FIRST_LISTED", 3), ("TASK_ROWS", 100), ("LEAF_ROWS", 16)):
+        monkeypatch.setattr(matching, name, value, raising=False)
+    calls, settle = [], matching.settle
+    monkeypatch.setattr(matching, "settle", lambda df: calls.append(1) or settle(df))
+    rows = matching.one_to_one_nearest(frame(asked + odd, "qid"), frame(offered + odd, "tid"), 0.1, ["g"]).collect()
+    used, expected = set(), {}
+    for g, qid, *q in sorted(asked, key=lambda row: row[1]):
+        d2 = lambda p: (p[0] - q[0]) * (p[0] - q[0]) + (p[1] - q[1]) * (p[1] - q[1]) + (p[2] - q[2]) * (p[2] - q[2])
+        options = [(d2(p), *(math.floor(v / 0.1) for v in p), tid) for other, tid, *p in offered if other == g and tid not in used and d2(p) <= 0.1 * 0.1]
+        if options:
+            expected[qid] = (min(options)[-1], min(options)[0])
+            used.add(expected[qid][0])
+    assert {r.qid: (r.tid, r.d2) for r in rows} == expected and len(rows) == len(expected) < len(asked)
+    assert len(calls) <= 50
+
+
 @pytest.mark.parametrize("small", [0, 1 << 62])
 def test_quantiles_of_infinite_and_missing_values(spark, monkeypatch, small):
     monkeypatch.setattr(quantiles, "SMALL_BYTES", small)
